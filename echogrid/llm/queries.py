@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality, secrets
-from .common import table
+from . import chat, mixing, packing, quality, secrets, simhash, topk, toxicity, warc
+from .common import shared_dir, table
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,4 +52,50 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_chat_formatting, op6_source_mixing, op10_secret_scan)}
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double")).alias("v"))
+    found = topk.search(vectors, F.col("id") % 50 == 0, vector="v")
+    return found.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
+
+
+def _remainder(doc_id: str, divisor: int) -> Column:
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % divisor
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chosen = _remainder("id", 5) != 0
+    model = toxicity.fit(toxicity.train_rows(documents, table(spark, sf_dir, "labels"), chosen))
+    scored = toxicity.score(documents, model, more={"doc_id": F.col("doc_id"), "held_out": _remainder("doc_id", 5) == 0})
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_best_fit_packing,
+        op3_quality_rules,
+        op4_chat_formatting,
+        op5_simhash_near_dedup,
+        op6_source_mixing,
+        op7_exact_top_k,
+        op8_toxicity,
+        op9_warc,
+        op10_secret_scan,
+    )
+}

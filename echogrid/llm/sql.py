@@ -80,4 +80,20 @@ m AS (SELECT d.*, f.source_size, f.target, f.whole, f.target - f.whole * f.sourc
 SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN middle < wanted THEN 1 ELSE 0 END))::BIGINT AS taken FROM m
 """
 
-SQL = {"op3_quality_rules": OP3, "op4_chat_formatting": OP4, "op6_source_mixing": OP6}
+OP7 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+OP9 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha256(b) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f
+"""
+
+SQL = {"op3_quality_rules": OP3, "op4_chat_formatting": OP4, "op6_source_mixing": OP6, "op7_exact_top_k": OP7, "op9_warc": OP9}
