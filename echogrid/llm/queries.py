@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, secrets, simhash, topk, toxicity, warc
+from . import chat, lm_scoring, mixing, packing, quality, secrets, simhash, topk, toxicity, warc
 from .common import shared_dir, table
 
 
@@ -52,6 +52,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", _remainder("doc_id", 10) == 0)
+    model = lm_scoring.fit(documents.where(~F.col("held_out")))
+    return lm_scoring.score(documents, model, more={"doc_id": F.col("doc_id"), "held_out": F.col("held_out")})
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -88,6 +94,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_lm_scoring,
         op2_best_fit_packing,
         op3_quality_rules,
         op4_chat_formatting,

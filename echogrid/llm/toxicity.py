@@ -1,7 +1,8 @@
 """Toxicity: a linear classifier over character n-grams, scaled by naive Bayes log-count ratios.
 
-A text is the set of its character n-grams, hashed to a fixed number of
-features. Every feature is scaled by the logarithm of the ratio in which
+A text is the bag of its character n-grams, word boundaries included, hashed to
+a fixed number of features; the value of one is the root of its share of the
+text's n-grams. Every feature is scaled by the logarithm of the ratio in which
 toxic and other training texts hold it, and a logistic regression is fitted on
 the scaled features. Ratios come from all training rows. Features whose ratio
 is within MIN_Z standard errors of zero are scaled by zero, so what chance
@@ -22,19 +23,19 @@ from pyspark.sql import functions as F
 from .common import stage
 
 #: Lengths of n-grams, and the number of hashed features as a power of two.
-NGRAMS = (3, 4, 5)
-BITS = 20
+NGRAMS = (4, 5, 6, 7)
+BITS = 21
 SLICES = 16
-MIN_Z = 4.0
+MIN_Z = 3.5
 #: The regression's training rows: the first in the order of a hash of their id.
-MAX_ROWS = 20_000
+MAX_ROWS = 10_000
 #: A table of labels of up to so many rows (some 40 MB) is broadcast.
 BROADCAST_ROWS = 2_000_000
 
 
 def hashed(text: str | None, ngrams: tuple[int, ...] = NGRAMS, bits: int = BITS) -> np.ndarray:
-    """A hash for each n-gram of the lower-cased text, repeats included."""
-    c = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+    """A hash for each n-gram of the lower-cased text, repeats included; any white space counts as one blank."""
+    c = np.frombuffer(f" {' '.join((text or '').lower().split())} ".encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
     out, h = [], np.zeros(len(c), np.uint64)
     for n in range(1, max(ngrams) + 1):
         if len(c) < n:
@@ -46,15 +47,26 @@ def hashed(text: str | None, ngrams: tuple[int, ...] = NGRAMS, bits: int = BITS)
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
+def values(h: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The used features of a text, and the root of their share per mille; short texts count as 300 n-grams."""
+    u, n = np.unique(h[use[h]], return_counts=True)
+    return u, np.sqrt(n * (1000.0 / max(len(h), 300)))
+
+
 @dataclass(frozen=True)
 class Model:
     weights: np.ndarray  # of each feature, its scale included
     intercept: float
 
+    @property
+    def used(self) -> np.ndarray:
+        if "_used" not in self.__dict__:
+            self.__dict__["_used"] = self.weights != 0
+        return self.__dict__["_used"]
+
     def score(self, text: str | None) -> float:
-        h = hashed(text)
-        h = np.unique(h[self.weights[h] != 0])
-        z = self.intercept + float(self.weights[h].sum(dtype=np.float64))
+        u, x = values(hashed(text), self.used)
+        z = self.intercept + float(self.weights[u] @ x)
         return float(1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
 
@@ -95,22 +107,28 @@ def scales(n: np.ndarray, held: np.ndarray, min_z: float = MIN_Z) -> np.ndarray:
     return np.where(np.abs(r) >= min_z * error, r, 0.0)
 
 
-def regression(features: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
+def regression(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, scale: np.ndarray, l2: float = 0.01, steps: int = 800) -> tuple[np.ndarray, float]:
     """Weights of the scaled features and intercept, by accelerated gradient descent on the mean log loss."""
-    used, flat = np.unique(np.concatenate([*features, np.zeros(0, np.uint32)]), return_inverse=True)
-    row = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    x, m = scale[used][flat], len(labels)
+    used, flat = np.unique(np.concatenate([*[u for u, _ in features], np.zeros(0, np.uint32)]), return_inverse=True)
+    row = np.repeat(np.arange(len(features)), [len(u) for u, _ in features])
+    x, m = scale[used][flat] * np.concatenate([*[v for _, v in features], np.zeros(0)]), len(labels)
+    forward = lambda w: np.bincount(row, x * w[flat], m)
+    back = lambda g: np.bincount(flat, x * g[row], len(used))
+    # the largest curvature, by power iteration; the last place stands for the intercept
+    v, vb, top = np.ones(len(used)), 1.0, 1.0
+    for _ in range(30):
+        z = forward(v) + vb
+        v, vb = back(z) / m, z.mean()
+        top = float(np.sqrt(v @ v + vb * vb)) or 1.0
+        v, vb = v / top, vb / top
+    rate = 1 / (0.3 * top + l2 / m)
     w, b = np.zeros(len(used)), 0.0
     last_w, last_b = w, b
-    norm = np.bincount(row, x * x, m).max() + 1 if m else 1.0
-    rate = 4.0 / norm
     for k in range(steps):
-        vw, vb = w + k / (k + 3) * (w - last_w), b + k / (k + 3) * (b - last_b)
-        z = np.bincount(row, x * vw[flat], m) + vb
-        g = (1 / (1 + np.exp(-np.clip(z, -700, 700))) - labels) / m
+        yw, yb = w + k / (k + 3) * (w - last_w), b + k / (k + 3) * (b - last_b)
+        g = (1 / (1 + np.exp(-np.clip(forward(yw) + yb, -700, 700))) - labels) / m
         last_w, last_b = w, b
-        w = vw - rate * (np.bincount(flat, x * g[row], len(used)) + l2 / m * vw * 1e-2)
-        b = vb - rate * g.sum()
+        w, b = yw - rate * (back(g) + l2 / m * yw), yb - rate * g.sum()
     weights = np.zeros(len(scale), np.float32)
     weights[used] = (scale[used] * w).astype(np.float32)
     return weights, float(b)
@@ -124,17 +142,17 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, min_z: float = MIN_Z) ->
         return Model(np.zeros(held.shape[1], np.float32), float(rate))
     scale = scales(n, held, min_z)
     spark = labelled.sparkSession
-    shared = spark.sparkContext.broadcast(scale != 0)  # a megabyte
+    shared = spark.sparkContext.broadcast(scale != 0)  # 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = shared.value
         for b in batches:
-            hs = [hashed(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([np.unique(h[use[h]]).tobytes() for h in hs])], names=["label", "f"])
+            uv = [values(hashed(t.as_py()), use) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([u.tobytes() for u, _ in uv], pa.binary()), pa.array([v.tobytes() for _, v in uv], pa.binary())], names=["label", "u", "v"])
 
     sample = labelled.orderBy(F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), "text", "label").limit(max_rows)
-    rows = sample.select("text", "label").mapInArrow(run, "label int, f binary").collect()
-    weights, b = regression([np.frombuffer(r["f"], np.uint32) for r in rows], np.array([r["label"] for r in rows], float), scale)
+    rows = sample.select("text", "label").mapInArrow(run, "label int, u binary, v binary").collect()
+    weights, b = regression([(np.frombuffer(r["u"], np.uint32), np.frombuffer(r["v"])) for r in rows], np.array([r["label"] for r in rows], float), scale)
     return Model(weights, b)
 
 
@@ -142,7 +160,7 @@ def score(df: DataFrame, model: Model, text: str = "text", more: dict[str, Colum
     """The columns of `more`, then score, for every row of df: whole texts, empty and null ones too."""
     more = more or {c: df[c] for c in df.columns if c != "score"}
     d = df.select(df[text].alias("__text"), *[v.alias(k) for k, v in more.items()])
-    shared = df.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the input
+    shared = df.sparkSession.sparkContext.broadcast(model)  # 8 MB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from echogrid.llm import chat, mixing, packing, quality, queries, secrets, simhash, topk, toxicity, warc
+from echogrid.llm import chat, lm_scoring, mixing, packing, quality, queries, secrets, simhash, topk, toxicity, warc
 from echogrid.llm.common import shared_dir, stage
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -300,14 +300,15 @@ def test_top_k(spark, monkeypatch):
 
 
 def test_toxicity(spark):
-    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+    sf = "/root/testdata/sf0.1"  # the smaller tables hold six toxic rows out
     labels = dict(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").collect())
     scored = queries.op8_toxicity(spark, sf).collect()
     held = [(r.score, labels[r.doc_id], r.predicted) for r in scored if r.held_out and r.doc_id in labels]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) for r in scored)
-    assert sum(p == y for _, y, p in held) / len(held) >= 0.95
+    assert sum(p == y for _, y, p in held) / len(held) >= 0.98
     pos, neg = [s for s, y, _ in held if y], [s for s, y, _ in held if not y]
-    assert sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / len(pos) / len(neg) > 0.9
+    assert sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / len(pos) / len(neg) > 0.95
+    assert sum(s >= 0.5 for s in neg) == 0
     odd = odd_documents(spark)
     none = toxicity.fit(toxicity.train_rows(odd, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True)))
     assert {r.score for r in toxicity.score(odd, none).collect()} == {0.5}
@@ -351,3 +352,41 @@ def test_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
     rows = sorted((tuple(map(str, (r[k] for k in want.columns))) for r in got.collect()))
     assert rows == sorted(tuple(map(str, r)) for r in want.fetchall())
+
+
+def test_lm_scoring(spark):
+    docs = {i: lower(d.text or "") for i, d in documents(spark).items()}
+    train = {i for i in docs if zlib.crc32(str(i).encode()) % 10}
+    count, total, pairs = Counter(), 0, Counter()
+    for i in train:
+        w = [*WORD.findall(docs[i]), None]
+        count.update(w)
+        total += len(w)
+        pairs.update(zip(["<", *w], w, strict=False))
+    v = len(count)
+    cls = lambda c: c.bit_length()
+    context = lambda x: len(train) if x == "<" else count[x]
+    once, every = Counter(), Counter()
+    for (a, _), c in pairs.items():
+        once[cls(context(a))] += c == 1
+        every[cls(context(a))] += c
+    higher = 0
+    for r in queries.op1_lm_scoring(spark, SF).collect():
+        w = [*WORD.findall(docs[r.doc_id]), None]
+        assert r.held_out == (r.doc_id not in train) and r.train_tokens == total
+        assert (r.n_tokens, r.n_known) == (len(w), sum(count[x] > 0 for x in w))
+        base = [(count[x] + 0.1) / (total + 0.1 * (v + 1)) for x in w]
+        assert math.isclose(r.base_score, sum(map(math.log10, base)), rel_tol=1e-9)
+        exact = 0.0
+        for a, b, p in zip(["<", *w], w, base, strict=False):
+            c, k = context(a), cls(context(a))
+            u = min((once[k] + 0.5) / every[k], 1) if every[k] else 1.0
+            level = max((x for x in lm_scoring.LEVELS.tolist() if x <= pairs[a, b]), default=0)
+            exact += math.log10((1 - u) * level / max(c, 1) + u * p)
+        assert r.score >= exact - 1e-6 and r.score <= exact + 0.05 * len(w)  # false positives only raise it
+        higher += r.held_out and r.score > r.base_score
+    assert higher > 0.5 * (len(docs) - len(train))
+    odd = odd_documents(spark)
+    m = lm_scoring.fit(odd)
+    assert lm_scoring.score(odd, m).count() == 8 and lm_scoring.score(odd.limit(0), m).count() == 0
+    assert all(r.score <= 0 and r.n_known == 0 for r in lm_scoring.score(odd, lm_scoring.fit(odd.limit(0))).collect())
