@@ -7,16 +7,17 @@ on a variant are near each other. All that meet on one variant are within the
 radius of one another, so each is linked to the smallest of them, and a group
 of any size costs as many links as it has members.
 
-A variant is a fingerprint xor a mask, and all tasks know the masks. What is
-shuffled is therefore, for each shard of the variants' hash, the fingerprints
-of a chunk once and two bytes a variant; the variants are formed again, met
-and verified in the shard.
+Variants are sharded by their first bits. A fingerprint goes once to each shard
+that some of its variants belong to (those within the same number of flips of
+its own first bits), and the shard forms the rest of the ball itself; so a
+fingerprint moves some dozens of times and not 2081 times.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import ceil, comb, log2
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from pyspark.sql import types as T
 from .common import carried, restored, stage
 
 WORDS, SEED, RADIUS = 4, 42, 4
-#: Fingerprints that a task takes at once; variants that one shard holds on average (some 100 MB while it is worked on).
-CHUNK, SHARD_VARIANTS = 2048, 3_000_000
+#: Variants that one shard holds on average, and that a task forms at once (some 100 MB); a shard with more is cut by further bits.
+SHARD_VARIANTS, AT_ONCE = 3_000_000, 6_000_000
 U = np.uint64
 
 
@@ -50,15 +51,9 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * bits > len(h), bitorder="little").tobytes(), "little")
 
 
-def masks(radius: int) -> np.ndarray:
-    """All 64-bit masks of at most radius // 2 bits, or one more for the odd half."""
-    reach = (radius + 1) // 2
-    return np.array([sum(1 << b for b in c) for n in range(reach + 1) for c in combinations(range(64), n)], U)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(31))) * U(0x9E3779B97F4A7C15)
-    return (x ^ (x >> U(29))) * U(0xBF58476D1CE4E5B9)
+def masks(bits: int, flips: int) -> list[int]:
+    """All masks of the lowest `bits` bits with at most `flips` of them set."""
+    return [sum(1 << b for b in c) for n in range(flips + 1) for c in combinations(range(bits), n)]
 
 
 def fingerprints(df: DataFrame, doc_id: str, text: str, words: int = WORDS) -> DataFrame:
@@ -73,59 +68,60 @@ def fingerprints(df: DataFrame, doc_id: str, text: str, words: int = WORDS) -> D
     return df.select(df[doc_id], df[text]).mapInArrow(run, schema)
 
 
+def _stars(v: np.ndarray, o: np.ndarray, radius: int) -> np.ndarray:
+    """(owner, least owner) pairs of the variants v that several owners o share; each pair is verified."""
+    by_value = np.sort(v)
+    twice = np.unique(by_value[1:][by_value[1:] == by_value[:-1]])
+    if not len(twice):
+        return np.zeros((0, 2), U)
+    place = np.minimum(np.searchsorted(twice, v), len(twice) - 1)
+    hit = twice[place] == v
+    place, o = place[hit], o[hit]
+    least = np.full(len(twice), np.iinfo(U).max, U)
+    np.minimum.at(least, place, o)
+    near = (o != least[place]) & (np.bitwise_count(o ^ least[place]) <= radius)
+    return np.unique(np.stack([o[near], least[place][near]], axis=1), axis=0)
+
+
+def _met(v: np.ndarray, o: np.ndarray, left: np.ndarray, free: int, radius: int) -> Iterator[np.ndarray]:
+    """Stars among the variants of v that differ from it in at most `left` of the lowest `free` bits."""
+    if len(v) < 2:
+        return
+    sizes = np.array([sum(comb(free, k) for k in range(n + 1)) for n in range(int(left.max()) + 1)])
+    if sizes[left].sum() > AT_ONCE and free > 4:
+        cut = U(free - 4)
+        for value in range(16):
+            flipped = ((v >> cut) & U(15)) ^ U(value)
+            rest = left - np.bitwise_count(flipped).astype(left.dtype)
+            ok = rest >= 0
+            yield from _met(v[ok] ^ (flipped[ok] << cut), o[ok], rest[ok], free - 4, radius)
+        return
+    vs, os = [], []
+    for n in np.unique(left):
+        m = np.array(masks(free, int(n)), U)
+        vs.append((v[left == n][:, None] ^ m).ravel())
+        os.append(np.repeat(o[left == n], len(m)))
+    yield _stars(np.concatenate(vs), np.concatenate(os), radius)
+
+
 def links(nodes: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
-    """a, b: distinct fingerprints of the column fp within the radius, a star for each variant on which some meet."""
-    all_masks = masks(radius)
-    shards = max(1, -(-n * len(all_masks) // SHARD_VARIANTS))
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            every = batch.column(0).to_numpy().view(U)
-            for at in range(0, len(every), CHUNK):
-                fps = every[at : at + CHUNK]
-                v = _mixed((fps[:, None] ^ all_masks).ravel())
-                shard = ((v >> U(32)) * U(shards) >> U(32)).astype(np.uint16 if shards <= 65536 else np.uint32)
-                order = np.argsort(shard, kind="stable")
-                cut = np.flatnonzero(np.diff(shard[order])) + 1
-                owner, mask = (x.astype(np.uint16) for x in np.divmod(order.astype(np.uint32), np.uint32(len(all_masks))))
-                ids, blobs = [], []
-                for o, m, s in zip(np.split(owner, cut), np.split(mask, cut), shard[order[np.r_[0, cut]]].tolist(), strict=True):
-                    first = np.r_[True, o[1:] != o[:-1]]
-                    at_first = np.flatnonzero(first)
-                    counts = np.diff(np.r_[at_first, len(o)]).astype(np.uint16)
-                    ids.append(s)
-                    blobs.append(b"".join((np.array([len(counts)], np.uint32).tobytes(), fps[o[at_first]].tobytes(), counts.tobytes(), m.tobytes())))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
+    """a, b: distinct fingerprints of the column fp within the radius, a star for each variant on which some of the n meet."""
+    half = (radius + 1) // 2  # for an odd radius the larger half
+    ball = sum(comb(64, k) for k in range(half + 1))
+    p = min(32, max(0, ceil(log2(max(1.0, n * ball / SHARD_VARIANTS)))))
+    own = F.shiftrightunsigned("fp", 64 - p) if p else F.lit(0).cast("long")
+    near = F.transform(F.array(*[F.lit(m).cast("long") for m in masks(p, half)]), lambda m: own.bitwiseXOR(m))
+    sent = nodes.select("fp", F.explode(near).alias("shard"))
 
     def meet(t: pa.Table) -> pa.Table:
-        v, o = [], []
-        for blob in t.column("blob"):
-            data = blob.as_buffer()
-            n = int(np.frombuffer(data, np.uint32, 1)[0])
-            fps = np.frombuffer(data, U, n, 4)
-            counts = np.frombuffer(data, np.uint16, n, 4 + 8 * n)
-            m = np.frombuffer(data, np.uint16, -1, 4 + 10 * n)
-            owners = np.repeat(fps, counts)
-            o.append(owners)
-            v.append(owners ^ all_masks[m])
-        v, o = np.concatenate(v), np.concatenate(o)
-        by_value = np.sort(v)
-        twice = np.unique(by_value[1:][by_value[1:] == by_value[:-1]])
-        a = b = np.zeros(0, U)
-        if len(twice):
-            place = np.minimum(np.searchsorted(twice, v), len(twice) - 1)
-            hit = twice[place] == v
-            place, o = place[hit], o[hit]
-            least = np.full(len(twice), np.iinfo(U).max, U)
-            np.minimum.at(least, place, o)
-            a, b = o, least[place]
-            near = (a != b) & (np.bitwise_count(a ^ b) <= radius)
-            pairs = np.unique(np.stack([a[near], b[near]], axis=1), axis=0)
-            a, b = pairs[:, 0], pairs[:, 1]
-        return pa.table({"a": pa.array(np.ascontiguousarray(a).view(np.int64)), "b": pa.array(np.ascontiguousarray(b).view(np.int64))})
-
-    packed = nodes.select("fp").mapInArrow(emit, "shard int, blob binary")
-    return packed.groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
+        o, shard = t.column("fp").to_numpy().view(U), U(t.column("shard")[0].as_py())
+        flipped = ((o >> U(64 - p)) ^ shard) if p else np.zeros(len(o), U)
+        v = o ^ (flipped << U(64 - p)) if p else o
+        pairs = np.concatenate([np.zeros((0, 2), U), *_met(v, o, half - np.bitwise_count(flipped).astype(np.int64), 64 - p, radius)])
+        a, b = (pa.array(np.ascontiguousarray(pairs[:, k]).view(np.int64)) for k in (0, 1))
+        return pa.table({"a": a, "b": b})
+
+    return sent.groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -251,7 +251,10 @@ def test_simhash(spark):
     assert kept.columns == odd.columns and sorted(str(x.doc_id) for x in kept.collect()) == ["1", "5", "7", "None"]
 
 
-def test_simhash_links_planted_fingerprints(spark):
+@pytest.mark.parametrize("shard, at_once", [(10**9, 10**9), (2000, 10**9), (20_000, 3000)])
+def test_simhash_links_planted_fingerprints(spark, monkeypatch, shard, at_once):
+    monkeypatch.setattr(simhash, "SHARD_VARIANTS", shard)
+    monkeypatch.setattr(simhash, "AT_ONCE", at_once)
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 60, dtype=np.uint64)
     fps = set(base.tolist())
