@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ ADD = 0.1
 LOG_BASE, HASHES, BITS = 1.5, 6, 10
 #: Bytes of text that are hashed at once, keys that a task gathers before it sends them, tokens a shard.
 CHUNK, GATHER, SHARD_TOKENS = 1 << 21, 3_000_000, 1_500_000
+#: Shards that the driver fetches at once.
+SLICE = 8
 #: Classes of context frequency, by powers of two.
 CLASSES = 64
 _C1, _C2, _C3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -123,12 +126,12 @@ class Table:
     def __init__(self, keys: np.ndarray, counts: np.ndarray, total: int, distinct: int):
         self.keys, self.counts, self.total, self.distinct = keys, counts, total, distinct
         self.bits = max(1, int(len(keys)).bit_length() - 1)
-        self.starts = np.searchsorted(keys, np.arange(1 << self.bits, dtype=U) << U(64 - self.bits)).astype(np.int64)
+        self.starts = np.searchsorted(keys, np.arange(1 << self.bits, dtype=U) << U(64 - self.bits)).astype(np.uint32 if len(keys) < 1 << 32 else np.int64)
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.zeros(len(h), np.int64)
-        at = self.starts[h >> U(64 - self.bits)]
+        at = self.starts[h >> U(64 - self.bits)].astype(np.int64)
         at[at == len(self.keys)] = 0
         todo = np.arange(len(h))
         while len(todo):  # a few steps: hashes are spread evenly
@@ -172,10 +175,10 @@ def _bits(keys: np.ndarray, level: int, size: np.ndarray | int):
 class Filter:
     """The filter, in pieces: a bigram's piece is chosen by the first bits of its key."""
 
-    def __init__(self, sizes: np.ndarray, data: list[bytes]):
-        self.sizes = sizes.astype(U)
-        self.starts = np.r_[0, np.cumsum([len(d) for d in data])][:-1].astype(U) * U(8)
-        self.data = np.frombuffer(b"".join(data), np.uint8)
+    def __init__(self, sizes: np.ndarray, data: np.ndarray):
+        """sizes: bits of each piece, multiples of eight; data: the bytes of all."""
+        self.sizes, self.data = sizes.astype(U), data
+        self.starts = (np.cumsum(sizes) - sizes).astype(U)
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """The least count of the highest level that answers, by probing from the first."""
@@ -241,10 +244,19 @@ def _counted(train: DataFrame, shards: int, keys) -> DataFrame:
 
 
 class Model:
-    """What the workers need: word counts, the filter, and the mass of unseen bigrams by class of context."""
+    """What the workers need: broadcasts of the word counts and of the filter, and the mass of unseen bigrams by class of context."""
 
-    def __init__(self, table: Table, bigrams: Filter, unseen: np.ndarray):
-        self.table, self.bigrams, self.unseen = table, bigrams, unseen
+    def __init__(self, table: Broadcast, bigrams: Broadcast, unseen: np.ndarray, begins: int):
+        """begins: how often the context before a first word was seen, once a training row."""
+        self.shared_table, self.shared_bigrams, self.unseen, self.begins = table, bigrams, unseen, begins
+
+    @property
+    def table(self) -> Table:
+        return self.shared_table.value
+
+    @property
+    def bigrams(self) -> Filter:
+        return self.shared_bigrams.value
 
     def rows(self, texts: pa.StringArray) -> Iterator[tuple[np.ndarray, ...]]:
         """(n_tokens, n_known, base_score, score) arrays for runs of rows."""
@@ -263,10 +275,11 @@ class Model:
             total = lambda x: np.add.reduceat(x, starts)
             yield n, total((c > 0).astype(np.int64)), total(base), total(np.log10(p))
 
-    @property
-    def begins(self) -> int:
-        """How often the context before a first word was seen: once a training row, as often as END."""
-        return int(self.table(np.array([END], U))[0])
+
+def _slices(staged: DataFrame, shards: int) -> Iterator[pa.Table]:
+    """The rows of a few shards at a time, in order, so that the driver holds little beside what it puts together."""
+    for lo in range(0, shards, SLICE):
+        yield staged.where((F.col("shard") >= lo) & (F.col("shard") < lo + SLICE)).orderBy("shard").toArrow()
 
 
 def fit(train: DataFrame, text: str = "text") -> Model:
@@ -278,20 +291,27 @@ def fit(train: DataFrame, text: str = "text") -> Model:
 
     def add_words(t: pa.Table) -> pa.Table:
         keys, counts = _unblob(t)
-        return pa.table({"shard": t.column("shard")[:1], "keys": [keys.tobytes()], "counts": [counts.tobytes()], "n": [int(counts.sum())], "v": [len(keys)]})
-
-    words = _counted(train, shards, lambda h, n: h).groupBy("shard").applyInArrow(add_words, "shard int, keys binary, counts binary, n long, v long")
-    parts = stage(words).orderBy("shard").toArrow()
-    whole = lambda c, d: np.concatenate([np.zeros(0, d), *[np.frombuffer(x.as_buffer(), d) for x in parts.column(c)]])
-    table = Table(whole("keys", U), whole("counts", np.int64).astype(np.uint32 if size < 1 << 32 else np.int64), sum(parts.column("n").to_pylist()), sum(parts.column("v").to_pylist()))
-    del parts
+        return pa.table({"shard": t.column("shard")[:1], "keys": [keys.tobytes()], "counts": [counts.tobytes()], "n": [int(counts.sum())], "v": [len(keys)], "most": [int(counts.max())]})
+
+    words = _counted(train, shards, lambda h, n: h).groupBy("shard").applyInArrow(add_words, "shard int, keys binary, counts binary, n long, v long, most long")
+    parts = stage(words)
+    n, v, most = parts.agg(F.sum("n"), F.sum("v"), F.max("most")).first()
+    keys, counts, at = np.empty(v or 0, U), np.empty(v or 0, np.uint32 if (most or 0) < 1 << 32 else np.int64), 0
+    for t in _slices(parts, shards):
+        for k, c in zip(t.column("keys"), t.column("counts"), strict=True):
+            one = np.frombuffer(k.as_buffer(), U)
+            keys[at : at + len(one)], counts[at : at + len(one)] = one, np.frombuffer(c.as_buffer(), np.int64)
+            at += len(one)
+    table = Table(keys, counts, n or 0, v or 0)
+    begins = int(table(np.array([END], U))[0])
     shared = spark.sparkContext.broadcast(table)
+    del table, keys, counts
 
     def pairs(h: np.ndarray, n: np.ndarray) -> np.ndarray:
         c = shared.value(h)
         cv = np.empty_like(c)
         cv[1:] = c[:-1]
-        cv[np.cumsum(n) - n] = shared.value(np.array([END], U))[0]
+        cv[np.cumsum(n) - n] = begins
         return bigram_keys(_before(h, n), h, _class(cv))
 
     def add_pairs(t: pa.Table) -> pa.Table:
@@ -307,15 +327,19 @@ def fit(train: DataFrame, text: str = "text") -> Model:
         return pa.table({"shard": t.column("shard")[:1], "bits": [bits], "data": [np.packbits(on).tobytes()], "once": [mass(counts == 1)], "all": [mass(counts)]})
 
     built = _counted(train, shards, pairs).groupBy("shard").applyInArrow(add_pairs, "shard int, bits long, data binary, once binary, all binary")
-    sizes, data, once, every = np.zeros(shards, np.int64), [b""] * shards, np.zeros(CLASSES), np.zeros(CLASSES)
-    for batch in stage(built).toArrow().to_batches():
-        for s, bits, d, o, a in zip(*[batch.column(c) for c in ("shard", "bits", "data", "once", "all")], strict=True):
-            sizes[s.as_py()], data[s.as_py()] = bits.as_py(), d.as_py()
-            once += np.frombuffer(o.as_py(), np.int64)
-            every += np.frombuffer(a.as_py(), np.int64)
+    pieces = stage(built)
+    sizes, once, every = np.zeros(shards, np.int64), np.zeros(CLASSES), np.zeros(CLASSES)
+    data, at = np.empty((pieces.agg(F.sum("bits")).first()[0] or 0) // 8, np.uint8), 0
+    for t in _slices(pieces, shards):
+        for s, bits, d, o, a in zip(*[t.column(c) for c in ("shard", "bits", "data", "once", "all")], strict=True):
+            sizes[s.as_py()] = bits.as_py()
+            data[at : at + bits.as_py() // 8] = np.frombuffer(d.as_buffer(), np.uint8)
+            at += bits.as_py() // 8
+            once += np.frombuffer(o.as_buffer(), np.int64)
+            every += np.frombuffer(a.as_buffer(), np.int64)
     # half a bigram is added, so that no mass is exactly zero
     unseen = np.where(every > 0, np.minimum((once + 0.5) / np.maximum(every, 1), 1.0), 1.0)
-    return Model(table, Filter(sizes, data), unseen)
+    return Model(shared, spark.sparkContext.broadcast(Filter(sizes, data)), unseen, begins)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", more: dict[str, Column] | None = None) -> DataFrame:
@@ -329,10 +353,8 @@ def score(df: DataFrame, model: Model, text: str = "text", more: dict[str, Colum
     new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     more = more if more is not None else {c: df[c] for c in df.columns if c not in new}
     d = df.select(df[text].alias("__text"), *[v.alias(k) for k, v in more.items()])
-    shared = df.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+    def run(batches: Iterator[pa.RecordBatch], m: Model = model) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts = [np.concatenate(x) for x in zip(*m.rows(b.column(0)), strict=True)] if b.num_rows else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
             out = [pa.array(parts[0].astype(np.int64)), pa.array(parts[1]), pa.array(np.full(b.num_rows, m.table.total, np.int64)), pa.array(parts[2]), pa.array(parts[3])]

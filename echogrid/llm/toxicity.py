@@ -5,8 +5,9 @@ a fixed number of features; the value of one is the root of its share of the
 text's n-grams. Every feature is scaled by the logarithm of the ratio in which
 toxic and other training texts hold it, and a logistic regression is fitted on
 the scaled features. Ratios come from all training rows. Features whose ratio
-is within MIN_Z standard errors of zero are scaled by zero, so what chance
-puts into a long text doesn't add up. The regression is fitted on the driver,
+is within MIN_Z standard errors of zero, or not among the MAX_FEATURES that are
+farthest from it, are scaled by zero, so what chance puts into a long text
+doesn't add up. The regression is fitted on the driver,
 on at most `max_rows` training rows.
 """
 
@@ -26,9 +27,9 @@ from .common import stage
 NGRAMS = (4, 5, 6, 7)
 BITS = 21
 SLICES = 16
-MIN_Z = 3.5
+MIN_Z, MAX_FEATURES = 3.5, 20_000
 #: The regression's training rows: the first in the order of a hash of their id.
-MAX_ROWS = 10_000
+MAX_ROWS = 8_000
 #: A table of labels of up to so many rows (some 40 MB) is broadcast.
 BROADCAST_ROWS = 2_000_000
 
@@ -50,7 +51,7 @@ def hashed(text: str | None, ngrams: tuple[int, ...] = NGRAMS, bits: int = BITS)
 def values(h: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The used features of a text, and the root of their share per mille; short texts count as 300 n-grams."""
     u, n = np.unique(h[use[h]], return_counts=True)
-    return u, np.sqrt(n * (1000.0 / max(len(h), 300)))
+    return u, np.sqrt(n * (1000.0 / max(len(h), 300))).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -78,7 +79,7 @@ def counts(labelled: DataFrame, bits: int = BITS) -> tuple[np.ndarray, np.ndarra
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, held = np.zeros(2, np.int64), np.zeros((2, 1 << bits), np.int64)
+        n, held = np.zeros(2, np.int64), np.zeros((2, 1 << bits), np.int32)
         for b in batches:
             for t, y in zip(b.column("text"), b.column("label").to_pylist(), strict=True):
                 n[y] += 1
@@ -88,8 +89,8 @@ def counts(labelled: DataFrame, bits: int = BITS) -> tuple[np.ndarray, np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES)), pa.array([n.tobytes()] * SLICES), pa.array([parts[:, i].tobytes() for i in range(SLICES)])], names=["slice", "n", "held"])
 
     def add(t: pa.Table) -> pa.Table:
-        total = lambda c: sum(np.frombuffer(x.as_py(), np.int64) for x in t.column(c))
-        return pa.table({"slice": t.column("slice")[:1], "n": [total("n").tobytes()], "held": [total("held").tobytes()]})
+        total = lambda c, d: sum(np.frombuffer(x.as_buffer(), d).astype(np.int64) for x in t.column(c))
+        return pa.table({"slice": t.column("slice")[:1], "n": [total("n", np.int64).tobytes()], "held": [total("held", np.int32).tobytes()]})
 
     schema = "slice long, n binary, held binary"
     rows = labelled.select("text", "label").mapInArrow(run, schema).groupBy("slice").applyInArrow(add, schema).orderBy("slice").collect()
@@ -99,19 +100,22 @@ def counts(labelled: DataFrame, bits: int = BITS) -> tuple[np.ndarray, np.ndarra
     return np.frombuffer(rows[0]["n"], np.int64), held
 
 
-def scales(n: np.ndarray, held: np.ndarray, min_z: float = MIN_Z) -> np.ndarray:
-    """Log of the ratio of the smoothed rates, zero where it is within min_z standard errors of zero."""
-    p = (held + 0.5) / (n[:, None] + 1.0)
-    r = np.log(p[1]) - np.log(p[0])
-    error = np.sqrt(((1 - p) / (held + 0.5)).sum(axis=0))
-    return np.where(np.abs(r) >= min_z * error, r, 0.0)
+def scales(n: np.ndarray, held: np.ndarray, min_z: float = MIN_Z, most: int = MAX_FEATURES) -> np.ndarray:
+    """Log of the ratio of the smoothed rates; zero where it is within min_z standard errors of zero, or not among the `most` farthest."""
+    r, z = np.zeros(held.shape[1], np.float32), np.zeros(held.shape[1], np.float32)
+    for part in np.array_split(np.arange(held.shape[1]), SLICES):
+        p = (held[:, part] + 0.5) / (n[:, None] + 1.0)
+        r[part] = np.log(p[1] / p[0])
+        z[part] = np.abs(r[part]) / np.sqrt(((1 - p) / (held[:, part] + 0.5)).sum(axis=0))
+    least = max(min_z, float(np.partition(z, -most)[-most]) if most < len(z) else 0.0)
+    return np.where(z >= least, r, np.float32(0))
 
 
 def regression(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, scale: np.ndarray, l2: float = 0.01, steps: int = 800) -> tuple[np.ndarray, float]:
     """Weights of the scaled features and intercept, by accelerated gradient descent on the mean log loss."""
     used, flat = np.unique(np.concatenate([*[u for u, _ in features], np.zeros(0, np.uint32)]), return_inverse=True)
     row = np.repeat(np.arange(len(features)), [len(u) for u, _ in features])
-    x, m = scale[used][flat] * np.concatenate([*[v for _, v in features], np.zeros(0)]), len(labels)
+    x, m = scale[used][flat] * np.concatenate([*[v for _, v in features], np.zeros(0, np.float32)]), len(labels)
     forward = lambda w: np.bincount(row, x * w[flat], m)
     back = lambda g: np.bincount(flat, x * g[row], len(used))
     # the largest curvature, by power iteration; the last place stands for the intercept
@@ -141,6 +145,7 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, min_z: float = MIN_Z) ->
     if not n.all():
         return Model(np.zeros(held.shape[1], np.float32), float(rate))
     scale = scales(n, held, min_z)
+    del held
     spark = labelled.sparkSession
     shared = spark.sparkContext.broadcast(scale != 0)  # 2 MB
 
@@ -152,7 +157,7 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, min_z: float = MIN_Z) ->
 
     sample = labelled.orderBy(F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), "text", "label").limit(max_rows)
     rows = sample.select("text", "label").mapInArrow(run, "label int, u binary, v binary").collect()
-    weights, b = regression([(np.frombuffer(r["u"], np.uint32), np.frombuffer(r["v"])) for r in rows], np.array([r["label"] for r in rows], float), scale)
+    weights, b = regression([(np.frombuffer(r["u"], np.uint32), np.frombuffer(r["v"], np.float32)) for r in rows], np.array([r["label"] for r in rows], float), scale)
     return Model(weights, b)
 
 
