@@ -1,0 +1 @@
+"""Sparse acoustic-survey data on Spark: traces, bins and slices as DataFrames."""
