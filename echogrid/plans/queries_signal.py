@@ -254,17 +254,18 @@ def _shifted(s, d, f):
     return a.traces(s, d).select("line", "tracl", F.posexplode(f(F.col("samples"))).alias("i", "amp"))
 
 
-_K = F.col("tracl") % 21 - 10
+def _k_shift():
+    return F.col("tracl") % 21 - 10
 
 
 @query("g5_static", _shift_sql("(tracl % 21 - 10)::INT"))
 def _(s, d):
-    return _shifted(s, d, lambda x: amplitudes.compensate_static(x, _K * F.lit(0.05), F.lit(0.05)))
+    return _shifted(s, d, lambda x: amplitudes.compensate_static(x, _k_shift() * F.lit(0.05), F.lit(0.05)))
 
 
 @query("g6_tide", _shift_sql("(-round_even((tracl % 21 - 10) * 0.3::DOUBLE / 750 / (0.05::DOUBLE * 0.001::DOUBLE), 0))::INT"))
 def _(s, d):
-    n = amplitudes.tide_samples(_K * F.lit(0.3), F.lit(0.05))
+    n = amplitudes.tide_samples(_k_shift() * F.lit(0.3), F.lit(0.05))
     return _shifted(s, d, lambda x: amplitudes.compensate_tide(x, n))
 
 
