@@ -13,6 +13,12 @@ with the least count of the level found, the exact unigram counts c, and
 contexts of about the frequency of v. As a level's least count never exceeds
 the true one, the sum over all w is at most one, apart from false positives.
 
+The words' counts and the filter grow with the corpus. Together they are
+broadcast up to MAX_BROADCAST bytes, which is checked. Beyond that they stay in
+the shards in which they were made: each block of text sends its distinct keys
+to their shards, is answered there from the same table and the same piece of
+the filter, and gets equal scores; nothing is larger than a shard or a block.
+
 Every count covers all training rows. Each task counts what it has read and
 sends sorted keys, cut by their hash into shards of bounded size; a shard adds
 them up, and the bigram shards turn into pieces of the filter right there.
@@ -20,13 +26,15 @@ them up, and the bigram shards turn into pieces of the filter right there.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import stage
 
@@ -37,6 +45,8 @@ ADD = 0.1
 LOG_BASE, HASHES, BITS = 1.5, 6, 10
 #: Bytes of text that are hashed at once, keys that a task gathers before it sends them, tokens a shard.
 CHUNK, GATHER, SHARD_TOKENS = 1 << 21, 3_000_000, 1_500_000
+#: Bytes of word counts and filter that are broadcast at most.
+MAX_BROADCAST = 256 << 20
 #: Shards that the driver fetches at once.
 SLICE = 8
 #: Classes of context frequency, by powers of two.
@@ -123,8 +133,8 @@ def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
 class Table:
     """Counts of words by their hash."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, total: int, distinct: int):
-        self.keys, self.counts, self.total, self.distinct = keys, counts, total, distinct
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys, self.counts = keys, counts
         self.bits = max(1, int(len(keys)).bit_length() - 1)
         self.starts = np.searchsorted(keys, np.arange(1 << self.bits, dtype=U) << U(64 - self.bits)).astype(np.uint32 if len(keys) < 1 << 32 else np.int64)
 
@@ -140,9 +150,6 @@ class Table:
             at[todo] += 1
         return np.where(self.keys[at] == h, self.counts[at], 0).astype(np.int64)
 
-    def log_base(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + ADD) / (self.total + ADD * (self.distinct + 1)))
-
 
 def levels() -> np.ndarray:
     """The least count of each level."""
@@ -243,37 +250,53 @@ def _counted(train: DataFrame, shards: int, keys) -> DataFrame:
     return train.select("text").mapInArrow(run, BLOBS)
 
 
+def _context_counts(c: np.ndarray, n: np.ndarray, begins: int) -> np.ndarray:
+    cv = np.empty_like(c)
+    cv[1:] = c[:-1]
+    cv[np.cumsum(n) - n] = begins
+    return cv
+
+
+@dataclass(frozen=True)
+class Numbers:
+    """begins: how often the context before a first word was seen, once a training row; unseen: mass of unseen bigrams by class of context."""
+
+    total: int
+    distinct: int
+    begins: int
+    unseen: np.ndarray | None = None
+
+    def log_base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + ADD) / (self.total + ADD * (self.distinct + 1)))
+
+    def asked(self, n: np.ndarray, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the bigrams that may have been seen, and their keys."""
+        cv = _context_counts(c, n, self.begins)
+        found = np.flatnonzero((cv > 0) & (c > 0))
+        return found, bigram_keys(_before(h, n)[found], h[found], _class(cv[found]))
+
+    def scores(self, n: np.ndarray, h: np.ndarray, c: np.ndarray, look: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, ...]:
+        """n_tokens, n_known, base_score, score of each row; look gives the counts of bigram keys."""
+        base, cv, starts = self.log_base(c), _context_counts(c, n, self.begins), np.cumsum(n) - n
+        found, keys = self.asked(n, h, c)
+        joint = np.zeros(len(h))
+        joint[found] = np.minimum(look(keys), np.minimum(cv[found], c[found]))
+        u = self.unseen[_class(cv)]
+        p = (1 - u) * joint / np.maximum(cv, 1) + u * 10.0**base
+        total = lambda x: np.add.reduceat(x, starts)
+        return n.astype(np.int64), total((c > 0).astype(np.int64)), total(base), total(np.log10(p))
+
+
+@dataclass(frozen=True)
 class Model:
-    """What the workers need: broadcasts of the word counts and of the filter, and the mass of unseen bigrams by class of context."""
-
-    def __init__(self, table: Broadcast, bigrams: Broadcast, unseen: np.ndarray, begins: int):
-        """begins: how often the context before a first word was seen, once a training row."""
-        self.shared_table, self.shared_bigrams, self.unseen, self.begins = table, bigrams, unseen, begins
-
-    @property
-    def table(self) -> Table:
-        return self.shared_table.value
-
-    @property
-    def bigrams(self) -> Filter:
-        return self.shared_bigrams.value
-
-    def rows(self, texts: pa.StringArray) -> Iterator[tuple[np.ndarray, ...]]:
-        """(n_tokens, n_known, base_score, score) arrays for runs of rows."""
-        for _, n, h in tokens(texts):
-            c = self.table(h)
-            base = self.table.log_base(c)
-            starts = np.cumsum(n) - n
-            cv = np.empty_like(c)
-            cv[1:] = c[:-1]
-            cv[starts] = self.begins
-            k = _class(cv)
-            found = np.flatnonzero((cv > 0) & (c > 0))
-            joint = np.zeros(len(h))
-            joint[found] = np.minimum(self.bigrams.counts(bigram_keys(_before(h, n)[found], h[found], k[found])), np.minimum(cv[found], c[found]))
-            p = (1 - self.unseen[k]) * joint / np.maximum(cv, 1) + self.unseen[k] * 10.0**base
-            total = lambda x: np.add.reduceat(x, starts)
-            yield n, total((c > 0).astype(np.int64)), total(base), total(np.log10(p))
+    """Numbers, and either two broadcasts or the two tables of shards."""
+
+    numbers: Numbers
+    shards: int
+    words: DataFrame
+    pieces: DataFrame
+    shared_table: Broadcast | None = None
+    shared_filter: Broadcast | None = None
 
 
 def _slices(staged: DataFrame, shards: int) -> Iterator[pa.Table]:
@@ -282,6 +305,87 @@ def _slices(staged: DataFrame, shards: int) -> Iterator[pa.Table]:
         yield staged.where((F.col("shard") >= lo) & (F.col("shard") < lo + SLICE)).orderBy("shard").toArrow()
 
 
+def _blocks(d: DataFrame) -> DataFrame:
+    """block, rows, n, h: runs of rows of d (text first) with their tokens; rows holds the other columns. Written, so that block numbers hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for b in batches:
+            rest = b.select(b.schema.names[1:])
+            for row, n, h in tokens(b.column(0)):
+                sink = pa.BufferOutputStream()
+                if rest.num_columns:
+                    with pa.ipc.new_stream(sink, rest.schema) as w:
+                        w.write_batch(rest.slice(row, len(n)))
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([n.astype(np.int64).tobytes()], pa.binary()), pa.array([h.tobytes()], pa.binary())], names=["block", "rows", "n", "h"])
+                block += 1
+
+    return stage(d.mapInArrow(run, "block long, rows binary, n binary, h binary"))
+
+
+def _column(b, name: str, kind) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) for x in b.column(name)]
+
+
+def _answers(blocks: DataFrame, held: DataFrame, shards: int, wanted, look) -> DataFrame:
+    """block, shard, values: for each block and shard the look(shard's row, keys) of the block's distinct keys there, in order.
+
+    wanted(n, h, c) gives a block's keys; c is empty where blocks have none yet.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cs = _column(b, "c", np.int64) if "c" in b.schema.names else [None] * b.num_rows
+            for block, n, h, c in zip(b.column("block").to_pylist(), _column(b, "n", np.int64), _column(b, "h", U), cs, strict=True):
+                keys = np.unique(wanted(n, h, c))
+                cut = np.searchsorted(_shard(keys, shards), np.arange(shards + 1)) if shards < len(keys) else None
+                parts = [(k, keys[i:j]) for k, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i] if cut is not None else [(int(k[0]), v) for k, v in ((_shard(v, shards), v) for v in np.split(keys, np.flatnonzero(np.diff(_shard(keys, shards))) + 1)) if len(v)]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([v.tobytes() for _, v in parts], pa.binary())], names=["shard", "block", "keys"])
+
+    def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
+        row = own.slice(0, 1).to_batches()[0] if own.num_rows else None
+        values = [look(row, np.frombuffer(k.as_buffer(), U)).astype(np.int64).tobytes() for k in asked.column("keys")]
+        return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "values": pa.array(values, pa.binary())})
+
+    columns = [c for c in ("block", "n", "h", "c") if c in blocks.columns]
+    asked = blocks.select(*columns).mapInArrow(ask, "shard int, block long, keys binary")
+    return asked.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(answer, "block long, shard int, values binary")
+
+
+def _returned(answers: pa.Table) -> np.ndarray:
+    """The values of all shards; shards follow each other in the order of keys."""
+    t = answers.sort_by("shard")
+    return np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x.as_buffer(), np.int64) for x in t.column("values")]])
+
+
+def _word_look(row: pa.RecordBatch | None, keys: np.ndarray) -> np.ndarray:
+    if row is None:
+        return np.zeros(len(keys), np.int64)
+    own, counts = (np.frombuffer(row.column(c)[0].as_buffer(), d) for c, d in (("keys", U), ("counts", np.int64)))
+    at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+    return np.where(own[at] == keys, counts[at], 0)
+
+
+def _filter_look(row: pa.RecordBatch | None, keys: np.ndarray) -> np.ndarray:
+    if row is None:
+        return np.zeros(len(keys), np.int64)
+    return Filter(np.array([row.column("bits")[0].as_py()]), np.frombuffer(row.column("data")[0].as_buffer(), np.uint8)).counts(keys)
+
+
+def _with_counts(blocks: DataFrame, words: DataFrame, shards: int) -> DataFrame:
+    """Blocks with c, the count of every token."""
+
+    def add(own: pa.Table, answers: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return pa.table({"block": pa.array([], pa.int64()), **{k: pa.array([], pa.binary()) for k in ("rows", "n", "h", "c")}})
+        _, at = np.unique(np.frombuffer(own.column("h")[0].as_buffer(), U), return_inverse=True)
+        return own.select(["block", "rows", "n", "h"]).append_column("c", pa.array([_returned(answers)[at].tobytes()], pa.binary()))
+
+    answers = _answers(blocks, words, shards, lambda n, h, c: h, _word_look)
+    both = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add, "block long, rows binary, n binary, h binary, c binary")
+    return stage(both)
+
+
 def fit(train: DataFrame, text: str = "text") -> Model:
     """Counts of all rows of train; null and empty texts are a single END each."""
     spark = train.sparkSession
@@ -293,26 +397,31 @@ def fit(train: DataFrame, text: str = "text") -> Model:
         keys, counts = _unblob(t)
         return pa.table({"shard": t.column("shard")[:1], "keys": [keys.tobytes()], "counts": [counts.tobytes()], "n": [int(counts.sum())], "v": [len(keys)], "most": [int(counts.max())]})
 
-    words = _counted(train, shards, lambda h, n: h).groupBy("shard").applyInArrow(add_words, "shard int, keys binary, counts binary, n long, v long, most long")
-    parts = stage(words)
-    n, v, most = parts.agg(F.sum("n"), F.sum("v"), F.max("most")).first()
-    keys, counts, at = np.empty(v or 0, U), np.empty(v or 0, np.uint32 if (most or 0) < 1 << 32 else np.int64), 0
-    for t in _slices(parts, shards):
-        for k, c in zip(t.column("keys"), t.column("counts"), strict=True):
-            one = np.frombuffer(k.as_buffer(), U)
-            keys[at : at + len(one)], counts[at : at + len(one)] = one, np.frombuffer(c.as_buffer(), np.int64)
-            at += len(one)
-    table = Table(keys, counts, n or 0, v or 0)
-    begins = int(table(np.array([END], U))[0])
-    shared = spark.sparkContext.broadcast(table)
-    del table, keys, counts
+    words = stage(_counted(train, shards, lambda h, n: h).groupBy("shard").applyInArrow(add_words, "shard int, keys binary, counts binary, n long, v long, most long"))
+    n, v, most = (x or 0 for x in words.agg(F.sum("n"), F.sum("v"), F.max("most")).first())
+    end = words.where(F.col("shard") == int(_shard(np.array([END], U), shards)[0])).select("keys", "counts").toArrow()
+    begins = int(_word_look(end.to_batches()[0], np.array([END], U))[0]) if end.num_rows else 0
+    del end
+    numbers = Numbers(n, v, begins)
+    # 8 bytes of hash, 4 or 8 of count, up to 4 of index
+    table_bytes, shared = v * (16 if most < 1 << 32 else 20), None
+    if table_bytes <= MAX_BROADCAST:
+        keys, counts, at = np.empty(v, U), np.empty(v, np.uint32 if most < 1 << 32 else np.int64), 0
+        for t in _slices(words.select("shard", "keys", "counts"), shards):
+            for k, c in zip(t.column("keys"), t.column("counts"), strict=True):
+                one = np.frombuffer(k.as_buffer(), U)
+                keys[at : at + len(one)], counts[at : at + len(one)] = one, np.frombuffer(c.as_buffer(), np.int64)
+                at += len(one)
+        shared = spark.sparkContext.broadcast(Table(keys, counts))
+        del keys, counts
 
     def pairs(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-        c = shared.value(h)
-        cv = np.empty_like(c)
-        cv[1:] = c[:-1]
-        cv[np.cumsum(n) - n] = begins
-        return bigram_keys(_before(h, n), h, _class(cv))
+        return bigram_keys(_before(h, n), h, _class(_context_counts(shared.value(h), n, begins)))
+
+    def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n, h, c in zip(*[_column(b, k, d) for k, d in (("n", np.int64), ("h", U), ("c", np.int64))], strict=True):
+                yield _blobs([bigram_keys(_before(h, n), h, _class(_context_counts(c, n, begins)))], shards)
 
     def add_pairs(t: pa.Table) -> pa.Table:
         keys, counts = _unblob(t)
@@ -323,23 +432,29 @@ def fit(train: DataFrame, text: str = "text") -> Model:
         for j in range(1, level.max() + 1):
             for at in _bits(keys[level >= j], j, U(bits)):
                 on[at] = True
-        mass = lambda x: np.bincount(k, x, CLASSES).astype(np.int64).tobytes()
-        return pa.table({"shard": t.column("shard")[:1], "bits": [bits], "data": [np.packbits(on).tobytes()], "once": [mass(counts == 1)], "all": [mass(counts)]})
-
-    built = _counted(train, shards, pairs).groupBy("shard").applyInArrow(add_pairs, "shard int, bits long, data binary, once binary, all binary")
-    pieces = stage(built)
-    sizes, once, every = np.zeros(shards, np.int64), np.zeros(CLASSES), np.zeros(CLASSES)
-    data, at = np.empty((pieces.agg(F.sum("bits")).first()[0] or 0) // 8, np.uint8), 0
-    for t in _slices(pieces, shards):
-        for s, bits, d, o, a in zip(*[t.column(c) for c in ("shard", "bits", "data", "once", "all")], strict=True):
+        mass = lambda x: pa.array([np.bincount(k, x, CLASSES).astype(np.int64)], pa.list_(pa.int64()))
+        return pa.table({"shard": t.column("shard")[:1], "bits": [bits], "data": [np.packbits(on).tobytes()], "once": mass(counts == 1), "all": mass(counts)})
+
+    if shared is not None:
+        blobs = _counted(train, shards, pairs)
+    else:
+        blobs = _with_counts(_blocks(train), words, shards).mapInArrow(block_pairs, BLOBS)
+    pieces = stage(blobs.groupBy("shard").applyInArrow(add_pairs, "shard int, bits long, data binary, once array<long>, all array<long>"))
+    once, every = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in pieces.select(F.posexplode(F.arrays_zip("once", "all")).alias("k", "x")).groupBy("k").agg(F.sum("x.once").alias("o"), F.sum("x.all").alias("a")).collect():
+        once[r["k"]], every[r["k"]] = r["o"], r["a"]
+    filter_bytes = (pieces.agg(F.sum("bits")).first()[0] or 0) // 8
+    # half a bigram is added, so that no mass is exactly zero
+    numbers = replace(numbers, unseen=np.where(every > 0, np.minimum((once + 0.5) / np.maximum(every, 1), 1.0), 1.0))
+    if shared is None or table_bytes + filter_bytes > MAX_BROADCAST:
+        return Model(numbers, shards, words, pieces)
+    sizes, data, at = np.zeros(shards, np.int64), np.empty(filter_bytes, np.uint8), 0
+    for t in _slices(pieces.select("shard", "bits", "data"), shards):
+        for s, bits, d in zip(*[t.column(c) for c in ("shard", "bits", "data")], strict=True):
             sizes[s.as_py()] = bits.as_py()
             data[at : at + bits.as_py() // 8] = np.frombuffer(d.as_buffer(), np.uint8)
             at += bits.as_py() // 8
-            once += np.frombuffer(o.as_buffer(), np.int64)
-            every += np.frombuffer(a.as_buffer(), np.int64)
-    # half a bigram is added, so that no mass is exactly zero
-    unseen = np.where(every > 0, np.minimum((once + 0.5) / np.maximum(every, 1), 1.0), 1.0)
-    return Model(shared, spark.sparkContext.broadcast(Filter(sizes, data)), unseen, begins)
+    return Model(numbers, shards, words, pieces, shared, spark.sparkContext.broadcast(Filter(sizes, data)))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", more: dict[str, Column] | None = None) -> DataFrame:
@@ -353,12 +468,39 @@ def score(df: DataFrame, model: Model, text: str = "text", more: dict[str, Colum
     new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     more = more if more is not None else {c: df[c] for c in df.columns if c not in new}
     d = df.select(df[text].alias("__text"), *[v.alias(k) for k, v in more.items()])
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in d.schema.fields[1:]) + "n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    numbers, names = model.numbers, [*d.columns[1:], *new]
 
-    def run(batches: Iterator[pa.RecordBatch], m: Model = model) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = [np.concatenate(x) for x in zip(*m.rows(b.column(0)), strict=True)] if b.num_rows else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
-            out = [pa.array(parts[0].astype(np.int64)), pa.array(parts[1]), pa.array(np.full(b.num_rows, m.table.total, np.int64)), pa.array(parts[2]), pa.array(parts[3])]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *out], names=[*b.schema.names[1:], *new])
+    def columns(parts: list[tuple[np.ndarray, ...]]) -> list[pa.Array]:
+        n, known, base, full = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return [pa.array(n), pa.array(known), pa.array(np.full(len(n), numbers.total, np.int64)), pa.array(base), pa.array(full)]
+
+    if model.shared_filter is not None:
+        table, bigrams = model.shared_table, model.shared_filter
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    parts = [numbers.scores(n, h, table.value(h), bigrams.value.counts) for _, n, h in tokens(b.column(0))]
+                    yield pa.RecordBatch.from_arrays([*b.columns[1:], *columns(parts)], names=names)
+
+        return d.mapInArrow(run, schema)
+
+    kinds = [*list(to_arrow_schema(d.schema).types)[1:], pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+
+    def finish(own: pa.Table, answers: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
+        n, h, c = (np.frombuffer(own.column(k)[0].as_buffer(), t) for k, t in (("n", np.int64), ("h", U), ("c", np.int64)))
+        values = _returned(answers)
+
+        def look(keys: np.ndarray) -> np.ndarray:
+            return values[np.unique(keys, return_inverse=True)[1]]
+
+        rows = own.column("rows")[0].as_buffer()
+        rest = pa.ipc.open_stream(rows).read_all().columns if rows.size else []
+        return pa.Table.from_arrays([*rest, *columns([numbers.scores(n, h, c, look)])], names=names)
 
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in d.schema.fields[1:])
-    return d.mapInArrow(run, f"{kept}n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    blocks = _with_counts(_blocks(d), model.words, model.shards)
+    answers = _answers(blocks, model.pieces, model.shards, lambda n, h, c: numbers.asked(n, h, c)[1], _filter_look)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)

@@ -357,7 +357,7 @@ def test_sql(spark, name):
     assert rows == sorted(tuple(map(str, r)) for r in want.fetchall())
 
 
-def test_lm_scoring(spark):
+def test_lm_scoring(spark, monkeypatch):
     docs = {i: lower(d.text or "") for i, d in documents(spark).items()}
     train = {i for i in docs if zlib.crc32(str(i).encode()) % 10}
     count, total, pairs = Counter(), 0, Counter()
@@ -389,7 +389,22 @@ def test_lm_scoring(spark):
         assert r.score >= exact - 1e-6 and r.score <= exact + 0.05 * len(w)  # false positives only raise it
         higher += r.held_out and r.score > r.base_score
     assert higher > 0.5 * (len(docs) - len(train))
+    broadcast = sorted(map(tuple, queries.op1_lm_scoring(spark, SF).collect()))
+    for limit, shard in ((0, 20_000), (200_000, 20_000), (0, 10**9), (0, 300)):  # nothing, the word counts alone; small shards, one, many
+        monkeypatch.setattr(lm_scoring, "MAX_BROADCAST", limit)
+        monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", shard)
+        sharded = sorted(map(tuple, queries.op1_lm_scoring(spark, SF).collect()))
+        assert [r[:6] for r in sharded] == [r[:6] for r in broadcast]
+        # other shards are other pieces of the filter, and have other false positives
+        assert all(abs(a[6] - b[6]) <= 0.1 * a[2] for a, b in zip(sharded, broadcast, strict=True))
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 20_000)
+    monkeypatch.setattr(lm_scoring, "MAX_BROADCAST", 1 << 28)
+    same = sorted(map(tuple, queries.op1_lm_scoring(spark, SF).collect()))
+    monkeypatch.setattr(lm_scoring, "MAX_BROADCAST", 0)
+    assert same == sorted(map(tuple, queries.op1_lm_scoring(spark, SF).collect()))
     odd = odd_documents(spark)
+    assert lm_scoring.score(odd, lm_scoring.fit(odd)).count() == 8 and lm_scoring.score(odd, lm_scoring.fit(odd.limit(0))).count() == 8
+    monkeypatch.setattr(lm_scoring, "MAX_BROADCAST", 1 << 28)
     m = lm_scoring.fit(odd)
     assert lm_scoring.score(odd, m).count() == 8 and lm_scoring.score(odd.limit(0), m).count() == 0
     assert all(r.score <= 0 and r.n_known == 0 for r in lm_scoring.score(odd, lm_scoring.fit(odd.limit(0))).collect())
