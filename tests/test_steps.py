@@ -169,3 +169,31 @@ def test_streams(spark, tmp_path):
     q = arrivals.arrivals_per_window(stream).writeStream.format("memory").queryName("counts").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("select sum(n) from counts").first()[0] >= 36
+
+
+def test_command_line(spark, tmp_path):
+    import json
+
+    from echogrid.plans import cli
+
+    t = survey(spark)
+    d = t.select(F.concat("line", F.lit("_UTM60S.sgy")).alias("file"), F.col("tracl").alias("trace"), "tracl", F.lit(-100).alias("scalco"), F.lit(1).alias("counit"), F.rint(F.col("x") * 100).cast("int").alias("sx"), F.rint(F.col("y") * 100).cast("int").alias("sy"), F.lit(50).alias("dt"), "samples")
+    segy.write(d, str(tmp_path / "segy"))
+    at = lambda n: str(tmp_path / f"{n}.parquet")
+    cli.run(spark, ["09", str(tmp_path / "segy"), at("t")])
+    cli.run(spark, ["04", at("t"), at("p")])
+    cli.run(spark, ["08", at("p"), at("d"), "--window_time", "0.5", "--dt", "0.05"])
+    (tmp_path / "cube.json").write_text(json.dumps({"extent": [-5, 115, -5, 25], "bin_size": [10, 10], "twt_limits": [0, 3.2], "dt": 0.05}))
+    cli.run(spark, ["10", at("d"), at("c"), "--params_cube_setup", str(tmp_path / "cube.json")])
+    cli.run(spark, ["11", at("c"), at("g"), "--dt", "0.05", "--gain", "tpow=1", "--balance"])
+    cli.run(spark, ["12", at("g"), at("f"), "--dt", "0.05", "--compute_real"])
+    (tmp_path / "pocs.json").write_text(json.dumps({"fold": at("c"), "niter": 4}))
+    cli.run(spark, ["13", at("f"), at("i"), "--path_pocs_parameter", str(tmp_path / "pocs.json")])
+    cli.run(spark, ["14", at("i"), at("b"), "--dt", "0.05", "--compute_real"])
+    cli.run(spark, ["15", at("i"), at("s"), "--smooth", "median"])
+    cube = spark.read.parquet(at("b")).join(spark.read.parquet(at("c")).select("il", "xl", "x", "y"), ["il", "xl"])
+    cube.write.parquet(at("x"))
+    cli.run(spark, ["16", at("x"), str(tmp_path / "out"), "--dt", "0.05"])
+    assert segy.read(spark, str(tmp_path / "out")).count() == 36
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args(["08", "a", "b"])
