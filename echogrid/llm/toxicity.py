@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,8 @@ from .common import stage
 #: Lengths of n-grams, and the number of hashed features as a power of two.
 NGRAMS = (4, 5, 6, 7)
 BITS = 21
-SLICES = 16
-MIN_Z, MAX_FEATURES = 3.5, 20_000
+SLICES, TASKS, FAN = 16, 4096, 64
+MIN_Z, MAX_FEATURES = 3.5, 10_000
 #: The regression's training rows: the first in the order of a hash of their id.
 MAX_ROWS = 8_000
 #: A table of labels of up to so many rows (some 40 MB) is broadcast.
@@ -74,8 +75,9 @@ class Model:
 def counts(labelled: DataFrame, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(rows with label 0 and 1, their rows that hold each feature): sums over all rows of (id, text, label).
 
-    A task adds its rows up in arrays of a fixed size, and SLICES tasks add
-    those up.
+    A task adds its rows up in arrays of a fixed size. At most TASKS do, and
+    their arrays are added up slice by slice, FAN at a time, so that no group
+    grows with the input.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,14 +88,20 @@ def counts(labelled: DataFrame, bits: int = BITS) -> tuple[np.ndarray, np.ndarra
                 held[y, np.unique(hashed(t.as_py()))] += 1
         if n.any():
             parts = held.reshape(2, SLICES, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES)), pa.array([n.tobytes()] * SLICES), pa.array([parts[:, i].tobytes() for i in range(SLICES)])], names=["slice", "n", "held"])
+            part = pa.array([TaskContext.get().partitionId() // FAN] * SLICES, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES)), part, pa.array([n.tobytes()] * SLICES), pa.array([parts[:, i].tobytes() for i in range(SLICES)])], names=["slice", "part", "n", "held"])
 
-    def add(t: pa.Table) -> pa.Table:
-        total = lambda c, d: sum(np.frombuffer(x.as_buffer(), d).astype(np.int64) for x in t.column(c))
-        return pa.table({"slice": t.column("slice")[:1], "n": [total("n", np.int64).tobytes()], "held": [total("held", np.int32).tobytes()]})
+    def add(kind: type):
+        def run(t: pa.Table) -> pa.Table:
+            total = lambda c, d: sum(np.frombuffer(x.as_buffer(), d).astype(np.int64) for x in t.column(c)).tobytes()
+            return pa.table({"slice": t.column("slice")[:1], "n": [total("n", np.int64)], "held": [total("held", kind)]})
+
+        return run
 
     schema = "slice long, n binary, held binary"
-    rows = labelled.select("text", "label").mapInArrow(run, schema).groupBy("slice").applyInArrow(add, schema).orderBy("slice").collect()
+    parts = labelled.select("text", "label").coalesce(TASKS).mapInArrow(run, "slice long, part long, n binary, held binary")
+    some = parts.groupBy("slice", "part").applyInArrow(add(np.int32), schema)
+    rows = some.groupBy("slice").applyInArrow(add(np.int64), schema).orderBy("slice").collect()
     if not rows:
         return np.zeros(2, np.int64), np.zeros((2, 1 << bits), np.int64)
     held = np.concatenate([np.frombuffer(r["held"], np.int64).reshape(2, -1) for r in rows], axis=1)
@@ -111,13 +119,28 @@ def scales(n: np.ndarray, held: np.ndarray, min_z: float = MIN_Z, most: int = MA
     return np.where(z >= least, r, np.float32(0))
 
 
-def regression(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, scale: np.ndarray, l2: float = 0.01, steps: int = 800) -> tuple[np.ndarray, float]:
+def regression(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, scale: np.ndarray, l2: float = 0.01, steps: int = 600) -> tuple[np.ndarray, float]:
     """Weights of the scaled features and intercept, by accelerated gradient descent on the mean log loss."""
     used, flat = np.unique(np.concatenate([*[u for u, _ in features], np.zeros(0, np.uint32)]), return_inverse=True)
     row = np.repeat(np.arange(len(features)), [len(u) for u, _ in features])
     x, m = scale[used][flat] * np.concatenate([*[v for _, v in features], np.zeros(0, np.float32)]), len(labels)
-    forward = lambda w: np.bincount(row, x * w[flat], m)
-    back = lambda g: np.bincount(flat, x * g[row], len(used))
+    flat = flat.astype(np.int32)
+    # both orders, each summed run by run
+    by_feature = np.argsort(flat, kind="stable")
+    xf, row_f = x[by_feature], row[by_feature].astype(np.int32)
+    feature_starts = np.searchsorted(flat[by_feature], np.arange(len(used)))
+    filled = np.flatnonzero(np.bincount(row, minlength=m)) if len(row) else np.zeros(0, np.int64)
+    row_starts = np.searchsorted(row, filled)
+
+    def forward(w: np.ndarray) -> np.ndarray:
+        out = np.zeros(m)
+        if len(filled):
+            out[filled] = np.add.reduceat(x * w[flat], row_starts)
+        return out
+
+    def back(g: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(xf * g[row_f], feature_starts) if len(used) else np.zeros(0)
+
     # the largest curvature, by power iteration; the last place stands for the intercept
     v, vb, top = np.ones(len(used)), 1.0, 1.0
     for _ in range(30):
