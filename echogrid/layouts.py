@@ -27,10 +27,14 @@ def to_traces(samples: DataFrame, *keys: str, value: str = "amp", name: str = "s
 
 
 def to_slices(cube: DataFrame, n_il: int, n_xl: int, value: str = "amp") -> DataFrame:
-    """Rows (il, xl, i, value), il and xl from 1, to L3; bins without a row are zero."""
+    """Rows (il, xl, i, value), il and xl from 1, to L3; bins without a row are zero, of repeated ones the least value counts."""
     at = ((F.col("il") - 1) * n_xl + F.col("xl") - 1).cast("int")
-    g = cube.groupBy(F.col("i").alias("slice")).agg(F.map_from_entries(F.collect_list(F.struct(at.alias("k"), F.col(value).cast("double").alias("v")))).alias("m"))
-    grid = F.transform(F.sequence(F.lit(0), F.lit(n_il * n_xl - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)))
+    cell = F.struct(at.alias("k"), F.lit(0).alias("empty"), F.col(value).cast("double").alias("v"))
+    g = cube.groupBy(F.col("i").alias("slice")).agg(F.collect_list(cell).alias("own"))
+    # a zero for every bin sorts behind the bin's own value; the first of each bin is kept
+    zeros = F.transform(F.sequence(F.lit(0), F.lit(n_il * n_xl - 1)), lambda k: F.struct(k.alias("k"), F.lit(1).alias("empty"), F.lit(0.0).alias("v")))
+    g = g.withColumn("all", F.array_sort(F.concat("own", zeros)))
+    grid = F.transform(F.filter("all", lambda x, j: (j == 0) | (F.get("all", j - 1)["k"] != x["k"])), lambda x: x["v"])
     return g.select("slice", F.lit(n_il).alias("n_il"), F.lit(n_xl).alias("n_xl"), grid.alias("grid"))
 
 

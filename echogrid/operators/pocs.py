@@ -26,15 +26,20 @@ def interpolate(slices: DataFrame, mask: list[int], **options) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                x = np.asarray(r["grid"], float).reshape(r["n_il"], r["n_xl"])
+            out = {n: [] for n in ("grid", "imag", "niter", "cost", "runtime")}
+            for i in range(b.num_rows):
+                shape = (b.column("n_il")[i].as_py(), b.column("n_xl")[i].as_py())
+                x = b.column("grid")[i].values.to_numpy().reshape(shape)
                 if has_imag:
-                    x = x + 1j * np.asarray(r["imag"], float).reshape(x.shape)
-                got = pocs(x, m.reshape(x.shape), **options)
-                rows.append({**r, "grid": np.ravel(got.grid.real).tolist(), "imag": np.ravel(got.grid.imag).tolist() if has_imag else None, "niter": got.niter, "cost": got.cost, "runtime": got.runtime})
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int32(), pa.float64(), pa.float64()]
-            names = ["slice", "n_il", "n_xl", "grid", "imag", "niter", "cost", "runtime"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
+                    x = x + 1j * b.column("imag")[i].values.to_numpy().reshape(shape)
+                got = pocs(x, m.reshape(shape), **options)
+                out["grid"].append(np.ravel(got.grid.real))
+                out["imag"].append(np.ravel(got.grid.imag) if has_imag else None)
+                for k in ("niter", "cost", "runtime"):
+                    out[k].append(getattr(got, k))
+            grids = pa.list_(pa.float64())
+            kinds = {"grid": grids, "imag": grids, "niter": pa.int32(), "cost": pa.float64(), "runtime": pa.float64()}
+            fixed = [b.column("slice").cast(pa.int64()), b.column("n_il").cast(pa.int32()), b.column("n_xl").cast(pa.int32())]
+            yield pa.RecordBatch.from_arrays([*fixed, *[pa.array(out[k], t) for k, t in kinds.items()]], names=["slice", "n_il", "n_xl", *kinds])
 
     return d.mapInArrow(run, SCHEMA)
