@@ -491,15 +491,15 @@ def _(s, d):
     return merging.files_to_merge(f, max_bytes=1_000_000, group="source")
 
 
-@query("d13_short_file_runs", "WITH d AS (SELECT doc_id, source, n_chars < 1000 AS small FROM documents), g AS (SELECT *, doc_id - row_number() OVER (ORDER BY doc_id) AS k FROM d WHERE small) SELECT min(doc_id) AS first, max(doc_id) AS last, count(*) AS n FROM g GROUP BY k")
+@query("d13_short_file_runs", "WITH d AS (SELECT doc_id, doc_id // 100 AS block, n_chars < 1000 AS small FROM documents), g AS (SELECT *, doc_id - row_number() OVER (PARTITION BY block ORDER BY doc_id) AS k FROM d WHERE small) SELECT block, min(doc_id) AS first, max(doc_id) AS last, count(*) AS n FROM g GROUP BY block, k")
 def _(s, d):
-    i = windows.islands(a.table(s, d, "documents").withColumn("one", F.lit(1)), ["one"], "doc_id", F.col("n_chars") < 1000)
-    return i.select("first", "last", "n")
+    f = a.table(s, d, "documents").withColumn("block", F.floor(F.col("doc_id") / 100))
+    return windows.islands(f, ["block"], "doc_id", F.col("n_chars") < 1000).select("block", "first", "last", "n")
 
 
-@query("d14_choose_neighbour", "SELECT doc_id, CASE WHEN doc_id - p < n - doc_id THEN 'previous' ELSE 'next' END AS side FROM (SELECT doc_id, lag(doc_id) OVER w AS p, lead(doc_id) OVER w AS n FROM documents WHERE n_chars % 3 = 0 WINDOW w AS (ORDER BY doc_id)) WHERE p IS NOT NULL AND n IS NOT NULL")
+@query("d14_choose_neighbour", "SELECT doc_id, CASE WHEN doc_id - p < n - doc_id THEN 'previous' ELSE 'next' END AS side FROM (SELECT doc_id, lag(doc_id) OVER w AS p, lead(doc_id) OVER w AS n FROM documents WHERE n_chars % 3 = 0 WINDOW w AS (PARTITION BY source ORDER BY doc_id)) WHERE p IS NOT NULL AND n IS NOT NULL")
 def _(s, d):
-    w = Window.orderBy("doc_id")
+    w = Window.partitionBy("source").orderBy("doc_id")
     p = a.table(s, d, "documents").where("n_chars % 3 = 0").select("doc_id", F.lag("doc_id").over(w).alias("p"), F.lead("doc_id").over(w).alias("n")).where("p is not null and n is not null")
     return p.select("doc_id", merging.choose_neighbour(F.col("doc_id") - F.col("p"), F.col("n") - F.col("doc_id")).alias("side"))
 

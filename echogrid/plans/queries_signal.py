@@ -562,10 +562,10 @@ def _(s, d):
     return a.cube(s, d).select("il", "xl", mask(F.col("fold") * 3).cast("int").alias("mask"))
 
 
-@query("y_islands", "WITH g AS (SELECT event_id, event_id - row_number() OVER (ORDER BY event_id) AS k FROM events WHERE value > 50) SELECT min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM g GROUP BY k HAVING count(*) >= 3")
+@query("y_islands", "WITH g AS (SELECT event_id, event_id // 1000 AS block, event_id - row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) AS k FROM events WHERE value > 50) SELECT block, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM g GROUP BY block, k HAVING count(*) >= 3")
 def _(s, d):
-    e = a.table(s, d, "events").withColumn("one", F.lit(1))
-    return delays.depressions(e, "one", "event_id", F.col("value") > 50).select("first", "last", "n")
+    e = a.table(s, d, "events").withColumn("block", F.floor(F.col("event_id") / 1000))
+    return delays.depressions(e, "block", "event_id", F.col("value") > 50).select("block", "first", "last", "n")
 
 
 @query("y_gap_fill", _S + "SELECT line, k, k % 5 = 0 AS filled, round(CASE WHEN k % 5 = 0 THEN (lag(a) OVER w + lead(a) OVER w) / 2 ELSE a END, 6) + 0 AS a FROM (SELECT *, max(CASE WHEN k % 5 <> 0 THEN k END) OVER (PARTITION BY line) AS top FROM series) WINDOW w AS (PARTITION BY line ORDER BY k)")
