@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from echogrid.llm import chat, lm_scoring, mixing, packing, quality, queries, secrets, simhash, topk, toxicity, warc
-from echogrid.llm.common import shared_dir, stage
+from echogrid.llm.common import drop_stages, shared_dir, stage
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -408,3 +408,11 @@ def test_lm_scoring(spark, monkeypatch):
     m = lm_scoring.fit(odd)
     assert lm_scoring.score(odd, m).count() == 8 and lm_scoring.score(odd.limit(0), m).count() == 0
     assert all(r.score <= 0 and r.n_known == 0 for r in lm_scoring.score(odd, lm_scoring.fit(odd.limit(0))).collect())
+
+
+def test_stages_can_be_dropped(spark):
+    df = stage(spark.range(3).toDF("id"))
+    path = df.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+    assert df.count() == 3 and os.path.isdir(path)
+    drop_stages(spark)
+    assert not os.path.exists(path) and shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
