@@ -122,16 +122,20 @@ def mix(
 def mixed_documents(df: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of df, each as often as the mix holds it, in the columns of df.
 
-    Rows that repeat a doc_id of their source are told apart by their place
-    among the rows of equal doc_id, source and size.
+    Rows that agree in doc_id, source and size get the copies that the mix has
+    for such rows, one each. The texts are shuffled once: the place among such
+    rows is counted where the join has put them.
     """
     source, text = options.get("source", "source"), options.get("text", "text")
-    rows = carried(df, doc_id=df[doc_id], source=df[source], size=F.size(words(df[text])).cast("long"))
-    place = Window.partitionBy("doc_id", "source", "size")
-    rows = rows.withColumn("place", F.row_number().over(place.orderBy(F.xxhash64("row"))))
-    plan = mix(df, doc_id, **options).where("copies > 0").select("doc_id", "source", "size", "copies")
-    plan = plan.withColumn("place", F.row_number().over(place.orderBy(F.col("copies").desc())))
-    r, p = rows.alias("r"), plan.alias("p")
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("doc_id", "source", "size", "place")]
-    both = r.join(p, same[0] & same[1] & same[2] & same[3]).select("r.row", "p.copies")
-    return restored(both.select("row", F.explode(F.sequence(F.lit(1), "copies"))))
+
+    def keys(doc, src, size) -> dict[str, Column]:
+        return {f"k{i}": F.xxhash64(F.lit(i), doc.cast("string"), doc.isNull(), src, src.isNull(), size) for i in range(2)}
+
+    rows = carried(df, **keys(df[doc_id], df[source], F.size(words(df[text])).cast("long")))
+    plan = mix(df, doc_id, **options)
+    plan = plan.select("copies", *[v.alias(k) for k, v in keys(plan["doc_id"], plan["source"], plan["size"]).items()])
+    plan = plan.groupBy("k0", "k1").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies")).where(F.col("copies")[0] > 0)
+    both = rows.join(plan, ["k0", "k1"])
+    place = F.row_number().over(Window.partitionBy("k0", "k1").orderBy(F.xxhash64("row")))
+    both = both.withColumn("n", F.get("copies", place - 1))
+    return restored(both.select("row", F.explode(F.sequence(F.lit(1), F.greatest("n", F.lit(0)).cast("int"))).alias("copy"), "n").where("n > 0"))
