@@ -52,12 +52,24 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def drop_stage(df: DataFrame) -> None:
+    """Delete the table that stage() returned as df; what reads it must have been written."""
+    files = df.inputFiles()
+    path = files[0].rpartition("/")[0] if files else ""
+    if path.rpartition("/")[2] in {p.rpartition("/")[2] for p in _staged}:
+        _staged[:] = [p for p in _staged if p.rpartition("/")[2] != path.rpartition("/")[2]]
+        _delete(df.sparkSession, path)
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Delete the tables that stage() has written so far; results that read them must have been written."""
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     while _staged:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _staged.pop())
 
 
 def words(text: Column) -> Column:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import stage
+from .common import drop_stage, stage
 
 U = np.uint64
 #: Added to counts in the unigram distribution.
@@ -306,7 +306,10 @@ def _slices(staged: DataFrame, shards: int) -> Iterator[pa.Table]:
 
 
 def _blocks(d: DataFrame) -> DataFrame:
-    """block, rows, n, h: runs of rows of d (text first) with their tokens; rows holds the other columns. Written, so that block numbers hold."""
+    """block, rows, n, u, i: runs of rows of d (text first) with their distinct tokens u, and each token's place i in u.
+
+    rows holds the other columns. Written, so that block numbers hold.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -317,45 +320,51 @@ def _blocks(d: DataFrame) -> DataFrame:
                 if rest.num_columns:
                     with pa.ipc.new_stream(sink, rest.schema) as w:
                         w.write_batch(rest.slice(row, len(n)))
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([n.astype(np.int64).tobytes()], pa.binary()), pa.array([h.tobytes()], pa.binary())], names=["block", "rows", "n", "h"])
+                u, i = np.unique(h, return_inverse=True)
+                blobs = [sink.getvalue().to_pybytes(), n.astype(np.int64).tobytes(), u.tobytes(), i.astype(np.uint32).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([block]), *[pa.array([x], pa.binary()) for x in blobs]], names=["block", "rows", "n", "u", "i"])
                 block += 1
 
-    return stage(d.mapInArrow(run, "block long, rows binary, n binary, h binary"))
+    return stage(d.mapInArrow(run, "block long, rows binary, n binary, u binary, i binary"))
+
 
+def _blob(b: pa.RecordBatch | pa.Table, k: int, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b.column(name)[k].as_buffer(), kind)
 
-def _column(b, name: str, kind) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), kind) for x in b.column(name)]
+
+def _tokens_of(b: pa.RecordBatch | pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens a row, hashes and counts of a block."""
+    i = _blob(b, k, "i", np.uint32)
+    return _blob(b, k, "n", np.int64), _blob(b, k, "u", U)[i], _blob(b, k, "c", np.int64)[i]
 
 
 def _answers(blocks: DataFrame, held: DataFrame, shards: int, wanted, look) -> DataFrame:
     """block, shard, values: for each block and shard the look(shard's row, keys) of the block's distinct keys there, in order.
 
-    wanted(n, h, c) gives a block's keys; c is empty where blocks have none yet.
+    wanted(n, h, c) gives a block's keys from its tokens; without it they are the words themselves.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cs = _column(b, "c", np.int64) if "c" in b.schema.names else [None] * b.num_rows
-            for block, n, h, c in zip(b.column("block").to_pylist(), _column(b, "n", np.int64), _column(b, "h", U), cs, strict=True):
-                keys = np.unique(wanted(n, h, c))
+            for k, block in enumerate(b.column("block").to_pylist()):
+                keys = _blob(b, k, "u", U) if wanted is None else np.unique(wanted(*_tokens_of(b, k)))
                 cut = np.searchsorted(_shard(keys, shards), np.arange(shards + 1)) if shards < len(keys) else None
                 parts = [(k, keys[i:j]) for k, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i] if cut is not None else [(int(k[0]), v) for k, v in ((_shard(v, shards), v) for v in np.split(keys, np.flatnonzero(np.diff(_shard(keys, shards))) + 1)) if len(v)]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([v.tobytes() for _, v in parts], pa.binary())], names=["shard", "block", "keys"])
 
     def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
         row = own.slice(0, 1).to_batches()[0] if own.num_rows else None
-        values = [look(row, np.frombuffer(k.as_buffer(), U)).astype(np.int64).tobytes() for k in asked.column("keys")]
+        values = [look(row, np.frombuffer(k.as_buffer(), U)).tobytes() for k in asked.column("keys")]
         return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "values": pa.array(values, pa.binary())})
 
-    columns = [c for c in ("block", "n", "h", "c") if c in blocks.columns]
-    asked = blocks.select(*columns).mapInArrow(ask, "shard int, block long, keys binary")
+    asked = blocks.select("block", *(["u"] if wanted is None else ["n", "u", "i", "c"])).mapInArrow(ask, "shard int, block long, keys binary")
     return asked.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(answer, "block long, shard int, values binary")
 
 
-def _returned(answers: pa.Table) -> np.ndarray:
+def _returned(answers: pa.Table, kind: type) -> np.ndarray:
     """The values of all shards; shards follow each other in the order of keys."""
     t = answers.sort_by("shard")
-    return np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x.as_buffer(), np.int64) for x in t.column("values")]])
+    return np.concatenate([np.zeros(0, kind), *[np.frombuffer(x.as_buffer(), kind) for x in t.column("values")]])
 
 
 def _word_look(row: pa.RecordBatch | None, keys: np.ndarray) -> np.ndarray:
@@ -367,23 +376,25 @@ def _word_look(row: pa.RecordBatch | None, keys: np.ndarray) -> np.ndarray:
 
 
 def _filter_look(row: pa.RecordBatch | None, keys: np.ndarray) -> np.ndarray:
+    """Levels, a byte each; 0 for none."""
     if row is None:
-        return np.zeros(len(keys), np.int64)
-    return Filter(np.array([row.column("bits")[0].as_py()]), np.frombuffer(row.column("data")[0].as_buffer(), np.uint8)).counts(keys)
+        return np.zeros(len(keys), np.uint8)
+    found = Filter(np.array([row.column("bits")[0].as_py()]), np.frombuffer(row.column("data")[0].as_buffer(), np.uint8)).counts(keys)
+    return np.searchsorted(LEVELS, found, "right").astype(np.uint8)
 
 
 def _with_counts(blocks: DataFrame, words: DataFrame, shards: int) -> DataFrame:
-    """Blocks with c, the count of every token."""
+    """Blocks with c, the counts of their distinct tokens."""
 
     def add(own: pa.Table, answers: pa.Table) -> pa.Table:
         if not own.num_rows:
-            return pa.table({"block": pa.array([], pa.int64()), **{k: pa.array([], pa.binary()) for k in ("rows", "n", "h", "c")}})
-        _, at = np.unique(np.frombuffer(own.column("h")[0].as_buffer(), U), return_inverse=True)
-        return own.select(["block", "rows", "n", "h"]).append_column("c", pa.array([_returned(answers)[at].tobytes()], pa.binary()))
+            return pa.table({"block": pa.array([], pa.int64()), **{k: pa.array([], pa.binary()) for k in ("rows", "n", "u", "i", "c")}})
+        return own.select(["block", "rows", "n", "u", "i"]).append_column("c", pa.array([_returned(answers, np.int64).tobytes()], pa.binary()))
 
-    answers = _answers(blocks, words, shards, lambda n, h, c: h, _word_look)
-    both = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add, "block long, rows binary, n binary, h binary, c binary")
-    return stage(both)
+    answers = _answers(blocks, words, shards, None, _word_look)
+    both = stage(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add, "block long, rows binary, n binary, u binary, i binary, c binary"))
+    drop_stage(blocks)
+    return both
 
 
 def fit(train: DataFrame, text: str = "text") -> Model:
@@ -420,7 +431,8 @@ def fit(train: DataFrame, text: str = "text") -> Model:
 
     def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for n, h, c in zip(*[_column(b, k, d) for k, d in (("n", np.int64), ("h", U), ("c", np.int64))], strict=True):
+            for k in range(b.num_rows):
+                n, h, c = _tokens_of(b, k)
                 yield _blobs([bigram_keys(_before(h, n), h, _class(_context_counts(c, n, begins)))], shards)
 
     def add_pairs(t: pa.Table) -> pa.Table:
@@ -435,11 +447,11 @@ def fit(train: DataFrame, text: str = "text") -> Model:
         mass = lambda x: pa.array([np.bincount(k, x, CLASSES).astype(np.int64)], pa.list_(pa.int64()))
         return pa.table({"shard": t.column("shard")[:1], "bits": [bits], "data": [np.packbits(on).tobytes()], "once": mass(counts == 1), "all": mass(counts)})
 
-    if shared is not None:
-        blobs = _counted(train, shards, pairs)
-    else:
-        blobs = _with_counts(_blocks(train), words, shards).mapInArrow(block_pairs, BLOBS)
+    counted = None if shared is not None else _with_counts(_blocks(train), words, shards)
+    blobs = _counted(train, shards, pairs) if counted is None else counted.mapInArrow(block_pairs, BLOBS)
     pieces = stage(blobs.groupBy("shard").applyInArrow(add_pairs, "shard int, bits long, data binary, once array<long>, all array<long>"))
+    if counted is not None:
+        drop_stage(counted)
     once, every = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in pieces.select(F.posexplode(F.arrays_zip("once", "all")).alias("k", "x")).groupBy("k").agg(F.sum("x.once").alias("o"), F.sum("x.all").alias("a")).collect():
         once[r["k"]], every[r["k"]] = r["o"], r["a"]
@@ -491,8 +503,8 @@ def score(df: DataFrame, model: Model, text: str = "text", more: dict[str, Colum
     def finish(own: pa.Table, answers: pa.Table) -> pa.Table:
         if not own.num_rows:
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
-        n, h, c = (np.frombuffer(own.column(k)[0].as_buffer(), t) for k, t in (("n", np.int64), ("h", U), ("c", np.int64)))
-        values = _returned(answers)
+        n, h, c = _tokens_of(own, 0)
+        values = np.r_[0, LEVELS][_returned(answers, np.uint8)]
 
         def look(keys: np.ndarray) -> np.ndarray:
             return values[np.unique(keys, return_inverse=True)[1]]
