@@ -123,7 +123,8 @@ def scan(df: DataFrame, text: str = "text", owner: str = "source", repository: s
     held = ownership(found.select("value_id", "owner", "repository"))
     texts = found.groupBy("key", "value_id").agg(F.lit(1).alias("one")).join(held, "value_id")
     verdicts = texts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("value_id", "n_owners"))).alias("owners"))
-    j = w.join(verdicts, "key", "left")
+    # the text is in the row already: it is taken out of it again behind the join
+    j = w.drop("t", "owner", "repository").join(verdicts, "key", "left").withColumn("t", F.coalesce(F.col("row")[text], F.lit("")))
 
     def judged(x):
         n = F.coalesce(F.try_element_at("owners", value_id(x["value"])), F.lit(0).cast("long"))
@@ -151,11 +152,12 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redact(df: DataFrame, text: str = "text", n_chars: str | None = "n_chars", **options) -> DataFrame:
+def redact(df: DataFrame, text: str = "text", n_chars: str | None = "n_chars", owner: str = "source", repository: str = "doc_id", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """All rows of df, in its columns, with live secrets replaced in the text; null texts become empty."""
-    inner = carried(df, text=df[text], source=df[options.pop("owner", "source")], doc_id=df[options.pop("repository", "doc_id")])
-    scanned = scan(inner, **options)
+    others = [df[c] for c in df.columns if c != text]
+    inner = df.select(F.struct(*others).alias("others"), df[text].alias("text"), df[owner].alias("owner"), df[repository].alias("repository"))
+    scanned = scan(inner, "text", "owner", "repository", example_owners)
     new = {text: F.col("redacted")}
     if n_chars and n_chars in df.columns:
         new[n_chars] = F.length("redacted").cast(df.schema[n_chars].dataType)
-    return restored(scanned, replace=new)
+    return scanned.select(*[new.get(c, F.col("others").getField(c)).alias(c) for c in df.columns])
