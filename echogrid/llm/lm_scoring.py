@@ -44,7 +44,7 @@ ADD = 0.1
 #: Base of the logarithmic scale of counts; hash functions and bits of the filter for each event (false positives: 0.9 %).
 LOG_BASE, HASHES, BITS = 1.5, 6, 10
 #: Bytes of text that are hashed at once, keys that a task gathers before it sends them, tokens a shard.
-CHUNK, GATHER, SHARD_TOKENS = 1 << 21, 3_000_000, 1_500_000
+CHUNK, GATHER, SHARD_TOKENS = 1 << 20, 3_000_000, 1_500_000
 #: Bytes of word counts and filter that are broadcast at most.
 MAX_BROADCAST = 256 << 20
 #: Shards that the driver fetches at once.
