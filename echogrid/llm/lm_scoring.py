@@ -136,7 +136,10 @@ class Table:
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         self.keys, self.counts = keys, counts
         self.bits = max(1, int(len(keys)).bit_length() - 1)
-        self.starts = np.searchsorted(keys, np.arange(1 << self.bits, dtype=U) << U(64 - self.bits)).astype(np.uint32 if len(keys) < 1 << 32 else np.int64)
+        self.starts = np.empty(1 << self.bits, np.uint32 if len(keys) < 1 << 32 else np.int64)
+        for a in range(0, 1 << self.bits, 1 << 16):  # in parts: the driver has little memory beside the table
+            b = min(a + (1 << 16), 1 << self.bits)
+            self.starts[a:b] = np.searchsorted(keys, np.arange(a, b, dtype=U) << U(64 - self.bits))
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         if not len(self.keys):
