@@ -68,8 +68,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double")).alias("v"))
-    found = topk.search(vectors, F.col("id") % 50 == 0, vector="v")
+    # floor() makes finite longs of NaN and infinities, so what takes part is decided before it
+    given = topk.valid(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    vectors = given.select("id", F.transform("v", lambda x: F.floor(256 * x).cast("double")).alias("v"))
+    found = topk.search(vectors, F.col("id") % 50 == 0, vec_id="id", vector="v")
     return found.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
 
 

@@ -302,6 +302,21 @@ def test_top_k(spark, monkeypatch):
     assert topk.search(df.where("vec_id < 2"), F.col("id") == 0).count() == 1
 
 
+def test_top_k_query_leaves_out_what_is_not_finite(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    full = {i: np.float32(v) for i, v in enumerate(rng.normal(size=(120, 4)))}
+    rows = [(i, v.tolist()) for i, v in full.items()]
+    rows += [(150, [float("nan"), 1.0, 1.0, 1.0]), (200, [float("inf"), 1.0, 1.0, 1.0]), (201, [1.0, float("-inf"), 1.0, 1.0]), (250, [None, 9.0, 9.0, 9.0]), (300, None), (None, [9.0] * 4)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in queries.op7_exact_top_k(spark, str(tmp_path)).collect())
+    whole = {i: np.floor(256 * v.astype(float)) for i, v in full.items()}
+    want = []
+    for q in (0, 50, 100):
+        best = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == want
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.1"  # the smaller tables hold six toxic rows out
     labels = dict(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").collect())
