@@ -173,15 +173,19 @@ def hexadecimal(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+def kept_rows(df: DataFrame, groups: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The rows of df, one for each group: that with the smallest doc_id, in df's columns.
 
     Rows that repeat the id kept are one row, the least by their columns' hash.
     Rows without doc_id all stay.
     """
-    groups = near_duplicates(df, doc_id, text, words, radius)
     keep = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("id")).distinct()
     rows = carried(df, id=df[doc_id])
     kept = rows.where(F.col("id").isNotNull()).join(keep, "id")
     one = kept.groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     return restored(one.select("row").union(rows.where(F.col("id").isNull()).select("row")))
+
+
+def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """The rows of df, one for each group of near_duplicates(), as kept_rows() keeps them."""
+    return kept_rows(df, near_duplicates(df, doc_id, text, words, radius), doc_id)

@@ -1,11 +1,14 @@
 """The pipeline's stages against a plain Python version, each on its own input."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 import corpus_pipeline
-from echogrid.llm import packing, quality, secrets
+from echogrid.llm import jaccard, packing, quality, secrets
 from echogrid.llm.common import stage
 from test_operators import DOCS, SF, WORD, base_spans, brute_components, brute_fingerprint, check_packed, odd_documents
 
@@ -98,6 +101,55 @@ def test_stages(spark):
     assert once
 
 
+def shingle_set(text):
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    w = WORD.findall(w)
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 5 else {tuple(w)}
+
+
+def brute_near(texts):
+    """The smallest id of each text's group, by all pairs."""
+    sets, least = {i: shingle_set(t) for i, t in texts.items()}, {i: i for i in texts}
+    ids, near = sorted(sets), defaultdict(set)
+    for i in ids:
+        for j in ids:
+            both = len(sets[i] & sets[j])
+            if i < j and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                near[i].add(j)
+                near[j].add(i)
+    for i in ids:  # by rising id, so the first to reach a text is the least
+        todo = [i] if least[i] == i else []
+        while todo:
+            for k in near[todo.pop()]:
+                if least[k] > i:
+                    least[k] = i
+                    todo.append(k)
+    return least
+
+
+@pytest.mark.parametrize("common, shard", [(4, 10**6), (2, 500)])
+def test_near_dedup_is_exact(spark, monkeypatch, common, shard):
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    monkeypatch.setattr(jaccard, "SHARD_ENTRIES", shard)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(400)]
+    for g in range(12):  # chains of changes: neighbours are near, the ends are not
+        w = rng.choices(words, k=rng.choice([12, 60, 200]))
+        for k in range(8):
+            texts[10_000 + 10 * g + k] = " ".join(w).upper() if k == 3 else "  ".join(w)
+            w = list(w)
+            for _ in range(max(1, len(w) // 60)):
+                w[rng.randrange(len(w))] = rng.choice(words)
+    want = brute_near(texts)
+    bits = {i: brute_fingerprint(t) for i, t in texts.items()}
+    assert any(i != j and (bits[i] ^ bits[j]).bit_count() > 4 for i, j in want.items())  # beyond op5's radius
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in texts.items()], DOCS)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    assert kept == set(want.values())
+    assert dict(jaccard.near_duplicates(docs).collect()) == want
+
+
 def check_packed_copies(rows, copies, texts):
     """Every copy has all its pieces; sequences have no gaps."""
     pieces = Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
