@@ -4,8 +4,8 @@ A conversation is written once as a string of marked turns. Every assistant
 turn then becomes an example: all turns before it are its context, and only
 its reply is under the loss mask. An example is kept as three positions in
 that string (`context_end`, `loss_start`, `loss_end`), so a long conversation
-takes space in proportion to its length and not to its square;
-`explode_examples` writes the texts out, a row at a time.
+is shuffled in proportion to its length and not to its square;
+`explode_examples` then writes the texts out, a row at a time.
 """
 
 from __future__ import annotations
@@ -86,9 +86,38 @@ def format_conversations(
 
 
 def explode_examples(formatted: DataFrame) -> DataFrame:
-    """conv_id, example, text, loss_start, loss_end: each example written out."""
+    """conv_id, example, text, loss_start, loss_end, last: each example written out; the last one of a conversation holds all its turns."""
     e = formatted.select("conv_id", "formatted", F.posexplode("examples").alias("example", "e"))
-    return e.select("conv_id", "example", F.substring("formatted", F.lit(1), F.col("e")["end"].cast("int")).alias("text"), F.col("e")["loss_start"].alias("loss_start"), F.col("e")["loss_end"].alias("loss_end"))
+    return e.select(
+        "conv_id",
+        "example",
+        F.substring("formatted", F.lit(1), F.col("e")["end"].cast("int")).alias("text"),
+        F.col("e")["loss_start"].alias("loss_start"),
+        F.col("e")["loss_end"].alias("loss_end"),
+        (F.col("e")["end"] == F.length("formatted")).alias("last"),
+    )
+
+
+def read_examples(examples: DataFrame) -> DataFrame:
+    """What read_back() gives, from the rows of explode_examples(): losses and lengths of every example's own text."""
+    loss = F.substring("text", (F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
+    e = examples.select(
+        "conv_id", F.struct("example", unescape(loss).alias("loss")).alias("loss"), F.length("text").cast("long").alias("chars"), F.when(F.col("last"), F.col("text")).alias("whole")
+    )
+    g = e.groupBy("conv_id").agg(F.array_sort(F.collect_list("loss")).alias("losses"), F.sum("chars").alias("formatted_chars"), F.max("whole").alias("formatted"))
+    return g.select("conv_id", _turns("formatted").alias("turns"), F.col("losses.loss").alias("losses"), "formatted_chars")
+
+
+def _turns(formatted: str) -> Column:
+    pieces = F.split(formatted, F.lit("<\\|end\\|>\n"), -1)
+    cut = lambda p: F.instr(p, "|>\n")
+    return F.transform(
+        F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))),
+        lambda p: F.struct(
+            unescape(F.substring(p, F.lit(3), cut(p) - 3)).alias("role"),
+            unescape(F.substring(p, cut(p) + 3, F.length(p))).alias("text"),
+        ),
+    )
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -96,18 +125,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     formatted_chars counts the characters of all examples, contexts included.
     """
-    pieces = F.split("formatted", F.lit("<\\|end\\|>\n"), -1)
-    r = formatted.withColumn("p", F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))))
-    cut = lambda p: F.instr(p, "|>\n")
-    return r.select(
+    return formatted.select(
         "conv_id",
-        F.transform(
-            "p",
-            lambda p: F.struct(
-                unescape(F.substring(p, F.lit(3), cut(p) - 3)).alias("role"),
-                unescape(F.substring(p, cut(p) + 3, F.length(p))).alias("text"),
-            ),
-        ).alias("turns"),
+        _turns("formatted").alias("turns"),
         F.transform(
             "examples", lambda e: unescape(F.substring("formatted", (e["loss_start"] + 1).cast("int"), (e["loss_end"] - e["loss_start"]).cast("int")))
         ).alias("losses"),

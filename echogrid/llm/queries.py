@@ -25,7 +25,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(control).alias("text"),
     )
-    back = chat.read_back(chat.format_conversations(rows.unionByName(extra)))
+    back = chat.read_examples(chat.explode_examples(chat.format_conversations(rows.unionByName(extra))))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("losses", "")
     return back.select(

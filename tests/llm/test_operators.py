@@ -281,6 +281,18 @@ def test_components_of_a_long_path(spark):
     assert {r.v: r.p for r in p} == {i: 0 for i in range(n + 1)}
 
 
+def test_chat_query_reads_written_examples(spark, monkeypatch):
+    want = sorted(map(str, queries.op4_chat_formatting(spark, SF).collect()))
+    written, explode = [], chat.explode_examples
+    monkeypatch.setattr(chat, "explode_examples", lambda f: written.append(explode(f)) or written[-1])
+    got = queries.op4_chat_formatting(spark, SF).collect()
+    sizes = {r.conv_id: r.n for r in written[0].groupBy("conv_id").agg(F.sum(F.length("text")).alias("n")).collect()}
+    assert sorted(map(str, got)) == want and {r.conv_id: r.formatted_chars for r in got} == sizes
+    lost = written[0].withColumn("text", F.lit(""))
+    monkeypatch.setattr(chat, "explode_examples", lambda f: lost)
+    assert {(r.formatted_chars, r.loss_chars) for r in queries.op4_chat_formatting(spark, SF).collect()} == {(0, 0)}
+
+
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 64)
     monkeypatch.setattr(topk, "SEEDS", 16)
