@@ -44,7 +44,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanned = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    scanned = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), redacted=False)
     base = F.filter("spans", lambda x: x["kind"] != "owned")
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return scanned.select(

@@ -1,9 +1,11 @@
 """Secret scans by corpus-wide ownership frequency, in DataFrame expressions only.
 
-Candidates are found in every text. Their hashes are then counted over the
-whole corpus by distinct repositories and owners: a value that many owners
-hold is a copied example, a value that stays with few owners and looks random
-is a live credential of theirs.
+Candidates are found in every text, once, and written with their rows. Their
+hashes are then counted over the whole corpus by distinct repositories and
+owners. A value that many owners hold, or several owners in many repositories,
+is a copied example; a value that looks random and stays with one owner,
+wherever that one repeats it, or in few repositories of few, is a live
+credential of theirs.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, restored
+from .common import carried, restored, stage
 
 #: kind, pattern, group that is the value, its least length; in the order in which kinds are listed.
 KINDS = (
@@ -22,8 +24,8 @@ KINDS = (
 )
 #: Found faster and the same: a run that is too short never hides a longer one in these.
 SAME = {"access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}"}
-#: A value that so many owners hold is a widely copied example.
-EXAMPLE_OWNERS = 3
+#: A value that so many owners hold is a widely copied example; one of several owners, if so many repositories do.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 10
 SPANS = "array<struct<start:bigint,k:int,kind:string,end:bigint,value:string>>"
 
 
@@ -95,43 +97,52 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("value_id").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
-def scan(df: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """Adds spans, redacted and the text's verdicts to every row of df.
+def widely_copied(n_repositories: Column, n_owners: Column, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> Column:
+    return (n_owners >= example_owners) | ((n_owners > 1) & (n_repositories >= example_repositories))
 
-    spans: array of (start, k, kind, end, value, n_owners, live), ordered by
-    start, then kind. Spans of the base kinds are all there; "owned" ones only
-    where the value is live. live: it looks random and fewer than
-    example_owners owners hold it in the whole corpus. redacted: the text with
-    every live span replaced by [SECRET:kind].
 
-    Null and empty texts have no spans. Null owners count as one owner. Equal
-    texts get equal results, so repeated rows do. Input columns named like an
-    output are replaced. A row meets its verdicts through a join on the text's
-    key; the right side has one row a text, so a text in a third of all rows is
-    a skewed join that Spark splits.
+def scan(
+    df: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES, redacted: bool = True
+) -> DataFrame:
+    """Adds spans and redacted to every row of df.
+
+    spans: array of (start, k, kind, end, value, n_repositories, n_owners,
+    live), ordered by start, then kind. Spans of the base kinds are all there;
+    "owned" ones only where the value is live. live: it looks random and isn't
+    widely_copied() in the whole corpus. redacted: the text with every live
+    span replaced by [SECRET:kind]; with redacted=False, neither it nor the
+    text is in the result, and no text is written.
+
+    Null and empty texts have no spans. Null owners count as one owner, null
+    repositories as one repository. Very long texts cost in proportion to their
+    length. Equal texts get equal results, so repeated rows do. Input columns
+    named like an output are replaced. Only rows with candidates meet their
+    verdicts, in joins on a value and on a row.
     """
+    kept = df if redacted else df.drop(text)
     w = candidates(df, text, owner=F.coalesce(df[owner].cast("string"), F.lit("")), repository=F.coalesce(df[repository].cast("string"), F.lit("")))
-    key = F.struct(F.xxhash64("t", F.lit(1)).alias("a"), F.xxhash64("t", F.lit(2)).alias("b"))
+    if not redacted:
+        w = w.withColumn("row", F.struct(F.lit(1).alias("__row"), *[F.col("row").getField(c).alias(c) for c in kept.columns]))
+    w = stage(w.drop("t").withColumn("rid", F.monotonically_increasing_id()))
     value_id = lambda v: F.sha2(v, 256)
-    w = w.withColumn("key", key)
-    found = (
-        # the outer form: else Spark infers a filter and computes the spans twice
-        w.select("key", "owner", "repository", F.explode_outer("found").alias("s"))
-        .where(F.col("s").isNotNull())
-        .select("key", "owner", "repository", value_id(F.col("s")["value"]).alias("value_id"))
-    )
+    some = w.where(F.size("found") > 0)
+    found = some.select("rid", "owner", "repository", F.explode("found.value").alias("value")).select("rid", "owner", "repository", value_id(F.col("value")).alias("value_id"))
     held = ownership(found.select("value_id", "owner", "repository"))
-    texts = found.groupBy("key", "value_id").agg(F.lit(1).alias("one")).join(held, "value_id")
-    verdicts = texts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("value_id", "n_owners"))).alias("owners"))
-    # the text is in the row already: it is taken out of it again behind the join
-    j = w.drop("t", "owner", "repository").join(verdicts, "key", "left").withColumn("t", F.coalesce(F.col("row")[text], F.lit("")))
+    known = found.select("rid", "value_id").distinct().join(held, "value_id")
+    verdicts = known.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("value_id", F.struct("n_repositories", "n_owners")))).alias("held"))
 
     def judged(x):
-        n = F.coalesce(F.try_element_at("owners", value_id(x["value"])), F.lit(0).cast("long"))
-        return F.struct(x["start"], x["k"], x["kind"], x["end"], x["value"], n.alias("n_owners"), (looks_live(x["value"]) & (n < example_owners)).alias("live"))
+        n = F.element_at("held", value_id(x["value"]))
+        live = looks_live(x["value"]) & ~widely_copied(n["n_repositories"], n["n_owners"], example_owners, example_repositories)
+        return F.struct(x["start"], x["k"], x["kind"], x["end"], x["value"], n["n_repositories"], n["n_owners"], live.alias("live"))
 
-    j = j.withColumn("judged", F.transform("found", judged))
+    j = some.join(verdicts, "rid").withColumn("judged", F.transform("found", judged))
     j = j.withColumn("spans", F.filter("judged", lambda x: (x["kind"] != "owned") | x["live"]))
+    none = w.where(F.size("found") == 0).select("row", F.array().cast(j.schema["spans"].dataType).alias("spans"))
+    j = j.select("row", "spans").unionByName(none)
+    if not redacted:
+        return j.select(*[F.col("row").getField(c).alias(c) for c in kept.columns if c != "spans"], "spans")
+    j = j.withColumn("t", F.coalesce(F.col("row").getField(text), F.lit("")))
     state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def cut(a, x):
@@ -152,11 +163,11 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redact(df: DataFrame, text: str = "text", n_chars: str | None = "n_chars", owner: str = "source", repository: str = "doc_id", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def redact(df: DataFrame, text: str = "text", n_chars: str | None = "n_chars", owner: str = "source", repository: str = "doc_id", **limits: int) -> DataFrame:
     """All rows of df, in its columns, with live secrets replaced in the text; null texts become empty."""
     others = [df[c] for c in df.columns if c != text]
     inner = df.select(F.struct(*others).alias("others"), df[text].alias("text"), df[owner].alias("owner"), df[repository].alias("repository"))
-    scanned = scan(inner, "text", "owner", "repository", example_owners)
+    scanned = scan(inner, "text", "owner", "repository", **limits)
     new = {text: F.col("redacted")}
     if n_chars and n_chars in df.columns:
         new[n_chars] = F.length("redacted").cast(df.schema[n_chars].dataType)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality
+from . import chat, mixing, quality, secrets
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -96,4 +96,31 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
   CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f
 """
 
-SQL = {"op3_quality_rules": OP3, "op4_chat_formatting": OP4, "op6_source_mixing": OP6, "op7_exact_top_k": OP7, "op9_warc": OP9}
+
+
+def _found(k: int) -> str:
+    """Tables p and s of one kind: texts with their matches, then a row a match."""
+    kind, pattern, group, least = secrets.KINDS[k]
+    pattern = {"owned": "[A-Za-z0-9_-]{20,}"}.get(kind, secrets.SAME.get(kind, pattern)).replace("'", "''")
+    return rf"""p{k} AS (SELECT r, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS v, string_split_regex(t, '{pattern}') AS b FROM d WHERE regexp_matches(t, '{pattern}')),
+i{k} AS (SELECT r, unnest(range(1, len(m) + 1)) AS i, m, v, b FROM p{k}),
+s{k} AS (SELECT r, {k} AS k, '{kind}' AS kind, (list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a, length(m[i]) AS n, v[i] AS v FROM i{k} WHERE length(v[i]) >= {least})"""
+
+
+_LIVE = "(regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 8 AND NOT regexp_matches(lower(v), 'example|changeme|placeholder|xxxx|1234567'))"
+OP10 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS owner, coalesce(doc_id::VARCHAR, '') AS repository, coalesce(text, '') AS t FROM documents),
+{", ".join(_found(k) for k in range(len(secrets.KINDS)))},
+base AS ({" UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(len(secrets.KINDS) - 1))}),
+own AS (SELECT * FROM s{len(secrets.KINDS) - 1} s WHERE {_LIVE} AND (regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') OR regexp_matches(v, '[0-9].*[0-9].*[0-9].*[0-9]'))
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = s.r AND b.a < s.a + s.n AND s.a < b.a + b.n)),
+f AS (SELECT * FROM base UNION ALL SELECT * FROM own),
+held AS (SELECT v, count(DISTINCT repository) AS reps, count(DISTINCT owner) AS owners FROM f JOIN d USING (r) GROUP BY v),
+j AS (SELECT r, k, kind, a, kind || ':' || a || ':' || (a + n) AS listed FROM f JOIN held USING (v)
+  WHERE kind <> 'owned' OR NOT (owners >= {secrets.EXAMPLE_OWNERS} OR owners > 1 AND reps >= {secrets.EXAMPLE_REPOSITORIES}))
+SELECT any_value(doc_id) AS doc_id, {", ".join(f"count(*) FILTER (kind = '{x}') AS n_{x}" for x in ("assign", "access", "hex"))},
+  sha256(coalesce(string_agg(listed, ',' ORDER BY a, k) FILTER (kind <> 'owned'), '')) AS base_sha256, coalesce(string_agg(listed, ',' ORDER BY a, k) FILTER (listed IS NOT NULL), '') AS spans
+FROM d LEFT JOIN j USING (r) GROUP BY r
+"""
+
+SQL = {"op3_quality_rules": OP3, "op4_chat_formatting": OP4, "op6_source_mixing": OP6, "op7_exact_top_k": OP7, "op9_warc": OP9, "op10_secret_scan": OP10}

@@ -115,7 +115,25 @@ def test_secrets(spark):
     assert not any(x.live for x in by[0].spans) and by[0].redacted == rows[0][1]
     assert token not in by[10].redacted and [x.kind for x in by[10].spans if x.live] == ["owned", "assign"]
     odd = odd_documents(spark)
-    assert secrets.redact(odd).columns == odd.columns and secrets.scan(odd.limit(0)).count() == 0
+    assert secrets.redact(odd).columns == odd.columns and secrets.scan(odd.limit(0)).collect() == []
+    texts = Counter((r.doc_id, r.text or "") for r in odd.collect())
+    assert Counter((r.doc_id, r.redacted) for r in secrets.scan(odd).collect()) == texts == Counter((r.doc_id, r.text) for r in secrets.redact(odd).collect())
+
+
+def test_secrets_count_repositories_and_owners(spark):
+    """One owner's value is live however often it is repeated; two owners' one as long as few repositories hold it."""
+    few, many, one, three = ("ghp_" + c * 3 + "B3dE5fG7hI9jK1lM3nO5pQ7rS9" for c in "wxyz")
+    rows = [(i, f"a {few} b", "en", f"o{i % 2}", 0) for i in range(4)]
+    rows += [(100 + i, f"a {many} b", "en", f"o{i % 2}", 0) for i in range(secrets.EXAMPLE_REPOSITORIES)]
+    rows += [(200 + i, f"a {one} b", "en", "o1", 0) for i in range(50)]
+    rows += [(300 + i, f"a {three} b", "en", f"o{i}", 0) for i in range(3)]
+    rows += rows[:2] * 20  # repeated rows are one repository
+    got = secrets.scan(spark.createDataFrame(rows, DOCS)).collect()
+    live = defaultdict(set)
+    for r in got:
+        live[r.text[2:-2]].update((x.n_repositories, x.n_owners, x.live) for x in r.spans)
+        assert (r.redacted == r.text) == (not r.spans)
+    assert live == {few: {(4, 2, True)}, many: set(), one: {(50, 1, True)}, three: set()}
 
 
 def test_mixing(spark):

@@ -59,16 +59,18 @@ def looks_live(v):
 
 def redacted(docs):
     """doc_id, text of each document with live secrets replaced."""
-    owners, spans = defaultdict(set), {}
+    owners, repositories, spans = defaultdict(set), defaultdict(set), {}
     for i, (t, s) in docs.items():
         spans[i] = candidate_spans(t)
         for *_, v in spans[i]:
             owners[v].add(s)
+            repositories[v].add(i)
+    copied = lambda v: len(owners[v]) >= secrets.EXAMPLE_OWNERS or (len(owners[v]) > 1 and len(repositories[v]) >= secrets.EXAMPLE_REPOSITORIES)
     out = {}
     for i, (t, _) in docs.items():
         at, parts = 0, []
         for a, _, kind, b, v in spans[i]:
-            if looks_live(v) and len(owners[v]) < secrets.EXAMPLE_OWNERS and b > at:
+            if looks_live(v) and not copied(v) and b > at:
                 parts += [t[at : max(a, at)], f"[SECRET:{kind}]"]
                 at = b
         out[i] = "".join(parts) + t[at:]
