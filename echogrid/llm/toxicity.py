@@ -4,11 +4,13 @@ A text is the bag of its character n-grams, word boundaries included, hashed to
 a fixed number of features; the value of one is the root of its share of the
 text's n-grams. Every feature is scaled by the logarithm of the ratio in which
 toxic and other training texts hold it, and a logistic regression is fitted on
-the scaled features. Ratios come from all training rows. Features whose ratio
-is within MIN_Z standard errors of zero, or not among the MAX_FEATURES that are
-farthest from it, are scaled by zero, so what chance puts into a long text
-doesn't add up. The regression is fitted on the driver,
-on at most `max_rows` training rows.
+the scaled features. Ratios come from all training rows. The MAX_OWN features
+whose ratios are most significant have a weight of their own; all others share
+one weight among those of the same sign and about the same significance, so
+that the regression itself learns how little a chance ratio says. A training
+row is scaled by the ratios of the other rows, since its own label is in the
+counts. The regression is fitted on the driver, on at most `max_rows` training
+rows of at most MAX_OWN + 2 * (len(EDGES) + 1) numbers, however long a text is.
 """
 
 from __future__ import annotations
@@ -28,7 +30,11 @@ from .common import stage
 NGRAMS = (4, 5, 6, 7)
 BITS = 21
 SLICES, TASKS, FAN = 16, 4096, 64
-MIN_Z, MAX_FEATURES = 3.5, 10_000
+#: Features with a weight of their own; bounds, in standard errors, between the classes of significance of the others.
+MAX_OWN = 2_000
+EDGES = np.array([0.5, 1, 1.5, 2, 2.5, 3, 3.5, 4, 5, 6, 8, 12])
+#: Penalty on the squares of weights, and the size of a shared feature in units of its root mean square.
+L2, SHARED_SIZE = 1.0, 0.3
 #: The regression's training rows: the first in the order of a hash of their id.
 MAX_ROWS = 8_000
 #: A table of labels of up to so many rows (some 40 MB) is broadcast.
@@ -49,9 +55,9 @@ def hashed(text: str | None, ngrams: tuple[int, ...] = NGRAMS, bits: int = BITS)
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def values(h: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The used features of a text, and the root of their share per mille; short texts count as 300 n-grams."""
-    u, n = np.unique(h[use[h]], return_counts=True)
+def values(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features of a text, and the root of their share per mille; short texts count as 300 n-grams."""
+    u, n = np.unique(h, return_counts=True)
     return u, np.sqrt(n * (1000.0 / max(len(h), 300))).astype(np.float32)
 
 
@@ -60,14 +66,8 @@ class Model:
     weights: np.ndarray  # of each feature, its scale included
     intercept: float
 
-    @property
-    def used(self) -> np.ndarray:
-        if "_used" not in self.__dict__:
-            self.__dict__["_used"] = self.weights != 0
-        return self.__dict__["_used"]
-
     def score(self, text: str | None) -> float:
-        u, x = values(hashed(text), self.used)
+        u, x = values(hashed(text))
         z = self.intercept + float(self.weights[u] @ x)
         return float(1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
@@ -108,22 +108,49 @@ def counts(labelled: DataFrame, bits: int = BITS) -> tuple[np.ndarray, np.ndarra
     return np.frombuffer(rows[0]["n"], np.int64), held
 
 
-def scales(n: np.ndarray, held: np.ndarray, min_z: float = MIN_Z, most: int = MAX_FEATURES) -> np.ndarray:
-    """Log of the ratio of the smoothed rates; zero where it is within min_z standard errors of zero, or not among the `most` farthest."""
-    r, z = np.zeros(held.shape[1], np.float32), np.zeros(held.shape[1], np.float32)
-    for part in np.array_split(np.arange(held.shape[1]), SLICES):
-        p = (held[:, part] + 0.5) / (n[:, None] + 1.0)
-        r[part] = np.log(p[1] / p[0])
-        z[part] = np.abs(r[part]) / np.sqrt(((1 - p) / (held[:, part] + 0.5)).sum(axis=0))
-    least = max(min_z, float(np.partition(z, -most)[-most]) if most < len(z) else 0.0)
-    return np.where(z >= least, r, np.float32(0))
+def ratios(n: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log of the ratio of the smoothed rates, and how many standard errors it is from zero."""
+    p = (held + 0.5) / (n[:, None] + 1.0)
+    r = np.log(p[1] / p[0])
+    return r.astype(np.float32), (np.abs(r) / np.sqrt(((1 - p) / (held + 0.5)).sum(axis=0))).astype(np.float32)
+
+
+def classes(r: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """The class of each feature by the sign and the significance of its ratio."""
+    return np.searchsorted(EDGES, z, "right") + (len(EDGES) + 1) * (r > 0)
 
 
-def regression(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, scale: np.ndarray, l2: float = 0.01, steps: int = 600) -> tuple[np.ndarray, float]:
-    """Weights of the scaled features and intercept, by accelerated gradient descent on the mean log loss."""
+@dataclass(frozen=True)
+class Scales:
+    """Counts of all training rows (see counts()), and which features have a weight of their own."""
+
+    n: np.ndarray
+    held: np.ndarray
+    own: np.ndarray
+
+    @staticmethod
+    def of(n: np.ndarray, held: np.ndarray, most: int = MAX_OWN) -> Scales:
+        z = np.empty(held.shape[1], np.float32)
+        for part in np.array_split(np.arange(held.shape[1]), SLICES):
+            z[part] = ratios(n, held[:, part])[1]
+        own = np.zeros(len(z), bool)
+        own[np.argsort(-z, kind="stable")[:most]] = True
+        return Scales(n, held.astype(np.int32) if held.max(initial=0) < 1 << 31 else held, own)
+
+    def features(self, text: str | None, label: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Own features and their scaled values, and the sums of the others by class; a training row's own label is taken out of the counts."""
+        u, x = values(hashed(text))
+        less = np.array([label == 0, label == 1], np.int64)
+        r, z = ratios(self.n - less, self.held[:, u] - less[:, None])
+        x, own = x * r, self.own[u]
+        return u[own], x[own], np.bincount(classes(r, z)[~own], x[~own], 2 * (len(EDGES) + 1))
+
+
+def regression(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int, l2: float = L2, steps: int = 600) -> tuple[np.ndarray, float]:
+    """Weights of `size` features and intercept, by accelerated gradient descent on the mean log loss."""
     used, flat = np.unique(np.concatenate([*[u for u, _ in features], np.zeros(0, np.uint32)]), return_inverse=True)
     row = np.repeat(np.arange(len(features)), [len(u) for u, _ in features])
-    x, m = scale[used][flat] * np.concatenate([*[v for _, v in features], np.zeros(0, np.float32)]), len(labels)
+    x, m = np.concatenate([*[v for _, v in features], np.zeros(0, np.float32)]), len(labels)
     flat = flat.astype(np.int32)
     # both orders, each summed run by run
     by_feature = np.argsort(flat, kind="stable")
@@ -156,36 +183,56 @@ def regression(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray
         g = (1 / (1 + np.exp(-np.clip(forward(yw) + yb, -700, 700))) - labels) / m
         last_w, last_b = w, b
         w, b = yw - rate * (back(g) + l2 / m * yw), yb - rate * g.sum()
-    weights = np.zeros(len(scale), np.float32)
-    weights[used] = (scale[used] * w).astype(np.float32)
+    weights = np.zeros(size, np.float32)
+    weights[used] = w.astype(np.float32)
     return weights, float(b)
 
 
-def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, min_z: float = MIN_Z) -> Model:
-    """From rows of (id, text, label 0 or 1). Without rows of both labels the score is one constant."""
+def fit(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+    """From rows of (id, text, label 0 or 1). Without rows of both labels the score is one constant.
+
+    Rows that repeat count in the ratios as often as they occur, in the
+    regression once. Which rows that takes is decided on hashes alone; only
+    then are their texts read. Texts of any length are taken whole.
+    """
     n, held = counts(labelled)
-    rate = np.log((n[1] + 1) / (n[0] + 1))
     if not n.all():
-        return Model(np.zeros(held.shape[1], np.float32), float(rate))
-    scale = scales(n, held, min_z)
+        return Model(np.zeros(held.shape[1], np.float32), float(np.log((n[1] + 1) / (n[0] + 1))))
+    scales = Scales.of(n, held)
     del held
     spark = labelled.sparkSession
-    shared = spark.sparkContext.broadcast(scale != 0)  # 2 MB
+    shared = spark.sparkContext.broadcast(scales)  # 18 or 34 MB, whatever the input
+    key = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.col("label").cast("string"), F.xxhash64("text").cast("string")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = shared.value
         for b in batches:
-            uv = [values(hashed(t.as_py()), use) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([u.tobytes() for u, _ in uv], pa.binary()), pa.array([v.tobytes() for _, v in uv], pa.binary())], names=["label", "u", "v"])
-
-    sample = labelled.orderBy(F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), "text", "label").limit(max_rows)
-    rows = sample.select("text", "label").mapInArrow(run, "label int, u binary, v binary").collect()
-    weights, b = regression([(np.frombuffer(r["u"], np.uint32), np.frombuffer(r["v"], np.float32)) for r in rows], np.array([r["label"] for r in rows], float), scale)
+            for key, t, y in zip(b.column("key").to_pylist(), b.column("text"), b.column("label").to_pylist(), strict=True):
+                u, x, c = shared.value.features(t.as_py(), y)
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([y], pa.int32()), *[pa.array([v.tobytes()], pa.binary()) for v in (u.astype(np.uint32), x.astype(np.float32), c)]], names=["key", "label", "u", "x", "c"])
+
+    keyed = labelled.select(key.alias("key"), "text", "label")
+    chosen = keyed.select("key").distinct().orderBy("key").limit(max_rows)
+    rows = keyed.join(F.broadcast(chosen), "key").mapInArrow(run, "key string, label int, u binary, x binary, c binary").dropDuplicates(["key"]).orderBy("key").collect()
+    own = [(np.frombuffer(r["u"], np.uint32), np.frombuffer(r["x"], np.float32)) for r in rows]
+    c = np.array([np.frombuffer(r["c"], float) for r in rows])
+    unit = SHARED_SIZE / np.maximum(np.sqrt((c**2).mean(axis=0)), 1e-3)
+    bits = len(scales.own)
+    at = np.arange(bits, bits + len(unit), dtype=np.uint32)
+    features = [(np.concatenate([u, at]), np.concatenate([x, v * unit]).astype(np.float32)) for (u, x), v in zip(own, c, strict=True)]
+    w, b = regression(features, np.array([r["label"] for r in rows], float), bits + len(unit))
+    weights = np.empty(bits, np.float32)
+    for part in np.array_split(np.arange(bits), SLICES):
+        r, z = ratios(n, scales.held[:, part])
+        weights[part] = r * np.where(scales.own[part], w[part], (w[bits:] * unit)[classes(r, z)])
     return Model(weights, b)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", more: dict[str, Column] | None = None) -> DataFrame:
-    """The columns of `more`, then score, for every row of df: whole texts, empty and null ones too."""
+    """The columns of `more`, then score, for every row of df: whole texts, empty and null ones too.
+
+    A text's n-grams are in memory at once, some 50 bytes a character. Rows
+    that repeat get equal scores. An input column called score is replaced.
+    """
     more = more or {c: df[c] for c in df.columns if c != "score"}
     d = df.select(df[text].alias("__text"), *[v.alias(k) for k, v in more.items()])
     shared = df.sparkSession.sparkContext.broadcast(model)  # 8 MB, whatever the input
@@ -203,8 +250,9 @@ def score(df: DataFrame, model: Model, text: str = "text", more: dict[str, Colum
 def train_rows(df: DataFrame, labels: DataFrame, chosen: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """(id, text, label) of the documents that have a label and are chosen.
 
-    `chosen` is an expression on the column `id`. Null labels and ids don't
-    count; a document with several labels counts once for each.
+    `chosen` is an expression on the column `id`. Null labels, others than 0
+    and 1, and null ids don't count; a document with several labels counts once
+    for each, as do documents that repeat. Null texts are empty.
     """
     y = labels.select(labels[doc_id].alias("id"), labels[label].cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & chosen)
     y = stage(y)

@@ -363,6 +363,51 @@ def test_toxicity(spark):
 
 
 def test_warc(spark):
+def test_toxicity_against_plain_counts(spark):
+    """Counts, ratios, the features of training rows and the fitted score, by dictionaries."""
+    docs = {i: d.text for i, d in documents(spark).items()}
+    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
+    labels += [(labels[0][0], 1 - labels[0][1]), (labels[1][0], None), (None, 1), (labels[2][0], 7), (10**9, 1)]
+    given = spark.createDataFrame(labels, "doc_id long, toxic int")
+    train = toxicity.train_rows(spark.read.parquet(f"{SF}/documents.parquet"), given, F.lit(True))
+    rows = [(i, y) for i, y in labels if i in docs and y in (0, 1)]
+    assert Counter((r.id, r.label) for r in train.collect()) == Counter(rows)
+    n, held = toxicity.counts(train)
+    bag = {i: Counter(toxicity.hashed(docs[i]).tolist()) for i in {i for i, _ in rows}}
+    want = [Counter(g for i, y in rows if y == k for g in bag[i]) for k in (0, 1)]
+    assert n.tolist() == [sum(y == k for _, y in rows) for k in (0, 1)]
+    assert all({g: c for g, c in enumerate(held[k].tolist()) if c} == dict(want[k]) for k in (0, 1))
+    s = toxicity.Scales.of(n, held, 50)
+    assert s.own.sum() == 50
+    for i, y in rows[:10]:
+        u, x, c = s.features(docs[i], y)
+        sums, own = Counter(), {}
+        for g, k in bag[i].items():
+            p = [(want[j][g] - (j == y) + 0.5) / (n[j] - (j == y) + 1) for j in (0, 1)]
+            r = math.log(p[1] / p[0])
+            z = abs(r) / math.sqrt(sum((1 - p[j]) / (want[j][g] - (j == y) + 0.5) for j in (0, 1)))
+            v = r * math.sqrt(k * 1000 / max(sum(bag[i].values()), 300))
+            if s.own[g]:
+                own[g] = v
+            else:
+                sums[sum(e <= z + 1e-7 for e in toxicity.EDGES) + 13 * (r > 0)] += v
+        assert dict(zip(u.tolist(), x.tolist(), strict=True)) == pytest.approx(own, rel=1e-4)
+        assert sum(c) == pytest.approx(sum(sums.values()), rel=1e-3, abs=1e-3)
+    # the fit is where the gradient of the penalised loss is zero
+    rng = np.random.default_rng(2)
+    a, y = rng.normal(size=(200, 6)), rng.integers(0, 2, 200).astype(float)
+    w, b = toxicity.regression([(np.arange(6, dtype=np.uint32), v.astype(np.float32)) for v in a], y, 6)
+    e = 1 / (1 + np.exp(-(a @ w + b))) - y
+    assert np.abs(a.T @ e + toxicity.L2 * w).max() < 1e-2 and abs(e.sum()) < 1e-2
+    # every feature of a text bears on its score, and rows taken for the fit are bounded
+    model = toxicity.fit(train, max_rows=20)
+    text = docs[rows[0][0]]
+    z = model.intercept + sum(float(model.weights[g]) * math.sqrt(k * 1000 / max(sum(bag[rows[0][0]].values()), 300)) for g, k in bag[rows[0][0]].items())
+    assert model.score(text) == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-4)
+    assert (toxicity.fit(train).weights[list(bag[rows[0][0]])] != 0).mean() > 0.99  # none is left out; only a ratio of one says nothing
+    assert np.array_equal(model.weights, toxicity.fit(train.repartition(3), max_rows=20).weights)
+
+
     page = "<p>" + "x" * 200
     rows = [(1, "http://a/é b\r\nX: y", page), (2, None, page), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (None, "n", page), (2, "again", page), (9, "big", "\r\n\r\n" + "é" * 300000), (1, "twice", page)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit(1), "shard": F.lit(2), "n": F.lit(3)})
