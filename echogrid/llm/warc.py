@@ -1,11 +1,13 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-Records are range-sorted by page_id. The bounds come from an exact histogram
-of sizes and not from a sample, so the shards, the files they are rolled into,
+Records are range-sorted by page_id and payload digest. A shard begins where
+the exact running sum of sizes in that order passes a multiple of the shard's
+size, however ids are spread; so the shards, the files they are rolled into,
 and every byte in them are the same in each run. A file is written under a
 temporary name and renamed when it is complete; a task that runs again writes
-the same bytes over it. The manifest, a table that Spark commits as a whole,
-names the files that belong to the archive; readers see no others.
+the same bytes in its place. The manifest, a table that Spark commits as a
+whole, names the files that belong to the archive; readers see no others, and
+what failed attempts have left is deleted after it.
 """
 
 from __future__ import annotations
@@ -16,21 +18,25 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import drop_stage, stage
 
 #: Smaller payloads are always stored.
 MIN_REVISIT_BYTES = 100
 #: Uncompressed bytes of a shard, compressed bytes after which a file is rolled.
 SHARD_BYTES, ROLL_BYTES = 64 << 20, 16 << 20
-#: Steps of the histogram from which shard bounds are cut.
-STEPS = 4096
+#: Shards, each a task, that one job has at most; an archive of more than so many (6.4 TB) has larger ones.
+MAX_SHARDS = 100_000
 #: A table of repeated payloads of up to so many rows (some 30 MB) is broadcast.
 BROADCAST_ROWS = 200_000
+#: Where null ids stand in the order.
+NULL_ID = -(1 << 63)
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, shard int, records long, bytes long, sha256 string, first_page_id long, last_page_id long"
@@ -74,64 +80,79 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, n: int,
     return _headers("WARC/1.1", head) + block + b"\r\n\r\n"
 
 
-def classified(df: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
-    """page_id, url, payload (null for revisits), n, digest, refers_to, refers_to_url.
+def payloads(df: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
+    """page_id, url, payload, n, digest, and d, a long that is ordered like the digests."""
+    p = df.select(df[page_id].cast("long").alias("page_id"), df[url].alias("url"), F.coalesce(df[html], F.lit("")).cast("binary").alias("payload"))
+    p = p.withColumns({"n": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
+    return p.withColumn("d", F.conv(F.substring("digest", 1, 15), 16, 10).cast("long"))
+
+
+def repeated(ids: DataFrame) -> DataFrame:
+    """d, first, first_url of the payloads that several rows of (page_id, url, n, digest) hold.
 
-    Only digests and ids are grouped; a payload that a third of all pages share
-    is one row a task there, and the table of repeated payloads is joined as a
-    broadcast up to BROADCAST_ROWS, beyond that as a shuffled join that Spark
-    can split.
+    A payload that a third of all pages share is one row a task here. The table
+    is to be joined as a broadcast up to BROADCAST_ROWS, beyond that in a
+    shuffled join that Spark can split.
     """
-    payload = F.coalesce(df[html], F.lit("")).cast("binary")
-    p = df.select(df[page_id].alias("page_id"), df[url].alias("url"), payload.alias("payload"))
-    p = p.withColumns({"n": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
-    repeated = (
-        p.groupBy("digest", "n").agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("c"))
-        .where((F.col("c") > 1) & (F.col("n") >= MIN_REVISIT_BYTES) & F.col("first").isNotNull())
-        .select(F.col("digest").alias("d"), "first", "first_url")
-    )
-    repeated = stage(repeated)
-    if repeated.count() <= BROADCAST_ROWS:
-        repeated = F.broadcast(repeated)
-    j = p.join(repeated, F.col("digest") == F.col("d"), "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return j.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "n", "digest", F.when(revisit, F.col("first")).alias("refers_to"), F.when(revisit, F.col("first_url")).alias("refers_to_url"))
-
-
-def _bounds(df: DataFrame, page_id: str, html: str, shard_bytes: int) -> tuple[int, int, list[tuple[int, int]]]:
-    """Least id, ids a step, (step, shard): cut where the running sum of payload bytes passes a multiple of shard_bytes."""
-    least, most = df.agg(F.min(page_id), F.max(page_id)).first()
-    if least is None:
-        return 0, 1, []
-    width = -(-(most - least + 1) // STEPS)
-    step = F.floor((F.col(page_id) - least) / F.lit(width)).cast("int")
-    size = F.coalesce(F.octet_length(html), F.lit(0)) + 600
-    sums = sorted((r[0], r[1]) for r in df.where(F.col(page_id).isNotNull()).groupBy(step.alias("step")).agg(F.sum(size)).collect())
-    total, out = 0, []
-    for s, n in sums:
-        out.append((s, total // shard_bytes))
-        total += n
-    ranks = {s: i for i, s in enumerate(sorted({x for _, x in out}))}
-    return least, width, [(s, ranks[x]) for s, x in out]
+    r = ids.groupBy("digest", "n").agg(F.min("page_id").alias("first"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))["url"].alias("first_url"), F.count("*").alias("c"))
+    return r.where((F.col("c") > 1) & (F.col("n") >= MIN_REVISIT_BYTES) & F.col("first").isNotNull()).select(F.col("digest").alias("repeated"), "first", "first_url")
+
+
+def _keys(page_id: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Byte strings in the order of (page_id, d)."""
+    out = np.empty((len(d), 2), ">u8")
+    out[:, 0], out[:, 1] = page_id.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63), d.astype(np.int64).view(np.uint64)
+    return out.view("S16").ravel()
+
+
+def _bounds(ids: DataFrame, shard_bytes: int) -> np.ndarray:
+    """The key of the first record of each shard.
+
+    The sort is one over ids and sizes, without payloads. What a record comes
+    after does not depend on where the sort has cut its partitions.
+    """
+    sized = ids.select(F.coalesce("page_id", F.lit(NULL_ID)).alias("page_id"), "d", (F.col("n") + 600).alias("size"))
+    total = sized.agg(F.sum("size")).first()[0] or 0
+    shard_bytes = max(shard_bytes, -(-total // MAX_SHARDS))
+    parts = max(1, int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sized = stage(sized.repartitionByRange(parts, "page_id", "d").withColumn("part", F.spark_partition_id()))
+    sums, before = sorted(map(tuple, sized.groupBy("part").agg(F.sum("size")).collect())), []
+    for part, n in sums:  # at most as many as there are partitions
+        before.append((part, sum(before[-1][1:]) if before else 0, n))
+    starts = F.broadcast(ids.sparkSession.createDataFrame([(p, a) for p, a, _ in before], "part int, start long"))
+    upto = F.sum("size").over(Window.partitionBy("part").orderBy("page_id", "d").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = sized.withColumn("upto", upto).join(starts, "part").withColumn("shard", F.floor((F.col("start") + F.col("upto") - F.col("size")) / F.lit(shard_bytes)))
+    first = placed.groupBy("shard").agg(F.min(F.struct("page_id", "d")).alias("k")).select("k.*").toArrow()
+    drop_stage(sized)
+    return np.unique(_keys(first.column("page_id").to_numpy(), first.column("d").to_numpy()))
 
 
 def write(df: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, level: int = 6, date: str = DATE) -> DataFrame:
     """Write the archive under the URI `path`; returns its manifest, one row a file.
 
-    Null payloads are empty, null urls stand as urn:page:ID, null page_ids come
-    first. Rows that repeat a page_id follow each other; if they repeat the
-    payload too, each is a response when the id is the smallest of its group.
-    Other columns are ignored. An empty table makes an empty manifest.
+    page_ids are longs, or cast to such. Null payloads are empty, null urls
+    stand as urn:page:ID, null page_ids come first. Rows that repeat a page_id
+    follow each other; if they repeat the payload too, they are in one shard,
+    and each is a response when the id is the smallest of its group. A payload
+    is in memory as a whole. Other columns are ignored. An empty table makes an
+    empty manifest.
     """
     spark = df.sparkSession
-    least, width, steps = _bounds(df, page_id, html, shard_bytes)
-    c = classified(df, page_id, url, html)
-    shards = F.broadcast(spark.createDataFrame(steps, "step int, shard int"))  # at most STEPS rows
-    n_shards = max([s for _, s in steps], default=0) + 1
-    c = c.withColumn("step", F.floor((F.col("page_id") - least) / F.lit(width)).cast("int")).join(shards, "step", "left")
-    c = c.withColumn("shard", F.coalesce("shard", F.lit(0)))
-    c = c.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest")
-    c = c.select("shard", "page_id", "url", "payload", "n", "digest", "refers_to", "refers_to_url")
+    p = payloads(df, page_id, url, html)
+    ids = stage(p.drop("payload"))
+    bounds = _bounds(ids, shard_bytes)
+    again = stage(repeated(ids))
+    c = p.join(F.broadcast(again) if again.count() <= BROADCAST_ROWS else again, F.col("digest") == F.col("repeated"), "left")
+    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    shared = spark.sparkContext.broadcast(bounds)  # 16 bytes a shard
+
+    @F.pandas_udf("int")
+    def shard_of(page_id: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series(np.maximum(np.searchsorted(shared.value, _keys(page_id.to_numpy(), d.to_numpy()), "right") - 1, 0).astype(np.int32))
+
+    c = c.withColumn("shard", shard_of(F.coalesce("page_id", F.lit(NULL_ID)), "d"))
+    c = c.select("shard", "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "n", "digest", F.when(revisit, F.col("first")).alias("refers_to"), F.when(revisit, F.col("first_url")).alias("refers_to_url"))
+    c = c.repartitionById(max(1, len(bounds)), F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as afs
@@ -145,7 +166,10 @@ def write(df: DataFrame, path: str, page_id: str = "page_id", url: str = "url",
             nonlocal out
             if out:
                 out["stream"].close()
-                fs.move(out["temp"], f"{root}/{out['name']}")
+                name = f"{root}/{out['name']}"
+                if fs.get_file_info(name).type != afs.FileType.NotFound:  # of an attempt before; some file systems don't move onto a file
+                    fs.delete_file(name)
+                fs.move(out["temp"], name)
                 done.append((out["name"], at, out["records"], out["bytes"], out["sha"].hexdigest(), out["first"], out["last"]))
                 out = None
 
@@ -179,9 +203,22 @@ def write(df: DataFrame, path: str, page_id: str = "page_id", url: str = "url",
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)], names=names)
 
     c.mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(f"{path}/manifest")
+    drop_stage(ids)
+    drop_stage(again)
+    _tidy(path)
     return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
 
+def _tidy(path: str) -> None:
+    """Delete what failed attempts have left under temporary names."""
+    from pyarrow import fs as afs
+
+    fs, root = afs.FileSystem.from_uri(path)
+    for info in fs.get_file_info(afs.FileSelector(root, allow_not_found=True)):
+        if info.base_name.startswith(".tmp-"):
+            fs.delete_file(info.path)
+
+
 def _lines(head: bytes) -> dict[str, str]:
     return dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:] if x)
 
