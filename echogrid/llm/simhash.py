@@ -7,7 +7,8 @@ on a variant are near each other. All that meet on one variant are within the
 radius of one another, so each is linked to the smallest of them, and a group
 of any size costs as many links as it has members.
 
-Variants are sharded by their first bits. A fingerprint goes once to each shard
+Variants are sharded by their first bits (a shard that many near fingerprints
+share, by more of them). A fingerprint goes once to each shard
 that some of its variants belong to (those within the same number of flips of
 its own first bits), and the shard forms the rest of the ball itself; so a
 fingerprint moves some dozens of times and not 2081 times.
@@ -26,9 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, restored, stage
+from .common import carried, drop_stage, restored, stage
 
 WORDS, SEED, RADIUS = 4, 42, 4
+#: Fingerprints (16 bytes each) from which a shard is cut by the next bits before the shuffle; by twice as many from a hundred times as many on.
+HOT_ROWS, HOT_BITS = 1_000_000, 8
+#: A table of components of up to so many rows (16 bytes each) is broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Variants that one shard holds on average, and that a task forms at once (some 100 MB); a shard with more is cut by further bits.
 SHARD_VARIANTS, AT_ONCE = 3_000_000, 6_000_000
 U = np.uint64
@@ -112,16 +117,37 @@ def links(nodes: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     own = F.shiftrightunsigned("fp", 64 - p) if p else F.lit(0).cast("long")
     near = F.transform(F.array(*[F.lit(m).cast("long") for m in masks(p, half)]), lambda m: own.bitwiseXOR(m))
     sent = nodes.select("fp", F.explode(near).alias("shard"))
+    hot = sent.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS)
+    hot = stage(hot.select("shard", F.when(F.col("n") > 100 * HOT_ROWS, 2 * HOT_BITS).otherwise(HOT_BITS).alias("q")))
+    flips = {q: [np.array(masks(q, k), U) for k in range(half + 1)] for q in (HOT_BITS, 2 * HOT_BITS)}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each fingerprint of a hot shard goes to the values of the next q bits that its variants there have."""
+        for b in batches:
+            o, shard, qs = (b.column(k).to_numpy() for k in range(3))
+            o = o.view(U)
+            left = half - np.bitwise_count((o >> U(64 - p)) ^ shard.view(U) if p else np.zeros(len(o), U)).astype(np.int64)
+            for q in np.unique(qs).tolist():
+                for k in range(half + 1):
+                    i = np.flatnonzero((qs == q) & (left == k))
+                    m = flips[q][k]
+                    part = ((o[i] >> U(64 - p - q)) & U((1 << q) - 1))[:, None] ^ m
+                    at = np.repeat(i, len(m))
+                    yield pa.RecordBatch.from_arrays([pa.array(o[at].view(np.int64)), pa.array(shard[at]), pa.array(np.full(len(at), q, np.int32)), pa.array(part.ravel().astype(np.int64))], names=["fp", "shard", "q", "part"])
+
+    cold = sent.join(hot, "shard", "left_anti").select("fp", "shard", F.lit(0).alias("q"), F.lit(0).cast("long").alias("part"))
+    sent = cold.union(sent.join(hot, "shard").select("fp", "shard", "q").mapInArrow(cut, "fp long, shard long, q int, part long")) if hot.count() else cold
 
     def meet(t: pa.Table) -> pa.Table:
-        o, shard = t.column("fp").to_numpy().view(U), U(t.column("shard")[0].as_py())
-        flipped = ((o >> U(64 - p)) ^ shard) if p else np.zeros(len(o), U)
-        v = o ^ (flipped << U(64 - p)) if p else o
-        pairs = np.concatenate([np.zeros((0, 2), U), *_met(v, o, half - np.bitwise_count(flipped).astype(np.int64), 64 - p, radius)])
+        shard, q, part = U(t.column("shard")[0].as_py()), t.column("q")[0].as_py(), U(t.column("part")[0].as_py())
+        o, free = t.column("fp").to_numpy().view(U), 64 - p - q
+        flipped = ((o >> U(free)) ^ ((shard << U(q)) | part)) if p + q else np.zeros(len(o), U)
+        v = o ^ (flipped << U(free)) if p + q else o
+        pairs = np.concatenate([np.zeros((0, 2), U), *_met(v, o, half - np.bitwise_count(flipped).astype(np.int64), free, radius)])
         a, b = (pa.array(np.ascontiguousarray(pairs[:, k]).view(np.int64)) for k in (0, 1))
         return pa.table({"a": a, "b": b})
 
-    return sent.groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
+    return sent.groupBy("shard", "q", "part").applyInArrow(meet, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -134,19 +160,32 @@ def components(edges: DataFrame) -> DataFrame:
     e = stage(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
     p = stage(e.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("p")))
     while True:
+        # the label of a hub goes to all its edges: a broadcast where the labels are few, else a join that Spark splits
         near = e.join(p, e.b == p.v).groupBy("a").agg(F.min("p").alias("m"))
-        low = p.join(near, p.v == near.a).select("v", "p", F.least("p", "m").alias("m"))
-        low = stage(low)
+        low = stage(p.join(near, p.v == near.a).select("v", "p", F.least("p", "m").alias("m")))
         hooked = low.select("v", "m").union(low.select(F.col("p"), F.col("m"))).groupBy("v").agg(F.min("m").alias("m"))
         hooked = stage(hooked)
         up = hooked.select(F.col("v").alias("u"), F.col("m").alias("um"))
         new = hooked.join(up, hooked.m == up.u).select("v", F.least("m", "um").alias("p"))
         new = stage(new.join(p.select(F.col("v").alias("w"), F.col("p").alias("old")), F.col("v") == F.col("w")).select("v", "p", (F.col("p") != F.col("old")).alias("changed")))
+        for used in (low, hooked, p):
+            drop_stage(used)
         p = new.select("v", "p")
         if not new.where("changed").limit(1).count():
+            drop_stage(e)
             return p
 
 
+def named(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, component_id of nodes (key, first) by the labels (v, p) of those that are linked; the others are alone."""
+    linked = stage(labels.join(nodes, F.col("v") == F.col("key")).select("key", "p", "first"))
+    least = stage(linked.groupBy("p").agg(F.min("first").alias("component_id")))
+    if least.count() <= BROADCAST_ROWS:  # a component of any size costs one row; beyond that, a join that Spark splits
+        least = F.broadcast(least)
+    known = linked.join(least, "p").select(F.col("key").alias("k"), "component_id")
+    return nodes.join(known, F.col("key") == F.col("k"), "left").select("key", F.coalesce("component_id", "first").alias("component_id"))
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id for every row of df.
 
@@ -160,13 +199,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     that Spark splits.
     """
     docs = stage(fingerprints(df, doc_id, text, words))
-    nodes = stage(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    labels = components(stage(links(nodes.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))), nodes.count(), radius)))
-    named = nodes.join(labels, F.col("fp") == F.col("v"), "left").select("fp", "first", F.coalesce("p", "fp").alias("label"))
-    named = stage(named)
-    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = stage(named.join(least, "label").select("fp", "component_id"))
-    return docs.join(named, "fp").select("doc_id", "fp", "component_id")
+    nodes = stage(docs.groupBy(F.col("fp").alias("key")).agg(F.min("doc_id").alias("first")))
+    fps = nodes.select(F.col("key").alias("fp")).repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    found = stage(links(fps, nodes.count(), radius))
+    labels = components(found)
+    drop_stage(found)
+    return docs.join(named(nodes, labels).withColumnRenamed("key", "fp"), "fp").select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp: str) -> Column:

@@ -269,8 +269,9 @@ def test_simhash(spark):
     assert kept.columns == odd.columns and sorted(str(x.doc_id) for x in kept.collect()) == ["1", "5", "7", "None"]
 
 
-@pytest.mark.parametrize("shard, at_once", [(10**9, 10**9), (2000, 10**9), (20_000, 3000)])
-def test_simhash_links_planted_fingerprints(spark, monkeypatch, shard, at_once):
+@pytest.mark.parametrize("shard, at_once, hot", [(10**9, 10**9, 10**9), (2000, 10**9, 10**9), (20_000, 3000, 10**9), (20_000, 10**9, 40), (10**9, 10**9, 1), (2000, 10**9, 0)])
+def test_simhash_links_planted_fingerprints(spark, monkeypatch, shard, at_once, hot):
+    monkeypatch.setattr(simhash, "HOT_ROWS", hot)
     monkeypatch.setattr(simhash, "SHARD_VARIANTS", shard)
     monkeypatch.setattr(simhash, "AT_ONCE", at_once)
     rng = np.random.default_rng(3)
@@ -362,7 +363,6 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(odd, none).collect()} == {0.5}
 
 
-def test_warc(spark):
 def test_toxicity_against_plain_counts(spark):
     """Counts, ratios, the features of training rows and the fitted score, by dictionaries."""
     docs = {i: d.text for i, d in documents(spark).items()}
@@ -408,6 +408,7 @@ def test_toxicity_against_plain_counts(spark):
     assert np.array_equal(model.weights, toxicity.fit(train.repartition(3), max_rows=20).weights)
 
 
+def test_warc(spark):
     page = "<p>" + "x" * 200
     rows = [(1, "http://a/é b\r\nX: y", page), (2, None, page), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (None, "n", page), (2, "again", page), (9, "big", "\r\n\r\n" + "é" * 300000), (1, "twice", page)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit(1), "shard": F.lit(2), "n": F.lit(3)})
