@@ -119,8 +119,8 @@ def agc(s: Column, win: int, kind: str = "rms", squared: bool = False) -> Column
 
     Samples beyond the ends are zeros, so edge windows divide by the whole
     window too. g is the rms, mean or median; 1 instead of 0. squared keeps the
-    sign of the result and squares its size. Costs a running sum for rms and
-    mean, a sort a sample for the median.
+    sign of the result and squares its size. A window's work a sample; for long
+    windows take operators.spectral.agc, which keeps running sums.
     """
     h = win // 2
     padded = F.concat(zeros(h), s, zeros(h))

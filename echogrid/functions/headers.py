@@ -64,13 +64,18 @@ def set_title(lines: Column, title: str = TITLE, line: int = 25) -> Column:
 
 
 def add_info(lines: Column, info: str, prefix: str, line: int = 25) -> Column:
-    """Appends info, after two blanks, to the line that starts with `prefix:` if it fits, else writes ` prefix: info` to the first empty line behind the title; null if there is none."""
-    own = F.get(lines_starting(lines, f"{prefix}:"), F.lit(0))
+    """Appends info, after two blanks, to the first line behind the title that starts with `prefix:` and has room, else writes ` prefix: info` to the first empty line there.
+
+    A header without room raises an error where it is written: it is never lost.
+    """
     used = lambda x: F.rtrim(x)
-    fits = F.coalesce(F.length(used(F.get(lines, own))) + 2 + len(info) <= WIDTH, F.lit(False))
+    room = lambda i: (i >= line) & (F.length(used(F.get(lines, i))) + 2 + len(info) <= WIDTH)
+    own = F.get(F.filter(lines_starting(lines, f"{prefix}:"), room), F.lit(0))
+    fits = own.isNotNull()
     empty = F.get(F.filter(_found(lines, lambda x: F.trim(F.substring(x, F.lit(4), F.lit(WIDTH))) == ""), lambda i: i >= line), F.lit(0))
     appended = F.transform(lines, lambda x, i: F.when(i == own, fitted(F.concat(used(x), F.lit("  " + info)))).otherwise(x))
-    return F.when(fits, appended).when(empty.isNotNull(), set_line(lines, empty, F.lit(f" {prefix}: {info}")))
+    full = F.raise_error(F.lit("the textual header is full")).cast("array<string>")
+    return F.when(lines.isNull(), lines).when(fits, appended).when(empty.isNotNull(), set_line(lines, empty, F.lit(f" {prefix}: {info}"))).otherwise(full)
 
 
 def is_ascii(text: Column) -> Column:

@@ -98,14 +98,15 @@ def _sections(z: np.ndarray, p: np.ndarray, k: float) -> np.ndarray:
 
 
 def sosfilt(sos: np.ndarray, x: np.ndarray, zi: np.ndarray | None = None) -> np.ndarray:
-    y = x.tolist()
+    """Sections one after the other along the last axis; all traces of a matrix (traces x samples) at once. zi: states (section, 2, traces)."""
+    y = np.array(x, float).T.copy()  # a sample's values of all traces lie together
     for s, (b0, b1, b2, _, a1, a2) in enumerate(sos.tolist()):
-        z0, z1 = (0.0, 0.0) if zi is None else zi[s]
+        z0, z1 = (np.zeros(y.shape[1:]), np.zeros(y.shape[1:])) if zi is None else zi[s]
         for i, v in enumerate(y):
             o = b0 * v + z0
             z0, z1 = b1 * v - a1 * o + z1, b2 * v - a2 * o
             y[i] = o
-    return np.array(y)
+    return y.T
 
 
 def sos_steady(sos: np.ndarray) -> np.ndarray:
@@ -119,15 +120,66 @@ def sos_steady(sos: np.ndarray) -> np.ndarray:
 
 
 def sosfiltfilt(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Forward and backward, with odd extension at both ends."""
+    """Forward and backward along the last axis, with odd extension at both ends."""
     n = 2 * len(sos) + 1
     n -= min((sos[:, 2] == 0).sum(), (sos[:, 5] == 0).sum())
-    pad = min(3 * n, len(x) - 1)
-    ext = np.r_[2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]
+    pad = min(3 * n, x.shape[-1] - 1)
+    first, last = x[..., :1], x[..., -1:]
+    ext = np.concatenate([2 * first - x[..., pad:0:-1], x, 2 * last - x[..., -2 : -pad - 2 : -1]], axis=-1)
     zi = sos_steady(sos)
-    y = sosfilt(sos, ext, zi * ext[0])
-    y = sosfilt(sos, y[::-1], zi * y[-1])[::-1]
-    return y[pad : len(y) - pad]
+    start = lambda v: zi[..., None] * v if v.ndim else zi * v
+    y = sosfilt(sos, ext, start(ext[..., 0]))
+    y = sosfilt(sos, y[..., ::-1], start(y[..., -1]))[..., ::-1]
+    return y[..., pad : y.shape[-1] - pad]
+
+
+def agc(x: np.ndarray, win: int, kind: str = "rms", squared: bool = False) -> np.ndarray:
+    """Traces x samples over a centred window of `win` samples, zeros beyond the ends; 1 instead of a gain of 0."""
+    h = win // 2
+    p = np.pad(x, ((0, 0), (h, h)))
+    if kind == "median":
+        g = np.median(np.lib.stride_tricks.sliding_window_view(p, win, axis=1), axis=2)
+    else:
+        c = np.cumsum(np.pad(p**2 if kind == "rms" else p, ((0, 0), (1, 0))), axis=1)
+        g = (c[:, win:] - c[:, :-win]) / win
+        g = np.sqrt(np.maximum(g, 0)) if kind == "rms" else g
+    y = x / np.where(g == 0, 1, g)
+    return np.sign(y) * y**2 if squared else y
+
+
+def interpolated(x: np.ndarray, y: np.ndarray, at: np.ndarray, kind: str) -> np.ndarray:
+    """Values at `at` from points (x, y) by rising x: zero (the last before), slinear, quadratic or cubic splines through all points."""
+    if len(x) < 2 or kind == "zero":
+        return y[np.clip(np.searchsorted(x, at, "right") - 1, 0, len(x) - 1)]
+    if kind == "slinear" or len(x) == 2:
+        k = np.clip(np.searchsorted(x, at, "right") - 1, 0, len(x) - 2)
+        return y[k] + (at - x[k]) * (y[k + 1] - y[k]) / (x[k + 1] - x[k])
+    if kind == "cubic":
+        return cubic_spline(x, y, at)
+    if kind != "quadratic":
+        raise ValueError(f"unknown kind {kind!r}")
+    # pieces meet halfway between inner points, where value and slope agree; the outermost pieces reach to the third point
+    n = len(x)
+    edges = np.r_[x[0], (x[1:-2] + x[2:-1]) / 2, x[-1]] if n > 3 else np.array([x[0], x[-1]])
+    knots = np.r_[[x[0]] * 3, edges[1:-1], [x[-1]] * 3]
+    b = _quadratic_basis(knots, x)
+    return _quadratic_basis(knots, np.clip(at, x[0], x[-1])) @ np.linalg.solve(b, y)
+
+
+def _quadratic_basis(t: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Values at x of the quadratic B-splines on the knots t, by the recursion over degrees."""
+    last = np.flatnonzero(t < t[-1])[-1]
+    piece = np.clip(np.searchsorted(t, x, "right") - 1, 0, last)
+    b = np.zeros((len(x), len(t) - 1))
+    b[np.arange(len(x)), piece] = 1
+    for d in (1, 2):
+        new = np.zeros((len(x), len(t) - 1 - d))
+        for i in range(new.shape[1]):
+            for width, sign, j in ((t[i + d] - t[i], 1, i), (t[i + d + 1] - t[i + 1], -1, i + 1)):
+                if width > 0:
+                    new[:, i] += (x - t[i] if sign > 0 else t[i + d + 1] - x) / width * b[:, j]
+        b = new
+    return b
 
 
 def butterworth(x: np.ndarray, kind: str, cutoff, fs: float, order: int = 9) -> np.ndarray:

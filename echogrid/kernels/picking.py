@@ -48,14 +48,15 @@ def cleaned(a: np.ndarray, win: int, threshold: float = 3.0) -> np.ndarray:
     return out
 
 
-def seafloor(data: np.ndarray, nsta: int | None = None, nlta: int | None = None, win: int = 30, threshold: float | None = None, win_mad: int | None = None, win_median: int = 11, n: int = 5, post: bool = True) -> np.ndarray:
+def seafloor(data: np.ndarray, nsta: int | None = None, nlta: int | None = None, win: int = 30, threshold: float | None = None, win_mad: int | None = None, win_median: int = 11, n: int = 5, post: bool = True, start: np.ndarray | None = None) -> np.ndarray:
     """Sample number of the seafloor in each trace (rows) of a line.
 
     Energy ratio of a short to a long trailing window; its first sample above
     the threshold, by default the largest value that any trace has in the
     second long window; outliers along the line removed; then the largest of
-    the first contiguous group among the n largest amplitudes around it. Zero
-    traces are interpolated.
+    the first contiguous group among the n largest amplitudes within `win`
+    samples of it, both ends included. Zero traces are interpolated. start: the
+    first sample of each trace that isn't padding; nothing before it is picked.
     """
     data = np.asarray(data, float)
     live = np.flatnonzero(np.abs(data).max(axis=1, initial=0) > 0)
@@ -63,6 +64,9 @@ def seafloor(data: np.ndarray, nsta: int | None = None, nlta: int | None = None,
         return np.zeros(len(data), int)
     x = data[live]
     ns = x.shape[1]
+    begin = np.zeros(len(x), int) if start is None else np.asarray(start, int)[live]
+    if begin.any():  # the padding is put behind the trace, so that windows of energy begin with data
+        x = np.take_along_axis(x, (np.arange(ns) + begin[:, None]) % ns, axis=1)
     nsta = nsta or round(0.001 * ns)
     nlta = nlta or round(0.05 * ns)
     if nsta < 3:
@@ -83,11 +87,11 @@ def seafloor(data: np.ndarray, nsta: int | None = None, nlta: int | None = None,
     pick = np.clip(moving_median(pick, wm).astype(int), 0, ns - 1)
     out = np.zeros(len(x))
     for i, p in enumerate(pick):
-        lo, hi = max(0, p - win), min(ns, p + win)
+        lo, hi = max(0, p - win), min(ns, p + win + 1)
         top = np.sort(np.argsort(-x[i, lo:hi], kind="stable")[:n])
         breaks = np.flatnonzero(np.diff(top) > 1)
         group = top[: breaks[0] + 1] if len(breaks) else top
-        out[i] = lo + group[np.argmax(x[i, lo:hi][group])]
+        out[i] = begin[i] + lo + group[np.argmax(x[i, lo:hi][group])]
     full = np.interp(np.arange(len(data)), live, out)
     if post:
         full = cleaned(full, odd(0.01 * len(x)))

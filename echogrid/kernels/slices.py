@@ -48,35 +48,52 @@ def smoothing(x: np.ndarray, name: str, sigma: float = 1.0, size: int = 3, perce
     return y if c == d else a + (y - c) * (b - a) / (d - c)
 
 
+def _weights(shape: tuple[int, int], open_: np.ndarray, pad: int, sigma: float) -> np.ndarray:
+    """A padded pattern of zeros and ones made smooth, cut to the shape and rescaled to 0..1."""
+    m = convolve(open_, gaussian_kernel(sigma))[pad // 2 : pad // 2 + shape[0], pad // 2 : pad // 2 + shape[1]]
+    return (m - m.min()) / (m.max() - m.min() or 1)
+
+
 def footprint_filter(shape: tuple[int, int], sigma: float = 7, direction: str = "both", buffer_center: float = 0.25, buffer_filter: int = 3) -> np.ndarray:
-    """Weights in the wavenumber domain (unshifted): bars along the axes, smooth, inverted; the centre stays open."""
+    """Weights in the wavenumber domain (unshifted): bars along the axes, smooth, inverted; the centre stays open.
+
+    A footprint along inlines (rows) lies on the column of zero crossline
+    wavenumber, one along crosslines on the row of zero inline wavenumber. On a
+    profile (rows are traces, columns time), twt takes the bar along the shorter
+    axis's wavenumber: crosslines if there are more rows than columns, else
+    inlines.
+    """
     pad = int(5 * sigma)
-    ny, nx = shape[0] + pad, shape[1] + pad
-    m, cy, cx = np.zeros((ny, nx)), ny // 2 + 1, nx // 2 + 1
-    ly, lx = int(ny * (1 - buffer_center) / 2), int(nx * (1 - buffer_center) / 2)
+    n = (shape[0] + pad, shape[1] + pad)
+    m = np.zeros(n)
+    if direction == "twt":
+        direction = "xline" if shape[0] > shape[1] else "iline"
+    centre = [slice(k // 2 + 1 - buffer_filter, k // 2 + 2 + buffer_filter) for k in n]
+    reach = [round(k * (1 - buffer_center) + 0.5) // 2 for k in n]
     if direction in ("both", "iline"):
-        m[cy - buffer_filter : cy + buffer_filter, :lx] = m[cy - buffer_filter : cy + buffer_filter, nx - lx :] = 1
-    if direction in ("both", "xline", "twt"):
-        m[:ly, cx - buffer_filter : cx + buffer_filter] = m[ny - ly :, cx - buffer_filter : cx + buffer_filter] = 1
-    m = convolve(m, gaussian_kernel(sigma))[pad // 2 : pad // 2 + shape[0], pad // 2 : pad // 2 + shape[1]]
-    m = (m - m.min()) / (m.max() - m.min() or 1)
-    return np.fft.ifftshift(1 - m)
+        m[: reach[0], centre[1]] = m[n[0] - reach[0] :, centre[1]] = 1
+    if direction in ("both", "xline"):
+        m[centre[0], : reach[1]] = m[centre[0], n[1] - reach[1] :] = 1
+    return np.fft.ifftshift(1 - _weights(shape, m, pad, sigma))
 
 
 def filtered(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.fft.ifft2(np.fft.fft2(x) * weights).real
 
 
-def antialias_filter(shape: tuple[int, int], factors: tuple[float, float], sigma: float = 7, share: float = 0.98) -> np.ndarray:
-    """A low-pass band whose half-widths are the share of what the grid held before it was upsampled."""
+def antialias_filter(shape: tuple[int, int], factors: tuple[float, float], direction: str | None = None, sigma: float = 7, share: float = 0.98) -> np.ndarray:
+    """Weights that keep, along one axis, the wavenumbers that the grid held before it was upsampled by the factors (iline, xline).
+
+    The band left out at each side is `share` of 1 - other factor / own factor
+    of half the axis; without a direction, that of the axis that was upsampled
+    more. Weights are at least 1e-3.
+    """
     pad = int(5 * sigma)
-    ny, nx = shape[0] + pad, shape[1] + pad
-    hy, hx = max(1, int(ny / factors[0] * share / 2)), max(1, int(nx / factors[1] * share / 2))
-    m = np.zeros((ny, nx))
-    m[ny // 2 - hy : ny // 2 + hy + 1, nx // 2 - hx : nx // 2 + hx + 1] = 1
-    m = convolve(m, gaussian_kernel(sigma))[pad // 2 : pad // 2 + shape[0], pad // 2 : pad // 2 + shape[1]]
-    m = (m - m.min()) / (m.max() - m.min() or 1)
-    return np.fft.ifftshift(np.maximum(m, 1e-3))
+    axis = {"iline": 0, "xline": 1}[direction or ("iline" if factors[0] > factors[1] else "xline")]
+    out = round(shape[axis] * (1 - factors[1 - axis] / factors[axis]) * share) // 2 + pad
+    m = np.zeros((shape[0] + pad, shape[1] + pad))
+    np.moveaxis(m, axis, 0)[out : m.shape[axis] - out] = 1
+    return np.fft.ifftshift(1e-3 + (1 - 1e-3) * _weights(shape, m, pad, sigma))
 
 
 def noise_level(x: np.ndarray) -> float:

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.amplitudes import median_of
+from ..kernels import dsp
 from .windows import over, whole
 
+KINDS = ("linear", "slinear", "nearest", "nearest-up", "zero", "previous", "next", "quadratic", "cubic")
+
 
 def zscore(df: DataFrame, keys, value: str, threshold: float = 1.0) -> DataFrame:
     """Adds `outlier`: |x - mean| / population deviation above the threshold."""
@@ -81,7 +87,16 @@ def keep_boundaries(df: DataFrame, keys, order, flag: str = "outlier") -> DataFr
 
 
 def interpolated(df: DataFrame, keys, order, value: str, flag: str = "outlier", kind: str = "linear") -> DataFrame:
-    """Replaces flagged values from the others of the line, by their row numbers: linear, previous, next or nearest (halves to the earlier)."""
+    """Replaces flagged values from the others of the line, by their row numbers.
+
+    linear (slinear), previous (zero), next, nearest (halves to the earlier) and
+    nearest-up (to the later) are window functions; quadratic and cubic splines
+    take a line's values together.
+    """
+    if kind not in KINDS:
+        raise ValueError(f"kind {kind!r} is none of {', '.join(KINDS)}")
+    if kind in ("quadratic", "cubic"):
+        return _spline_filled(df, keys, order, value, flag, kind)
     d = df.withColumn("row", F.row_number().over(over(keys, order)))
     at, v = F.when(~F.col(flag), F.col("row")), F.when(~F.col(flag), F.col(value))
     back, ahead = over(keys, order, None, 0), over(keys, order, 0, None)
@@ -93,16 +108,49 @@ def interpolated(df: DataFrame, keys, order, value: str, flag: str = "outlier",
         "previous": x,
         "next": y,
         "nearest": F.when(r - a <= b - r, x).otherwise(y),
-    }[kind]
+        "nearest-up": F.when(r - a < b - r, x).otherwise(y),
+    }[{"slinear": "linear", "zero": "previous"}.get(kind, kind)]
     return d.withColumn(value, F.when(F.col(flag), F.coalesce(new, x, y)).otherwise(F.col(value))).drop("row")
 
 
+def _spline_filled(df: DataFrame, keys, order, value: str, flag: str, kind: str) -> DataFrame:
+    schema = T.StructType([T.StructField(f.name, T.DoubleType() if f.name == value else f.dataType) for f in df.schema.fields])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, bad = pdf[value].to_numpy(float).copy(), pdf[flag].to_numpy(bool)
+        good = np.flatnonzero(~bad)
+        if bad.any() and len(good):
+            at = np.flatnonzero(bad).clip(good[0], good[-1])
+            v[bad] = dsp.interpolated(good.astype(float), v[good], at.astype(float), kind)
+        return pdf.assign(**{value: v})
+
+    return _line_by_line(df, keys, order, schema, run)
+
+
+def _line_by_line(df: DataFrame, keys, order, schema: T.StructType, kernel) -> DataFrame:
+    return df.groupBy(*keys).applyInPandas(lambda pdf: kernel(pdf.sort_values(list(order), kind="stable")), schema)
+
+
+def moving_zscore(df: DataFrame, keys, order, value: str, win: int = 11, threshold: float = 1.0) -> DataFrame:
+    """Adds `outlier`: |x - Hann-weighted moving mean| / the line's population deviation above the threshold. A line with fewer values than the window has none."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf[value].to_numpy(float)
+        if len(x) < win or x.std() == 0:
+            return pdf.assign(outlier=False)
+        return pdf.assign(outlier=np.abs(x - dsp.smooth(x, win)) / x.std() > threshold)
+
+    return _line_by_line(df, keys, order, T.StructType([*df.schema.fields, T.StructField("outlier", T.BooleanType())]), run)
+
+
 def replaced(df: DataFrame, keys, order, value: str, method: str = "IQR", kind: str = "linear", win: int = 11, threshold: float = 3.0, boundaries: bool = True) -> DataFrame:
-    """Outliers found by IQR, z-score, MAD, doubleMAD or r_singleMAD / r_doubleMAD (rolling), then interpolated. Adds `outlier`."""
+    """Outliers found by IQR, z-score, r_z-score, MAD, doubleMAD or r_singleMAD / r_doubleMAD (r_: rolling), then interpolated by one of KINDS. Adds `outlier`."""
     if method == "IQR":
         d = iqr(df, keys, value)
     elif method == "z-score":
         d = zscore(df, keys, value)
+    elif method == "r_z-score":
+        d = moving_zscore(df, keys, order, value, win)
     elif method in ("MAD", "doubleMAD"):
         d = mad(df, keys, value, threshold, "single" if method == "MAD" else "double")
     elif method in ("r_singleMAD", "r_doubleMAD"):

@@ -24,6 +24,27 @@ def on_samples(kernel: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column],
     return run
 
 
+def on_matrix(kernel: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
+    """The same for a kernel that takes many traces of one length as the rows of a matrix."""
+
+    @F.pandas_udf("array<double>")
+    def run(s: pd.Series) -> pd.Series:
+        out = s.copy()
+        sizes = s.map(lambda x: -1 if x is None else len(x)).to_numpy()
+        for n in np.unique(sizes[sizes > 0]):
+            at = np.flatnonzero(sizes == n)
+            for i, row in zip(at, kernel(np.stack(s.iloc[at].to_list()).astype(float)), strict=True):
+                out.iat[i] = row
+        return out
+
+    return run
+
+
+def agc(samples: Column, win: int, kind: str = "rms", squared: bool = False) -> Column:
+    """functions.amplitudes.agc in Arrow batches: running sums, so the cost does not grow with the window."""
+    return on_matrix(lambda x: dsp.agc(x, win, kind, squared))(samples)
+
+
 def envelope(samples: Column) -> Column:
     return on_samples(dsp.envelope)(samples)
 
@@ -31,7 +52,7 @@ def envelope(samples: Column) -> Column:
 def butterworth(samples: Column, kind: str, cutoff, fs: float, order: int = 9) -> Column:
     """Zero-phase; the sections are designed once, on the driver."""
     sos = dsp.butter_sos(order, cutoff, kind, fs)
-    return on_samples(lambda x: dsp.sosfiltfilt(sos, x))(samples)
+    return on_matrix(lambda x: dsp.sosfiltfilt(sos, x))(samples)
 
 
 def filter_frequency(samples: Column, freqs, fs: float, kind: str) -> Column:
@@ -163,8 +184,9 @@ def remove_footprint(sl: DataFrame, n_il: int, n_xl: int, sigma: float = 7, dire
     return sl.withColumn("grid", on_slices(lambda x: slices.filtered(x, weights))(F.col("grid"), F.col("n_xl")))
 
 
-def antialias(sl: DataFrame, n_il: int, n_xl: int, factors: tuple[float, float], sigma: float = 7) -> DataFrame:
-    weights = slices.antialias_filter((n_il, n_xl), factors, sigma)
+def antialias(sl: DataFrame, n_il: int, n_xl: int, factors: tuple[float, float], direction: str | None = None, sigma: float = 7) -> DataFrame:
+    """Aliases of an upsampling by the factors (iline, xline) damped in the wavenumber domain."""
+    weights = slices.antialias_filter((n_il, n_xl), factors, direction, sigma)
     return sl.withColumn("grid", on_slices(lambda x: slices.filtered(x, weights))(F.col("grid"), F.col("n_xl")))
 
 
@@ -176,8 +198,29 @@ def noise_level(grid: Column, n_xl: Column) -> Column:
     return run(grid, n_xl)
 
 
-def upsample(cube: DataFrame, axis: str, by: list[str], value: str = "amp", method: str = "linear") -> DataFrame:
-    """Rows for every number of the axis between the least and the largest of each key in `by`; linear or nearest (halves to the lower)."""
+UPSAMPLING = ("linear", "slinear", "nearest", "cubic", "polynomial")
+
+
+def upsample(cube: DataFrame, axis: str, by: list[str], value: str = "amp", method: str = "linear", order: int = 3) -> DataFrame:
+    """Rows for every number of the axis between the least and the largest of each key in `by`.
+
+    linear (or slinear) and nearest (halves to the lower) are window functions;
+    cubic is the not-a-knot spline through a key's values, polynomial the spline
+    of the given order (1 to 3), both over one key's profile at a time.
+    """
+    if method not in UPSAMPLING:
+        raise ValueError(f"method {method!r} is none of {', '.join(UPSAMPLING)}")
+    if method in ("cubic", "polynomial") and not (method == "polynomial" and order == 1):
+        kind = {2: "quadratic", 3: "cubic"}[order if method == "polynomial" else 3]
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(axis)
+            at = np.arange(pdf[axis].iloc[0], pdf[axis].iloc[-1] + 1)
+            new = dsp.interpolated(pdf[axis].to_numpy(float), pdf[value].to_numpy(float), at.astype(float), kind)
+            return pd.DataFrame({**{k: pdf[k].iloc[0] for k in by}, axis: at, value: new})
+
+        d = cube.select(*by, axis, F.col(value).cast("double").alias(value))
+        return d.groupBy(*by).applyInPandas(run, d.schema)
     ends = cube.groupBy(*by).agg(F.min(axis).alias("lo"), F.max(axis).alias("hi"))
     every = ends.select(*by, F.explode(F.sequence("lo", "hi")).alias(axis))
     d = every.join(cube.select(*by, axis, value, F.lit(1).alias("own")), [*by, axis], "left")
@@ -187,7 +230,7 @@ def upsample(cube: DataFrame, axis: str, by: list[str], value: str = "amp", meth
     a, b = F.last(at, ignorenulls=True).over(back), F.first(at, ignorenulls=True).over(ahead)
     x, y = F.last(v, ignorenulls=True).over(back), F.first(v, ignorenulls=True).over(ahead)
     k = F.col(axis)
-    new = x + (y - x) * (k - a) / F.nullif(b - a, F.lit(0)) if method == "linear" else F.when(k - a <= b - k, x).otherwise(y)
+    new = F.when(k - a <= b - k, x).otherwise(y) if method == "nearest" else x + (y - x) * (k - a) / F.nullif(b - a, F.lit(0))
     return d.withColumn(value, F.when(F.col("own") == 1, F.col(value)).otherwise(new)).select(*by, axis, value)
 
 

@@ -131,3 +131,104 @@ def test_seafloor_and_static():
     s = picking.static(noisy)
     assert np.abs(s).max() <= 12 and np.std(np.diff(noisy + s)) < np.std(np.diff(noisy))
     assert np.abs(picking.static(noisy, depressions=(5, 1, 2))).max() <= 12
+
+
+def pattern(shape, sigma, ones):
+    """Weights of a padded pattern of ones, by a direct convolution and plain loops."""
+    pad = 5 * sigma
+    m = np.zeros((shape[0] + pad, shape[1] + pad))
+    for y, x in ones(*m.shape):
+        m[y, x] = 1
+    r = 4 * sigma
+    g = [np.exp(-(d**2) / (2 * sigma**2)) for d in range(-r, r + 1)]
+    out = np.zeros(shape)
+    for y in range(shape[0]):
+        for x in range(shape[1]):
+            for a in range(-r, r + 1):
+                for b in range(-r, r + 1):
+                    yy, xx = y + pad // 2 - a, x + pad // 2 - b
+                    if 0 <= yy < m.shape[0] and 0 <= xx < m.shape[1] and m[yy, xx]:
+                        out[y, x] += g[a + r] * g[b + r]
+    return (out - out.min()) / (out.max() - out.min())
+
+
+def test_footprint_filter_by_loops():
+    shape, keep, half = (14, 18), 0.25, 1
+
+    def bars(direction):
+        def ones(ny, nx):
+            ly, lx = round(ny * (1 - keep) + 0.5) // 2, round(nx * (1 - keep) + 0.5) // 2
+            for d in range(-half, half + 1):
+                if direction in ("both", "iline"):
+                    yield from ((y, nx // 2 + 1 + d) for y in [*range(ly), *range(ny - ly, ny)])
+                if direction in ("both", "xline"):
+                    yield from ((ny // 2 + 1 + d, x) for x in [*range(lx), *range(nx - lx, nx)])
+
+        return ones
+
+    for direction in ("both", "iline", "xline"):
+        want = np.fft.ifftshift(1 - pattern(shape, 1, bars(direction)))
+        assert np.allclose(slices.footprint_filter(shape, 1, direction, keep, half), want, atol=1e-9)
+    f = lambda s, d: slices.footprint_filter(s, 1, d, keep, half)
+    assert np.allclose(f((18, 14), "twt"), f((18, 14), "xline")) and np.allclose(f(shape, "twt"), f(shape, "iline"))
+    # stripes along inlines change from inline to inline only: their wavenumbers lie on the column 0
+    w = slices.footprint_filter((40, 60), 2, "iline")
+    assert w[15, 0] < 0.1 and w[0, 20] > 0.9 and w[15, 30] > 0.9 and w[0, 0] > 0.5
+
+
+def test_antialias_filter_by_loops():
+    shape = (60, 40)
+    for factors, direction in (((4, 1), "iline"), ((1, 3), "xline"), ((2, 1), None), ((1, 2), None)):
+        axis = 0 if (direction or ("iline" if factors[0] > factors[1] else "xline")) == "iline" else 1
+        out = round(shape[axis] * (1 - factors[1 - axis] / factors[axis]) * 0.98) // 2 + 5
+
+        def ones(ny, nx, axis=axis, out=out):
+            return [(y, x) for y in range(ny) for x in range(nx) if out <= (y, x)[axis] < (ny, nx)[axis] - out]
+
+        want = np.fft.ifftshift(1e-3 + 0.999 * pattern(shape, 1, ones))
+        got = slices.antialias_filter(shape, factors, direction, 1)
+        assert np.allclose(got, want, atol=1e-9) and got.min() >= 1e-3 - 1e-12
+
+
+def test_filters_of_many_traces_at_once():
+    x = np.random.default_rng(5).normal(size=(7, 90))
+    sos = dsp.butter_sos(4, (2.0, 6.0), "bandpass", 20.0)
+    both = dsp.sosfiltfilt(sos, x)
+    assert both.shape == x.shape and all(np.allclose(both[i], dsp.sosfiltfilt(sos, x[i])) for i in range(7))
+    assert np.allclose(dsp.agc(np.zeros((2, 9)), 5), 0)
+    for kind in ("rms", "mean", "median"):
+        got = dsp.agc(x, 5, kind)
+        p = np.pad(x, ((0, 0), (2, 2)))
+        for i in range(7):
+            for k in range(90):
+                w = p[i, k : k + 5]
+                g = {"rms": np.sqrt((w**2).mean()), "mean": w.mean(), "median": np.median(w)}[kind]
+                assert np.isclose(got[i, k], x[i, k] / (g or 1), rtol=1e-6)
+        assert np.allclose(dsp.agc(x, 5, kind, True), np.sign(got) * got**2)
+
+
+def test_interpolation_kinds():
+    x = np.array([0.0, 1, 4, 5, 7, 9])
+    at = np.linspace(0, 9, 37)
+    line, parabola, cubic = 2 * x - 3, x**2 - 4 * x, x**3 - x
+    assert np.allclose(dsp.interpolated(x, line, at, "slinear"), 2 * at - 3)
+    assert np.allclose(dsp.interpolated(x, parabola, at, "quadratic"), at**2 - 4 * at)
+    assert np.allclose(dsp.interpolated(x, cubic, at, "cubic"), at**3 - at)
+    y = np.array([1.0, 5, 2, 2, 8, 0])
+    assert np.allclose(dsp.interpolated(x, y, x, "quadratic"), y) and dsp.interpolated(x, y, np.array([3.9, 4.0]), "zero").tolist() == [5, 2]
+    assert np.allclose(dsp.interpolated(x[:3], y[:3], x[:3], "quadratic"), y[:3]) and np.allclose(dsp.interpolated(x[:2], y[:2], np.array([0.5]), "quadratic"), 3)
+    with pytest.raises(ValueError):
+        dsp.interpolated(x, y, at, "nope")
+
+
+def test_seafloor_window_reaches_both_ends():
+    data = np.full((30, 400), 0.01)
+    data[:, 200:203] = 1.0  # what the energy ratio finds first
+    data[:, 230] = 9.0
+    found = picking.seafloor(data, win=30, n=1, post=False, threshold=5.0)
+    at = found[0]
+    assert (found == at).all() and at in (200, 230)
+    first = [p for p in range(170, 231) if picking.seafloor(data, win=230 - p, n=1, post=False, threshold=5.0)[0] == 230]
+    assert first and max(first) == 200  # a window of exactly the distance holds the peak
+    padded = np.pad(data, ((0, 0), (50, 0)))
+    assert (picking.seafloor(padded, win=30, n=1, post=False, threshold=5.0, start=np.full(30, 50)) == at + 50).all()
