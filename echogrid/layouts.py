@@ -11,6 +11,8 @@ for each bin of a slice; its size is the grid's, not the survey's.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,16 +28,29 @@ def to_traces(samples: DataFrame, *keys: str, value: str = "amp", name: str = "s
     return samples.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", value))), lambda s: s[value]).alias(name))
 
 
-def to_slices(cube: DataFrame, n_il: int, n_xl: int, value: str = "amp") -> DataFrame:
-    """Rows (il, xl, i, value), il and xl from 1, to L3; bins without a row are zero, of repeated ones the least value counts."""
-    at = ((F.col("il") - 1) * n_xl + F.col("xl") - 1).cast("int")
-    cell = F.struct(at.alias("k"), F.lit(0).alias("empty"), F.col(value).cast("double").alias("v"))
-    g = cube.groupBy(F.col("i").alias("slice")).agg(F.collect_list(cell).alias("own"))
-    # a zero for every bin sorts behind the bin's own value; the first of each bin is kept
-    zeros = F.transform(F.sequence(F.lit(0), F.lit(n_il * n_xl - 1)), lambda k: F.struct(k.alias("k"), F.lit(1).alias("empty"), F.lit(0.0).alias("v")))
-    g = g.withColumn("all", F.array_sort(F.concat("own", zeros)))
-    grid = F.transform(F.filter("all", lambda x, j: (j == 0) | (F.get("all", j - 1)["k"] != x["k"])), lambda x: x["v"])
-    return g.select("slice", F.lit(n_il).alias("n_il"), F.lit(n_xl).alias("n_xl"), grid.alias("grid"))
+def to_slices(cube: DataFrame, n_il: int, n_xl: int, value: str = "amp", imag: str | None = None) -> DataFrame:
+    """Rows (il, xl, i, value[, imag]), il and xl from 1, to L3; bins without a row are zero, of repeated ones the least value counts.
+
+    One shuffle; a slice is put together in an array of the grid's size.
+    """
+    values = [value, *([imag] if imag else [])]
+    at = ((F.col("il") - 1).cast("long") * n_xl + F.col("xl") - 1).alias("k")
+    schema = "slice long, n_il int, n_xl int, grid array<double>" + ", imag array<double>" * bool(imag)
+
+    def build(t: pa.Table) -> pa.Table:
+        k, v = t.column("k").to_numpy(), [t.column(f"v{j}").to_numpy() for j in range(len(values))]
+        order = np.lexsort((*reversed(v), k))
+        k, first = k[order], np.r_[True, np.diff(k[order]) != 0]
+        grids = []
+        for x in v:
+            grid = np.zeros(n_il * n_xl)
+            grid[k[first]] = x[order][first]
+            grids.append(pa.array([grid], pa.list_(pa.float64())))
+        names = ["slice", "n_il", "n_xl", "grid", "imag"][: 3 + len(grids)]
+        return pa.Table.from_arrays([t.column("slice")[:1], pa.array([n_il], pa.int32()), pa.array([n_xl], pa.int32()), *grids], names=names)
+
+    d = cube.select(F.col("i").cast("long").alias("slice"), at, *[F.col(c).cast("double").alias(f"v{j}") for j, c in enumerate(values)])
+    return d.groupBy("slice").applyInArrow(build, schema)
 
 
 def from_slices(slices: DataFrame, grid: str = "grid", value: str = "amp") -> DataFrame:

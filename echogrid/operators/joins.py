@@ -71,11 +71,13 @@ def intersections(segs: DataFrame, cell: float) -> DataFrame:
 
 def nearest_vertex(points: DataFrame, targets: DataFrame, line: str, order: str = "tracl", point_line: str = "line") -> DataFrame:
     """Target's columns, then nearest and dist: the vertex of the target's line that is nearest, ties to the smaller number."""
-    p = points.select(F.col(point_line).alias("p_line"), F.col(order).alias("p_order"), F.col("x").alias("px"), F.col("y").alias("py"))
+    v = F.struct(F.col("x").alias("px"), F.col("y").alias("py"), F.col(order).alias("p_order"))
+    # a line's vertices are one value, some thousand points; a target meets them once and no row is made for a pair
+    p = points.groupBy(F.col(point_line).alias("p_line")).agg(F.collect_list(v).alias("vertices"))
     j = targets.join(p, F.col(line) == F.col("p_line"))
-    d = distance(F.col("x"), F.col("y"), F.col("px"), F.col("py"))
-    g = j.withColumn("d", d).groupBy(*targets.columns).agg(F.min(F.struct("d", "p_order")).alias("m"))
-    return g.select(*targets.columns, F.col("m")["p_order"].alias("nearest"), F.col("m")["d"].alias("dist"))
+    far = lambda q: F.struct(distance(F.col("x"), F.col("y"), q["px"], q["py"]).alias("d"), q["p_order"].alias("p_order"))
+    j = j.withColumn("m", F.array_min(F.transform("vertices", far)))
+    return j.select(*targets.columns, F.col("m")["p_order"].alias("nearest"), F.col("m")["d"].alias("dist"))
 
 
 def lines_with_files(nav: DataFrame, files: DataFrame, line: str = "line", file: str = "file", pattern: str = "(.*)_UTM") -> DataFrame:

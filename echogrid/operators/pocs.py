@@ -7,24 +7,38 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..kernels.pocs import pocs
 
 SCHEMA = "slice long, n_il int, n_xl int, grid array<double>, imag array<double>, niter int, cost double, runtime double"
 
 
-def interpolate(slices: DataFrame, mask: list[int], **options) -> DataFrame:
+def mask_of(bins: DataFrame, n_il: int, n_xl: int, fold: str = "fold") -> np.ndarray:
+    """Row-major 0 or 1 of each bin of rows (il, xl, fold), a byte a bin; bins without a row are 0.
+
+    It is one number a bin of one slice, and each slice is a value of eight
+    bytes a bin already.
+    """
+    t = bins.where(F.col(fold) > 0).select(((F.col("il") - 1).cast("long") * n_xl + F.col("xl") - 1).alias("k")).toArrow()
+    out = np.zeros(n_il * n_xl, np.uint8)
+    out[t.column("k").to_numpy()] = 1
+    return out
+
+
+def interpolate(slices: DataFrame, mask: np.ndarray | list[int], **options) -> DataFrame:
     """Slices (slice, n_il, n_xl, grid[, imag]) with the bins of mask 0 filled; niter, cost and runtime of each.
 
     The mask, row-major, is the cube's fold clipped to 0 or 1: one number a
     bin, the same for all slices. Slices are independent, so there is no
     shuffle; repartition before for more parallel tasks than input partitions.
     """
-    m = np.asarray(mask, float)
+    shared = slices.sparkSession.sparkContext.broadcast(np.asarray(mask, np.uint8))
     has_imag = "imag" in slices.columns
     d = slices.select("slice", "n_il", "n_xl", "grid", *(["imag"] if has_imag else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value.astype(float)
         for b in batches:
             out = {n: [] for n in ("grid", "imag", "niter", "cost", "runtime")}
             for i in range(b.num_rows):

@@ -95,9 +95,9 @@ def _(s, d):
 
 @query("a17_slice_major", a.with_("cube", more="c AS (SELECT il, xl, unnest(range(len(s)))::INT AS i, unnest(s) AS amp FROM cube)") + "SELECT i AS slice, il, xl, amp FROM c")
 def _(s, d):
-    long = layouts.to_samples(a.cube(s, d)).select("il", "xl", "i", "amp")
-    n_il = long.agg(F.max("il")).first()[0]
-    back = layouts.from_slices(layouts.to_slices(long, n_il, 40))
+    c = a.cube(s, d)
+    long = layouts.to_samples(c).select("il", "xl", "i", "amp")
+    back = layouts.from_slices(layouts.to_slices(long, *a.extent(c)))
     return back.join(long.select("il", "xl").distinct(), ["il", "xl"], "left_semi").select("slice", "il", "xl", "amp")
 
 
@@ -284,10 +284,10 @@ def _(s, d):
 
 @query(
     "c1_nearest_join",
-    a.with_("points", more="ref AS (SELECT DISTINCT p_size::DOUBLE AS v FROM part WHERE p_size % 4 = 0), m AS (SELECT p.line, p.tracl, p.price, v, row_number() OVER (PARTITION BY p.line, p.tracl ORDER BY abs(x - v), v) AS r FROM points p, ref)") + "SELECT line, tracl, price, v AS nearest FROM m WHERE r = 1",
+    a.with_("points", more="ref AS (SELECT DISTINCT p_size::DOUBLE AS v FROM part), m AS (SELECT p.line, p.tracl, p.price, v, row_number() OVER (PARTITION BY p.line, p.tracl ORDER BY abs(x - v), v) AS r FROM points p, ref)") + "SELECT line, tracl, price, v AS nearest FROM m WHERE r = 1",
 )
 def _(s, d):
-    ref = a.table(s, d, "part").where("p_size % 4 = 0").select(F.col("p_size").cast("double").alias("v"))
+    ref = a.table(s, d, "part").select(F.col("p_size").cast("double").alias("v"))
     return joins.nearest_join(a.points(s, d), "x", ref, "v").select("line", "tracl", "price", "nearest")
 
 
@@ -306,28 +306,26 @@ def _(s, d):
     return joins.segments(a.nav(s, d))
 
 
-_SEG = "seg AS (SELECT * FROM (SELECT line, tracl AS seg, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM nav WINDOW w AS (PARTITION BY line ORDER BY tracl)) WHERE x1 IS NOT NULL AND line <= 40)"
+_SEG = "seg AS (SELECT * FROM (SELECT line, tracl AS seg, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM tracks WINDOW w AS (PARTITION BY line ORDER BY tracl)) WHERE x1 IS NOT NULL)"
 _CROSS = """x AS (SELECT a.line AS line_a, b.line AS line_b, a.seg AS seg_a, b.seg AS seg_b, a.x0, a.y0, a.x1 - a.x0 AS dx, a.y1 - a.y0 AS dy, b.x1 - b.x0 AS ex, b.y1 - b.y0 AS ey, b.x0 - a.x0 AS fx, b.y0 - a.y0 AS fy
-FROM seg a JOIN seg b ON a.line < b.line AND least(a.x0, a.x1) <= greatest(b.x0, b.x1) AND least(b.x0, b.x1) <= greatest(a.x0, a.x1) AND least(a.y0, a.y1) <= greatest(b.y0, b.y1) AND least(b.y0, b.y1) <= greatest(a.y0, a.y1)),
+FROM (SELECT *, line + unnest(range(1, 6)) AS other FROM seg) a JOIN seg b ON a.other = b.line),
 tu AS (SELECT *, (fx * ey - fy * ex) / nullif(dx * ey - dy * ex, 0) AS t, (fx * dy - fy * dx) / nullif(dx * ey - dy * ex, 0) AS u FROM x),
 cross_ AS (SELECT line_a, line_b, seg_a, seg_b, x0 + t * dx AS x, y0 + t * dy AS y FROM tu WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1)"""
 
 
-@query("c4_intersections", a.with_("nav", more=f"{_SEG}, {_CROSS}") + "SELECT line_a, line_b, seg_a, seg_b, round(x, 4) AS x, round(y, 4) AS y FROM cross_")
+@query("c4_intersections", a.with_("tracks", more=f"{_SEG}, {_CROSS}") + "SELECT line_a, line_b, seg_a, seg_b, round(x, 4) AS x, round(y, 4) AS y FROM cross_")
 def _(s, d):
-    x = joins.intersections(joins.segments(a.nav(s, d).where("line <= 40")), 400.0)
-    return rounded(x, "x", "y", digits=4)
+    return rounded(joins.intersections(joins.segments(a.tracks(s, d)), 20.0), "x", "y", digits=4)
 
 
 @query(
     "c5_nearest_vertices",
-    a.with_("nav", more=f"{_SEG}, {_CROSS}, m AS (SELECT c.*, n.tracl, sqrt((c.x - n.x) * (c.x - n.x) + (c.y - n.y) * (c.y - n.y)) AS d FROM cross_ c JOIN nav n ON n.line = c.line_a)")
+    a.with_("tracks", more=f"{_SEG}, {_CROSS}, m AS (SELECT c.*, n.tracl, sqrt((c.x - n.x) * (c.x - n.x) + (c.y - n.y) * (c.y - n.y)) AS d FROM cross_ c JOIN tracks n ON n.line = c.line_a)")
     + "SELECT line_a, line_b, seg_a, seg_b, arg_min(tracl, (round(d, 6), tracl)) AS nearest, round(min(d), 4) AS dist FROM m GROUP BY line_a, line_b, seg_a, seg_b",
 )
 def _(s, d):
-    n = a.nav(s, d)
-    x = joins.intersections(joins.segments(n.where("line <= 40")), 400.0)
-    v = joins.nearest_vertex(n.select("line", "tracl", "x", "y"), x, "line_a")
+    n = a.tracks(s, d)
+    v = joins.nearest_vertex(n, joins.intersections(joins.segments(n), 20.0), "line_a")
     return v.select("line_a", "line_b", "seg_a", "seg_b", "nearest", r("dist", 4).alias("dist"))
 
 
@@ -346,9 +344,9 @@ def _(s, d):
     return joins.lines_with_files(nav, files).select("o_orderkey")
 
 
-@query("c7_lines_without_files", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("c7_lines_without_files", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def _(s, d):
-    c, o = a.table(s, d, "customer"), a.table(s, d, "orders")
+    c, o = a.table(s, d, "customer"), a.table(s, d, "orders").where("o_orderstatus = 'F'")  # files that are finished
     return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
@@ -472,16 +470,16 @@ def _(s, d):
 
 @query(
     "d10_noise_level",
-    a.with_("cube", more="""c AS (SELECT il, xl, unnest(range(len(s)))::INT AS i, unnest(s) AS amp FROM cube WHERE xl <= 40), q AS (SELECT i, il, xl, (amp - min(amp) OVER w) / (max(amp) OVER w - min(amp) OVER w) * 255 AS v FROM c WINDOW w AS (PARTITION BY i)),
+    a.with_("cube", "grid", more="""q AS (SELECT i, il, xl, (amp - min(amp) OVER w) / (max(amp) OVER w - min(amp) OVER w) * 255 AS v FROM grid WINDOW w AS (PARTITION BY i)),
 k AS (SELECT dy, dx, CASE WHEN dy = 0 AND dx = 0 THEN 4 WHEN dy = 0 OR dx = 0 THEN -2 ELSE 1 END AS k FROM (VALUES (-1), (0), (1)) a(dy), (VALUES (-1), (0), (1)) b(dx)),
 o AS (SELECT i, il + dy AS y, xl + dx AS x, sum(v * k) AS v FROM q, k GROUP BY ALL)""")
-    + "SELECT i::BIGINT AS slice, round(sum(abs(v)) * sqrt(pi() / 2) / (6 * (40 - 2) * (max(y) - 1 - 2)), 4) AS noise FROM o GROUP BY i",
+    + "SELECT i::BIGINT AS slice, round(sum(abs(v)) * sqrt(pi() / 2) / (6 * (any_value(nx) - 2) * (any_value(ni) - 2)), 4) AS noise FROM o, n GROUP BY i",
 )
 def _(s, d):
     from ..operators import spectral
 
-    long = layouts.to_samples(a.cube(s, d)).select("il", "xl", "i", "amp")
-    sl = layouts.to_slices(long, long.agg(F.max("il")).first()[0], 40)
+    c = a.cube(s, d)
+    sl = layouts.to_slices(layouts.to_samples(c).select("il", "xl", "i", "amp"), *a.extent(c))
     return sl.select(F.col("slice").cast("long").alias("slice"), r(spectral.noise_level(F.col("grid"), F.col("n_xl")), 4).alias("noise"))
 
 
@@ -497,10 +495,10 @@ def _(s, d):
     return windows.islands(f, ["block"], "doc_id", F.col("n_chars") < 1000).select("block", "first", "last", "n")
 
 
-@query("d14_choose_neighbour", "SELECT doc_id, CASE WHEN doc_id - p < n - doc_id THEN 'previous' ELSE 'next' END AS side FROM (SELECT doc_id, lag(doc_id) OVER w AS p, lead(doc_id) OVER w AS n FROM documents WHERE n_chars % 3 = 0 WINDOW w AS (PARTITION BY source ORDER BY doc_id)) WHERE p IS NOT NULL AND n IS NOT NULL")
+@query("d14_choose_neighbour", "SELECT doc_id, CASE WHEN doc_id - p < n - doc_id THEN 'previous' ELSE 'next' END AS side FROM (SELECT doc_id, lag(doc_id) OVER w AS p, lead(doc_id) OVER w AS n FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)) WHERE p IS NOT NULL AND n IS NOT NULL")
 def _(s, d):
     w = Window.partitionBy("source").orderBy("doc_id")
-    p = a.table(s, d, "documents").where("n_chars % 3 = 0").select("doc_id", F.lag("doc_id").over(w).alias("p"), F.lead("doc_id").over(w).alias("n")).where("p is not null and n is not null")
+    p = a.table(s, d, "documents").select("doc_id", F.lag("doc_id").over(w).alias("p"), F.lead("doc_id").over(w).alias("n")).where("p is not null and n is not null")
     return p.select("doc_id", merging.choose_neighbour(F.col("doc_id") - F.col("p"), F.col("n") - F.col("doc_id")).alias("side"))
 
 
@@ -537,8 +535,9 @@ def _(s, d):
 
 @query("d16_line_shifts")
 def _(s, d):
-    t = a.traces(s, d).where("tracl < 200")
-    p = t.where("tracl % 10 = 0").select(F.col("line").alias("line_a"), F.col("samples").alias("samples_a"), F.col("tracl").alias("k"))
-    q = t.where("tracl % 10 = 1").select(F.col("line").alias("line_b"), F.col("samples").alias("samples_b"), (F.col("tracl") - 1).alias("k"))
+    """Two traces that follow each other on different lines stand for a crossing."""
+    t = a.traces(s, d)
+    p = t.select(F.col("line").alias("line_a"), F.col("samples").alias("samples_a"), F.col("tracl").alias("k"))
+    q = t.select(F.col("line").alias("line_b"), F.col("samples").alias("samples_b"), (F.col("tracl") - 1).alias("k"))
     pairs = lines.correlate(p.join(q, "k").where("line_a <> line_b"))
     return lines.line_shifts(pairs, 0.0)

@@ -284,11 +284,13 @@ def _(s, d):
     return delays.pad_delays(a.traces(s, d)).select("line", "tracl", F.posexplode("samples").alias("i", "amp"))
 
 
-@query("g4_static_lowpass", _S + "SELECT line, k, round(m - a, 6) + 0 AS static FROM (SELECT line, k, a, avg(a) OVER w AS m, count(*) OVER w AS n FROM series WINDOW w AS (PARTITION BY line ORDER BY k ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)) WHERE n = 7")
+@query(
+    "g4_static_lowpass",
+    a.with_("series", more="m AS (SELECT *, count(*) OVER (PARTITION BY line) AS n, avg(a) OVER (PARTITION BY line ORDER BY k ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS mid FROM series), f AS (SELECT line, regr_slope(a, k) FILTER (k <= 7) AS s0, regr_intercept(a, k) FILTER (k <= 7) AS i0, regr_slope(a, k) FILTER (k > n - 7) AS s1, regr_intercept(a, k) FILTER (k > n - 7) AS i1 FROM m GROUP BY line)")
+    + "SELECT line, k, round(CASE WHEN n < 7 THEN a WHEN k <= 3 THEN s0 * k + i0 WHEN k > n - 3 THEN s1 * k + i1 ELSE mid END - a, 6) + 0 AS static FROM m JOIN f USING (line)",
+)
 def _(s, d):
-    t = delays.lowpass_static(a.series(s, d), "line", "k", "a", 7)
-    n = F.count("*").over(Window.partitionBy("line").orderBy("k").rowsBetween(-3, 3))
-    return t.withColumn("n", n).where("n = 7").select("line", "k", r("static").alias("static"))
+    return delays.lowpass_static(a.series(s, d), "line", "k", "a", 7).select("line", "k", r("static").alias("static"))
 
 
 @query("g4_static")
@@ -365,12 +367,12 @@ def _(s, d):
 
 # --- I: spectra
 
-_DFT = "dft AS (SELECT line, tracl, k.k::INT AS k, sum(amp * cos(2 * pi() * k.k * i / 64)) AS re, -sum(amp * sin(2 * pi() * k.k * i / 64)) AS im FROM samples, range(33) k(k) WHERE tracl < 100 GROUP BY line, tracl, k.k)"
+_DFT = "dft AS (SELECT line, tracl, k.k::INT AS k, sum(amp * cos(2 * pi() * k.k * i / 64)) AS re, -sum(amp * sin(2 * pi() * k.k * i / 64)) AS im FROM samples, range(33) k(k) GROUP BY line, tracl, k.k)"
 
 
 @query("i10_fft", a.with_("traces", "samples", more=_DFT) + "SELECT line, tracl, k, round(re * 0.05, 6) + 0 AS re, round(im * 0.05, 6) + 0 AS im FROM dft")
 def _(s, d):
-    t = a.traces(s, d).where("tracl < 100").withColumn("z", spectral.fft(layouts.even("samples"), 0.05, real=True))
+    t = a.traces(s, d).withColumn("z", spectral.fft(layouts.even("samples"), 0.05, real=True))
     e = t.select("line", "tracl", F.posexplode(F.arrays_zip("z.re", "z.im")).alias("k", "v")).select("line", "tracl", "k", F.col("v.re").alias("re"), F.col("v.im").alias("im"))
     return rounded(e, "re", "im")
 
@@ -387,7 +389,7 @@ def _(s, d):
     + "SELECT line, tracl, i, round(sqrt(a * a + b * b), 6) + 0 AS amp FROM h",
 )
 def _(s, d):
-    t = a.traces(s, d).where("tracl < 100")
+    t = a.traces(s, d)
     return rounded(t.select("line", "tracl", F.posexplode(spectral.envelope(F.col("samples"))).alias("i", "amp")), "amp")
 
 
@@ -396,16 +398,16 @@ _TAPER = "(0.42::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / 63) + 0.08::DOUBLE *
 
 @query(
     "i2_spectrum",
-    a.with_("traces", "samples") + f"SELECT line, tracl, k.k::INT AS k, round(2 * sqrt(pow(sum(amp * {_TAPER} * cos(2 * pi() * k.k * i / 64)), 2) + pow(sum(amp * {_TAPER} * sin(2 * pi() * k.k * i / 64)), 2)) / sum({_TAPER}), 6) + 0 AS a FROM samples, range(33) k(k) WHERE tracl < 100 GROUP BY line, tracl, k.k",
+    a.with_("traces", "samples") + f"SELECT line, tracl, k.k::INT AS k, round(2 * sqrt(pow(sum(amp * {_TAPER} * cos(2 * pi() * k.k * i / 64)), 2) + pow(sum(amp * {_TAPER} * sin(2 * pi() * k.k * i / 64)), 2)) / sum({_TAPER}), 6) + 0 AS a FROM samples, range(33) k(k) GROUP BY line, tracl, k.k",
 )
 def _(s, d):
-    t = a.traces(s, d).where("tracl < 100")
+    t = a.traces(s, d)
     return rounded(t.select("line", "tracl", F.posexplode(spectral.frequency_spectrum(F.col("samples"), 20.0)).alias("k", "a")), "a")
 
 
 @query("n8_average_spectrum", a.with_("traces", "samples", more=_DFT) + "SELECT k, round(avg(2 * sqrt(re * re + im * im) / 64), 6) + 0 AS amplitude FROM dft GROUP BY k")
 def _(s, d):
-    return rounded(spectral.average_spectrum(a.traces(s, d).where("tracl < 100"), 20.0, taper=False), "amplitude")
+    return rounded(spectral.average_spectrum(a.traces(s, d), 20.0, taper=False), "amplitude")
 
 
 for _kind, _freqs in (("lowpass", 4.0), ("highpass", 2.0), ("bandpass", (2.0, 6.0))):
@@ -463,9 +465,9 @@ def _(s, d):
 
 
 def _cube_slices(s, d):
-    long = layouts.to_samples(a.cube(s, d)).select("il", "xl", "i", "amp")
-    n_il = long.agg(F.max("il")).first()[0]
-    return layouts.to_slices(long, n_il, 40), n_il
+    c = a.cube(s, d)
+    n_il, n_xl = a.extent(c)
+    return layouts.to_slices(layouts.to_samples(c).select("il", "xl", "i", "amp"), n_il, n_xl), n_il, n_xl
 
 
 def _cells(sl):
@@ -474,12 +476,11 @@ def _cells(sl):
 
 @query(
     "i13_smooth_median",
-    a.with_("cube", more="c AS (SELECT il, xl, unnest(range(len(s)))::INT AS i, unnest(s) AS amp FROM cube), m AS (SELECT max(il) AS n FROM c), o AS (SELECT a.i, a.il, a.xl, b.amp FROM c a, m, (VALUES (-1), (0), (1)) p(dy), (VALUES (-1), (0), (1)) q(dx), c b WHERE b.i = a.i AND b.il = greatest(1, least(n, a.il + dy)) AND b.xl = greatest(1, least(40, a.xl + dx)))")
+    a.with_("cube", "grid", more="o AS (SELECT a.i, a.il, a.xl, b.amp FROM grid a, n, (VALUES (-1), (0), (1)) p(dy), (VALUES (-1), (0), (1)) q(dx), grid b WHERE b.i = a.i AND b.il = greatest(1, least(ni, a.il + dy)) AND b.xl = greatest(1, least(nx, a.xl + dx)))")
     + "SELECT i::BIGINT AS slice, il, xl, round(median(amp), 6) + 0 AS amp FROM o GROUP BY i, il, xl",
 )
 def _(s, d):
-    sl, _ = _cube_slices(s, d)
-    return _cells(spectral.smooth_slices(sl, "median"))
+    return _cells(spectral.smooth_slices(_cube_slices(s, d)[0], "median"))
 
 
 @query("i13_smooth_gaussian")
@@ -489,14 +490,12 @@ def _(s, d):
 
 @query("i14_remove_footprint")
 def _(s, d):
-    sl, n = _cube_slices(s, d)
-    return _cells(spectral.remove_footprint(sl, n, 40, sigma=2))
+    return _cells(spectral.remove_footprint(*_cube_slices(s, d), sigma=2))
 
 
 @query("i15_antialias")
 def _(s, d):
-    sl, n = _cube_slices(s, d)
-    return _cells(spectral.antialias(sl, n, 40, (1, 2), sigma=2))
+    return _cells(spectral.antialias(*_cube_slices(s, d), (1, 2), sigma=2))
 
 
 _UPS = a.with_("cube", more="""h AS (SELECT il, xl, s[1] AS amp FROM cube WHERE xl % 3 = 1), e AS (SELECT il, unnest(range(lo, hi + 1))::INT AS xl FROM (SELECT il, min(xl) AS lo, max(xl) AS hi FROM h GROUP BY il)), j AS (SELECT e.il, e.xl, amp, CASE WHEN amp IS NOT NULL THEN e.xl END AS pos FROM e LEFT JOIN h ON h.il = e.il AND h.xl = e.xl),
@@ -626,12 +625,10 @@ def _(s, d):
 def pocs_slices(s, d, **options):
     """The sparse cube, its slices filled: slice, il, xl, amp, niter."""
     c = a.cube(s, d)
-    n_il = c.agg(F.max("il")).first()[0]
-    mask = [[0] * 40 for _ in range(n_il)]
-    for row in c.select("il", "xl", "fold").collect():  # a number a bin
-        mask[row["il"] - 1][row["xl"] - 1] = row["fold"]
+    n_il, n_xl = a.extent(c)
+    mask = pocs.mask_of(c, n_il, n_xl)
     long = layouts.to_samples(c).select("il", "xl", "i", (F.col("amp") * F.col("fold")).alias("amp"))
-    out = pocs.interpolate(layouts.to_slices(long, n_il, 40), [v for row in mask for v in row], **options)
+    out = pocs.interpolate(layouts.to_slices(long, n_il, n_xl), mask, **options)
     e = layouts.from_slices(out)
     return rounded(e.join(out.select("slice", "niter"), "slice"), "amp", digits=4)
 
@@ -752,10 +749,9 @@ def _(s, d):
     return rounded(geometry.bins(s, 8, 10, geometry.coords_to_bins(0, 50, 0, 8, 1, 5)), "x", "y")
 
 
-@query("k26_trace_bins", a.with_("points") + "SELECT line, tracl, round_even(y - 0.5::DOUBLE + 1, 0)::INT AS il, round_even((x - 2.5::DOUBLE) / 5 + 1, 0)::INT AS xl FROM points WHERE x % 5 <> 0 AND (y * 2) % 1 = 0 AND y % 1 <> 0")
+@query("k26_trace_bins", a.with_("points") + "SELECT line, tracl, round_even(y - 0.2::DOUBLE + 1, 0)::INT AS il, round_even((x - 2.3::DOUBLE) / 5 + 1, 0)::INT AS xl FROM points")
 def _(s, d):
-    p = a.points(s, d).where("x % 5 <> 0 and (y * 2) % 1 = 0 and y % 1 <> 0")
-    return geometry.trace_bins(p, geometry.coords_to_bins(0, 50, 0, 8, 1, 5)).select("line", "tracl", "il", "xl")
+    return geometry.trace_bins(a.points(s, d), geometry.coords_to_bins(-0.2, 49.8, -0.3, 7.7, 1, 5)).select("line", "tracl", "il", "xl")
 
 
 @query("k26_subsampled", a.with_("cube") + "SELECT ((il - 1) // 2 + 1)::INT AS il, ((xl - 1) // 3 + 1)::INT AS xl, fold FROM cube WHERE (il - 1) % 2 = 0 AND (xl - 1) % 3 = 0")
