@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,14 +52,68 @@ def infill(bins: DataFrame, stacked: DataFrame) -> DataFrame:
 
 
 def stack_traces(traces: DataFrame, bins: DataFrame, n: int, method: str = "average", factor: float = 1.0) -> DataFrame:
-    """Whole traces (il, xl, dist, samples) to one trace a bin, on an axis of n samples; empty bins are zero traces with fold 0."""
-    long = traces.join(bins.select("il", "xl"), ["il", "xl"], "left_semi").select("il", "xl", "dist", F.posexplode("samples").alias("i", "amp"))
-    s = stack(long, method, factor, ties=["amp"], extra=["i"])
-    cube = s.groupBy("il", "xl").agg(F.max("fold").alias("fold"), F.transform(F.array_sort(F.collect_list(F.struct("i", "amp"))), lambda v: v["amp"]).alias("samples"))
+    """Whole traces (il, xl, dist, samples) to one trace a bin, on an axis of n samples; empty bins are zero traces with fold 0.
+
+    average and idw add traces up as arrays, first within a task; nearest takes
+    one trace, ties by its samples; only the median needs the samples of a bin
+    one by one.
+    """
+    d = traces.join(bins.select("il", "xl"), ["il", "xl"], "left_semi").select("il", "xl", "dist", "samples")
+    if method in ("average", "idw"):
+        cube = _summed(d, factor if method == "idw" else 0.0)
+    elif method == "nearest":
+        cube = d.groupBy("il", "xl").agg(F.count("*").cast("int").alias("fold"), F.min(F.struct("dist", "samples"))["samples"].alias("samples"))
+    else:
+        s = stack(d.select("il", "xl", "dist", F.posexplode("samples").alias("i", "amp")), method, factor, ties=["amp"], extra=["i"])
+        cube = s.groupBy("il", "xl").agg(F.max("fold").alias("fold"), F.transform(F.array_sort(F.collect_list(F.struct("i", "amp"))), lambda v: v["amp"]).alias("samples"))
     full = bins.join(cube, ["il", "xl"], "left")
     return full.withColumns({"fold": F.coalesce("fold", F.lit(0)), "samples": F.coalesce("samples", F.array_repeat(F.lit(0.0), n))})
 
 
+#: Bins whose sums a task holds before it sends them.
+HELD_BINS = 20_000
+
+
+def _summed(d: DataFrame, factor: float) -> DataFrame:
+    """il, xl, fold, samples: means weighted by distance ** -factor, added up in each task and once more behind the shuffle."""
+    parts = "il int, xl int, fold int, weight double, total binary"
+
+    def rows(held: dict) -> pa.RecordBatch:
+        il, xl = ([k[j] for k in held] for j in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(il, pa.int32()), pa.array(xl, pa.int32()), pa.array([v[0] for v in held.values()], pa.int32()), pa.array([v[1] for v in held.values()], pa.float64()), pa.array([v[2].tobytes() for v in held.values()], pa.binary())], names=["il", "xl", "fold", "weight", "total"])
+
+    def add(held: dict, key: tuple, fold: int, weight: float, total: np.ndarray) -> None:
+        if key not in held:
+            held[key] = [fold, weight, total.copy()]
+            return
+        v = held[key]
+        if len(total) > len(v[2]):
+            v[2], total = total.copy(), v[2]
+        v[0], v[1] = v[0] + fold, v[1] + weight
+        v[2][: len(total)] += total
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {}
+        for b in batches:
+            weight = 1 / np.maximum(b.column("dist").to_numpy(zero_copy_only=False).astype(float), 1e-9) ** factor
+            for key, w, s in zip(zip(b.column("il").to_pylist(), b.column("xl").to_pylist(), strict=True), weight.tolist(), b.column("samples"), strict=True):
+                add(held, key, 1, w, w * s.values.to_numpy(zero_copy_only=False).astype(float))
+            if len(held) >= HELD_BINS:
+                yield rows(held)
+                held = {}
+        yield rows(held)
+
+    def behind(t: pa.Table) -> pa.Table:
+        held = {}
+        for f, w, s in sorted(zip(t.column("fold").to_pylist(), t.column("weight").to_pylist(), t.column("total").to_pylist(), strict=True)):
+            add(held, (), f, w, np.frombuffer(s))
+        fold, weight, total = held[()]
+        return pa.table({"il": t.column("il")[:1], "xl": t.column("xl")[:1], "fold": pa.array([fold], pa.int32()), "samples": pa.array([total / weight], pa.list_(pa.float64()))})
+
+    sums = d.select(F.col("il").cast("int").alias("il"), F.col("xl").cast("int").alias("xl"), F.col("dist").cast("double").alias("dist"), F.col("samples").cast("array<double>").alias("samples")).mapInArrow(within, parts)
+    return sums.groupBy("il", "xl").applyInArrow(behind, "il int, xl int, fold int, samples array<double>")
+
+
 def mask(fold: Column) -> Column:
     """1 where there is data, else 0."""
     return F.least(fold, F.lit(1))

@@ -9,13 +9,22 @@ from ..functions.amplitudes import padded
 from .windows import change_points, over, whole
 
 
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df marked for a broadcast if it has at most so many rows (here: of a few numbers each)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def pad_delays(traces: DataFrame, line: str = "line", delrt: str = "delrt", dt: str = "dt", samples: str = "samples") -> DataFrame:
-    """Zeros before and behind each trace, so that all of a line start at its least delay; adds n_before and the new delay."""
-    w = whole([line])
-    before = F.rint((F.col(delrt) - F.min(delrt).over(w)) / F.col(dt)).cast("int")
-    after = F.rint((F.max(delrt).over(w) - F.col(delrt)) / F.col(dt)).cast("int")
-    d = traces.withColumns({"n_before": before, "n_after": after, "delrt_min": F.min(delrt).over(w)})
-    return d.withColumns({samples: padded(F.col(samples), F.col("n_before"), F.col("n_after")), delrt: F.col("delrt_min")}).drop("n_after", "delrt_min")
+    """Zeros before and behind each trace, so that all of a line start at its least delay; adds n_before and the new delay.
+
+    Only two numbers a line are aggregated; the samples stay where they are.
+    """
+    ends = small(traces.groupBy(F.col(line).alias("end_line")).agg(F.min(delrt).alias("delrt_min"), F.max(delrt).alias("delrt_max")))
+    d = traces.join(ends, F.col(line).eqNullSafe(F.col("end_line")))
+    before = F.rint((F.col(delrt) - F.col("delrt_min")) / F.col(dt)).cast("int")
+    after = F.rint((F.col("delrt_max") - F.col(delrt)) / F.col(dt)).cast("int")
+    d = d.withColumns({"n_before": before, "n_after": after})
+    return d.withColumns({samples: padded(F.col(samples), F.col("n_before"), F.col("n_after")), delrt: F.col("delrt_min")}).drop("n_after", "delrt_min", "delrt_max", "end_line")
 
 
 def varying_delays(traces: DataFrame, line: str = "line", delrt: str = "delrt") -> DataFrame:
@@ -38,10 +47,16 @@ def correct_delays(traces: DataFrame, line: str = "line", order: str = "tracl",
     than two delays, or with an unclear picture stay.
     """
     w = over([line], [order], -n_traces, n_traces)
-    a = F.transform(samples, F.abs)
-    d = change_points(traces.withColumn("a", a), [line], [order], delrt)
-    d = d.withColumns({"peak": F.array_position("a", F.array_max("a")).cast("int") - 1, "around": F.collect_list(F.struct(F.col(delrt).alias("delay"), F.col("a").alias("s"))).over(w), "row": F.row_number().over(over([line], [order]))})
-    c = d.where(F.col("changed") & (F.size("around") == 2 * n_traces + 1) & (F.col("row") > n_traces))
+    # changes are found on headers; only their neighbours' samples are fetched
+    heads = change_points(traces.select(line, order, delrt), [line], [order], delrt)
+    heads = heads.withColumns({"near": F.collect_list(F.struct(F.col(order).alias("o"), F.col(delrt).alias("delay"))).over(w), "row": F.row_number().over(over([line], [order]))})
+    changed = heads.where(F.col("changed") & (F.size("near") == 2 * n_traces + 1) & (F.col("row") > n_traces))
+    wanted = small(changed.select(F.col(line).alias("c_line"), F.col(order).alias("c_order"), F.col(delrt).alias("c_delay"), F.posexplode("near").alias("place", "n")))
+    data = traces.select(F.col(line).alias("t_line"), F.col(order).alias("t_order"), F.transform(samples, F.abs).alias("s"))
+    met = data.join(wanted, (F.col("t_line") == F.col("c_line")) & (F.col("t_order") == F.col("n.o")))
+    c = met.groupBy(F.col("c_line").alias(line), F.col("c_order").alias(order), F.col("c_delay").alias(delrt)).agg(F.array_sort(F.collect_list(F.struct("place", F.col("n.delay").alias("delay"), "s"))).alias("around"))
+    c = c.withColumn("a", F.get("around", F.lit(n_traces))["s"])
+    c = c.withColumn("peak", F.array_position("a", F.array_max("a")).cast("int") - 1)
     top = F.array_max("a")
     best = lambda x: F.least(top, F.array_max(F.slice(x["s"], F.greatest(F.col("peak") - n_samples // 2, F.lit(0)) + 1, F.lit(n_samples))))
     c = c.withColumn("differs", F.transform("around", lambda x: F.when((top - best(x)) / F.nullif(top, F.lit(0.0)) > limit, 1).otherwise(0)))

@@ -50,9 +50,9 @@ def merged(traces: DataFrame, line: str = "line", seq: str = "tracl", file_seq:
     d = drop_duplicates(traces, line, seq, file_seq, [seq, *headers])
     d = d.dropDuplicates([line, seq])
     filled = gap_fill(d.select(line, seq, *headers), [line], seq, headers)
-    n = F.max(F.size(samples)).over(Window.partitionBy(line))
-    j = filled.join(d.select(line, seq, samples), [line, seq], "left")
-    j = j.withColumn(samples, F.coalesce(F.col(samples), F.array_repeat(F.lit(0.0), n)))
+    n = d.groupBy(line).agg(F.max(F.size(samples)).alias("n_samples"))
+    j = filled.join(n, line).join(d.select(line, seq, samples), [line, seq], "left")
+    j = j.withColumn(samples, F.coalesce(F.col(samples), F.array_repeat(F.lit(0.0), F.col("n_samples")))).drop("n_samples")
     return renumbered(j, line, seq, file_seq)
 
 

@@ -8,18 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import amplitudes, crs, units
-from ..layouts import even, to_slices
+from ..functions import amplitudes, crs, headers, units
+from ..kernels import slices as slice_kernels
+from ..layouts import even, from_slices, to_samples, to_slices, to_traces
 from ..operators import binning, delays, geometry, joins, lines, merging, pocs, spectral, windows
 from ..sources import segy, tables
 
 
-def merge(traces: DataFrame, groups: DataFrame, headers: list[str] | None = None) -> DataFrame:
+def merge(traces: DataFrame, groups: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """01: files of a group (file, line) become one gapless line."""
-    return merging.merged(traces.drop("line").join(groups, "file"), headers=headers)
+    return merging.merged(traces.drop("line").join(groups, "file"), headers=fields)
 
 
 def reproject(traces: DataFrame, src: str, dst: str, x: str = "x", y: str = "y", smooth: int | None = None) -> DataFrame:
@@ -43,11 +45,25 @@ def pad_delays(traces: DataFrame) -> DataFrame:
     return delays.pad_delays(traces).drop("n_before")
 
 
-def correct_statics(traces: DataFrame, limit_samples: float | None = 12, depressions: tuple | None = (10, 10, 5), **options) -> DataFrame:
-    """05: seafloor picked, static found, traces moved; adds pick and static."""
-    picks = lines.pick_seafloor(traces)
-    s = lines.statics(picks, limit_samples=limit_samples, depressions=depressions, **options)
-    d = traces.join(s, ["line", "tracl"])
+def correct_statics(traces: DataFrame, limit_samples: float | None = 12, depressions: tuple | None = (10, 10, 5), mode: str = "amp", use_delay: bool = False, pick: dict | None = None, **options) -> DataFrame:
+    """05: seafloor picked (or taken from the headers' water depth: swdep), static found, traces moved; adds pick and static.
+
+    use_delay counts picks from the line's least delay. In mode swdep, pick is
+    the depth in m, and lines with a trace without depth stay as they are.
+    """
+    if mode == "swdep":
+        deep = delays.swdep_scaled(traces.select("line", "tracl", "swdep", "scalel"))
+        known = deep.withColumn("least", F.min(F.abs("swdep")).over(windows.whole(["line"]))).where("least > 0")
+        s = lines.statics(known.select("line", "tracl", F.col("swdep").alias("pick")), limit_samples=limit_samples, depressions=depressions, **options)
+        d = traces.join(s, ["line", "tracl"], "left")
+        d = d.withColumn("static", F.rint(units.depth2samples(F.coalesce("static", F.lit(0.0)), F.col("dt"), units="ms")))
+    elif mode == "amp":
+        picks = lines.pick_seafloor(traces, **(pick or {}))
+        if use_delay:
+            picks = delays.delay_offset(picks.join(traces.select("line", "tracl", "delrt", "dt"), ["line", "tracl"])).select("line", "tracl", "pick")
+        d = traces.join(lines.statics(picks, limit_samples=limit_samples, depressions=depressions, **options), ["line", "tracl"])
+    else:
+        raise ValueError(f"mode {mode!r} is neither amp nor swdep")
     return d.withColumn("samples", amplitudes.compensate_static(F.col("samples"), F.col("static")))
 
 
@@ -61,21 +77,32 @@ def compensate_tide(traces: DataFrame, constituents: dict[str, tuple[float, floa
     return d.withColumn("tide_samples", n).withColumn("samples", amplitudes.compensate_tide(F.col("samples"), F.col("tide_samples")))
 
 
-def misties(traces: DataFrame, cell: float, quality: float = 0.5) -> DataFrame:
-    """The shift of each line from the traces at the crossings."""
-    t = lines.bad_traces_mixed(traces)
+def crossings(traces: DataFrame, cell: float, window: tuple[float, float] | None = None) -> DataFrame:
+    """line_a, line_b, x, y, tracl_a, tracl_b, lag, r of the traces at the crossings of lines; window: first and last time (ms) that are compared."""
+    t = lines.bad_traces_mixed(traces.drop("x", "y") if window is None else _within(traces.drop("x", "y"), window))
     cross = joins.intersections(joins.segments(traces), cell).select("line_a", "line_b", "x", "y")
     a = joins.nearest_vertex(traces, cross, "line_a").select("line_a", "line_b", "x", "y", F.col("nearest").alias("tracl_a"))
     b = joins.nearest_vertex(traces, a, "line_b").withColumnRenamed("nearest", "tracl_b")
     s = lambda k: t.select(F.col("line").alias(f"line_{k}"), F.col("tracl").alias(f"tracl_{k}"), F.col("samples").alias(f"samples_{k}"))
     pairs = b.join(s("a"), ["line_a", "tracl_a"]).join(s("b"), ["line_b", "tracl_b"])
-    return lines.line_shifts(lines.correlate(pairs).select("line_a", "line_b", "lag", "r"), quality)
+    return lines.correlate(pairs).drop("samples_a", "samples_b")
+
+
+def _within(traces: DataFrame, window: tuple[float, float]) -> DataFrame:
+    at = lambda t: F.rint((F.lit(float(t)) - F.coalesce(F.col("delrt"), F.lit(0.0))) / F.col("dt")).cast("int")
+    lo, hi = F.greatest(at(window[0]), F.lit(0)), at(window[1])
+    return traces.withColumn("samples", F.slice("samples", lo + 1, F.greatest(hi - lo + 1, F.lit(0))))
+
+
+def misties(traces: DataFrame, cell: float, quality: float = 0.5, window: tuple[float, float] | None = None) -> DataFrame:
+    """The shift of each line from the traces at the crossings."""
+    return lines.line_shifts(crossings(traces, cell, window).select("line_a", "line_b", "lag", "r"), quality)
 
 
 def correct_misties(traces: DataFrame, shifts: DataFrame) -> DataFrame:
     """07: every line moved by its shift; lines without one stay."""
-    d = traces.join(shifts, "line", "left")
-    return d.withColumn("samples", amplitudes.compensate_mistie(F.col("samples"), F.coalesce("shift", F.lit(0)))).drop("shift")
+    d = traces.join(shifts, "line", "left").withColumn("mistie", F.coalesce("shift", F.lit(0)))
+    return d.withColumn("samples", amplitudes.compensate_mistie(F.col("samples"), F.col("mistie"))).drop("shift")
 
 
 def despike(traces: DataFrame, use_delay: bool = False, **options) -> DataFrame:
@@ -100,11 +127,12 @@ def bin_traces(traces: DataFrame, bins: DataFrame, transform: geometry.Affine, t
     return binning.stack_traces(d, bins, n, method, factor)
 
 
-def preprocess(cube: DataFrame, dt: float, balance: str | None = None, gain: dict | None = None, filter_kind: str | None = None, filter_freqs=None, resampling: float | None = None, poly: bool = True, envelope: bool = False, use_samples: bool = False) -> DataFrame:
-    """11: balance, gain, filter, resample, envelope, in this order."""
+def preprocess(cube: DataFrame, dt: float, balance: str | None = None, gain: dict | None = None, filter_kind: str | None = None, filter_freqs=None, resampling: float | None = None, poly: bool = True, envelope: bool = False, use_samples: bool = False, store_reference: bool = True) -> DataFrame:
+    """11: balance, gain, filter, resample, envelope, in this order; store_reference keeps what a trace was divided by."""
     s = "samples"
     if balance:
         cube = cube.withColumn("reference", amplitudes.reference(F.col(s), balance)).withColumn(s, amplitudes.divided(F.col(s), F.col("reference")))
+        cube = cube if store_reference else cube.drop("reference")
     if gain:
         t = F.transform(s, lambda x, i: i.cast("double") * (1.0 if use_samples else dt))
         cube = cube.withColumn(s, amplitudes.gain(F.col(s), t, **gain))
@@ -127,33 +155,142 @@ def to_frequency(cube: DataFrame, dt: float, upsampling: int = 1, real: bool = T
     return e
 
 
-def interpolate(spectra: DataFrame, n_il: int, n_xl: int, mask: list[int], **options) -> DataFrame:
+def interpolate(spectra: DataFrame, n_il: int, n_xl: int, mask, **options) -> DataFrame:
     """13: frequency slices filled by projection."""
-    re = to_slices(spectra, n_il, n_xl, "re")
-    im = to_slices(spectra, n_il, n_xl, "im").select("slice", F.col("grid").alias("imag"))
-    return pocs.interpolate(re.join(im, "slice"), mask, **options)
+    return pocs.interpolate(to_slices(spectra, n_il, n_xl, "re", "im"), mask, **options)
 
 
-def to_time(slices: DataFrame, dt: float, n: int | None = None, real: bool = True) -> DataFrame:
-    """14: il, xl, samples from frequency slices."""
+def rescaled_envelopes(cube: DataFrame, samples: str = "samples") -> DataFrame:
+    """Negative samples to zero, then all to 0..1 by the cube's least and largest, one row that is joined."""
+    d = cube.withColumn(samples, F.transform(samples, lambda x: F.greatest(x, F.lit(0.0))))
+    ends = d.agg(F.min(F.array_min(samples)).alias("__lo"), F.max(F.array_max(samples)).alias("__hi"))
+    span = F.col("__hi") - F.col("__lo")
+    return d.crossJoin(F.broadcast(ends)).withColumn(samples, F.when(span > 0, F.transform(samples, lambda x: (x - F.col("__lo")) / span)).otherwise(F.col(samples))).drop("__lo", "__hi")
+
+
+def to_time(slices: DataFrame, dt: float, n: int | None = None, real: bool = True, rescale_envelope: bool = False) -> DataFrame:
+    """14: il, xl, samples from frequency slices; rescale_envelope brings an envelope's cube to 0..1."""
     e = slices.select("slice", "n_xl", F.posexplode(F.arrays_zip("grid", "imag")).alias("k", "z"))
     il, xl = (F.floor(F.col("k") / F.col("n_xl")) + 1).cast("int"), (F.col("k") % F.col("n_xl") + 1).cast("int")
     g = e.groupBy(il.alias("il"), xl.alias("xl")).agg(F.array_sort(F.collect_list(F.struct("slice", F.col("z.grid").alias("re"), F.col("z.imag").alias("im")))).alias("s"))
     spec = F.struct(F.transform("s", lambda v: v["re"]).alias("re"), F.transform("s", lambda v: v["im"]).alias("im"))
-    return g.withColumn("spec", spec).select("il", "xl", spectral.ifft(F.col("spec"), dt, 0.0, n, real).alias("samples"))
-
-
-def postprocess(slices: DataFrame, n_il: int, n_xl: int, footprint: dict | None = None, smooth: dict | None = None) -> DataFrame:
-    """15: acquisition footprint removed, slices smoothed. Upsampling is spectral.upsample, gain over time amplitudes.agc."""
+    out = g.withColumn("spec", spec).select("il", "xl", spectral.ifft(F.col("spec"), dt, 0.0, n, real).alias("samples"))
+    return rescaled_envelopes(out) if rescale_envelope else out
+
+
+def step_of(cube: DataFrame, axis: str) -> int:
+    """The least difference between numbers of an axis that the cube holds; 1 for a single one."""
+    w = windows.Window.orderBy(axis)  # over the numbers of one axis, some thousand
+    d = cube.select(axis).distinct().withColumn("d", F.col(axis) - F.lag(axis).over(w))
+    return d.agg(F.min("d")).first()[0] or 1
+
+
+def upsample(cube: DataFrame, method: str = "linear", dealias: bool = True, sigma: float = 7) -> DataFrame:
+    """Traces (il, xl, samples) on every number of both axes, so that bins get equal sizes; dealias damps what the axis that was filled can't hold."""
+    steps = {axis: step_of(cube, axis) for axis in ("il", "xl")}
+    if set(steps.values()) == {1}:
+        return cube.select("il", "xl", "samples")
+    long = cube.select("il", "xl", F.posexplode("samples").alias("i", "amp"))
+    for axis, other in (("il", "xl"), ("xl", "il")):
+        if steps[axis] != 1:
+            long = spectral.upsample(long, axis, [other, "i"], method=method)
+    if dealias:
+        lo_il, hi_il, lo_xl, hi_xl = long.agg(F.min("il"), F.max("il"), F.min("xl"), F.max("xl")).first()
+        n_il, n_xl = hi_il - lo_il + 1, hi_xl - lo_xl + 1
+        own = long.select((F.col("il") - lo_il + 1).alias("il"), (F.col("xl") - lo_xl + 1).alias("xl"), "i", "amp")
+        direction = "iline" if steps["il"] != 1 else "xline"
+        sl = spectral.antialias(to_slices(own, n_il, n_xl), n_il, n_xl, (steps["il"], steps["xl"]), direction, sigma)
+        long = from_slices(sl).select((F.col("il") + lo_il - 1).alias("il"), (F.col("xl") + lo_xl - 1).alias("xl"), F.col("slice").alias("i"), "amp")
+    return to_traces(long, "il", "xl")
+
+
+def footprint_on_profiles(cube: DataFrame, along: str = "il", **options) -> DataFrame:
+    """The footprint filter on each inline (along = il) or crossline: traces of one profile are a matrix of traces and samples."""
+    across = "xl" if along == "il" else "il"
+    options = {"direction": "twt"} | options
+
+    def run(pdf):
+        pdf = pdf.sort_values(across)
+        x = np.stack(pdf["samples"].to_list()).astype(float)
+        return pdf.assign(samples=list(slice_kernels.filtered(x, slice_kernels.footprint_filter(x.shape, **options))))
+
+    d = cube.select("il", "xl", F.col("samples").cast("array<double>").alias("samples"))
+    return d.groupBy(along).applyInPandas(run, d.schema)
+
+
+def footprint_direction(bin_il: float, bin_xl: float) -> str:
+    """Both for square bins, else the axis of the smaller bins."""
+    return "both" if bin_il == bin_xl else "iline" if bin_il < bin_xl else "xline"
+
+
+def postprocess(
+    cube: DataFrame, n_il: int | None = None, n_xl: int | None = None, footprint: dict | None = None, smooth: dict | None = None, upsampling: dict | None = None, profiles: dict | None = None, agc: dict | None = None
+) -> DataFrame:
+    """15: bins made equal, acquisition footprint removed, slices smoothed, gain over time.
+
+    footprint and smooth work on slices; upsampling, profiles (along, and
+    options of the footprint filter) and agc (win in samples, kind, squared) on
+    traces. The two layouts exclude each other but for upsampling, which comes
+    first and whose traces become slices.
+    """
+    if (profiles or agc) and (footprint is not None or smooth is not None or upsampling):
+        raise ValueError("gain and footprint on profiles need traces, the others slices: run the step twice")
+    if profiles:
+        cube = footprint_on_profiles(cube, **profiles)
+    if agc:
+        return cube.withColumn("samples", spectral.agc(F.col("samples"), **agc))
+    if upsampling:
+        cube = upsample(cube, **upsampling)
+        if footprint is None and smooth is None:
+            return cube
+        n_il, n_xl = cube.agg(F.max("il"), F.max("xl")).first()
+        cube = to_slices(to_samples(cube), n_il, n_xl)
     if footprint is not None:
-        slices = spectral.remove_footprint(slices, n_il, n_xl, **footprint)
-    return spectral.smooth_slices(slices, **smooth) if smooth is not None else slices
-
-
-def export_segy(cube: DataFrame, path: str, dt_us: int, n_xl: int, scalar: int = -100, file: str = "cube.sgy") -> DataFrame:
-    """16: the cube in inline order, one file for each block of inlines that `file` names."""
+        cube = spectral.remove_footprint(cube, n_il, n_xl, **footprint)
+    return spectral.smooth_slices(cube, **smooth) if smooth is not None else cube
+
+
+def with_aux_coordinates(traces: DataFrame, nav: DataFrame) -> DataFrame:
+    """x and y from navigation files, by line and trace number; traces without an entry keep their own."""
+    n = nav.select("line", "tracl", F.col("x").alias("aux_x"), F.col("y").alias("aux_y"))
+    return traces.join(n, ["line", "tracl"], "left").withColumns({"x": F.coalesce("aux_x", "x"), "y": F.coalesce("aux_y", "y")}).drop("aux_x", "aux_y")
+
+
+def to_segy(traces: DataFrame, path: str, suffix: str = "", info: str = "", coords: tuple[str, str] = ("sx", "sy"), scalar: int | None = None) -> DataFrame:
+    """Files of traces with edited headers: one a line, its name that of the file read with `_suffix`, or the line's.
+
+    x and y go to the header fields `coords`, by the traces' own scalar or the
+    one given; delay and interval to theirs; statics, where there are any, in
+    thousandths of ms to TotalStaticApplied with their scalar.
+    """
+    has = traces.columns
+    tail = f"_{suffix}.sgy" if suffix else ".sgy"
+    name = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", tail) if "file" in has else F.concat(F.col("line").cast("string"), F.lit(tail))
+    sc = F.lit(scalar) if scalar is not None else F.when(F.coalesce("scalco", F.lit(0)) == 0, F.lit(1)).otherwise(F.col("scalco")) if "scalco" in has else F.lit(-100)
+    new = {"file": name, "trace": F.col("tracl"), "scalco": sc.cast("int"), "dt": F.rint(F.col("dt") * 1000).cast("int")}
+    new |= {h: F.rint(units.unscale_coordinate(F.col(c), sc)).cast("int") for h, c in zip(coords, ("x", "y"), strict=True) if c in has}
+    if "delrt" in has:
+        new["delrt"] = F.rint("delrt").cast("int")
+    if "static" in has:
+        new |= {"tstat": F.rint(F.greatest(F.lit(-32768.0), F.least(F.lit(32767.0), F.col("static") * F.col("dt") * 1000))).cast("int"), "static_field": F.lit(-1000)}
+    text = "".join(headers.prefixed(i + 1, headers.TITLE.center(77) if i == 24 else f" {info}" if i == 25 else "") for i in range(headers.LINES))
+    fields = [n for n, _, _ in segy.FIELDS if n in has and n not in new]
+    return segy.write(traces.select(*[v.alias(k) for k, v in new.items()], *fields, "samples"), path, text=text)
+
+
+def auto_scalar(cube: DataFrame, x: str = "x", y: str = "y") -> int:
+    """The largest power of ten that keeps all coordinates within a header's integer."""
+    most = cube.agg(F.max(F.greatest(F.abs(x), F.abs(y)))).first()[0] or 1.0
+    return -max(k for k in (1, 10, 100, 1000) if most * k < 2**31 or k == 1)
+
+
+def export_segy(cube: DataFrame, path: str, dt_us: int, n_xl: int, scalar: int | str = -100, file: str = "cube.sgy", inlines_per_file: int | None = None) -> DataFrame:
+    """16: the cube in inline order. One file is one task, so a large cube goes to a file for each block of so many inlines; cdp numbers run through."""
+    scalar = auto_scalar(cube) if scalar == "auto" else int(scalar)
     u = lambda c: units.unscale_coordinate(F.col(c), F.lit(scalar))
-    d = cube.select(F.lit(file).alias("file"), ((F.col("il") - 1) * n_xl + F.col("xl")).alias("cdp"), F.col("il").alias("iline"), F.col("xl").alias("xline"), u("x").alias("cdp_x"), u("y").alias("cdp_y"), F.lit(scalar).alias("scalco"), F.lit(dt_us).alias("dt"), "samples")
+    block = F.floor((F.col("il") - 1) / F.lit(inlines_per_file)) * inlines_per_file + 1 if inlines_per_file else None
+    name = F.lit(file) if block is None else F.concat(F.lit(file.removesuffix(".sgy") + "_il"), F.lpad(block.cast("string"), 6, "0"), F.lit(".sgy"))
+    d = cube.select(name.alias("file"), ((F.col("il") - 1) * n_xl + F.col("xl")).alias("cdp"), F.col("il").alias("iline"), F.col("xl").alias("xline"), u("x").alias("cdp_x"), u("y").alias("cdp_y"), F.lit(scalar).alias("scalco"), F.lit(dt_us).alias("dt"), "samples")
     return segy.write(d.withColumn("trace", F.col("cdp")), path)
 
 

@@ -1,8 +1,8 @@
 """SEG-Y files as a DataFrame source, and the sink that writes them.
 
-A file is a partition, read through pyarrow's file systems, so local and
-remote paths work alike. Rows hold one trace each: file, number of the trace,
-the chosen header fields and the samples.
+Files are read through pyarrow's file systems, so local and remote paths work
+alike, in parts of about SPLIT_BYTES and as Arrow batches. Rows hold one trace
+each: file, number of the trace, the chosen header fields and the samples.
 """
 
 from __future__ import annotations
@@ -68,14 +68,14 @@ def file_system(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
 
 
-def list_files(path: str, suffix: str = "sgy") -> list[str]:
-    """A file itself, the files with the suffix in a directory, or what a .txt list names, one a line beside it."""
+def list_files(path: str, suffix: str = "sgy", ending: str = "") -> list[str]:
+    """A file itself, the files with the suffix (and the ending before it) in a directory, or what a .txt list names, one a line beside it."""
     from pyarrow import fs as afs
 
     fs, root = file_system(path)
     info = fs.get_file_info(root)
     if info.type == afs.FileType.Directory:
-        return sorted(f.path for f in fs.get_file_info(afs.FileSelector(root)) if f.is_file and f.path.endswith(f".{suffix}"))
+        return sorted(f.path for f in fs.get_file_info(afs.FileSelector(root)) if f.is_file and f.path.endswith(f"{ending}.{suffix}"))
     if info.type == afs.FileType.NotFound:
         raise FileNotFoundError(path)
     if root.endswith(".txt"):
@@ -86,28 +86,83 @@ def list_files(path: str, suffix: str = "sgy") -> list[str]:
     return [root]
 
 
+#: Bytes of a file that one partition reads, and of traces that one batch holds.
+SPLIT_BYTES, BATCH_BYTES = 128 << 20, 8 << 20
+#: Traces of so many bytes are skipped over, and not read, where only headers are wanted.
+SKIP_BYTES = 65_536
+
+
+def layout(f, size: int) -> tuple[int, int, int, bool]:
+    """(first byte of the traces, samples a trace, sample format, whether all traces have one length) from a file's first 3600 bytes."""
+    head = f.read(3600)
+    ns, code, extended = struct.unpack(">H", head[3220:3222])[0], struct.unpack(">h", head[3224:3226])[0], struct.unpack(">h", head[3504:3506])[0]
+    begin = 3600 + 3200 * max(extended, 0)
+    return begin, ns, code, (size - begin) % (240 + ns * SIZES.get(code, 4)) == 0
+
+
 class SegyReader(DataSourceReader):
+    """Traces of one length are cut by bytes; a file whose traces differ in length is one partition, read trace by trace."""
+
     def __init__(self, options: dict):
-        self.path, self.suffix = options["path"], options.get("suffix", "sgy")
+        self.path, self.suffix, self.ending = options["path"], options.get("suffix", "sgy"), options.get("ending", "")
         self.fields = _fields(options)
         self.with_samples = options.get("samples", "true").lower() != "false"
 
     def partitions(self):
-        return [InputPartition(p) for p in list_files(self.path, self.suffix)]
-
-    def read(self, partition) -> Iterator[tuple]:
         fs, _ = file_system(self.path)
-        with fs.open_input_stream(partition.value, compression=None) as f:
-            head = f.read(3600)
-            ns, code, extended = struct.unpack(">H", head[3220:3222])[0], struct.unpack(">h", head[3224:3226])[0], struct.unpack(">h", head[3504:3506])[0]
-            f.read(3200 * max(extended, 0))
-            size, i = SIZES.get(code, 4), 0
-            while len(header := f.read(240)) == 240:
-                n = struct.unpack(">H", header[114:116])[0] or ns
-                data = f.read(n * size)
-                values = [struct.unpack(">i" if b == 4 else ">h", header[a - 1 : a - 1 + b])[0] for a, b in (AT[x] for x in self.fields)]
-                yield (partition.value, i, *values, decoded(data, code).tolist() if self.with_samples else None)
-                i += 1
+        infos = fs.get_file_info(list_files(self.path, self.suffix, self.ending))
+        return [InputPartition((i.path, i.size, at)) for i in infos for at in range(0, max(i.size, 1), SPLIT_BYTES)]
+
+    def _batch(self, path: str, numbers: np.ndarray, heads: np.ndarray, samples: list | np.ndarray | None) -> pa.RecordBatch:
+        values = [np.ascontiguousarray(heads[:, a - 1 : a - 1 + b]).view(">i4" if b == 4 else ">i2").ravel().astype(np.int32) for a, b in (AT[x] for x in self.fields)]
+        kind = pa.list_(pa.float64())
+        if samples is None:
+            column = pa.nulls(len(numbers), kind)
+        elif isinstance(samples, np.ndarray):
+            column = pa.ListArray.from_arrays(np.arange(0, samples.size + 1, max(samples.shape[1], 1), dtype=np.int32) if samples.shape[1] else np.zeros(len(numbers) + 1, np.int32), pa.array(samples.ravel()))
+        else:
+            column = pa.array(samples, kind)
+        columns = [pa.array([path] * len(numbers)), pa.array(numbers.astype(np.int32)), *[pa.array(v) for v in values], column]
+        return pa.RecordBatch.from_arrays(columns, names=["file", "trace", *self.fields, "samples"])
+
+    def read(self, partition) -> Iterator[pa.RecordBatch]:
+        path, size, at = partition.value
+        fs, _ = file_system(self.path)
+        with fs.open_input_file(path) as f:
+            if size < 3600:
+                return
+            begin, ns, code, equal = layout(f, size)
+            if not equal:
+                yield from self._one_by_one(f, path, begin, ns, code) if at == 0 else ()
+                return
+            length = 240 + ns * SIZES.get(code, 4)
+            k, end = (-(-max(x - begin, 0) // length) for x in (at, min(at + SPLIT_BYTES, size)))
+            step = max(1, BATCH_BYTES // length)
+            for lo in range(k, end, step):
+                numbers = np.arange(lo, min(lo + step, end))
+                if self.with_samples or length < SKIP_BYTES:
+                    f.seek(begin + lo * length)
+                    raw = np.frombuffer(f.read(len(numbers) * length), np.uint8).reshape(-1, length)
+                else:
+                    raw = np.frombuffer(b"".join(f.read_at(240, begin + int(i) * length) for i in numbers), np.uint8).reshape(-1, 240)
+                own = np.ascontiguousarray(raw[:, 114:116]).view(">u2").ravel()
+                if ((own != 0) & (own != ns)).any():
+                    raise ValueError(f"{path}: trace lengths differ although the file's length fits equal ones")
+                yield self._batch(path, numbers, raw, decoded(raw[:, 240:].tobytes(), code).reshape(len(numbers), ns) if self.with_samples else None)
+
+    def _one_by_one(self, f, path: str, begin: int, ns: int, code: int) -> Iterator[pa.RecordBatch]:
+        f.seek(begin)
+        i, heads, samples, held = 0, [], [], 0
+        while len(header := f.read(240)) == 240:
+            data = f.read((struct.unpack(">H", header[114:116])[0] or ns) * SIZES.get(code, 4))
+            heads.append(np.frombuffer(header, np.uint8))
+            samples.append(decoded(data, code) if self.with_samples else None)
+            held += len(data)
+            if held >= BATCH_BYTES:
+                yield self._batch(path, np.arange(i, i + len(heads)), np.array(heads), samples if self.with_samples else None)
+                i, heads, samples, held = i + len(heads), [], [], 0
+        if heads:
+            yield self._batch(path, np.arange(i, i + len(heads)), np.array(heads), samples if self.with_samples else None)
 
 
 def _fields(options: dict) -> list[str]:
@@ -137,22 +192,39 @@ def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.read.format("segy").options(path=path, **options).load()
 
 
+#: First byte and bytes of the binary header's fields that are read. Fixed values.
+BINARY = ((3201, 4), (3205, 4), (3209, 4), (3213, 2), (3215, 2), (3217, 2), (3219, 2), (3221, 2), (3223, 2), (3225, 2), (3227, 2), (3229, 2), (3255, 2), (3501, 2), (3503, 2), (3505, 2))
+
+
+def _heads(spark: SparkSession, path: str, suffix: str, schema: str, rows) -> DataFrame:
+    """rows(file, first 3600 bytes) of each file; no more of a file is read."""
+    files = [(x,) for x in list_files(path, suffix)]
+    d = spark.createDataFrame(files, "file string").repartition(max(1, min(len(files), 10_000)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = file_system(path)
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                with fs.open_input_file(name) as f:
+                    columns = rows(name, f.read(3600))
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], names=list(columns))
+
+    return d.mapInArrow(run, schema)
+
+
 def text_headers(spark: SparkSession, path: str, suffix: str = "sgy") -> DataFrame:
     """file, text of each file."""
-    from pyspark.sql import functions as F
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").load(path)
-    return files.select(F.col("path").alias("file"), F.udf(lambda b: text_header(bytes(b)), "string", useArrow=True)(F.substring("content", 1, 3200)).alias("text"))
+    return _heads(spark, path, suffix, "file string, text string", lambda name, head: {"file": [name], "text": [text_header(head)]})
 
 
 def binary_headers(spark: SparkSession, path: str, suffix: str = "sgy") -> DataFrame:
     """file, key (byte from 1), value: the fields of each file's binary header."""
-    from pyspark.sql import functions as F
 
-    keys = [(3201, 4), (3205, 4), (3209, 4), (3213, 2), (3215, 2), (3217, 2), (3219, 2), (3221, 2), (3223, 2), (3225, 2), (3227, 2), (3229, 2), (3255, 2), (3501, 2), (3503, 2), (3505, 2)]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").load(path)
-    number = lambda a, b: F.conv(F.hex(F.substring("content", a, b)), 16, 10).cast("int")
-    return files.select(F.col("path").alias("file"), F.explode(F.array(*[F.struct(F.lit(a).alias("key"), number(a, b).alias("value")) for a, b in keys])).alias("h")).select("file", "h.*")
+    def rows(name: str, head: bytes) -> dict:
+        values = [int.from_bytes(head[a - 1 : a - 1 + n], "big", signed=n == 4) for a, n in BINARY]
+        return {"file": [name] * len(BINARY), "key": np.array([a for a, _ in BINARY], np.int32), "value": np.array(values, np.int32)}
+
+    return _heads(spark, path, suffix, "file string, key int, value int", rows)
 
 
 def encode_trace(values: dict[str, int], samples: np.ndarray) -> bytes:

@@ -197,3 +197,185 @@ def test_command_line(spark, tmp_path):
     assert segy.read(spark, str(tmp_path / "out")).count() == 36
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["08", "a", "b"])
+
+
+def segy_files(spark, t, path, **more):
+    d = t.select(F.concat("line", F.lit("_UTM60S.sgy")).alias("file"), F.col("tracl").alias("trace"), "tracl", F.lit(-100).alias("scalco"), F.lit(1).alias("counit"), F.rint(F.col("x") * 100).cast("int").alias("sx"), F.rint(F.col("y") * 100).cast("int").alias("sy"), F.rint("delrt").cast("int").alias("delrt"), F.lit(50).alias("dt"), *[v.alias(k) for k, v in more.items()], "samples")
+    segy.write(d, path)
+    return path
+
+
+def test_segy_parts_and_unequal_traces(spark, tmp_path, monkeypatch):
+    whole = segy_files(spark, survey(spark), str(tmp_path / "a"))
+    want = sorted(map(str, segy.read(spark, whole, fields="all").collect()))
+    reader = lambda **o: segy.SegyReader({"path": whole, "fields": "all", **o})
+    rows = lambda r: sorted(str(x) for p in r.partitions() for b in r.read(p) for x in b.to_pylist())
+    one = rows(reader())
+    assert len(one) == len(want) == 36
+    for split, batch in ((700, 1), (5000, 900), (1 << 30, 1 << 20)):
+        monkeypatch.setattr(segy, "SPLIT_BYTES", split)
+        monkeypatch.setattr(segy, "BATCH_BYTES", batch)
+        assert rows(reader()) == one
+    monkeypatch.setattr(segy, "SKIP_BYTES", 100)
+    heads = [x for p in reader(samples="false").partitions() for b in reader(samples="false").read(p) for x in b.to_pylist()]
+    assert len(heads) == 36 and all(x["samples"] is None for x in heads) and {x["tracl"] for x in heads} == set(range(1, 13))
+    # traces that differ in length are read one by one, by the first part alone
+    monkeypatch.setattr(segy, "SPLIT_BYTES", 700)
+    (tmp_path / "b").mkdir()
+    data = segy.file_head("", 4, 50, 2) + segy.encode_trace({"tracl": 1, "ns": 4}, np.ones(4)) + segy.encode_trace({"tracl": 2, "ns": 7}, np.ones(7))
+    (tmp_path / "b" / "u.sgy").write_bytes(data)
+    r = segy.SegyReader({"path": str(tmp_path / "b")})
+    assert len(r.partitions()) > 1 and [(x["tracl"], len(x["samples"])) for p in r.partitions() for b in r.read(p) for x in b.to_pylist()] == [(1, 4), (2, 7)]
+    (tmp_path / "b" / "u.sgy").write_bytes(data[:3700])
+    assert [x for p in r.partitions() for b in r.read(p) for x in b.to_pylist()] == []
+
+
+def test_options_of_line_steps(spark, tmp_path):
+    from echogrid.plans import cli
+
+    ns = 200
+    rows = []
+    for k in range(2):
+        for t in range(40):
+            s = 0.01 * np.sin(np.arange(ns))
+            s[100 + t % 2 : 106 + t % 2] = 3.0
+            rows.append((f"l{k}", t + 1, 500000.0 + 10 * t, 5e6 + 10.0 * k, 2.0, 0.05, s.tolist()))
+    t = spark.createDataFrame(rows, "line string, tracl int, x double, y double, delrt double, dt double, samples array<double>")
+    d = t.select(F.concat("line", F.lit("_UTM60S_raw.sgy")).alias("file"), F.col("tracl").alias("trace"), "tracl", F.lit(1).alias("scalco"), F.lit(1).alias("counit"), F.col("x").cast("int").alias("sx"), F.col("y").cast("int").alias("sy"), F.col("delrt").cast("int").alias("delrt"), F.lit(50).alias("dt"), (F.lit(1000) + F.col("tracl") % 2).alias("swdep"), F.lit(-10).alias("scalel"), F.lit(2020).alias("year"), F.lit(100).alias("day"), "samples")
+    segy.write(d, str(tmp_path / "in"))
+    segy.write(d.withColumn("file", F.lit("l9_UTM60S_other.sgy")), str(tmp_path / "in"))
+    at = lambda n: str(tmp_path / n)
+    raw = ["--filename_suffix", "raw"]
+    cli.run(spark, ["09", at("in"), at("t.parquet"), *raw])
+    assert spark.read.parquet(at("t.parquet")).count() == 80
+    cli.run(spark, ["05", at("in"), at("static"), *raw, "--segy", "--txt_suffix", "static", "--win_samples", "20", "--nsta", "3", "--nlta", "30", "--win_median", "5", "--n_amp_samples", "3", "--use_delay", "--limit_shift", "--limit_depressions", "5", "5", "5", "--write_seafloor2trace", "--write_aux"])
+    s = segy.read(spark, at("static"), fields="tracl,static_field,seafloor_field,delrt,sx,dt")
+    assert s.count() == 80 and s.where("static_field = -1000 and seafloor_field > 2000 and dt = 50 and delrt = 2 and sx >= 500000").count() == 80
+    assert {r.file.rpartition("/")[2] for r in s.select("file").distinct().collect()} == {"l0_UTM60S_raw_static.sgy", "l1_UTM60S_raw_static.sgy"}
+    assert "CORRECT STATICS" in segy.text_headers(spark, at("static")).first()["text"] and spark.read.csv(at("static.aux"), header=True).count() == 80
+    cli.run(spark, ["05", at("in"), at("deep.parquet"), *raw, "--mode", "swdep"])
+    deep = spark.read.parquet(at("deep.parquet"))
+    assert deep.count() == 80 and {r.pick for r in deep.select("pick").distinct().collect()} == {100.0, 100.1}
+    shallow = steps.correct_statics(t.withColumns({"swdep": F.when(F.col("line") == "l0", 0).otherwise(F.lit(100)), "scalel": F.lit(1)}), mode="swdep")
+    assert shallow.where("line = 'l0' and static = 0").count() == 40
+    with pytest.raises(ValueError):
+        steps.correct_statics(t, mode="x")
+    cli.run(spark, ["04", at("in"), at("pad"), *raw, "--segy", "--byte_delay", "109"])
+    assert segy.read(spark, at("pad")).count() == 80
+    cli.run(spark, ["02", at("in"), at("geo"), *raw, "--segy", "--crs_src", "epsg:32760", "--crs_dst", "epsg:4326", "--scalar_coords", "-1000", "--dst_coords", "CDP"])
+    assert segy.read(spark, at("geo"), fields="scalco,cdp_x").where("scalco = -1000 and abs(cdp_x - 177000) < 100").count() == 80
+    cli.run(spark, ["06", at("in"), at("tide.parquet"), *raw, "--constituents", "m2:1.0:0.0", "--write_aux"])
+    assert spark.read.csv(at("tide.parquet") + ".aux", header=True).columns == ["line", "tracl", "tracr", "fldr", "time", "tide", "tide_samples"]
+    (tmp_path / "nav").mkdir()
+    (tmp_path / "nav" / "l0_UTM60S.nav").write_text("tracl,tracr,fldr,x,y\n" + "".join(f"{k},1,1,{7 * k},3\n" for k in range(1, 41)))
+    cli.run(spark, ["07", at("in"), at("tie.parquet"), *raw, "--coords_origin", "aux", "--coords_path", at("nav"), "--win_cc", "2", "9", "--cell", "20", "--write_QC", "--write_aux"])
+    tie = spark.read.parquet(at("tie.parquet"))
+    assert tie.count() == 80 and tie.where("line = 'l0' and x = 7 * tracl").count() == 40 and tie.where("line = 'l1' and x >= 500000").count() == 40
+    for step, bad in (("05", ["--mode", "x"]), ("16", []), ("04", ["--byte_delay", "2"])):
+        with pytest.raises(SystemExit):
+            cli.parser().parse_args([step, "a", "b", *bad])
+
+
+def test_options_of_cube_steps(spark, tmp_path):
+    import json
+
+    from echogrid.plans import cli
+
+    at = lambda n: str(tmp_path / n)
+    survey(spark).write.parquet(at("t.parquet"))
+    (tmp_path / "cube.json").write_text(json.dumps({"extent": [-5, 115, -5, 25], "bin_size": [5, 5], "twt_limits": [0, 3.2], "dt": 0.05}))
+    cli.run(spark, ["10", at("t.parquet"), at("c.parquet"), "--params_cube_setup", at("cube.json"), "--attribute", "env", "--bin_size", "10", "10", "--dtype_data", "float32", "--stacking_method", "idw", "--write_aux"])
+    c = spark.read.parquet(at("c.parquet"))
+    assert c.count() == 36 and c.schema["samples"].dataType.simpleString() == "array<float>" and spark.read.csv(at("c.parquet") + ".aux", header=True).count() == 36
+    for extra, has in (([], False), (["--store_ref_amp"], True)):
+        cli.run(spark, ["11", at("c.parquet"), at(f"p{has}.parquet"), "--dt", "0.05", "--balance", *extra])
+        assert ("reference" in spark.read.parquet(at(f"p{has}.parquet")).columns) is has
+    cli.run(spark, ["12", at("c.parquet"), at("f.parquet"), "--dt", "0.05", "--compute_real"])
+    (tmp_path / "pocs.json").write_text(json.dumps({"fold": at("c.parquet"), "niter": 3}))
+    cli.run(spark, ["13", at("f.parquet"), at("i.parquet"), "--path_pocs_parameter", at("pocs.json")])
+    cli.run(spark, ["14", at("i.parquet"), at("b.parquet"), "--dt", "0.05", "--compute_real", "--rescale-envelope"])
+    ends = spark.read.parquet(at("b.parquet")).agg(F.min(F.array_min("samples")), F.max(F.array_max("samples"))).first()
+    assert tuple(ends) == (0.0, 1.0)
+    # every second inline is there: amplitudes that are linear in the inline are filled exactly
+    lin = [(il, xl, [il * 2.0 + xl + k for k in range(8)]) for il in range(1, 14, 2) for xl in range(1, 10)]
+    cube = spark.createDataFrame(lin, "il int, xl int, samples array<double>")
+    for method in ("linear", "slinear", "nearest", "cubic", "polynomial"):
+        up = steps.upsample(cube, method, dealias=False)
+        assert up.count() == 13 * 9 and {r.il for r in up.select("il").distinct().collect()} == set(range(1, 14))
+        if method != "nearest":
+            assert all(np.allclose(r.samples, [r.il * 2.0 + r.xl + k for k in range(8)]) for r in up.collect())
+    with pytest.raises(ValueError):
+        steps.upsample(cube, "x")
+    assert steps.step_of(cube, "il") == 2 and steps.upsample(up).count() == 13 * 9
+    cube.write.parquet(at("sparse.parquet"))
+    cli.run(spark, ["15", at("sparse.parquet"), at("up.parquet"), "--upsample", "--spatial-dealiasing"])
+    damped = spark.read.parquet(at("up.parquet"))
+    assert damped.count() == 13 * 9 and all(len(r.samples) == 8 for r in damped.collect())
+    cli.run(spark, ["15", at("sparse.parquet"), at("us.parquet"), "--upsample", "cubic", "--remove-footprint", "--bin-size", "5", "10", "--footprint-sigma", "1", "--buffer-filter", "1"])
+    assert spark.read.parquet(at("us.parquet")).count() == 8
+    cli.run(spark, ["15", at("b.parquet"), at("agc.parquet"), "--agc", "--agc-win", "0.00025", "--dt", "0.05", "--agc-kind", "mean"])
+    from echogrid.kernels import dsp
+
+    plain = {(r.il, r.xl): np.array(r.samples) for r in spark.read.parquet(at("b.parquet")).collect()}
+    assert all(np.allclose(r.samples, dsp.agc(plain[r.il, r.xl][None], 5, "mean")[0]) for r in spark.read.parquet(at("agc.parquet")).collect())
+    for kind in ("profile", "profile-iline", "profile-xline"):
+        cli.run(spark, ["15", at("b.parquet"), at(f"{kind}.parquet"), "--remove-footprint", kind, "--footprint-sigma", "1"])
+        assert spark.read.parquet(at(f"{kind}.parquet")).count() == 36
+    for bad in (["--agc"], ["--smooth", "nope"]):
+        with pytest.raises(SystemExit):
+            cli.run(spark, ["15", at("b.parquet"), at("no.parquet"), *bad])
+    with pytest.raises(ValueError):
+        steps.postprocess(cube, footprint={}, agc={"win": 3})
+    assert steps.footprint_direction(5, 5) == "both" and steps.footprint_direction(5, 10) == "iline"
+    placed = spark.read.parquet(at("b.parquet")).join(c.select("il", "xl", "x", "y"), ["il", "xl"])
+    placed.write.parquet(at("x.parquet"))
+    cli.run(spark, ["16", at("x.parquet"), at("out"), "--dt", "0.05", "--inlines_per_file", "2"])
+    back = segy.read(spark, at("out"), fields="cdp,iline,scalco,cdp_x")
+    assert {r.file.rpartition("/")[2]: r.n for r in back.groupBy("file").agg(F.count("*").alias("n")).collect()} == {"cube_il000001.sgy": 24, "cube_il000003.sgy": 12}
+    assert {r.scalco for r in back.collect()} == {-1000} and sorted(r.cdp for r in back.collect()) == list(range(1, 37))
+
+
+def test_outliers_of_every_kind(spark):
+    from echogrid.kernels import dsp
+    from echogrid.operators import outliers
+
+    x = [float(v) for v in 3 * np.sin(np.arange(40) / 5)]
+    x[17] += 50
+    d = spark.createDataFrame([(1, k, v) for k, v in enumerate(x)], "line int, k int, a double")
+    for kind in outliers.KINDS:
+        got = [r.a for r in outliers.replaced(d, ["line"], ["k"], "a", "r_z-score", kind, 11).orderBy("k").collect()]
+        assert len(got) == 40 and abs(got[17] - 3 * np.sin(17 / 5)) < 2 and got[5] == x[5]
+    flagged = [r.k for r in outliers.moving_zscore(d, ["line"], ["k"], "a").where("outlier").collect()]
+    z = np.abs(np.array(x) - dsp.smooth(np.array(x), 11)) / np.std(x)
+    assert 17 in flagged and sorted(flagged) == np.flatnonzero(z > 1).tolist() and outliers.moving_zscore(d.limit(3), ["line"], ["k"], "a").where("outlier").count() == 0
+    with pytest.raises(ValueError):
+        outliers.interpolated(d.withColumn("outlier", F.lit(False)), ["line"], ["k"], "a", kind="x")
+
+
+def test_full_header_is_not_lost(spark):
+    full = spark.createDataFrame([([headers.prefixed(i + 1, "x" * 77) for i in range(40)],)], "l array<string>")
+    with pytest.raises(Exception, match="full"):
+        full.select(headers.add_info(F.col("l"), "PAD", "2024-01-01")).collect()
+    # a line of the same prefix before the title is not written to; the second one behind it that has room is
+    lines_ = [headers.prefixed(i + 1) for i in range(40)]
+    lines_[3], lines_[25], lines_[26] = headers.prefixed(4, " 2024-01-01: A"), headers.prefixed(26, " 2024-01-01: " + "y" * 60), headers.prefixed(27, " 2024-01-01: B")
+    out = spark.createDataFrame([(lines_,)], "l array<string>").select(headers.add_info(F.col("l"), "TIDE TIDE", "2024-01-01").alias("l")).first()["l"]
+    assert out[26].rstrip() == "C27 2024-01-01: B  TIDE TIDE" and out[3] == lines_[3] and out[25] == lines_[25]
+
+
+def test_stacking_methods_agree_with_arrays(spark):
+    from echogrid.operators import binning
+
+    rng = np.random.default_rng(9)
+    rows = [(int(rng.integers(1, 4)), int(rng.integers(1, 3)), float(d), rng.normal(size=6).tolist()) for d in [0.0, *rng.uniform(0, 2, 60)]]
+    t = spark.createDataFrame(rows, "il int, xl int, dist double, samples array<double>").repartition(5)
+    bins = spark.createDataFrame([(i, j) for i in range(1, 5) for j in range(1, 3)], "il int, xl int")
+    for method in binning.METHODS:
+        got = {(r.il, r.xl): (r.fold, np.array(r.samples)) for r in binning.stack_traces(t, bins, 6, method, 2.0).collect()}
+        assert len(got) == 8 and got[4, 1][0] == 0 and not got[4, 1][1].any()
+        for key in {(i, j) for i, j, _, _ in rows}:
+            own = [(d, np.array(s)) for i, j, d, s in rows if (i, j) == key]
+            w = np.array([1 / max(d, 1e-9) ** 2.0 for d, _ in own])
+            x = np.array([s for _, s in own])
+            want = {"average": x.mean(axis=0), "median": np.median(x, axis=0), "nearest": min(own, key=lambda p: p[0])[1], "idw": (w[:, None] * x).sum(axis=0) / w.sum()}[method]
+            assert got[key][0] == len(own) and np.allclose(got[key][1], want)
