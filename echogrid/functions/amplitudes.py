@@ -1,15 +1,20 @@
 """Per-trace amplitude functions on arrays of samples: gain stages, padding, shifts, references.
 
-All are higher-order functions on one row: no shuffle, no Python.
+All work on one row, without a shuffle: higher-order functions, and a kernel in
+Arrow batches for gain control.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..kernels import dsp
+
 
 def zeros(n: Column | int) -> Column:
     n = F.lit(n) if isinstance(n, int) else n
@@ -114,23 +119,31 @@ def times(s: Column, g: Column) -> Column:
     return F.zip_with(s, g, lambda x, y: x * y)
 
 
+def on_matrix(kernel: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
+    """A kernel on a matrix (traces x samples) as a column function: traces of one length in a batch are its rows; nulls and empty arrays stay as they are."""
+
+    @F.pandas_udf("array<double>")
+    def run(s: pd.Series) -> pd.Series:
+        out = s.copy()
+        sizes = s.map(lambda x: -1 if x is None else len(x)).to_numpy()
+        for n in np.unique(sizes[sizes > 0]):
+            at = np.flatnonzero(sizes == n)
+            for i, row in zip(at, kernel(np.stack(s.iloc[at].to_list()).astype(float)), strict=True):
+                out.iat[i] = row
+        return out
+
+    return run
+
+
 def agc(s: Column, win: int, kind: str = "rms", squared: bool = False) -> Column:
     """Automatic gain: x / g over a centred window of an odd number of samples.
 
     Samples beyond the ends are zeros, so edge windows divide by the whole
     window too. g is the rms, mean or median; 1 instead of 0. squared keeps the
-    sign of the result and squares its size. A window's work a sample; for long
-    windows take operators.spectral.agc, which keeps running sums.
+    sign of the result and squares its size. Arrow batches with running sums,
+    so for rms and mean the cost does not grow with the window.
     """
-    h = win // 2
-    padded = F.concat(zeros(h), s, zeros(h))
-    if kind == "median":
-        g = F.transform(s, lambda x, i: median_of(F.slice(padded, i + 1, win)))
-    else:
-        g = F.transform(s, lambda x, i: F.aggregate(F.slice(padded, i + 1, win), F.lit(0.0), lambda a, y: a + (y * y if kind == "rms" else y)) / win)
-        g = F.transform(g, F.sqrt) if kind == "rms" else g
-    y = F.zip_with(s, g, lambda x, v: x / F.when(v == 0, 1.0).otherwise(v))
-    return F.transform(y, lambda x: F.signum(x) * x * x) if squared else y
+    return on_matrix(lambda x: dsp.agc(x, win, kind, squared))(s)
 
 
 def gain(

@@ -8,9 +8,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from . import wavelets
+from . import frames, wavelets
 
-TRANSFORMS = ("FFT", "DCT", "WAVELET")
+TRANSFORMS = ("FFT", "DCT", "WAVELET", *frames.KINDS)
 VERSIONS = ("regular", "fast", "adaptive")
 
 
@@ -83,6 +83,8 @@ def _transform(kind: str, shape: tuple[int, int]) -> tuple[Callable, Callable, C
         return lambda x: a @ x @ b.T, lambda c: a.T @ c @ b, lambda c, f: f(c)
     if kind == "WAVELET":
         return wavelets.forward(shape)
+    if kind in frames.KINDS:
+        return frames.forward(shape, kind)
     raise ValueError(f"transform {kind!r} is none of {', '.join(TRANSFORMS)}")
 
 

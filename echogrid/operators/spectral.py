@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.amplitudes import agc, on_matrix
 from ..kernels import dsp, slices
 
 COMPLEX = "struct<f:array<double>,re:array<double>,im:array<double>>"
@@ -24,27 +25,6 @@ def on_samples(kernel: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column],
     return run
 
 
-def on_matrix(kernel: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
-    """The same for a kernel that takes many traces of one length as the rows of a matrix."""
-
-    @F.pandas_udf("array<double>")
-    def run(s: pd.Series) -> pd.Series:
-        out = s.copy()
-        sizes = s.map(lambda x: -1 if x is None else len(x)).to_numpy()
-        for n in np.unique(sizes[sizes > 0]):
-            at = np.flatnonzero(sizes == n)
-            for i, row in zip(at, kernel(np.stack(s.iloc[at].to_list()).astype(float)), strict=True):
-                out.iat[i] = row
-        return out
-
-    return run
-
-
-def agc(samples: Column, win: int, kind: str = "rms", squared: bool = False) -> Column:
-    """functions.amplitudes.agc in Arrow batches: running sums, so the cost does not grow with the window."""
-    return on_matrix(lambda x: dsp.agc(x, win, kind, squared))(samples)
-
-
 def envelope(samples: Column) -> Column:
     return on_samples(dsp.envelope)(samples)
 

@@ -91,7 +91,7 @@ def test_pocs_edges():
     assert z.niter == 0 and not z.grid.any()
     c = pocs.pocs(g + 1j * g, np.ones_like(g), 5)
     assert np.iscomplexobj(c.grid)
-    for bad in ({"mask": 2 * np.ones_like(g)}, {"version": "x"}, {"transform": "SHEARLET"}):
+    for bad in ({"mask": 2 * np.ones_like(g)}, {"version": "x"}, {"transform": "RIDGELET"}):
         with pytest.raises(ValueError):
             pocs.pocs(g, **({"mask": np.ones_like(g)} | bad))
     for model in ("linear", "exponential", "exponential-2", "inverse_proportional", "data-driven"):
@@ -232,3 +232,27 @@ def test_seafloor_window_reaches_both_ends():
     assert first and max(first) == 200  # a window of exactly the distance holds the peak
     padded = np.pad(data, ((0, 0), (50, 0)))
     assert (picking.seafloor(padded, win=30, n=1, post=False, threshold=5.0, start=np.full(30, 50)) == at + 50).all()
+
+
+@pytest.mark.parametrize("kind", ["SHEARLET", "CURVELET"])
+def test_directional_frames(kind):
+    from echogrid.kernels import frames
+
+    for shape in ((16, 16), (10, 59), (33, 20)):
+        w = frames.windows(shape, kind)
+        assert len(w) > 4 and np.allclose((w**2).sum(axis=0), 1)
+        fwd, inv, shrink = frames.forward(shape, kind)
+        x = np.random.default_rng(3).normal(size=shape)
+        assert np.allclose(inv(fwd(x)), x) and np.allclose(inv(shrink(fwd(x), lambda c: 2 * c)), 2 * x)
+        assert np.isclose((np.abs(fwd(x)) ** 2).sum(), (x**2).sum())
+    # a plane wave lies in few windows, those of its direction
+    wave = np.cos(2 * np.pi * (6 * np.arange(64)[:, None] + 18 * np.arange(64)) / 64)
+    energy = np.sort((np.abs(frames.forward((64, 64), kind)[0](wave)) ** 2).sum(axis=(1, 2)))[::-1]
+    assert energy[:4].sum() > 0.99 * energy.sum()
+    with pytest.raises(ValueError):
+        frames.windows((8, 8), "x")
+    # gaps in a plane wave are filled
+    mask = (np.random.default_rng(1).random((64, 64)) > 0.4).astype(float)
+    got = pocs.pocs(wave * mask, mask, 30, kind, thresh_model="exponential", p_max=0.9, p_min=1e-3)
+    assert np.abs(got.grid - wave)[mask == 0].mean() < 0.3 * np.abs(wave)[mask == 0].mean()
+    assert np.allclose(got.grid[mask == 1], wave[mask == 1])
