@@ -25,6 +25,18 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def snr(signal: Column, noisy: Column) -> Column:
+    """Aggregate: signal to noise in dB, 10 log10 of the energies of the signal and of its difference to the noisy one."""
+    e = signal - noisy
+    return 10 * F.log10(F.sum(signal * signal) / F.sum(e * e))
+
+
+def psnr(signal: Column, noisy: Column, peak: float = 1.0) -> Column:
+    """Aggregate: peak signal to noise in dB, 10 log10 of the peak and the root mean square difference."""
+    e = signal - noisy
+    return 10 * F.log10(F.lit(float(peak)) / F.sqrt(F.avg(e * e)))
+
+
 def rms(s: Column) -> Column:
     return F.sqrt(total(F.transform(s, lambda x: x * x)) / F.size(s))
 

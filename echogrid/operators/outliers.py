@@ -24,6 +24,11 @@ def zscore(df: DataFrame, keys, value: str, threshold: float = 1.0) -> DataFrame
     return df.withColumn("outlier", F.coalesce(F.abs(z) > threshold, F.lit(False)))
 
 
+def missing(value: Column) -> Column:
+    """Whether a sample is null or not a number."""
+    return value.isNull() | F.isnan(value)
+
+
 def quantiles(df: DataFrame, keys, value: str, qs: Sequence[float]) -> DataFrame:
     return df.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(q) for q in qs])).alias("q"), F.count("*").alias("n"))
 

@@ -96,6 +96,17 @@ def balance_windowed(df: DataFrame, line: str, tracl: str, sample: str, value: s
     return df.join(t, [line, tracl]).withColumn("balanced", x / F.col("reference"))
 
 
+def moving_window_2d(df: DataFrame, line: str, tracl: str, sample: str, value: str, n_samples: int, reach: int) -> DataFrame:
+    """line, tracl, win, mean: the mean absolute amplitude of each block of n_samples over the traces whose number is within `reach`.
+
+    A block of a trace is first one sum; only those go through the frame.
+    """
+    d = df.withColumn("win", F.floor(F.col(sample) / n_samples).cast("int"))
+    part = d.groupBy(line, "win", tracl).agg(F.sum(F.abs(value)).alias("e"), F.count("*").alias("n"))
+    w = Window.partitionBy(line, "win").orderBy(tracl).rangeBetween(-reach, reach)
+    return part.select(line, tracl, "win", (F.sum("e").over(w) / F.sum("n").over(w)).alias("mean"))
+
+
 def change_points(df: DataFrame, keys, order, value: str) -> DataFrame:
     """Adds `changed`, true where the value differs from the row before (false for the first)."""
     before = F.lag(value).over(over(keys, order))

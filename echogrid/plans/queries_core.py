@@ -459,13 +459,13 @@ _NOISE = a.with_("traces", "samples", more="n AS (SELECT line, amp, round(amp, 1
 def _(s, d):
     x, n = F.col("amp"), F.round("amp", 1)
     t = layouts.to_samples(a.traces(s, d))
-    return t.groupBy("line").agg(r(10 * F.log10(F.sum(x * x) / F.sum((x - n) * (x - n)))).alias("snr"))
+    return t.groupBy("line").agg(r(amplitudes.snr(x, n)).alias("snr"))
 
 
 @query("d9_psnr", _NOISE + "SELECT line, round(10 * log10(1 / sqrt(avg((amp - m) * (amp - m)))), 6) AS psnr FROM n GROUP BY line")
 def _(s, d):
     x, n = F.col("amp"), F.round("amp", 1)
-    return layouts.to_samples(a.traces(s, d)).groupBy("line").agg(r(10 * F.log10(1 / F.sqrt(F.avg((x - n) * (x - n))))).alias("psnr"))
+    return layouts.to_samples(a.traces(s, d)).groupBy("line").agg(r(amplitudes.psnr(x, n)).alias("psnr"))
 
 
 @query(

@@ -50,10 +50,7 @@ def _(s, d):
 
 @query("e5_moving_window_2d", a.with_("traces", "samples") + "SELECT a.line, a.tracl, (a.i // 16)::INT AS win, round(avg(abs(b.amp)), 6) AS mean FROM samples a JOIN samples b ON a.line = b.line AND a.i = b.i AND b.tracl BETWEEN a.tracl - 10 AND a.tracl + 10 GROUP BY a.line, a.tracl, a.i // 16")
 def _(s, d):
-    t = layouts.to_samples(a.traces(s, d)).withColumn("win", F.floor(F.col("i") / 16).cast("int"))
-    part = t.groupBy("line", "win", "tracl").agg(F.sum(F.abs("amp")).alias("e"), F.count("*").alias("n"))
-    w = Window.partitionBy("line", "win").orderBy("tracl").rangeBetween(-10, 10)
-    return part.select("line", "tracl", "win", r(F.sum("e").over(w) / F.sum("n").over(w)).alias("mean"))
+    return rounded(windows.moving_window_2d(layouts.to_samples(a.traces(s, d)), "line", "tracl", "i", "amp", 16, 10), "mean")
 
 
 @query("e6_smooth")
@@ -180,10 +177,8 @@ for _kind, _new in (("linear", "a0 + (a1 - a0) * (k - k0)::DOUBLE / (k1 - k0)"),
 
 @query("f2_moving_zscore")
 def _(s, d):
-    t = a.traces(s, d).withColumn("m", spectral.smooth(F.col("samples"), 11))
-    x = t.select("line", "tracl", F.posexplode(F.zip_with("samples", "m", lambda x, m: x - m)).alias("i", "dev"), "samples")
-    w = Window.partitionBy("line", "tracl")
-    return x.select("line", "tracl", "i", (F.abs("dev") / F.stddev_pop(F.get("samples", F.col("i"))).over(w) > 1).alias("outlier"))
+    t = layouts.to_samples(a.traces(s, d)).select("line", "tracl", "i", "amp")
+    return outliers.moving_zscore(t, ["line", "tracl"], ["i"], "amp", 11).select("line", "tracl", "i", "outlier")
 
 
 @query("f6_interpolate_cubic")
@@ -197,7 +192,7 @@ def _(s, d):
 @query("f7_missing_values", "SELECT event_id, value < 10 AS missing FROM events")
 def _(s, d):
     v = F.when(F.col("value") < 10, float("nan")).otherwise(F.col("value"))
-    return a.table(s, d, "events").select("event_id", F.isnan(v).alias("missing"))
+    return a.table(s, d, "events").select("event_id", outliers.missing(v).alias("missing"))
 
 
 @query("f8_programmed_gain", "SELECT i, round(CASE WHEN t <= 0.5 THEN 1 WHEN t <= 2 THEN 1 + (t - 0.5) * 2 / 1.5 WHEN t <= 3 THEN 3 - (t - 2) * 2.5 ELSE 0.5 END, 6) AS gain FROM (SELECT i, i * 0.05::DOUBLE AS t FROM range(80) r(i))".replace("0.5", "0.5::DOUBLE").replace("/ 1.5", "/ 1.5::DOUBLE"))
