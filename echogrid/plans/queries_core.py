@@ -483,7 +483,14 @@ def _(s, d):
     return sl.select(F.col("slice").cast("long").alias("slice"), r(spectral.noise_level(F.col("grid"), F.col("n_xl")), 4).alias("noise"))
 
 
-@query("d13_files_to_merge", None)
+@query(
+    "d13_files_to_merge",
+    """WITH f AS (SELECT source, printf('f%06d', doc_id) AS file, n_chars * 1000 < 1000000 AS small FROM documents),
+w AS (SELECT *, row_number() OVER o AS n, coalesce(lag(small) OVER o, false) AS before FROM f WINDOW o AS (PARTITION BY source ORDER BY file)),
+r AS (SELECT *, sum((small AND NOT before)::INT) OVER (PARTITION BY source ORDER BY file ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM w),
+g AS (SELECT source, island, list(file ORDER BY file) AS files, min(n) FILTER (small) AS first, bool_or(NOT small) AS has_next FROM r WHERE small OR before GROUP BY source, island)
+SELECT g.source, g.island, CASE WHEN NOT has_next AND w.file IS NOT NULL THEN list_prepend(w.file, files) ELSE files END AS files FROM g LEFT JOIN w ON w.source = g.source AND w.n = g.first - 1""",
+)
 def _(s, d):
     f = a.table(s, d, "documents").select(F.format_string("f%06d", "doc_id").alias("file"), (F.col("n_chars") * 1000).alias("size"), "source")
     return merging.files_to_merge(f, max_bytes=1_000_000, group="source")

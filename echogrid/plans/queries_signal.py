@@ -53,13 +53,27 @@ def _(s, d):
     return rounded(windows.moving_window_2d(layouts.to_samples(a.traces(s, d)), "line", "tracl", "i", "amp", 16, 10), "mean")
 
 
-@query("e6_smooth")
+#: Hann weights of 11 samples over traces that go on along the lines through their first and last five samples.
+_HANN = """f AS (SELECT line, tracl, regr_slope(amp, i) FILTER (i < 5) AS s0, regr_intercept(amp, i) FILTER (i < 5) AS c0, regr_slope(amp, i) FILTER (i >= 59) AS s1, regr_intercept(amp, i) FILTER (i >= 59) AS c1 FROM samples GROUP BY line, tracl),
+x AS (SELECT line, tracl, i, amp FROM samples UNION ALL SELECT line, tracl, j::INT, c0 + s0 * j FROM f, range(-5, 0) r(j) UNION ALL SELECT line, tracl, j::INT, c1 + s1 * j FROM f, range(64, 69) r(j)),
+sm AS (SELECT a.line, a.tracl, a.i, any_value(a.amp) AS amp, sum(b.amp * (0.5 - 0.5 * cos(2 * pi() * (b.i - a.i + 5) / 10))) / 5 AS m FROM samples a JOIN x b ON a.line = b.line AND a.tracl = b.tracl AND b.i BETWEEN a.i - 5 AND a.i + 5 GROUP BY a.line, a.tracl, a.i)"""
+
+
+@query("e6_smooth", a.with_("traces", "samples", more=_HANN) + "SELECT line, tracl, i, round(m, 6) + 0 AS amp FROM sm")
 def _(s, d):
     t = a.traces(s, d).select("line", "tracl", F.posexplode(spectral.smooth(F.col("samples"), 11)).alias("i", "amp"))
     return rounded(t, "amp")
 
 
-@query("e7_polynomial_filter")
+#: Orthogonal polynomials on 64 equidistant points, of degree 0 to 3.
+_GRAM = ("1", "t", "(t * t - 4095 / 12.0::DOUBLE)", "(t * t * t - t * (3 * 4096 - 7) / 20.0::DOUBLE)")
+
+
+@query(
+    "e7_polynomial_filter",
+    a.with_("traces", "samples", more="g AS (SELECT *, i - 31.5::DOUBLE AS t FROM samples), c AS (SELECT line, tracl, " + ", ".join(f"sum(amp * {p}) / sum({p} * {p}) AS c{k}" for k, p in enumerate(_GRAM)) + " FROM g GROUP BY line, tracl)")
+    + "SELECT line, tracl, i, round(amp - (" + " + ".join(f"c{k} * {p}" for k, p in enumerate(_GRAM)) + "), 5) + 0 AS amp FROM g JOIN c USING (line, tracl)",
+)
 def _(s, d):
     t = a.traces(s, d).select("line", "tracl", F.posexplode(spectral.polynomial(F.col("samples"), 3)).alias("i", "amp"))
     return rounded(t, "amp", digits=5)
@@ -175,7 +189,7 @@ for _kind, _new in (("linear", "a0 + (a1 - a0) * (k - k0)::DOUBLE / (k1 - k0)"),
     query(f"f6_interpolate_{_kind}", _interp_sql(_new))(_f6)
 
 
-@query("f2_moving_zscore")
+@query("f2_moving_zscore", a.with_("traces", "samples", more=_HANN) + "SELECT line, tracl, i, abs(amp - m) / stddev_pop(amp) OVER (PARTITION BY line, tracl) > 1 AS outlier FROM sm")
 def _(s, d):
     t = layouts.to_samples(a.traces(s, d)).select("line", "tracl", "i", "amp")
     return outliers.moving_zscore(t, ["line", "tracl"], ["i"], "amp", 11).select("line", "tracl", "i", "outlier")
@@ -478,7 +492,16 @@ def _(s, d):
     return _cells(spectral.smooth_slices(_cube_slices(s, d)[0], "median"))
 
 
-@query("i13_smooth_gaussian")
+def _gauss(axis: str, n: str, of: str, other: str) -> str:
+    """One pass of a Gaussian of sigma 1, cut at 4 and reflected at the borders, along an axis of the grid."""
+    at = f"CASE WHEN {axis} + d < 1 THEN 1 - ({axis} + d) WHEN {axis} + d > {n} THEN 2 * {n} + 1 - ({axis} + d) ELSE {axis} + d END"
+    return f"(SELECT a.i, a.il, a.xl, sum(b.amp * w) AS amp FROM (SELECT i, il, xl, w, {at} AS at FROM {of}, n, gw) a JOIN {of} b ON b.i = a.i AND b.{axis} = a.at AND b.{other} = a.{other} GROUP BY a.i, a.il, a.xl)"
+
+
+@query(
+    "i13_smooth_gaussian",
+    a.with_("cube", "grid", more=f"gw AS (SELECT d, exp(-d * d / 2.0::DOUBLE) / sum(exp(-d * d / 2.0::DOUBLE)) OVER () AS w FROM range(-4, 5) r(d)), p1 AS {_gauss('il', 'ni', 'grid', 'xl')}, p2 AS {_gauss('xl', 'nx', 'p1', 'il')}") + "SELECT i::BIGINT AS slice, il, xl, round(amp, 6) + 0 AS amp FROM p2",
+)
 def _(s, d):
     return _cells(spectral.smooth_slices(_cube_slices(s, d)[0], "gaussian", 1.0))
 
@@ -504,7 +527,10 @@ for _kind, _new in (("linear", "a0 + (a1 - a0) * (xl - p0)::DOUBLE / (p1 - p0)")
     query(f"i16_upsample_{_kind}", _UPS + f"SELECT il, xl, round(CASE WHEN amp IS NOT NULL THEN amp ELSE {_new} END, 6) + 0 AS amp FROM g")(_i16)
 
 
-@query("y_resample")
+@query(
+    "y_resample",
+    a.with_("traces", "samples", more=_DFT) + "SELECT line, tracl, j::INT AS i, round(sum(CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END * (re * cos(2 * pi() * k * j / 128) - CASE WHEN k = 32 THEN 0 ELSE im * sin(2 * pi() * k * j / 128) END)) / 64, 6) + 0 AS amp FROM dft, range(128) r(j) GROUP BY line, tracl, j",
+)
 def _(s, d):
     t = a.traces(s, d).select("line", "tracl", F.posexplode(spectral.resample(F.col("samples"), 0.5)).alias("i", "amp"))
     return rounded(t, "amp")
@@ -804,7 +830,7 @@ def _(s, d):
     return t.select("doc_id", F.length(F.array_join("l", "")).cast("long").alias("n"), F.get("l", F.lit(24)).alias("title"))
 
 
-@query("l7_add_info")
+@query("l7_add_info", f"WITH {_TEXT} SELECT doc_id, rpad(substr(t, 25 * 80 + 1, 3) || ' 2024-01-01: STATIC (30)', 80, ' ') AS line FROM t")
 def _(s, d):
     t = _texts(s, d).withColumn("w", headers.wrap(F.col("t"))).withColumn("l", headers.set_title(F.col("w")))
     return t.withColumn("l", headers.add_info(F.col("l"), "STATIC (30)", "2024-01-01")).select("doc_id", F.get("l", F.lit(25)).alias("line"))
