@@ -88,7 +88,7 @@ def test_stages(spark):
     rows = [{r.doc_id: r for r in t.collect()} for t in tables[:4]]
     want = {i: c for i, r in rows[0].items() if (c := cleaned(r.text or "")) is not None}
     assert {i: r.text for i, r in rows[1].items()} == want and all(r.n_chars == len(r.text) for r in rows[1].values())
-    comp = brute_components({i: brute_fingerprint(r.text) for i, r in rows[1].items()})
+    comp = brute_near({i: r.text for i, r in rows[1].items()})
     assert set(rows[2]) == set(comp.values()) and all(rows[2][i] == rows[1][i] for i in rows[2])
     assert {i: r.text for i, r in rows[3].items()} == redacted({i: (r.text, r.source) for i, r in rows[2].items()})
     mixed = tables[4].collect()
@@ -129,8 +129,11 @@ def brute_near(texts):
     return least
 
 
-@pytest.mark.parametrize("common, shard", [(4, 10**6), (2, 500)])
-def test_near_dedup_is_exact(spark, monkeypatch, common, shard):
+@pytest.mark.parametrize("common, shard, big, many", [(4, 10**6, 64, 16), (2, 500, 64, 0), (2, 10**6, 1, 16), (16, 500, 0, 0)])
+def test_near_dedup_is_exact(spark, monkeypatch, common, shard, big, many):
+    monkeypatch.setattr(jaccard, "BIG", big)
+    monkeypatch.setattr(jaccard, "BLOCK", 3 if big < 64 else 1024)
+    monkeypatch.setattr(jaccard, "MANY_PAIRS", many)
     monkeypatch.setattr(jaccard, "COMMON", common)
     monkeypatch.setattr(jaccard, "SHARD_ENTRIES", shard)
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
