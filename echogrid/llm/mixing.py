@@ -59,8 +59,9 @@ def source_targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, budget_
     return s.select("source", "source_size", "n", target.alias("target"))
 
 
-def order_key(doc_id: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def order_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """A seeded hash of a document, its text included, so that ids that repeat or are null are spread as well."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
 
 
 def mix(
@@ -81,8 +82,9 @@ def mix(
     a source comes within half a document of its target, and reruns agree.
 
     Null texts have size 0, null sources are a source of their own, null
-    doc_ids hash like the empty string. Ties and repeated rows are ordered by
-    size; equal rows among them take places one after the other.
+    doc_ids hash like the empty string. Rows that agree in doc_id, source and
+    text are aggregated before anything is sorted, and take places one after
+    the other. Very long texts cost in proportion to their length.
 
     A hot source is split: its documents are dealt to buckets by their hash,
     bucket sums give each bucket its start, and only the running sum inside a
@@ -93,7 +95,7 @@ def mix(
             df[doc_id].alias("doc_id"),
             df[source].alias("source"),
             F.size(words(df[text])).cast("long").alias("size"),
-            order_key(df[doc_id], seed).alias("h"),
+            order_key(df[doc_id], df[text], seed).alias("h"),
         )
     )
     sources = stage(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
@@ -103,39 +105,43 @@ def mix(
     targets = targets.withColumns({"whole": F.floor(rate), "buckets": F.ceil(F.col("n") / BUCKET_ROWS)})
     targets = stage(targets.withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size")))
     small = F.broadcast(targets) if n_sources <= BROADCAST_ROWS else targets
-    d = sized.alias("d").join(small.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).drop(F.col("t.source"))
+    equal = sized.groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("rows"))
+    d = equal.alias("d").join(small.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).drop(F.col("t.source"))
     u = F.conv(F.substring("h", 1, 8), 16, 10).cast("long")
     d = d.withColumn("b", F.floor(u * F.col("buckets") / F.lit(2.0**32)))
     # running sums of buckets: one row a source and bucket
-    sums = d.groupBy("source", "b").agg(F.sum("size").alias("sum"))
+    sums = d.groupBy("source", "b").agg(F.sum(F.col("size") * F.col("rows")).alias("sum"))
     before = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source", "b", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("source", "b").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("upto", F.sum("size").over(within))
+    d = d.withColumn("upto", F.sum(F.col("size") * F.col("rows")).over(within))
     d = d.alias("d").join(starts.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.b") == F.col("s.b"))).select("d.*", "s.start")
-    middle = F.col("start") + F.col("upto") - F.col("size") / F.lit(2.0)
+    # each of the equal rows again, with its own place
+    d = d.withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    middle = F.col("start") + F.col("upto") - F.col("size") * (F.col("rows") - F.col("j")) - F.col("size") / F.lit(2.0)
     copies = F.col("whole") + F.when(middle < F.col("wanted"), 1).otherwise(0)
     d = d.withColumn("copies", copies.cast("long"))
-    return d.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return d.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "h")
 
 
 def mixed_documents(df: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of df, each as often as the mix holds it, in the columns of df.
 
-    Rows that agree in doc_id, source and size get the copies that the mix has
+    Rows that agree in doc_id, source and text get the copies that the mix has
     for such rows, one each. The texts are shuffled once: the place among such
     rows is counted where the join has put them.
     """
     source, text = options.get("source", "source"), options.get("text", "text")
 
-    def keys(doc, src, size) -> dict[str, Column]:
-        return {f"k{i}": F.xxhash64(F.lit(i), doc.cast("string"), doc.isNull(), src, src.isNull(), size) for i in range(2)}
+    def keys(src, h) -> dict[str, Column]:
+        return {f"k{i}": F.xxhash64(F.lit(i), src, src.isNull(), h) for i in range(2)}
 
-    rows = carried(df, **keys(df[doc_id], df[source], F.size(words(df[text])).cast("long")))
+    rows = carried(df, **keys(df[source], order_key(df[doc_id], df[text], options.get("seed", 0))))
     plan = mix(df, doc_id, **options)
-    plan = plan.select("copies", *[v.alias(k) for k, v in keys(plan["doc_id"], plan["source"], plan["size"]).items()])
-    plan = plan.groupBy("k0", "k1").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies")).where(F.col("copies")[0] > 0)
+    plan = plan.select("copies", *[v.alias(k) for k, v in keys(plan["source"], plan["h"]).items()])
+    # equal rows have as many copies, or one more for the first of them
+    plan = plan.groupBy("k0", "k1").agg(F.min("copies").alias("least"), (F.sum("copies") - F.min("copies") * F.count("*")).alias("more")).where((F.col("least") > 0) | (F.col("more") > 0))
     both = rows.join(plan, ["k0", "k1"])
     place = F.row_number().over(Window.partitionBy("k0", "k1").orderBy(F.xxhash64("row")))
-    both = both.withColumn("n", F.get("copies", place - 1))
-    return restored(both.select("row", F.explode(F.sequence(F.lit(1), F.greatest("n", F.lit(0)).cast("int"))).alias("copy"), "n").where("n > 0"))
+    both = both.withColumn("n", F.col("least") + F.when(place <= F.col("more"), 1).otherwise(0))
+    return restored(both.where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")))
