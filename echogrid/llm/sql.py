@@ -53,7 +53,7 @@ n AS (SELECT *, sum(length({_escaped("role")}) + length({_escaped("text")}) + {l
   FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(CASE WHEN role = 'assistant' OR back = 1 THEN upto ELSE 0 END)::BIGINT AS formatted_chars
 FROM n GROUP BY conv_id
 """
@@ -63,7 +63,7 @@ _COMMON = 1
 for _w in _W:
     _COMMON *= _w
 OP6 = rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}'))::BIGINT AS size, md5('0:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}'))::BIGINT AS size, md5('0:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 a AS (SELECT source, source_size, row_number() OVER (ORDER BY source COLLATE "C" ASC NULLS LAST) - 1 AS i FROM s),
 b AS (SELECT source, source_size, i, {_W}[(i % {len(_W)} + 1)::INT]::BIGINT AS w, source_size * {mixing.MAX_EPOCHS} AS cap FROM a),

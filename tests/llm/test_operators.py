@@ -163,7 +163,30 @@ def test_mixing(spark):
     docs = mixing.mixed_documents(df)
     assert docs.columns == df.columns and docs.count() == sum(r.copies for r in got)
     assert Counter(r.doc_id for r in docs.collect()) == Counter({i: n for i, n in sum((Counter({r.doc_id: r.copies}) for r in got), Counter()).items() if n})
-    assert mixing.mix(odd_documents(spark)).count() == 8 and mixing.mix(df.limit(0)).count() == 0
+    odd = mixing.mix(odd_documents(spark)).collect()
+    assert sorted((str(r.doc_id), r["size"]) for r in odd) == [("1", 0), ("2", 0), ("3", 0), ("5", 30000), ("5", 30000), ("7", 11), ("8", 11), ("None", 30)]
+    assert mixing.mix(df.limit(0)).collect() == []
+
+
+def test_mixing_spreads_ids_that_repeat(spark, monkeypatch):
+    """A third of the rows without an id, a third with one id, and rows that are equal in all."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "w " * (1 + i % 40) + str(i), "en", f"s{i % 2}", 0) for i in range(900)]
+    rows += [(7, "equal rows", "en", "s0", 0)] * 300
+    df = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(df, weights=(1, 5)).collect()
+    keys = Counter(r.h for r in got)
+    assert len(got) == len(rows) and len(keys) == 901 and max(keys.values()) == 300
+    taken, targets = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        targets[r.source] = r.target
+    assert all(abs(taken[s] - targets[s]) <= 41 for s in targets)
+    docs = mixing.mixed_documents(df, weights=(1, 5)).collect()
+    words = Counter()
+    for r in docs:
+        words[r.source] += len(r.text.split())
+    assert words == taken
 
 
 def check_packed(rows, texts, capacity):
