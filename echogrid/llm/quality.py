@@ -21,7 +21,7 @@ MIN_WORDS = 10
 WINDOW = 5
 SEPARATORS = "|»›·"
 SYMBOLS = "#*$%&<>"
-SENTENCE_MARK = "[.!?…。:;]"
+SENTENCE_MARK = "[.!?…。:;！？：；؟؛।]"
 BOILERPLATE = (
     "lorem ipsum|all rights reserved|(cookie|privacy) policy|terms of (use|service)"
     "|enable javascript|javascript is (disabled|required)|click here|sign up now|subscribe to our|skip to (main )?content"

@@ -59,8 +59,13 @@ def test_quality_lines(spark):
     assert got[1].clean_text == prose and got[2].clean_text == prose and got[5].clean_text == prose
     assert {r.doc_id for r in quality.clean(df).collect()} == {1, 2, 5}
     odd = odd_documents(spark)
-    assert quality.judge(odd).count() == odd.count() and quality.clean(odd).columns == odd.columns
-    assert quality.judge(df.limit(0)).count() == 0
+    rows = quality.judge(odd).collect()
+    assert Counter(r.doc_id for r in rows) == Counter([1, 2, 3, None, 5, 5, 7, 8]) and {r.doc_id for r in rows if r.kept} == {7, 8}
+    assert {(r.doc_id, r.n_words, r.n_repeat_words, r.base_failed) for r in rows} == {(1, 0, 0, True), (2, 0, 0, True), (3, 0, 0, True), (None, 30, 30, True), (5, 30000, 30000, True), (7, 11, 0, False), (8, 11, 0, False)}
+    assert all(r.clean_text == (r.text or "") for r in rows if r.doc_id != 5) and {r.label for r in rows} == {"label"}
+    kept = quality.clean(odd).collect()
+    assert quality.clean(odd).columns == odd.columns and [(r.doc_id, r.n_chars == len(r.text), r.kept) for r in sorted(kept, key=lambda r: r.doc_id)] == [(7, True, "kept"), (8, True, "kept")]
+    assert quality.judge(df.limit(0)).collect() == []
 
 
 def test_chat(spark):
