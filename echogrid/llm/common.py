@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in spark.checkpoint.dir. Where that is unset (a single
-    machine, tests), a temporary folder is made and set once.
+    A cluster names it in spark.checkpoint.dir, and must: a folder of one machine
+    is no shared folder. Where it is unset on a local master (a single machine,
+    tests), a temporary folder is made and set once.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not path:
         folder = tempfile.mkdtemp(prefix="echogrid-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -72,6 +78,35 @@ def drop_stages(spark: SparkSession) -> None:
         _delete(spark, _staged.pop())
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that have ended.
+
+    It does so when the driver's objects for them are collected, which a large
+    heap puts off while disks fill up. Called between phases that each shuffle
+    about as much as the input.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, and so on: high bytes that are zero are left to compression."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unplanes(data: pa.Buffer) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked(data: pa.Buffer) -> np.ndarray:
+    return np.cumsum(unplanes(data), dtype=np.uint64)
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; empty for null or blank texts."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

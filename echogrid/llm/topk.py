@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import drop_stage, stage
 
 K = 5
 #: Vectors a block, queries a broadcast (some 32 MB at 64 dimensions), vectors from which first bounds come.
@@ -125,8 +125,9 @@ def search(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embed
     candidates each; a query that repeats in all is answered once. Fewer than k
     candidates give as many rows. Other columns are ignored.
 
-    The queries are broadcast in groups of at most QUERIES, each of which is
-    one pass over the blocks; a task sends at most k rows a query.
+    The queries are broadcast in groups of about QUERIES, each of which is one
+    pass over the blocks: a task sends at most k rows a query, the group's
+    results are written, and its broadcast is released before the next group.
     """
     spark = df.sparkSession
     v = stage(valid(df, vec_id, vector).withColumn("norm", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
@@ -135,9 +136,10 @@ def search(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embed
     if not dim:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rotate = rotation(v, dim)
-    ordered = v.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.col("norm").desc()).sortWithinPartitions(F.col("norm").desc(), "id")
-    ordered = stage(ordered)
-    seeds = v.orderBy(F.col("norm").desc(), "id").limit(SEEDS).select("id", "v").toArrow()
+    # the id is in the range, so that equal lengths are split too
+    order = [F.col("norm").desc(), F.col("id")]
+    ordered = stage(v.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), *order).sortWithinPartitions(*order))
+    seeds = v.orderBy(*order).limit(SEEDS).select("id", "v").toArrow()
     seed_ids, seed_x = seeds.column("id").to_numpy(), _matrix(seeds.column("v").combine_chunks(), dim)
     queries = v.where(is_query).select("id", "v").dropDuplicates()
     queries = stage(queries.withColumn("g", F.pmod(F.xxhash64("id", "v"), F.lit(max(1, -(-queries.count() // QUERIES) * 2 - 1)))))
@@ -161,9 +163,11 @@ def search(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embed
             place = s.best[:, 0].astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(s.ids[place]), pa.array(place), pa.array(s.best_id), pa.array(s.best[:, 1])], names=["query_id", "place", "vec_id", "score"])
 
-        hits = ordered.select("id", "v").mapInArrow(run, out).withColumn("g", F.lit(g))
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("g", "place").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        hits = ordered.select("id", "v").mapInArrow(run, out)
+        rank = F.row_number().over(Window.partitionBy("place").orderBy(F.col("score").desc(), "vec_id"))
+        best = stage(hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+        shared.destroy()
+        found = best if found is None else found.unionByName(best)
+    for used in (queries, ordered, v):
+        drop_stage(used)
+    return found if found is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
