@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import drop_stage, stage
+from .common import drop_stage, packed, planes, release, stage, unpacked, unplanes
 
 U = np.uint64
 #: Added to counts in the unigram distribution.
@@ -219,9 +219,9 @@ def _blobs(gathered: list[np.ndarray], shards: int) -> pa.RecordBatch:
     cut = np.searchsorted(_shard(keys, shards), np.arange(shards + 1))
     rows = [(s, keys[a:b], counts[a:b]) for s, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
     once = [c == 1 for _, _, c in rows]
-    blob = lambda xs: pa.array([np.ascontiguousarray(x).tobytes() for x in xs], pa.binary())
+    blob = lambda xs: pa.array(list(xs), pa.binary())
     return pa.RecordBatch.from_arrays(
-        [pa.array([s for s, _, _ in rows], pa.int32()), blob(k[o] for (_, k, _), o in zip(rows, once, strict=True)), blob(k[~o] for (_, k, _), o in zip(rows, once, strict=True)), blob(c[~o].astype(np.int64) for (_, _, c), o in zip(rows, once, strict=True))],
+        [pa.array([s for s, _, _ in rows], pa.int32()), blob(packed(k[o]) for (_, k, _), o in zip(rows, once, strict=True)), blob(packed(k[~o]) for (_, k, _), o in zip(rows, once, strict=True)), blob(planes(c[~o]) for (_, _, c), o in zip(rows, once, strict=True))],
         names=["shard", "once", "more", "counts"],
     )
 
@@ -230,9 +230,9 @@ BLOBS = "shard int, once binary, more binary, counts binary"
 
 
 def _unblob(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    read = lambda c, d: np.concatenate([np.zeros(0, d), *[np.frombuffer(x.as_buffer(), d) for x in t.column(c)]])
-    once, more = read("once", U), read("more", U)
-    return _summed(np.concatenate([once, more]), np.concatenate([np.ones(len(once), np.int64), read("counts", np.int64)]))
+    read = lambda c, f: np.concatenate([np.zeros(0, U), *[f(x.as_buffer()) for x in t.column(c)]])
+    once, more = read("once", unpacked), read("more", unpacked)
+    return _summed(np.concatenate([once, more]), np.concatenate([np.ones(len(once), np.int64), read("counts", unplanes).view(np.int64)]))
 
 
 def _counted(train: DataFrame, shards: int, keys) -> DataFrame:
@@ -341,10 +341,11 @@ def _tokens_of(b: pa.RecordBatch | pa.Table, k: int) -> tuple[np.ndarray, np.nda
     return _blob(b, k, "n", np.int64), _blob(b, k, "u", U)[i], _blob(b, k, "c", np.int64)[i]
 
 
-def _answers(blocks: DataFrame, held: DataFrame, shards: int, wanted, look) -> DataFrame:
+def _answers(blocks: DataFrame, held: DataFrame, shards: int, wanted, look, kept=planes) -> DataFrame:
     """block, shard, values: for each block and shard the look(shard's row, keys) of the block's distinct keys there, in order.
 
-    wanted(n, h, c) gives a block's keys from its tokens; without it they are the words themselves.
+    wanted(n, h, c) gives a block's keys from its tokens; without it they are
+    the words themselves. kept writes an answer's numbers.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,21 +354,21 @@ def _answers(blocks: DataFrame, held: DataFrame, shards: int, wanted, look) -> D
                 keys = _blob(b, k, "u", U) if wanted is None else np.unique(wanted(*_tokens_of(b, k)))
                 cut = np.searchsorted(_shard(keys, shards), np.arange(shards + 1)) if shards < len(keys) else None
                 parts = [(k, keys[i:j]) for k, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i] if cut is not None else [(int(k[0]), v) for k, v in ((_shard(v, shards), v) for v in np.split(keys, np.flatnonzero(np.diff(_shard(keys, shards))) + 1)) if len(v)]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([v.tobytes() for _, v in parts], pa.binary())], names=["shard", "block", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([packed(v) for _, v in parts], pa.binary())], names=["shard", "block", "keys"])
 
     def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
         row = own.slice(0, 1).to_batches()[0] if own.num_rows else None
-        values = [look(row, np.frombuffer(k.as_buffer(), U)).tobytes() for k in asked.column("keys")]
+        values = [kept(look(row, unpacked(k.as_buffer()))) for k in asked.column("keys")]
         return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "values": pa.array(values, pa.binary())})
 
     asked = blocks.select("block", *(["u"] if wanted is None else ["n", "u", "i", "c"])).mapInArrow(ask, "shard int, block long, keys binary")
     return asked.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(answer, "block long, shard int, values binary")
 
 
-def _returned(answers: pa.Table, kind: type) -> np.ndarray:
+def _returned(answers: pa.Table, read: Callable[[pa.Buffer], np.ndarray]) -> np.ndarray:
     """The values of all shards; shards follow each other in the order of keys."""
     t = answers.sort_by("shard")
-    return np.concatenate([np.zeros(0, kind), *[np.frombuffer(x.as_buffer(), kind) for x in t.column("values")]])
+    return np.concatenate([read(pa.py_buffer(b"")), *[read(x.as_buffer()) for x in t.column("values")]])
 
 
 def _word_look(row: pa.RecordBatch | None, keys: np.ndarray) -> np.ndarray:
@@ -392,11 +393,12 @@ def _with_counts(blocks: DataFrame, words: DataFrame, shards: int) -> DataFrame:
     def add(own: pa.Table, answers: pa.Table) -> pa.Table:
         if not own.num_rows:
             return pa.table({"block": pa.array([], pa.int64()), **{k: pa.array([], pa.binary()) for k in ("rows", "n", "u", "i", "c")}})
-        return own.select(["block", "rows", "n", "u", "i"]).append_column("c", pa.array([_returned(answers, np.int64).tobytes()], pa.binary()))
+        return own.select(["block", "rows", "n", "u", "i"]).append_column("c", pa.array([_returned(answers, unplanes).astype(np.int64).tobytes()], pa.binary()))
 
     answers = _answers(blocks, words, shards, None, _word_look)
     both = stage(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add, "block long, rows binary, n binary, u binary, i binary, c binary"))
     drop_stage(blocks)
+    release(both.sparkSession)
     return both
 
 
@@ -455,6 +457,7 @@ def fit(train: DataFrame, text: str = "text") -> Model:
     pieces = stage(blobs.groupBy("shard").applyInArrow(add_pairs, "shard int, bits long, data binary, once array<long>, all array<long>"))
     if counted is not None:
         drop_stage(counted)
+        release(spark)
     once, every = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in pieces.select(F.posexplode(F.arrays_zip("once", "all")).alias("k", "x")).groupBy("k").agg(F.sum("x.once").alias("o"), F.sum("x.all").alias("a")).collect():
         once[r["k"]], every[r["k"]] = r["o"], r["a"]
@@ -507,7 +510,7 @@ def score(df: DataFrame, model: Model, text: str = "text", more: dict[str, Colum
         if not own.num_rows:
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
         n, h, c = _tokens_of(own, 0)
-        values = np.r_[0, LEVELS][_returned(answers, np.uint8)]
+        values = np.r_[0, LEVELS][_returned(answers, lambda x: np.frombuffer(x, np.uint8))]
 
         def look(keys: np.ndarray) -> np.ndarray:
             return values[np.unique(keys, return_inverse=True)[1]]
@@ -517,5 +520,5 @@ def score(df: DataFrame, model: Model, text: str = "text", more: dict[str, Colum
         return pa.Table.from_arrays([*rest, *columns([numbers.scores(n, h, c, look)])], names=names)
 
     blocks = _with_counts(_blocks(d), model.words, model.shards)
-    answers = _answers(blocks, model.pieces, model.shards, lambda n, h, c: numbers.asked(n, h, c)[1], _filter_look)
+    answers = _answers(blocks, model.pieces, model.shards, lambda n, h, c: numbers.asked(n, h, c)[1], _filter_look, np.ndarray.tobytes)
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
