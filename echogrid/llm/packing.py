@@ -72,7 +72,8 @@ def pieces(df: DataFrame, doc_id: str, text: str, capacity: int = CAPACITY, end_
     """doc_id, piece, start, length, ids_crc32, part, number[, ids]: the pieces of every row.
 
     part is the task that made the row and number counts the pieces of equal
-    length in it; both are stored, so they hold when tasks are run again.
+    length in it; both are stored, so they hold when tasks are run again. A
+    text's ids are in memory at once, some 40 bytes a token.
     """
     fields = [T.StructField("doc_id", df.schema[doc_id].dataType), *[T.StructField(c, t) for c, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("part", T.IntegerType()), ("number", T.LongType()))]]
     if keep_ids:
@@ -81,18 +82,20 @@ def pieces(df: DataFrame, doc_id: str, text: str, capacity: int = CAPACITY, end_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            rows, ids_out = [], []
+            rows, all_ids = [], [np.zeros(0, np.int32)]
             for i, t in enumerate(batch.column(1)):
                 ids = token_ids(t.as_py(), end_id, path)
                 for k, (a, b) in enumerate(cuts(len(ids), capacity)):
                     rows.append((i, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), part, seen[b - a]))
                     seen[b - a] += 1
-                    if keep_ids:
-                        ids_out.append(ids[a:b].astype(np.int32))
+                if keep_ids:
+                    all_ids.append(ids.view("<i4"))
             c = np.array(rows, np.int64).reshape(-1, 7).T
             out = [batch.column(0).take(pa.array(c[0])), pa.array(c[1].astype(np.int32)), *[pa.array(x) for x in c[2:5]], pa.array(c[5].astype(np.int32)), pa.array(c[6])]
             names = [f.name for f in fields]
-            yield pa.RecordBatch.from_arrays(out + ([pa.array(ids_out, pa.list_(pa.int32()))] if keep_ids else []), names=names)
+            if keep_ids:  # a document's pieces follow each other
+                out.append(pa.ListArray.from_arrays(np.r_[0, np.cumsum(c[3])].astype(np.int32), pa.array(np.concatenate(all_ids))))
+            yield pa.RecordBatch.from_arrays(out, names=names)
 
     return df.select(df[doc_id], df[text]).mapInArrow(run, T.StructType(fields))
 
