@@ -195,16 +195,20 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     doc_id take part in links; their component_id is null if nothing reached
     has an id. Repeated rows are one node. Other columns are ignored. Equal
     fingerprints are aggregated before anything else, so a group of copies of
-    any size is one node; only the last join meets its rows, in a skewed join
-    that Spark splits.
+    any size is one node; only the last join meets its rows, where they are or
+    in a skewed join that Spark splits. A text's shingles are in memory at once,
+    some 100 bytes a word.
     """
     docs = stage(fingerprints(df, doc_id, text, words))
     nodes = stage(docs.groupBy(F.col("fp").alias("key")).agg(F.min("doc_id").alias("first")))
     fps = nodes.select(F.col("key").alias("fp")).repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    found = stage(links(fps, nodes.count(), radius))
+    n = nodes.count()
+    found = stage(links(fps, n, radius))
     labels = components(found)
     drop_stage(found)
-    return docs.join(named(nodes, labels).withColumnRenamed("key", "fp"), "fp").select("doc_id", "fp", "component_id")
+    out = named(nodes, labels).withColumnRenamed("key", "fp")
+    # copies of any number meet their name where they are; beyond the bound, in a join that Spark splits
+    return docs.join(F.broadcast(out) if n <= BROADCAST_ROWS else out, "fp").select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp: str) -> Column:
