@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
 import shutil
@@ -27,7 +28,8 @@ def ship(spark: SparkSession) -> None:
     paths = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
     if context.master.startswith("local") and root in {os.path.realpath(p) for p in paths if p}:
         return
-    folder = tempfile.mkdtemp(prefix="echogrid-ship-")
+    folder = tempfile.mkdtemp(prefix="echogrid-ship-")  # Spark copies the file from here; nothing else is read from it
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     keep = shutil.ignore_patterns("__pycache__", "*.pyc")
     shutil.copytree(os.path.join(root, "echogrid"), os.path.join(folder, "package", "echogrid"), ignore=keep)
     context.addPyFile(shutil.make_archive(os.path.join(folder, "echogrid"), "zip", os.path.join(folder, "package")))
