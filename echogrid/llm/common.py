@@ -72,10 +72,22 @@ def drop_stage(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def drop_stages(spark: SparkSession) -> None:
-    """Delete the tables that stage() has written so far; results that read them must have been written."""
-    while _staged:
-        _delete(spark, _staged.pop())
+def drop_stages(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the tables that stage() has written so far, from number `since` on, but for the one that it returned as `keep`.
+
+    Results that read them must have been written.
+    """
+    files = keep.inputFiles() if keep is not None else []
+    kept = files[0].rpartition("/")[0].rpartition("/")[2] if files else ""
+    for path in _staged[since:]:
+        if path.rpartition("/")[2] != kept:
+            _staged.remove(path)
+            _delete(spark, path)
+
+
+def n_staged() -> int:
+    """How many tables stage() has written that still are there; drop_stages() takes it as `since`."""
+    return len(_staged)
 
 
 def release(spark: SparkSession) -> None:

@@ -213,6 +213,7 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     keyed = labelled.select(key.alias("key"), "text", "label")
     chosen = keyed.select("key").distinct().orderBy("key").limit(max_rows)
     rows = keyed.join(F.broadcast(chosen), "key").mapInArrow(run, "key string, label int, u binary, x binary, c binary").dropDuplicates(["key"]).orderBy("key").collect()
+    shared.destroy()
     own = [(np.frombuffer(r["u"], np.uint32), np.frombuffer(r["x"], np.float32)) for r in rows]
     c = np.array([np.frombuffer(r["c"], float) for r in rows])
     unit = SHARED_SIZE / np.maximum(np.sqrt((c**2).mean(axis=0)), 1e-3)

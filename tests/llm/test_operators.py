@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from echogrid.llm import chat, lm_scoring, mixing, packing, quality, queries, secrets, simhash, topk, toxicity, warc
-from echogrid.llm.common import drop_stages, shared_dir, stage
+from echogrid.llm.common import drop_stages, n_staged, shared_dir, stage
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -535,3 +535,7 @@ def test_stages_can_be_dropped(spark):
     assert df.count() == 3 and os.path.isdir(path)
     drop_stages(spark)
     assert not os.path.exists(path) and shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    since, later = n_staged(), [stage(spark.range(k)) for k in (1, 2)]
+    gone, kept = (d.inputFiles()[0].rpartition("/")[0].removeprefix("file://") for d in later)
+    drop_stages(spark, since, later[1])
+    assert os.path.isdir(path) and os.path.isdir(kept) and not os.path.exists(gone) and n_staged() == since + 1
