@@ -6,12 +6,14 @@ broadcast and find a count by probing level after level until the first miss,
 so an error of the filter rarely raises a count by more than a level. The
 probability of a word w after v is
 
-    P(w | v) = s * count(v w) / c(v) + (1 - s) * (c(w) + 0.1) / (N + 0.1 * (V + 1))
+    P(w | v) = s * count(v w) / c(v) + (1 - s * k) * (c(w) + 0.1) / (N + 0.1 * (V + 1))
 
 with the least count of the level found, the exact unigram counts c, and
 1 - s the Good-Turing mass of unseen bigrams (those seen once, by all) for
-contexts of about the frequency of v. As a level's least count never exceeds
-the true one, the sum over all w is at most one, apart from false positives.
+contexts of about the frequency of v. k is the share of the counts of such
+contexts' bigrams that the least counts of their levels keep, so what
+quantisation takes from a context goes to the back-off; over all w the sum is
+one on average, apart from false positives.
 
 The words' counts and the filter grow with the corpus. Together they are
 broadcast up to MAX_BROADCAST bytes, which is checked. Beyond that they stay in
@@ -44,7 +46,7 @@ ADD = 0.1
 #: Base of the logarithmic scale of counts; hash functions and bits of the filter for each event (false positives: 0.9 %).
 LOG_BASE, HASHES, BITS = 1.5, 6, 10
 #: Bytes of text that are hashed at once, keys that a task gathers before it sends them, tokens a shard.
-CHUNK, GATHER, SHARD_TOKENS = 1 << 20, 3_000_000, 1_500_000
+CHUNK, GATHER, SHARD_TOKENS = 1 << 20, 1_500_000, 1_500_000
 #: Bytes of word counts and filter that are broadcast at most.
 MAX_BROADCAST = 256 << 20
 #: Shards that the driver fetches at once.
@@ -165,6 +167,8 @@ def levels() -> np.ndarray:
 
 
 LEVELS = levels()
+#: What is added to a key for each level, from 1.
+_LEVEL = np.arange(len(LEVELS) + 1, dtype=U) * _C1
 
 
 def _class(c: np.ndarray) -> np.ndarray:
@@ -177,7 +181,7 @@ def bigram_keys(v: np.ndarray, w: np.ndarray, context_class: np.ndarray) -> np.n
 
 
 def _bits(keys: np.ndarray, level: int, size: np.ndarray | int):
-    x = mixed(keys + U(level) * _C1)
+    x = mixed(keys + _LEVEL[level])
     for odd in _ODD:
         yield ((x * odd) >> U(32)) * size >> U(32)
 
@@ -199,7 +203,7 @@ class Filter:
             if not len(todo):
                 break
             k, p = keys[todo], piece[todo]
-            x, size, start = mixed(k + U(j + 1) * _C1), self.sizes[p], self.starts[p]
+            x, size, start = mixed(k + _LEVEL[j + 1]), self.sizes[p], self.starts[p]
             for odd in _ODD:
                 at = start + (((x * odd) >> U(32)) * size >> U(32))
                 hit = (self.data[at >> U(3)] >> (U(7) - (at & U(7))).astype(np.uint8)) & 1 == 1
@@ -262,12 +266,13 @@ def _context_counts(c: np.ndarray, n: np.ndarray, begins: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Numbers:
-    """begins: how often the context before a first word was seen, once a training row; unseen: mass of unseen bigrams by class of context."""
+    """begins: how often the context before a first word was seen, once a training row; unseen: mass of unseen bigrams by class of context; kept: share of the counts that levels keep."""
 
     total: int
     distinct: int
     begins: int
     unseen: np.ndarray | None = None
+    kept: np.ndarray | None = None
 
     def log_base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + ADD) / (self.total + ADD * (self.distinct + 1)))
@@ -284,8 +289,8 @@ class Numbers:
         found, keys = self.asked(n, h, c)
         joint = np.zeros(len(h))
         joint[found] = np.minimum(look(keys), np.minimum(cv[found], c[found]))
-        u = self.unseen[_class(cv)]
-        p = (1 - u) * joint / np.maximum(cv, 1) + u * 10.0**base
+        u, kept = self.unseen[_class(cv)], self.kept[_class(cv)]
+        p = (1 - u) * joint / np.maximum(cv, 1) + (1 - (1 - u) * kept) * 10.0**base
         total = lambda x: np.add.reduceat(x, starts)
         return n.astype(np.int64), total((c > 0).astype(np.int64)), total(base), total(np.log10(p))
 
@@ -398,12 +403,15 @@ def _with_counts(blocks: DataFrame, words: DataFrame, shards: int) -> DataFrame:
     answers = _answers(blocks, words, shards, None, _word_look)
     both = stage(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add, "block long, rows binary, n binary, u binary, i binary, c binary"))
     drop_stage(blocks)
-    release(both.sparkSession)
     return both
 
 
 def fit(train: DataFrame, text: str = "text") -> Model:
-    """Counts of all rows of train; null and empty texts are a single END each."""
+    """Counts of all rows of train; null and empty texts are a single END each.
+
+    A text is hashed as a whole, some 50 bytes a byte of text; texts of up to
+    CHUNK bytes are hashed together.
+    """
     spark = train.sparkSession
     train = train.select(train[text].alias("text"))
     size = train.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
@@ -450,20 +458,21 @@ def fit(train: DataFrame, text: str = "text") -> Model:
             for at in _bits(keys[level >= j], j, U(bits)):
                 on[at] = True
         mass = lambda x: pa.array([np.bincount(k, x, CLASSES).astype(np.int64)], pa.list_(pa.int64()))
-        return pa.table({"shard": t.column("shard")[:1], "bits": [bits], "data": [np.packbits(on).tobytes()], "once": mass(counts == 1), "all": mass(counts)})
+        return pa.table({"shard": t.column("shard")[:1], "bits": [bits], "data": [np.packbits(on).tobytes()], "once": mass(counts == 1), "all": mass(counts), "low": mass(LEVELS[level - 1])})
 
     counted = None if shared is not None else _with_counts(_blocks(train), words, shards)
+    release(spark)
     blobs = _counted(train, shards, pairs) if counted is None else counted.mapInArrow(block_pairs, BLOBS)
-    pieces = stage(blobs.groupBy("shard").applyInArrow(add_pairs, "shard int, bits long, data binary, once array<long>, all array<long>"))
+    pieces = stage(blobs.groupBy("shard").applyInArrow(add_pairs, "shard int, bits long, data binary, once array<long>, all array<long>, low array<long>"))
     if counted is not None:
         drop_stage(counted)
-        release(spark)
-    once, every = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in pieces.select(F.posexplode(F.arrays_zip("once", "all")).alias("k", "x")).groupBy("k").agg(F.sum("x.once").alias("o"), F.sum("x.all").alias("a")).collect():
-        once[r["k"]], every[r["k"]] = r["o"], r["a"]
+    release(spark)
+    once, every, low = np.zeros((3, CLASSES))
+    for r in pieces.select(F.posexplode(F.arrays_zip("once", "all", "low")).alias("k", "x")).groupBy("k").agg(*[F.sum(f"x.{c}").alias(c) for c in ("once", "all", "low")]).collect():
+        once[r["k"]], every[r["k"]], low[r["k"]] = r["once"], r["all"], r["low"]
     filter_bytes = (pieces.agg(F.sum("bits")).first()[0] or 0) // 8
     # half a bigram is added, so that no mass is exactly zero
-    numbers = replace(numbers, unseen=np.where(every > 0, np.minimum((once + 0.5) / np.maximum(every, 1), 1.0), 1.0))
+    numbers = replace(numbers, unseen=np.where(every > 0, np.minimum((once + 0.5) / np.maximum(every, 1), 1.0), 1.0), kept=low / np.maximum(every, 1))
     if shared is None or table_bytes + filter_bytes > MAX_BROADCAST:
         return Model(numbers, shards, words, pieces)
     sizes, data, at = np.zeros(shards, np.int64), np.empty(filter_bytes, np.uint8), 0
@@ -520,5 +529,6 @@ def score(df: DataFrame, model: Model, text: str = "text", more: dict[str, Colum
         return pa.Table.from_arrays([*rest, *columns([numbers.scores(n, h, c, look)])], names=names)
 
     blocks = _with_counts(_blocks(d), model.words, model.shards)
+    release(df.sparkSession)
     answers = _answers(blocks, model.pieces, model.shards, lambda n, h, c: numbers.asked(n, h, c)[1], _filter_look, np.ndarray.tobytes)
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)

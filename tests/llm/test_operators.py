@@ -488,10 +488,12 @@ def test_lm_scoring(spark, monkeypatch):
     v = len(count)
     cls = lambda c: c.bit_length()
     context = lambda x: len(train) if x == "<" else count[x]
-    once, every = Counter(), Counter()
+    once, every, low = Counter(), Counter(), Counter()
+    least = lambda c: max((x for x in lm_scoring.LEVELS.tolist() if x <= c), default=0)
     for (a, _), c in pairs.items():
         once[cls(context(a))] += c == 1
         every[cls(context(a))] += c
+        low[cls(context(a))] += least(c)
     higher = 0
     for r in queries.op1_lm_scoring(spark, SF).collect():
         w = [*WORD.findall(docs[r.doc_id]), None]
@@ -503,8 +505,7 @@ def test_lm_scoring(spark, monkeypatch):
         for a, b, p in zip(["<", *w], w, base, strict=False):
             c, k = context(a), cls(context(a))
             u = min((once[k] + 0.5) / every[k], 1) if every[k] else 1.0
-            level = max((x for x in lm_scoring.LEVELS.tolist() if x <= pairs[a, b]), default=0)
-            exact += math.log10((1 - u) * level / max(c, 1) + u * p)
+            exact += math.log10((1 - u) * least(pairs[a, b]) / max(c, 1) + (1 - (1 - u) * low[k] / max(every[k], 1)) * p)
         assert r.score >= exact - 1e-6 and r.score <= exact + 0.05 * len(w)  # false positives only raise it
         higher += r.held_out and r.score > r.base_score
     assert higher > 0.5 * (len(docs) - len(train))
@@ -522,6 +523,8 @@ def test_lm_scoring(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "MAX_BROADCAST", 0)
     assert same == sorted(map(tuple, queries.op1_lm_scoring(spark, SF).collect()))
     odd = odd_documents(spark)
+    tokens = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.label) for r in lm_scoring.score(odd, lm_scoring.fit(odd)).collect())
+    assert tokens == [("1", 1, 1, "label"), ("2", 1, 1, "label"), ("3", 1, 1, "label"), ("5", 30001, 30001, "label"), ("5", 30001, 30001, "label"), ("7", 12, 12, "label"), ("8", 12, 12, "label"), ("None", 31, 31, "label")]
     assert lm_scoring.score(odd, lm_scoring.fit(odd)).count() == 8 and lm_scoring.score(odd, lm_scoring.fit(odd.limit(0))).count() == 8
     monkeypatch.setattr(lm_scoring, "MAX_BROADCAST", 1 << 28)
     m = lm_scoring.fit(odd)
@@ -533,9 +536,9 @@ def test_stages_can_be_dropped(spark):
     df = stage(spark.range(3).toDF("id"))
     path = df.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
     assert df.count() == 3 and os.path.isdir(path)
-    drop_stages(spark)
-    assert not os.path.exists(path) and shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     since, later = n_staged(), [stage(spark.range(k)) for k in (1, 2)]
     gone, kept = (d.inputFiles()[0].rpartition("/")[0].removeprefix("file://") for d in later)
     drop_stages(spark, since, later[1])
     assert os.path.isdir(path) and os.path.isdir(kept) and not os.path.exists(gone) and n_staged() == since + 1
+    drop_stages(spark)
+    assert not os.path.exists(path) and shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
