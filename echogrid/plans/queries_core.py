@@ -239,7 +239,25 @@ def _(s, d):
     return k.select("o_orderkey", r(units.dms2dd(F.col("dms")), 9).alias("dd"))
 
 
-@query("b22_reproject")
+def _utm_sql(lon: str, lat: str, centre: int) -> tuple[str, str]:
+    """Easting and northing on the southern hemisphere by Krueger's series in the third flattening n, to its fourth power."""
+    n = 1 / (2 * 298.257223563 - 1)
+    size = 0.9996 * 6378137 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    e = 2 * n**0.5 / (1 + n)
+    terms = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280)
+    p, d = f"radians({lat})", f"radians({lon} - {centre})"
+    t = f"sinh(atanh(sin({p})) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * sin({p})))"
+    xi, eta = f"atan2({t}, cos({d}))", f"asinh(sin({d}) / sqrt({t} * {t} + cos({d}) * cos({d})))"
+    x = " + ".join([eta, *(f"{c!r}::DOUBLE * cos({2 * k} * xi) * sinh({2 * k} * eta)" for k, c in enumerate(terms, 1))])
+    y = " + ".join([xi, *(f"{c!r}::DOUBLE * sin({2 * k} * xi) * cosh({2 * k} * eta)" for k, c in enumerate(terms, 1))])
+    put = lambda z: z.replace("* xi)", f"* {xi})").replace("* eta)", f"* {eta})")
+    return f"500000 + {size!r}::DOUBLE * ({put(x)})", f"10000000 + {size!r}::DOUBLE * ({put(y)})"
+
+
+_EAST, _NORTH = _utm_sql("(171 + x / 1000.0::DOUBLE)", "(-44 + y / 1000.0::DOUBLE)", 177)
+
+
+@query("b22_reproject", a.with_("nav") + f"SELECT o_orderkey, round({_EAST}, 3) + 0 AS easting, round({_NORTH}, 3) + 0 AS northing, 0.0::DOUBLE AS error FROM nav")
 def _(s, d):
     n = a.nav(s, d)
     lon, lat = F.lit(171.0) + F.col("x") / 1000, F.lit(-44.0) + F.col("y") / 1000

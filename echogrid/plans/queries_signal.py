@@ -536,7 +536,11 @@ def _(s, d):
     return rounded(t, "amp")
 
 
-@query("y_resample_poly")
+@query(
+    "y_resample_poly",
+    a.with_("traces", "samples", more="h AS (SELECT t, w / sum(w) OVER () AS w FROM (SELECT t, CASE WHEN t = 0 THEN 1 ELSE sin(pi() * t / 2) / (pi() * t / 2) END * (0.5 + 0.5 * cos(pi() * t / 20)) AS w FROM range(-20, 21) r(t)))")
+    + "SELECT line, tracl, j::INT AS i, round(sum(amp * w), 6) + 0 AS amp FROM samples JOIN (SELECT j, 2 * j - t AS i, w FROM h, range(32) r(j)) USING (i) GROUP BY line, tracl, j",
+)
 def _(s, d):
     t = a.traces(s, d).select("line", "tracl", F.posexplode(spectral.resample_poly(F.col("samples"), 2)).alias("i", "amp"))
     return rounded(t, "amp")
