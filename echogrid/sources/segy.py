@@ -235,6 +235,22 @@ def encode_trace(values: dict[str, int], samples: np.ndarray) -> bytes:
     return bytes(head) + np.asarray(samples, ">f4").tobytes()
 
 
+def encoded(batch: pa.RecordBatch, names: list[str]) -> Iterator[bytes]:
+    """Header and samples of each row of a batch; values that don't fit their field raise an error."""
+    samples = batch.column(batch.schema.get_field_index("samples"))
+    flat, at = samples.flatten().to_numpy(zero_copy_only=False).astype(">f4").tobytes(), np.r_[0, np.cumsum(samples.value_lengths().fill_null(0).to_numpy())]
+    heads = np.zeros((batch.num_rows, 240), np.uint8)
+    values = {"ns": np.diff(at)} | {n: batch.column(batch.schema.get_field_index(n)).fill_null(0).to_numpy(zero_copy_only=False) for n in names}
+    for name, v in values.items():
+        a, size = AT[name]
+        v, kind = np.asarray(v).astype(np.int64), np.dtype(">i4" if size == 4 else ">u2" if name == "ns" else ">i2")
+        if len(v) and (v.min() < np.iinfo(kind).min or v.max() > np.iinfo(kind).max):
+            raise ValueError(f"{name}: a value does not fit {size} bytes")
+        heads[:, a - 1 : a - 1 + size] = v.astype(kind).view(np.uint8).reshape(-1, size)
+    for i in range(batch.num_rows):
+        yield heads[i].tobytes() + flat[4 * at[i] : 4 * at[i + 1]]
+
+
 def file_head(text: str, ns: int, dt: int, traces: int) -> bytes:
     """Textual and binary header: IEEE floats, revision 1."""
     b = bytearray(400)
@@ -254,6 +270,8 @@ def write(df: DataFrame, path: str, file: str = "file", order: str = "trace", te
     d = df.select(file, order, *[c for c in names if c != order], "samples").repartition(file).sortWithinPartitions(file, order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as afs
+
         fs, root = file_system(path)
         fs.create_dir(root, recursive=True)
         attempt, out, done = TaskContext.get().taskAttemptId(), None, []
@@ -261,18 +279,20 @@ def write(df: DataFrame, path: str, file: str = "file", order: str = "trace", te
         def close():
             if out:
                 out[1].close()
+                if fs.get_file_info(f"{root}/{out[0]}").type != afs.FileType.NotFound:  # some file systems don't move onto a file
+                    fs.delete_file(f"{root}/{out[0]}")
                 fs.move(f"{root}/.tmp-{attempt}-{out[0]}", f"{root}/{out[0]}")
                 done.append((out[0], out[2], out[3]))
 
         for b in batches:
-            for r in b.to_pylist():
-                if out is None or out[0] != r[file]:
+            intervals = b.column(b.schema.get_field_index("dt")).to_pylist() if "dt" in names else [0] * b.num_rows
+            for name, dt, data in zip(b.column(0).to_pylist(), intervals, encoded(b, names), strict=True):
+                if out is None or out[0] != name:
                     close()
-                    stream = fs.open_output_stream(f"{root}/.tmp-{attempt}-{r[file]}", compression=None)
-                    head = file_head(text, len(r["samples"]), int(r.get("dt") or 0), 1)
+                    stream = fs.open_output_stream(f"{root}/.tmp-{attempt}-{name}", compression=None)
+                    head = file_head(text, (len(data) - 240) // 4, int(dt or 0), 1)
                     stream.write(head)
-                    out = [r[file], stream, 0, len(head)]
-                data = encode_trace({"ns": len(r["samples"])} | {n: r[n] for n in names}, r["samples"])
+                    out = [name, stream, 0, len(head)]
                 out[1].write(data)
                 out[2] += 1
                 out[3] += len(data)
