@@ -45,8 +45,10 @@ U = np.uint64
 ADD = 0.1
 #: Base of the logarithmic scale of counts; hash functions and bits of the filter for each event (false positives: 0.9 %).
 LOG_BASE, HASHES, BITS = 1.5, 6, 10
-#: Bytes of text that are hashed at once, keys that a task gathers before it sends them, tokens a shard.
-CHUNK, GATHER, SHARD_TOKENS = 1 << 20, 1_500_000, 1_500_000
+#: Bytes of text that are hashed at once (some 50 bytes each), and that a block of the sharded route holds.
+CHUNK, BLOCK = 1 << 18, 1 << 20
+#: Keys that a task gathers before it sends them, tokens a shard.
+GATHER, SHARD_TOKENS = 1_500_000, 1_500_000
 #: Bytes of word counts and filter that are broadcast at most.
 MAX_BROADCAST = 256 << 20
 #: Shards that the driver fetches at once.
@@ -82,8 +84,8 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def tokens(texts: pa.StringArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, tokens of each row, hashes of all tokens) for runs of rows of about CHUNK bytes.
+def tokens(texts: pa.StringArray, chunk: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, tokens of each row, hashes of all tokens) for runs of rows of about `chunk` bytes.
 
     A word is known by 64 bits: a polynomial over its bytes. Each row ends with
     the token END; null rows have no other.
@@ -93,7 +95,7 @@ def tokens(texts: pa.StringArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     row = 0
     while row < len(texts):
-        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + chunk, "right")) - 1)
         buf, o = data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
         word = ~_SPACE[buf]
         first, last = word.copy(), word.copy()
@@ -323,7 +325,7 @@ def _blocks(d: DataFrame) -> DataFrame:
         block = TaskContext.get().partitionId() << 32
         for b in batches:
             rest = b.select(b.schema.names[1:])
-            for row, n, h in tokens(b.column(0)):
+            for row, n, h in tokens(b.column(0), BLOCK):
                 sink = pa.BufferOutputStream()
                 if rest.num_columns:
                     with pa.ipc.new_stream(sink, rest.schema) as w:
