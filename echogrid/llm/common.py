@@ -95,9 +95,11 @@ def release(spark: SparkSession) -> None:
 
     It does so when the driver's objects for them are collected, which a large
     heap puts off while disks fill up. Called between phases that each shuffle
-    about as much as the input.
+    about as much as the input. The last job's plan is still known to Spark's
+    listeners, so a small one is run after it.
     """
     gc.collect()
+    spark.range(1).count()
     spark._jvm.System.gc()
 
 

@@ -20,6 +20,8 @@ broadcast up to MAX_BROADCAST bytes, which is checked. Beyond that they stay in
 the shards in which they were made: each block of text sends its distinct keys
 to their shards, is answered there from the same table and the same piece of
 the filter, and gets equal scores; nothing is larger than a shard or a block.
+This is done for a part of the rows at a time, whose shuffles are let go before
+the next one.
 
 Every count covers all training rows. Each task counts what it has read and
 sends sorted keys, cut by their hash into shards of bounded size; a shard adds
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +54,8 @@ CHUNK, BLOCK = 1 << 18, 1 << 20
 GATHER, SHARD_TOKENS = 1_500_000, 1_500_000
 #: Bytes of word counts and filter that are broadcast at most.
 MAX_BROADCAST = 256 << 20
+#: Parts of the rows, by a hash of their text, that the sharded route works on one after the other: what it shuffles and writes is of one part at a time.
+PASSES = 4
 #: Shards that the driver fetches at once.
 SLICE = 8
 #: Classes of context frequency, by powers of two.
@@ -338,6 +343,10 @@ def _blocks(d: DataFrame) -> DataFrame:
     return stage(d.mapInArrow(run, "block long, rows binary, n binary, u binary, i binary"))
 
 
+def _parts(df: DataFrame, text: str) -> list[DataFrame]:
+    return [df.where(F.pmod(F.xxhash64(text), F.lit(PASSES)) == k) for k in range(PASSES)]
+
+
 def _blob(b: pa.RecordBatch | pa.Table, k: int, name: str, kind: type) -> np.ndarray:
     return np.frombuffer(b.column(name)[k].as_buffer(), kind)
 
@@ -462,12 +471,16 @@ def fit(train: DataFrame, text: str = "text") -> Model:
         mass = lambda x: pa.array([np.bincount(k, x, CLASSES).astype(np.int64)], pa.list_(pa.int64()))
         return pa.table({"shard": t.column("shard")[:1], "bits": [bits], "data": [np.packbits(on).tobytes()], "once": mass(counts == 1), "all": mass(counts), "low": mass(LEVELS[level - 1])})
 
-    counted = None if shared is not None else _with_counts(_blocks(train), words, shards)
-    release(spark)
-    blobs = _counted(train, shards, pairs) if counted is None else counted.mapInArrow(block_pairs, BLOBS)
-    pieces = stage(blobs.groupBy("shard").applyInArrow(add_pairs, "shard int, bits long, data binary, once array<long>, all array<long>, low array<long>"))
-    if counted is not None:
+    parts = []
+    for part in _parts(train, "text") if shared is None else ():
+        counted = _with_counts(_blocks(part), words, shards)
+        parts.append(stage(counted.mapInArrow(block_pairs, BLOBS)))
         drop_stage(counted)
+        release(spark)
+    blobs = _counted(train, shards, pairs) if shared is not None else reduce(DataFrame.union, parts)
+    pieces = stage(blobs.groupBy("shard").applyInArrow(add_pairs, "shard int, bits long, data binary, once array<long>, all array<long>, low array<long>"))
+    for part in parts:
+        drop_stage(part)
     release(spark)
     once, every, low = np.zeros((3, CLASSES))
     for r in pieces.select(F.posexplode(F.arrays_zip("once", "all", "low")).alias("k", "x")).groupBy("k").agg(*[F.sum(f"x.{c}").alias(c) for c in ("once", "all", "low")]).collect():
@@ -530,7 +543,12 @@ def score(df: DataFrame, model: Model, text: str = "text", more: dict[str, Colum
         rest = pa.ipc.open_stream(rows).read_all().columns if rows.size else []
         return pa.Table.from_arrays([*rest, *columns([numbers.scores(n, h, c, look)])], names=names)
 
-    blocks = _with_counts(_blocks(d), model.words, model.shards)
-    release(df.sparkSession)
-    answers = _answers(blocks, model.pieces, model.shards, lambda n, h, c: numbers.asked(n, h, c)[1], _filter_look, np.ndarray.tobytes)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
+    scored = []
+    for part in _parts(d, "__text"):
+        blocks = _with_counts(_blocks(part), model.words, model.shards)
+        release(df.sparkSession)
+        answers = _answers(blocks, model.pieces, model.shards, lambda n, h, c: numbers.asked(n, h, c)[1], _filter_look, np.ndarray.tobytes)
+        scored.append(stage(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)))
+        drop_stage(blocks)
+        release(df.sparkSession)
+    return reduce(DataFrame.union, scored)
