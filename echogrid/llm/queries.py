@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lm_scoring, mixing, packing, quality, secrets, simhash, topk, toxicity, warc
+from . import centroids, chat, lm_scoring, mixing, packing, quality, secrets, simhash, topk, toxicity, warc, whitening
 from .common import shared_dir, table
 
 
@@ -93,6 +93,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -106,5 +114,7 @@ QUERIES = {
         op8_toxicity,
         op9_warc,
         op10_secret_scan,
+        op11_embedding_whitening,
+        op12_centroid_clustering,
     )
 }

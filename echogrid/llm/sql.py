@@ -123,4 +123,29 @@ SELECT any_value(doc_id) AS doc_id, {", ".join(f"count(*) FILTER (kind = '{x}')
 FROM d LEFT JOIN j USING (r) GROUP BY r
 """
 
-SQL = {"op3_quality_rules": OP3, "op4_chat_formatting": OP4, "op6_source_mixing": OP6, "op7_exact_top_k": OP7, "op9_warc": OP9, "op10_secret_scan": OP10}
+
+
+def _rounds(n: int) -> str:
+    """Tables a0, c1, a1, ...: assignments to the centroids of each round, and the centroids that follow."""
+    out = []
+    for r in range(n + 1):
+        out.append(f"""p{r} AS (SELECT vec_id, v, c, w, list_inner_product(v, v) - 2 * list_inner_product(v, w) + list_inner_product(w, w) AS d FROM kept, c{r}),
+a{r} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, min((d, c)) AS m FROM p{r} GROUP BY vec_id)""")
+        if r < n:
+            out.append(f"""u{r} AS (SELECT m[2] AS c, i, floor(sum(v[i]) / count(*)) AS y FROM a{r}, range(1, 65) AS t(i) GROUP BY m[2], i),
+n{r} AS (SELECT c, list(y ORDER BY i) AS w FROM u{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(n{r}.w, c{r}.w) AS w FROM c{r} LEFT JOIN n{r} USING (c))""")
+    return ",\n".join(out)
+
+
+OP12 = f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v AS w FROM kept QUALIFY c < 40),
+{_rounds(5)},
+f AS (SELECT vec_id, m[2]::INT AS cluster, m[1]::BIGINT AS distance FROM a5)
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(w, lambda x: x::BIGINT), ',')) AS centroid_sha256 FROM f JOIN c5 ON c5.c = f.cluster
+"""
+
+SQL = {"op3_quality_rules": OP3, "op4_chat_formatting": OP4, "op6_source_mixing": OP6, "op7_exact_top_k": OP7, "op9_warc": OP9, "op10_secret_scan": OP10, "op12_centroid_clustering": OP12}
