@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat, lm_scoring, mixing, packing, quality, secrets, simhash, topk, toxicity, warc, whitening
+from . import centroids, chat, lm_scoring, mixing, packing, quality, secrets, simhash, templates, topk, toxicity, warc, whitening
 from .common import shared_dir, table
 
 
@@ -101,6 +101,10 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered(table(spark, sf_dir, "embeddings"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -116,5 +120,6 @@ QUERIES = {
         op10_secret_scan,
         op11_embedding_whitening,
         op12_centroid_clustering,
+        op13_html_extraction,
     )
 }
