@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import gc
 import shutil
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,21 @@ def shared_dir(spark: SparkSession) -> str:
 _staged: list[str] = []
 
 
+def _clean() -> None:
+    """Delete the tables that are left when the application ends: no result can be read then."""
+    for path in _staged:
+        try:
+            if path.startswith("file:"):
+                shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+            elif (spark := SparkSession.getActiveSession()) is not None:
+                _delete(spark, path)
+        except Exception as e:  # noqa: BLE001  a store that is gone must not spoil the end of the program
+            print(f"left behind: {path} ({e})", file=sys.stderr)
+
+
+atexit.register(_clean)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again.
 
@@ -127,6 +144,48 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES_RE))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once a row, however often a lambda in the body asks for it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def before(values: Column, merge: Callable[[Column, Column], Column], zero: Column, levels: int = 3) -> Column:
+    """For each element of an array, what merge makes of those before it, from zero on.
+
+    Blocks of 16, and blocks of their results in turn, so the work grows with
+    the length and not with its square; appending to an array in a fold copies
+    it at every step.
+    """
+    both = lambda x, y: merge(x, y)  # noqa: E731  Spark counts the arguments
+    so_far = lambda a, i: F.aggregate(F.slice(a, F.lit(1), i), zero, both)
+    if not levels:
+        return let(values, lambda a: F.transform(a, lambda x, i: so_far(a, i)))
+    cut = lambda a: F.when(F.size(a) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / 16)), lambda k: F.slice(a, (k * 16 + 1).cast("int"), F.lit(16)))).otherwise(F.slice(F.array(a), 1, 0))
+    return let(
+        let(values, cut),
+        lambda blocks: let(
+            before(F.transform(blocks, lambda b: F.aggregate(b, zero, both)), merge, zero, levels - 1),
+            lambda offsets: F.flatten(F.transform(blocks, lambda b, k: F.transform(b, lambda x, i: merge(F.get(offsets, k), so_far(b, i))))),
+        ),
+    )
+
+
+CHUNK = 512
+
+
+def chunks(text: Column) -> Column:
+    """A text as an array of CHUNK characters each, found in two steps; see part()."""
+    cut = lambda t, n: F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.length(t) - 1) / n)), lambda k: F.substring(t, (k * n + 1).cast("int"), F.lit(n)))).otherwise(F.array(F.lit("")))
+    return F.flatten(F.transform(cut(text, CHUNK * CHUNK), lambda t: cut(t, CHUNK)))
+
+
+def part(chunked: Column, start: Column, end: Column) -> Column:
+    """Characters start to end of a text in chunks(): a substring() of the whole walks through all before it."""
+    first = F.floor(start / CHUNK)
+    few = F.slice(chunked, (first + 1).cast("int"), (F.floor(end / CHUNK) - first + 1).cast("int"))
+    return F.substring(F.array_join(few, ""), (start % CHUNK + 1).cast("int"), (end - start).cast("int"))
+
+
 def carried(df: DataFrame, **columns: Column) -> DataFrame:
     """The rows of df as one struct column `row`, beside the named columns.
 

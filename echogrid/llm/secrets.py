@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, restored, stage
+from .common import before, carried, chunks, let, part, restored, stage
 
 #: kind, pattern, group that is the value, its least length; in the order in which kinds are listed.
 KINDS = (
@@ -26,27 +26,57 @@ KINDS = (
 SAME = {"access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}"}
 #: A value that so many owners hold is a widely copied example; one of several owners, if so many repositories do.
 EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 10
-SPANS = "array<struct<start:bigint,k:int,kind:string,end:bigint,value:string>>"
+#: A value in so many rows is met by broadcast, any other in a join.
+HOT_ROWS = 10_000
+SPAN = "struct<start:bigint,k:int,kind:string,end:bigint,value:string>"
 
 
-def spans_of(text: Column, k: int) -> tuple[Column, Column, Column]:
-    """What lies between the matches, the matches, and their values."""
-    kind, pattern, group, _ = KINDS[k]
+def spans_of(text: Column, k: int) -> Column:
+    """The spans of one kind, in order, in time that grows with the text.
+
+    What lies between the matches and the matches themselves are found each in
+    one pass; places are running sums of their lengths.
+    """
+    kind, pattern, group, least = KINDS[k]
     pattern = SAME.get(kind, pattern)
-    return F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    whole, value = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, group))
+
+    def placed(m: Column) -> Column:
+        between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m))
+        sizes = F.zip_with(between, m, lambda x, y: F.struct(F.length(x).cast("long").alias("b"), F.length(y).cast("long").alias("m")))
+
+        def spans(n: Column) -> Column:
+            at = before(F.transform(n, lambda x: x["b"] + x["m"]), lambda x, y: x + y, F.lit(0).cast("long"))
+            return F.transform(F.arrays_zip(n.alias("n"), at.alias("at"), value.alias("v")), lambda x: _span(x["at"] + x["n"]["b"], x["n"]["m"], x["v"]))
+
+        return let(sizes, spans)
+
+    def _span(begin: Column, n: Column, v: Column) -> Column:
+        return F.struct(begin.alias("start"), F.lit(k).alias("k"), F.lit(kind).alias("kind"), (begin + n).alias("end"), v.alias("value"))
 
+    # a text without matches, which is nearly every one, is not split
+    none = F.array().cast(f"array<{SPAN}>")
+    return F.filter(let(whole, lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(none)), lambda x: F.length(x["value"]) >= least)
 
-def _placed(k: int):
-    """A fold over (between, match, value) that gives each match its place."""
-    kind, _, _, least = KINDS[k]
 
-    def step(a, x):
-        begin = a["at"] + F.length(x["b"])
-        end = begin + F.length(x["m"])
-        span = F.struct(begin.alias("start"), F.lit(k).alias("k"), F.lit(kind).alias("kind"), end.alias("end"), x["v"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(x["v"]) >= least, F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
+def apart(own: Column, base: Column) -> Column:
+    """The spans of `own` that overlap none of `base`.
 
-    return step
+    All are sorted by their starts; one overlaps an earlier span if the
+    furthest end before it lies behind its start, and a later one if the
+    nearest start after it lies before its end.
+    """
+    far = F.lit(2**62)
+
+    def judged(spans: Column) -> Column:
+        ends = before(F.transform(spans, lambda x: F.when(x["base"], x["s"]["end"]).otherwise(F.lit(-1).cast("long"))), F.greatest, F.lit(-1).cast("long"))
+        starts = F.reverse(before(F.reverse(F.transform(spans, lambda x: F.when(x["base"], x["s"]["start"]).otherwise(far))), F.least, far))
+        zipped = F.arrays_zip(spans.alias("x"), ends.alias("e"), starts.alias("n"))
+        return F.transform(F.filter(zipped, lambda z: ~z["x"]["base"] & (z["e"] <= z["x"]["s"]["start"]) & (z["n"] >= z["x"]["s"]["end"])), lambda z: z["x"]["s"])
+
+    tagged = lambda spans, is_base: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(is_base).alias("base"), x.alias("s")))
+    both = F.array_sort(F.concat(tagged(own, False), tagged(base, True)))
+    return F.when((F.size(own) > 0) & (F.size(base) > 0), let(both, judged)).otherwise(own)
 
 
 def looks_live(value: Column) -> Column:
@@ -67,34 +97,22 @@ def candidates(df: DataFrame, text: str, **more: Column) -> DataFrame:
     four digits, and overlap no other span.
     """
     w = carried(df, t=F.coalesce(df[text], F.lit("")), **more)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("out"))
-    for k in range(len(KINDS)):
-        between, whole, value = spans_of(F.col("t"), k)
-        w = w.withColumns({"m": whole, "v": value})
-        # a text without matches, which is nearly every one, is not split
-        w = w.withColumn("b", F.when(F.size("m") > 0, between))
-        zipped = F.slice(F.arrays_zip("b", "m", "v"), F.lit(1), F.size("m"))
-        w = w.withColumn(f"s{k}", F.when(F.size("m") > 0, F.aggregate(zipped, start, _placed(k))["out"]).otherwise(F.array().cast(SPANS)))
-        w = w.drop("m", "v", "b")
-    base = F.concat(*[F.col(f"s{k}") for k in range(len(KINDS) - 1)])
-    w = w.withColumn("base", base)
+    last = len(KINDS) - 1
+    w = w.withColumns({f"s{k}": spans_of(F.col("t"), k) for k in range(len(KINDS))})
     mixed = lambda v: (v.rlike("[A-Z]") & v.rlike("[a-z]")) | v.rlike("[0-9].*[0-9].*[0-9].*[0-9]")
-    own = F.filter(
-        f"s{len(KINDS) - 1}",
-        lambda x: looks_live(x["value"]) & mixed(x["value"]) & ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])),
-    )
-    return w.withColumn("found", F.array_sort(F.concat("base", own))).drop("base", *[f"s{k}" for k in range(len(KINDS))])
+    w = w.withColumns({"base": F.concat(*[F.col(f"s{k}") for k in range(last)]), "own": F.filter(f"s{last}", lambda x: looks_live(x["value"]) & mixed(x["value"]))})
+    return w.withColumn("found", F.array_sort(F.concat("base", apart(F.col("own"), F.col("base"))))).drop("base", "own", *[f"s{k}" for k in range(len(KINDS))])
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """value_id, n_repositories, n_owners of each candidate value, over all rows of (value_id, repository, owner).
+    """value_id, n_rows, n_repositories, n_owners of each candidate value, over all rows of (value_id, repository, owner).
 
     Each step aggregates before its shuffle, so a value in a third of all rows
     is one row a task.
     """
-    repositories = found.groupBy("value_id", "owner", "repository").agg(F.lit(1).alias("one"))
-    owners = repositories.groupBy("value_id", "owner").agg(F.count("*").alias("n"))
-    return owners.groupBy("value_id").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
+    repositories = found.groupBy("value_id", "owner", "repository").agg(F.count("*").alias("rows"))
+    owners = repositories.groupBy("value_id", "owner").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
+    return owners.groupBy("value_id").agg(F.sum("rows").alias("n_rows"), F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
 def widely_copied(n_repositories: Column, n_owners: Column, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> Column:
@@ -114,48 +132,50 @@ def scan(
     text is in the result, and no text is written.
 
     Null and empty texts have no spans. Null owners count as one owner, null
-    repositories as one repository. Very long texts cost in proportion to their
-    length. Equal texts get equal results, so repeated rows do. Input columns
-    named like an output are replaced. Only rows with candidates meet their
-    verdicts, in joins on a value and on a row.
+    repositories as one repository. The time for a text grows with its length
+    and the number of its matches. Equal texts get equal results, so repeated
+    rows do. Input columns named like an output are replaced. Only candidates
+    meet their verdicts: those of values in HOT_ROWS rows or more, which are
+    few for their rows, by broadcast, the others in a join on the value. With
+    redacted=False values are null, and only their hashes are written.
     """
     kept = df if redacted else df.drop(text)
     w = candidates(df, text, owner=F.coalesce(df[owner].cast("string"), F.lit("")), repository=F.coalesce(df[repository].cast("string"), F.lit("")))
     if not redacted:
         w = w.withColumn("row", F.struct(F.lit(1).alias("__row"), *[F.col("row").getField(c).alias(c) for c in kept.columns]))
-    w = stage(w.drop("t").withColumn("rid", F.monotonically_increasing_id()))
-    value_id = lambda v: F.sha2(v, 256)
+
+    def hashed(x):
+        held = x["value"] if redacted else F.lit(None).cast("string")
+        return F.struct(x["start"], x["k"], x["kind"], x["end"], held.alias("value"), F.sha2(x["value"], 256).alias("value_id"), looks_live(x["value"]).alias("live"))
+
+    w = stage(w.withColumn("found", F.transform("found", hashed)).drop("t").withColumn("rid", F.monotonically_increasing_id()))
     some = w.where(F.size("found") > 0)
-    found = some.select("rid", "owner", "repository", F.explode("found.value").alias("value")).select("rid", "owner", "repository", value_id(F.col("value")).alias("value_id"))
-    held = ownership(found.select("value_id", "owner", "repository"))
-    known = found.select("rid", "value_id").distinct().join(held, "value_id")
-    verdicts = known.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("value_id", F.struct("n_repositories", "n_owners")))).alias("held"))
-
-    def judged(x):
-        n = F.element_at("held", value_id(x["value"]))
-        live = looks_live(x["value"]) & ~widely_copied(n["n_repositories"], n["n_owners"], example_owners, example_repositories)
-        return F.struct(x["start"], x["k"], x["kind"], x["end"], x["value"], n["n_repositories"], n["n_owners"], live.alias("live"))
-
-    j = some.join(verdicts, "rid").withColumn("judged", F.transform("found", judged))
-    j = j.withColumn("spans", F.filter("judged", lambda x: (x["kind"] != "owned") | x["live"]))
-    none = w.where(F.size("found") == 0).select("row", F.array().cast(j.schema["spans"].dataType).alias("spans"))
-    j = j.select("row", "spans").unionByName(none)
+    found = some.select("rid", "owner", "repository", F.explode("found").alias("x")).select("rid", "owner", "repository", "x", F.col("x.value_id").alias("value_id"))
+    held = stage(ownership(found.select("value_id", "owner", "repository")))
+    hot = held.where(F.col("n_rows") >= HOT_ROWS)
+    x = found.select("rid", "x", "value_id")
+    known = x.join(held.where(F.col("n_rows") < HOT_ROWS), "value_id").unionByName(x.join(F.broadcast(hot), "value_id"))
+    live = F.col("x.live") & ~widely_copied(F.col("n_repositories"), F.col("n_owners"), example_owners, example_repositories)
+    judged = F.struct("x.start", "x.k", "x.kind", "x.end", "x.value", "n_repositories", "n_owners", live.alias("live"))
+    verdicts = known.select("rid", judged.alias("x")).where((F.col("x.kind") != "owned") | F.col("x.live")).groupBy("rid").agg(F.array_sort(F.collect_list("x")).alias("spans"))
+    j = w.select("rid", "row").join(verdicts, "rid", "left") if not redacted else some.select("rid", "row").join(verdicts, "rid", "left")
+    spans = F.coalesce("spans", F.array().cast(verdicts.schema["spans"].dataType))
     if not redacted:
-        return j.select(*[F.col("row").getField(c).alias(c) for c in kept.columns if c != "spans"], "spans")
+        return j.select(*[F.col("row").getField(c).alias(c) for c in kept.columns if c != "spans"], spans.alias("spans"))
+    # rows without candidates, which carry their texts, meet no shuffle
+    j = j.select("row", spans.alias("spans")).unionByName(w.where(F.size("found") == 0).select("row", F.array().cast(verdicts.schema["spans"].dataType).alias("spans")))
     j = j.withColumn("t", F.coalesce(F.col("row").getField(text), F.lit("")))
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def cut(a, x):
+    def cut(chunked: Column, live: Column) -> Column:
         # overlapping spans: what an earlier one has covered is not written again
-        begin = F.greatest(a["at"], x["start"])
-        more = F.array(F.substring("t", (a["at"] + 1).cast("int"), (begin - a["at"]).cast("int")), F.concat(F.lit("[SECRET:"), x["kind"], F.lit("]")))
-        return F.when(x["end"] <= a["at"], a).otherwise(F.struct(x["end"].alias("at"), F.concat(a["out"], more).alias("out")))
-
-    j = j.withColumn("live", F.filter("spans", lambda x: x["live"]))
-    j = j.withColumn("cut", F.when(F.size("live") > 0, F.aggregate("live", state, cut)))
-    rest = F.substring("t", (F.col("cut")["at"] + 1).cast("int"), F.length("t"))
-    j = j.withColumn("redacted", F.when(F.col("cut").isNull(), F.col("t")).otherwise(F.concat(F.array_join(F.col("cut")["out"], ""), rest)))
-    return restored(j, "spans", "redacted")
+        at = before(F.transform(live, lambda x: x["end"]), F.greatest, F.lit(0).cast("long"))
+        seen = F.filter(F.arrays_zip(live.alias("x"), at.alias("at")), lambda z: z["x"]["end"] > z["at"])
+        pieces = F.transform(seen, lambda z: F.concat(part(chunked, z["at"], F.greatest(z["at"], z["x"]["start"])), F.lit("[SECRET:"), z["x"]["kind"], F.lit("]")))
+        rest = part(chunked, F.array_max(F.transform(live, lambda x: x["end"])), F.length("t").cast("long"))
+        return F.concat(F.array_join(pieces, ""), rest)
+
+    whole = let(F.filter("spans", lambda x: x["live"]), lambda live: F.when(F.size(live) > 0, let(chunks(F.col("t")), lambda c: cut(c, live))).otherwise(F.col("t")))
+    return restored(j.withColumn("redacted", whole), "spans", "redacted")
 
 
 def listed(spans: Column) -> Column:

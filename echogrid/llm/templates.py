@@ -125,10 +125,10 @@ def frequent(counted: DataFrame) -> DataFrame:
     class_id tells the classes of a host apart; an element counts as two
     members, its start and its end.
     """
-    first = {c: F.min(c).alias(c) for c in ("parent", "tag")}
-    whole = counted.groupBy("host", "token").agg(*first.values(), *[F.sum(c).alias(c) for c in _SUMS])
+    # parent and tag are the token's own; as keys, not as minima, they are hashed and not sorted
+    whole = stage(counted.groupBy("host", "token", "parent", "tag").agg(*[F.sum(c).alias(c) for c in _SUMS]).where(F.col("support") >= SUPPORT))
     pages = whole.where((F.col("token") == 0) & (F.col("parent") == -1)).select("host", F.col("support").alias("pages"))
-    often = whole.where(F.col("support") >= SUPPORT).join(pages, "host").where(F.col("support") >= SHARE * F.col("pages"))
+    often = whole.join(pages, "host").where(F.col("support") >= SHARE * F.col("pages"))
     vector = F.xxhash64("support", "f1", "f2", "f3")
     members = F.sum(F.when(F.col("tag") == "", 1).otherwise(2)).over(Window.partitionBy("host", "class_id"))
     return often.withColumn("class_id", vector).withColumn("members", members)

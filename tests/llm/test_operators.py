@@ -125,6 +125,43 @@ def test_secrets(spark):
     assert Counter((r.doc_id, r.redacted) for r in secrets.scan(odd).collect()) == texts == Counter((r.doc_id, r.text) for r in secrets.redact(odd).collect())
 
 
+def test_secrets_of_a_text_with_many_matches(spark):
+    """Places and cuts in a text of 4 MB with 60,000 matches of all kinds, in time that grows with the text."""
+    import time
+
+    rng = np.random.default_rng(4)
+    made = [lambda: rng.bytes(16).hex(), lambda: f'token: "{rng.bytes(5).hex()}é"', lambda: "AKIA" + rng.bytes(9).hex().upper(), lambda: f"gh-{rng.bytes(11).hex()}_Xy", lambda: "é" * int(rng.integers(1, 60))]
+    text = " ".join(made[int(rng.integers(len(made)))]() for _ in range(75_000))
+    df = spark.createDataFrame([(1, text, "s"), (2, "none here", "s")], "doc_id long, text string, source string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in secrets.scan(df).select("doc_id", "spans", "redacted").collect()}
+    assert time.perf_counter() - began < 180 and got[2].redacted == "none here"
+    spans = [(x.start, x.k, x.kind, x.end) for x in got[1].spans]
+    base = base_spans(text)
+    assert len(base) > 40_000 and [x for x in spans if x[2] != "owned"] == base
+    covered = np.zeros(len(text), bool)
+    for a, _, _, b in base:
+        covered[a:b] = True
+    owned = {(m.start(), m.end()) for m in re.finditer("(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}(?![A-Za-z0-9_-])", text) if not covered[m.start() : m.end()].any() and re.search("[A-Za-z]", m[0]) and re.search("[0-9]", m[0])}
+    assert {(a, b) for a, _, kind, b in spans if kind == "owned"} <= owned and not any(covered[a:b].any() for a, _, kind, b in spans if kind == "owned")
+    out, at = [], 0
+    for x in got[1].spans:
+        assert text[x.start : x.end].endswith(x.value)
+        if x.live and x.end > at:
+            out += [text[at : max(at, x.start)], f"[SECRET:{x.kind}]"]
+            at = x.end
+    assert got[1].redacted == "".join(out) + text[at:]
+
+
+def test_secrets_of_hot_values(spark, monkeypatch):
+    """Values in many rows are met by broadcast: the same verdicts."""
+    rows = [(i, f"key 9f8e7d6c5b4a39281706f5e4d3c2b1a{i % 3} and {hashlib.md5(str(i).encode()).hexdigest()}", f"s{i % 2}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    want = {r.doc_id: r for r in secrets.scan(df).select("doc_id", "spans", "redacted").collect()}
+    monkeypatch.setattr(secrets, "HOT_ROWS", 5)
+    assert {r.doc_id: r for r in secrets.scan(df).select("doc_id", "spans", "redacted").collect()} == want
+
+
 def test_secrets_count_repositories_and_owners(spark):
     """One owner's value is live however often it is repeated; two owners' one as long as few repositories hold it."""
     few, many, one, three = ("ghp_" + c * 3 + "B3dE5fG7hI9jK1lM3nO5pQ7rS9" for c in "wxyz")
