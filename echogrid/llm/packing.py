@@ -15,6 +15,7 @@ and its own documents.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -33,6 +34,10 @@ END_ID = 2
 #: Up to so many rows (some MB) of starting numbers are broadcast.
 BROADCAST_ROWS = 200_000
 
+#: White space that is this long is left to the library that takes any.
+LONG_BLANK = 10_000
+_LONG_BLANK = re.compile(rf"\s{{{LONG_BLANK}}}")
+
 _encodings: dict = {}
 
 
@@ -54,8 +59,28 @@ def encoding(path: str | None = None):
     return _encodings[path]
 
 
+def plain_encoding(path: str | None = None):
+    """The same tokenizer by the other library, which needs no stack for runs of white space."""
+    if ("plain", path) not in _encodings:
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        rank_file = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+        _encodings["plain", path] = Tokenizer.from_file(rank_file.removesuffix(".tiktoken") + ".json")
+    return _encodings["plain", path]
+
+
 def token_ids(text: str | None, end_id: int = END_ID, path: str | None = None) -> np.ndarray:
-    e, text = encoding(path), text or ""
+    """The ids of a whole text, then the end's.
+
+    A text with a run of LONG_BLANK white space or more is handed to
+    `tokenizers`: the pattern of the faster library goes back through such a
+    run with a stack that overflows at about a million.
+    """
+    text = text or ""
+    if _LONG_BLANK.search(text):
+        return np.array([*plain_encoding(path).encode(text, add_special_tokens=False).ids, end_id], dtype="<u4")
+    e = encoding(path)
     ids = e.encode(text, allowed_special="all") if "<|endoftext|>" in text else e.encode_ordinary(text)
     ids.append(end_id)
     return np.array(ids, dtype="<u4")

@@ -4,13 +4,13 @@ A text is the bag of its character n-grams, word boundaries included, hashed to
 a fixed number of features; the value of one is the root of its share of the
 text's n-grams. Every feature is scaled by the logarithm of the ratio in which
 toxic and other training texts hold it, and a logistic regression is fitted on
-the scaled features. Ratios come from all training rows. The MAX_OWN features
-whose ratios are most significant have a weight of their own; all others share
-one weight among those of the same sign and about the same significance, so
-that the regression itself learns how little a chance ratio says. A training
-row is scaled by the ratios of the other rows, since its own label is in the
-counts. The regression is fitted on the driver, on at most `max_rows` training
-rows of at most MAX_OWN + 2 * (len(EDGES) + 1) numbers, however long a text is.
+the scaled features. Ratios come from all training rows. No feature is left
+out; those whose ratios have the same sign and about the same significance
+share a weight, so that the regression itself learns how little a chance ratio
+says, and how much one that isn't. A training row is scaled by the ratios of
+the other rows, since its own label is in the counts. The regression is fitted
+on the driver, on at most `max_rows` training rows of 2 * (len(EDGES) + 1)
+numbers, however long a text is.
 """
 
 from __future__ import annotations
@@ -29,12 +29,11 @@ from .common import stage
 #: Lengths of n-grams, and the number of hashed features as a power of two.
 NGRAMS = (4, 5, 6, 7)
 BITS = 21
-SLICES, TASKS, FAN = 16, 4096, 64
-#: Features with a weight of their own; bounds, in standard errors, between the classes of significance of the others.
-MAX_OWN = 2_000
+SLICES, FAN = 16, 64
+#: Bounds, in standard errors, between the classes of significance whose features share a weight.
 EDGES = np.array([0.5, 1, 1.5, 2, 2.5, 3, 3.5, 4, 5, 6, 8, 12])
-#: Penalty on the squares of weights, and the size of a shared feature in units of its root mean square.
-L2, SHARED_SIZE = 1.0, 0.3
+#: Penalty on the squares of weights, and the root mean square of a class's sums as the regression sees them.
+L2, SIZE = 1.0, 3.0
 #: The regression's training rows: the first in the order of a hash of their id.
 MAX_ROWS = 8_000
 #: A table of labels of up to so many rows (some 40 MB) is broadcast.
@@ -75,9 +74,9 @@ class Model:
 def counts(labelled: DataFrame, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(rows with label 0 and 1, their rows that hold each feature): sums over all rows of (id, text, label).
 
-    A task adds its rows up in arrays of a fixed size. At most TASKS do, and
-    their arrays are added up slice by slice, FAN at a time, so that no group
-    grows with the input.
+    A task adds its rows up in arrays of a fixed size, which are added up slice
+    by slice, FAN at a time and FAN of those sums at a time; the last group has
+    a row for FAN * FAN tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,14 +93,15 @@ def counts(labelled: DataFrame, bits: int = BITS) -> tuple[np.ndarray, np.ndarra
     def add(kind: type):
         def run(t: pa.Table) -> pa.Table:
             total = lambda c, d: sum(np.frombuffer(x.as_buffer(), d).astype(np.int64) for x in t.column(c)).tobytes()
-            return pa.table({"slice": t.column("slice")[:1], "n": [total("n", np.int64)], "held": [total("held", kind)]})
+            return pa.table({"part": t.column("part")[:1], "slice": t.column("slice")[:1], "n": [total("n", np.int64)], "held": [total("held", kind)]})
 
         return run
 
     schema = "slice long, n binary, held binary"
-    parts = labelled.select("text", "label").coalesce(TASKS).mapInArrow(run, "slice long, part long, n binary, held binary")
-    some = parts.groupBy("slice", "part").applyInArrow(add(np.int32), schema)
-    rows = some.groupBy("slice").applyInArrow(add(np.int64), schema).orderBy("slice").collect()
+    parts = labelled.select("text", "label").mapInArrow(run, "slice long, part long, n binary, held binary")
+    some = parts.groupBy("slice", "part").applyInArrow(add(np.int32), f"part long, {schema}")
+    more = some.groupBy("slice", F.floor(F.col("part") / FAN)).applyInArrow(add(np.int64), f"part long, {schema}")
+    rows = more.groupBy("slice").applyInArrow(add(np.int64), f"part long, {schema}").orderBy("slice").collect()
     if not rows:
         return np.zeros(2, np.int64), np.zeros((2, 1 << bits), np.int64)
     held = np.concatenate([np.frombuffer(r["held"], np.int64).reshape(2, -1) for r in rows], axis=1)
@@ -122,78 +122,54 @@ def classes(r: np.ndarray, z: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Scales:
-    """Counts of all training rows (see counts()), and which features have a weight of their own."""
+    """Counts of all training rows (see counts())."""
 
     n: np.ndarray
     held: np.ndarray
-    own: np.ndarray
 
     @staticmethod
-    def of(n: np.ndarray, held: np.ndarray, most: int = MAX_OWN) -> Scales:
-        z = np.empty(held.shape[1], np.float32)
-        for part in np.array_split(np.arange(held.shape[1]), SLICES):
-            z[part] = ratios(n, held[:, part])[1]
-        own = np.zeros(len(z), bool)
-        own[np.argsort(-z, kind="stable")[:most]] = True
-        return Scales(n, held.astype(np.int32) if held.max(initial=0) < 1 << 31 else held, own)
-
-    def features(self, text: str | None, label: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Own features and their scaled values, and the sums of the others by class; a training row's own label is taken out of the counts."""
+    def of(n: np.ndarray, held: np.ndarray) -> Scales:
+        return Scales(n, held.astype(np.int32) if held.max(initial=0) < 1 << 31 else held)
+
+    def sums(self, text: str | None, label: int | None) -> np.ndarray:
+        """The sums of a text's scaled features by class; a training row's own label is taken out of the counts."""
         u, x = values(hashed(text))
         less = np.array([label == 0, label == 1], np.int64)
         r, z = ratios(self.n - less, self.held[:, u] - less[:, None])
-        x, own = x * r, self.own[u]
-        return u[own], x[own], np.bincount(classes(r, z)[~own], x[~own], 2 * (len(EDGES) + 1))
-
-
-def regression(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int, l2: float = L2, steps: int = 600) -> tuple[np.ndarray, float]:
-    """Weights of `size` features and intercept, by accelerated gradient descent on the mean log loss."""
-    used, flat = np.unique(np.concatenate([*[u for u, _ in features], np.zeros(0, np.uint32)]), return_inverse=True)
-    row = np.repeat(np.arange(len(features)), [len(u) for u, _ in features])
-    x, m = np.concatenate([*[v for _, v in features], np.zeros(0, np.float32)]), len(labels)
-    flat = flat.astype(np.int32)
-    # both orders, each summed run by run
-    by_feature = np.argsort(flat, kind="stable")
-    xf, row_f = x[by_feature], row[by_feature].astype(np.int32)
-    feature_starts = np.searchsorted(flat[by_feature], np.arange(len(used)))
-    filled = np.flatnonzero(np.bincount(row, minlength=m)) if len(row) else np.zeros(0, np.int64)
-    row_starts = np.searchsorted(row, filled)
-
-    def forward(w: np.ndarray) -> np.ndarray:
-        out = np.zeros(m)
-        if len(filled):
-            out[filled] = np.add.reduceat(x * w[flat], row_starts)
-        return out
-
-    def back(g: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(xf * g[row_f], feature_starts) if len(used) else np.zeros(0)
-
-    # the largest curvature, by power iteration; the last place stands for the intercept
-    v, vb, top = np.ones(len(used)), 1.0, 1.0
-    for _ in range(30):
-        z = forward(v) + vb
-        v, vb = back(z) / m, z.mean()
-        top = float(np.sqrt(v @ v + vb * vb)) or 1.0
-        v, vb = v / top, vb / top
-    rate = 1 / (0.3 * top + l2 / m)
-    w, b = np.zeros(len(used)), 0.0
-    last_w, last_b = w, b
-    for k in range(steps):
-        yw, yb = w + k / (k + 3) * (w - last_w), b + k / (k + 3) * (b - last_b)
-        g = (1 / (1 + np.exp(-np.clip(forward(yw) + yb, -700, 700))) - labels) / m
-        last_w, last_b = w, b
-        w, b = yw - rate * (back(g) + l2 / m * yw), yb - rate * g.sum()
-    weights = np.zeros(size, np.float32)
-    weights[used] = w.astype(np.float32)
-    return weights, float(b)
+        return np.bincount(classes(r, z), x * r, 2 * (len(EDGES) + 1))
+
+
+def regression(x: np.ndarray, labels: np.ndarray, l2: float = L2, steps: int = 100) -> tuple[np.ndarray, float]:
+    """Weights of the columns of x and intercept: Newton's method on the mean log loss and the penalty on the weights."""
+    m, k = x.shape
+    a, w = np.c_[x, np.ones(m)], np.zeros(k + 1)
+    ridge = np.r_[np.full(k, l2 / m), 1e-12]
+
+    def loss(w: np.ndarray) -> float:
+        z = a @ w
+        return float(np.logaddexp(0, z).sum() - labels @ z) / m + float(ridge @ (w * w)) / 2
+
+    now = loss(w)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -700, 700)))
+        g = a.T @ (p - labels) / m + ridge * w
+        step = np.linalg.solve((a.T * (p * (1 - p))) @ a / m + np.diag(ridge + 1e-12), g)
+        size = 1.0
+        while (new := loss(w - size * step)) > now and size > 1e-6:
+            size /= 2
+        w, done, now = w - size * step, now - new < 1e-13, min(new, now)
+        if done:
+            break
+    return w[:k], float(w[k])
 
 
 def fit(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """From rows of (id, text, label 0 or 1). Without rows of both labels the score is one constant.
 
     Rows that repeat count in the ratios as often as they occur, in the
-    regression once. Which rows that takes is decided on hashes alone; only
-    then are their texts read. Texts of any length are taken whole.
+    regression once (of an id with several texts, one). Which rows that takes
+    is decided on hashes of id and label; only then are their texts read. Texts
+    of any length are taken whole.
     """
     n, held = counts(labelled)
     if not n.all():
@@ -201,30 +177,27 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     scales = Scales.of(n, held)
     del held
     spark = labelled.sparkSession
-    shared = spark.sparkContext.broadcast(scales)  # 18 or 34 MB, whatever the input
-    key = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.col("label").cast("string"), F.xxhash64("text").cast("string")))
+    shared = spark.sparkContext.broadcast(scales)  # 17 or 34 MB, whatever the input
+    key = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.col("label").cast("string")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, t, y in zip(b.column("key").to_pylist(), b.column("text"), b.column("label").to_pylist(), strict=True):
-                u, x, c = shared.value.features(t.as_py(), y)
-                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([y], pa.int32()), *[pa.array([v.tobytes()], pa.binary()) for v in (u.astype(np.uint32), x.astype(np.float32), c)]], names=["key", "label", "u", "x", "c"])
+            labels = b.column("label").to_pylist()
+            c = [shared.value.sums(t.as_py(), y) for t, y in zip(b.column("text"), labels, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("label").cast(pa.int32()), pa.array([v.tolist() for v in c], pa.list_(pa.float64()))], names=["key", "label", "c"])
 
     keyed = labelled.select(key.alias("key"), "text", "label")
     chosen = keyed.select("key").distinct().orderBy("key").limit(max_rows)
-    rows = keyed.join(F.broadcast(chosen), "key").mapInArrow(run, "key string, label int, u binary, x binary, c binary").dropDuplicates(["key"]).orderBy("key").collect()
+    rows = keyed.join(F.broadcast(chosen), "key").mapInArrow(run, "key string, label int, c array<double>")
+    rows = rows.groupBy("key").agg(F.min(F.struct("c", "label")).alias("row")).orderBy("key").select("row.*").collect()
     shared.destroy()
-    own = [(np.frombuffer(r["u"], np.uint32), np.frombuffer(r["x"], np.float32)) for r in rows]
-    c = np.array([np.frombuffer(r["c"], float) for r in rows])
-    unit = SHARED_SIZE / np.maximum(np.sqrt((c**2).mean(axis=0)), 1e-3)
-    bits = len(scales.own)
-    at = np.arange(bits, bits + len(unit), dtype=np.uint32)
-    features = [(np.concatenate([u, at]), np.concatenate([x, v * unit]).astype(np.float32)) for (u, x), v in zip(own, c, strict=True)]
-    w, b = regression(features, np.array([r["label"] for r in rows], float), bits + len(unit))
-    weights = np.empty(bits, np.float32)
-    for part in np.array_split(np.arange(bits), SLICES):
+    c = np.array([r["c"] for r in rows])
+    unit = SIZE / np.maximum(np.sqrt((c**2).mean(axis=0)), 1e-3)
+    w, b = regression(c * unit, np.array([r["label"] for r in rows], float))
+    weights = np.empty(scales.held.shape[1], np.float32)
+    for part in np.array_split(np.arange(len(weights)), SLICES):
         r, z = ratios(n, scales.held[:, part])
-        weights[part] = r * np.where(scales.own[part], w[part], (w[bits:] * unit)[classes(r, z)])
+        weights[part] = r * (w * unit)[classes(r, z)]
     return Model(weights, b)
 
 

@@ -278,6 +278,22 @@ def test_ids_are_those_of_tokenizers(spark):
         assert packing.token_ids(x).tolist() == [*t.encode(x, add_special_tokens=False).ids, 2]
 
 
+@pytest.mark.parametrize("run", [" " * 2_000_000, "\n" * 2_000_000, "\t" * 2_000_000, "x" + " \n\t\u2003" * 500_000 + "y", " " * 1_500_000 + "word", "a" * 300_000, "\u8a9e" * 100_000, "!" * 300_000, "1" * 300_000])
+def test_ids_of_texts_of_one_class_of_characters(run):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.token_ids(run).tolist() == [*t.encode(run, add_special_tokens=False).ids, 2]
+
+
+def test_packing_of_long_white_space(spark):
+    rows = [(1, " " * 1_200_000 + "end"), (2, "start" + "\n" * 30_000), (3, "short")]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for i, text in rows:
+        assert sum(r.length for r in got if r.doc_id == i) == len(packing.token_ids(text))
+
+
 def test_runs_use_every_piece_once():
     rng = np.random.default_rng(1)
     for capacity, n in ((10, 50), (64, 500), (1024, 4000)):
@@ -442,28 +458,46 @@ def test_toxicity_against_plain_counts(spark):
     want = [Counter(g for i, y in rows if y == k for g in bag[i]) for k in (0, 1)]
     assert n.tolist() == [sum(y == k for _, y in rows) for k in (0, 1)]
     assert all({g: c for g, c in enumerate(held[k].tolist()) if c} == dict(want[k]) for k in (0, 1))
-    s = toxicity.Scales.of(n, held, 50)
-    assert s.own.sum() == 50
-    for i, y in rows[:10]:
-        u, x, c = s.features(docs[i], y)
-        sums, own = Counter(), {}
+    s = toxicity.Scales.of(n, held)
+
+    def scaled(i, y):
+        """r * value and class of each feature of a text, without its own label."""
         for g, k in bag[i].items():
             p = [(want[j][g] - (j == y) + 0.5) / (n[j] - (j == y) + 1) for j in (0, 1)]
             r = math.log(p[1] / p[0])
             z = abs(r) / math.sqrt(sum((1 - p[j]) / (want[j][g] - (j == y) + 0.5) for j in (0, 1)))
-            v = r * math.sqrt(k * 1000 / max(sum(bag[i].values()), 300))
-            if s.own[g]:
-                own[g] = v
-            else:
-                sums[sum(e <= z + 1e-7 for e in toxicity.EDGES) + 13 * (r > 0)] += v
-        assert dict(zip(u.tolist(), x.tolist(), strict=True)) == pytest.approx(own, rel=1e-4)
-        assert sum(c) == pytest.approx(sum(sums.values()), rel=1e-3, abs=1e-3)
+            yield r * math.sqrt(k * 1000 / max(sum(bag[i].values()), 300)), sum(e <= z + 1e-7 for e in toxicity.EDGES) + 13 * (r > 0)
+
+    def plain(i, y):
+        sums = np.zeros(26)
+        for v, c in scaled(i, y):
+            sums[c] += v
+        return sums
+
+    for i, y in rows[:10]:
+        c, sums = s.sums(docs[i], y), plain(i, y)
+        assert sum(c) == pytest.approx(sum(sums), rel=1e-3, abs=1e-3)
     # the fit is where the gradient of the penalised loss is zero
     rng = np.random.default_rng(2)
     a, y = rng.normal(size=(200, 6)), rng.integers(0, 2, 200).astype(float)
-    w, b = toxicity.regression([(np.arange(6, dtype=np.uint32), v.astype(np.float32)) for v in a], y, 6)
+    w, b = toxicity.regression(a, y)
     e = 1 / (1 + np.exp(-(a @ w + b))) - y
-    assert np.abs(a.T @ e + toxicity.L2 * w).max() < 1e-2 and abs(e.sum()) < 1e-2
+    assert np.abs(a.T @ e + toxicity.L2 * w).max() < 1e-6 and abs(e.sum()) < 1e-6
+    apart = toxicity.regression(np.array([[-1.0], [-2.0], [1.0], [2.0]]), np.array([0.0, 0, 1, 1]))
+    assert np.isfinite(apart[0]).all() and apart[0][0] > 0
+    # a score end to end: plain sums of all rows, gradient steps, plain weights
+    x = np.array([plain(i, y) for i, y in set(rows)])
+    unit = toxicity.SIZE / np.maximum(np.sqrt((x**2).mean(axis=0)), 1e-3)
+    x, y = np.c_[x * unit, np.ones(len(x))], np.array([y for _, y in set(rows)], float)
+    w, rate = np.zeros(27), len(x) / (np.linalg.norm(x, 2) ** 2 / 4 + toxicity.L2)
+    last = w
+    for step in range(20_000):
+        at = w + step / (step + 3) * (w - last)
+        last, w = w, at - rate * (x.T @ (1 / (1 + np.exp(-(x @ at))) - y) + np.r_[np.full(26, toxicity.L2), 0] * at) / len(x)
+    fitted = toxicity.fit(train)
+    for i, _ in rows[:20]:
+        z = w[26] + sum(v * (w[:26] * unit)[c] for v, c in scaled(i, None))
+        assert fitted.score(docs[i]) == pytest.approx(1 / (1 + math.exp(-z)), abs=0.02)
     # every feature of a text bears on its score, and rows taken for the fit are bounded
     model = toxicity.fit(train, max_rows=20)
     text = docs[rows[0][0]]
