@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import amplitudes, crs, headers, units
 from ..kernels import slices as slice_kernels
 from ..layouts import even, from_slices, to_samples, to_slices, to_traces
-from ..operators import binning, delays, geometry, joins, lines, merging, pocs, spectral, windows
+from ..operators import bands, binning, delays, geometry, joins, lines, merging, pocs, spectral, windows
 from ..sources import segy, tables
 
 
@@ -160,6 +160,25 @@ def interpolate(spectra: DataFrame, n_il: int, n_xl: int, mask, **options) -> Da
     return pocs.interpolate(to_slices(spectra, n_il, n_xl, "re", "im"), mask, **options)
 
 
+def interpolate_large(spectra: DataFrame, bins: DataFrame, n_il: int, n_xl: int, values: int = 1 << 22, **options) -> DataFrame:
+    """13, for slices that no task holds: il, xl, i, re, im, niter, cost, filled in bands and strips of about so many values.
+
+    bins are rows (il, xl, fold). The options are those of operators.bands.interpolate.
+    """
+    shape = bands.Shape.of(n_il, n_xl, values)
+    out = bands.interpolate(bands.to_bands(spectra, shape, "re", "im"), bands.mask_of(bins, shape), shape, complex_in=True, **options)
+    ends = out.select("slice", "niter", "cost").distinct()  # a row a slice
+    long = bands.from_bands(out, shape).withColumnRenamed("slice", "i").withColumnsRenamed({"amp": "re", "imag": "im"})
+    return long.join(ends.withColumnRenamed("slice", "i"), "i")
+
+
+def to_time_large(spectra: DataFrame, dt: float, n: int | None = None, real: bool = True) -> DataFrame:
+    """14, from rows (il, xl, i, re, im): il, xl, samples."""
+    g = spectra.groupBy("il", "xl").agg(F.array_sort(F.collect_list(F.struct("i", "re", "im"))).alias("s"))
+    spec = F.struct(F.transform("s", lambda v: v["re"]).alias("re"), F.transform("s", lambda v: v["im"]).alias("im"))
+    return g.withColumn("spec", spec).select("il", "xl", spectral.ifft(F.col("spec"), dt, 0.0, n, real).alias("samples"))
+
+
 def rescaled_envelopes(cube: DataFrame, samples: str = "samples") -> DataFrame:
     """Negative samples to zero, then all to 0..1 by the cube's least and largest, one row that is joined."""
     d = cube.withColumn(samples, F.transform(samples, lambda x: F.greatest(x, F.lit(0.0))))
