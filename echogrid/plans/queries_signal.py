@@ -698,6 +698,12 @@ def _(s, d):
     return pocs_slices(s, d, niter=5, transform="CURVELET")
 
 
+@query("j1_pocs_shearlet_windows")
+def _(s, d):
+    """Each window of the frame has its own thresholds, with the floor that weighs scales."""
+    return pocs_slices(s, d, niter=5, transform="SHEARLET", thresh_op="soft", thresh_model="linear", p_min="adaptive", per_window=True)
+
+
 @query("j1_pocs_keeps_data", a.with_("cube", more="c AS (SELECT il, xl, fold, unnest(range(len(s)))::INT AS i, unnest(s) AS amp FROM cube)") + "SELECT i::BIGINT AS slice, il, xl, round(amp, 4) + 0 AS amp FROM c WHERE fold = 1")
 def _(s, d):
     kept = a.cube(s, d).where("fold = 1").select("il", "xl")

@@ -256,3 +256,45 @@ def test_directional_frames(kind):
     got = pocs.pocs(wave * mask, mask, 30, kind, thresh_model="exponential", p_max=0.9, p_min=1e-3)
     assert np.abs(got.grid - wave)[mask == 0].mean() < 0.3 * np.abs(wave)[mask == 0].mean()
     assert np.allclose(got.grid[mask == 1], wave[mask == 1])
+
+
+@pytest.mark.parametrize("kind", ["SHEARLET", "CURVELET"])
+@pytest.mark.parametrize("shape", [(64, 64), (33, 50), (96, 40), (8, 9)])
+def test_decimated_frames(kind, shape):
+    """The slice comes back, energies stay, coefficients are few, and each wedge's are the window's own at coarser places."""
+    from echogrid.kernels import frames
+
+    rng = np.random.default_rng(1)
+    f = frames.decimated(shape, kind)
+    for x in (rng.normal(size=shape), rng.normal(size=shape) + 1j * rng.normal(size=shape)):
+        c = f.forward(x)
+        assert np.abs(f.inverse(c) - x).max() < 1e-10 and np.isclose((np.abs(c) ** 2).sum(), (np.abs(x) ** 2).sum())
+    assert len(c) == f.ends[-1] and (min(shape) < 32 or len(c) <= 8 * x.size)
+    for w in f.wedges:
+        assert len(np.unique(w.to)) == len(w.to) == len(np.unique(w.at))  # wrapping is one to one
+    # energies by window are those of the frame that isn't decimated
+    whole = (np.abs(frames.forward(shape, kind)[0](x)) ** 2).sum(axis=(1, 2))
+    assert np.allclose([(np.abs(c[a:b]) ** 2).sum() for a, b in zip(f.ends, f.ends[1:], strict=False)], whole)
+
+
+def test_thresholds_of_windows():
+    """Each window's thresholds run from its own largest coefficient; the adaptive floor weighs the scales."""
+    from echogrid.kernels import frames, pocs
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(32, 32))
+    f = frames.decimated((32, 32), "SHEARLET")
+    c = f.forward(x)
+    parts = [np.abs(c[a:b]) for a, b in zip(f.ends, f.ends[1:], strict=False)]
+    t = pocs.window_decays(f, c, "linear", 5, 0.9, 0.1, "values", False)
+    assert np.allclose(t[0], [0.9 * p.max() for p in parts]) and np.allclose(t[-1], [0.1 * p.max() for p in parts])
+    floor = np.median([np.log10(j + 1) * np.sqrt((p**2).sum() / len(c)) for j, p in zip(f.scales, parts, strict=True)]) / 3
+    assert np.allclose(pocs.window_decays(f, c, "exponential", 4, 0.9, "adaptive", "values", False)[-1], floor)
+    wave = np.cos(np.arange(32) * 0.4)[None, :] + np.cos(np.arange(32) * 0.3)[:, None]
+    mask = (rng.random((32, 32)) > 0.3).astype(float)
+    for kind, options in (("SHEARLET", {}), ("SHEARLET", {"per_window": True}), ("CURVELET", {}), ("SHEARLET", {"per_window": True, "p_min": "adaptive"}), ("SHEARLET", {"per_window": True, "thresh_op": "soft-percentile", "decay_kind": "factors", "p_max": 99.0, "p_min": 60.0, "thresh_model": "linear"})):
+        got = pocs.pocs(wave * mask, mask, niter=25, transform=kind, **options)
+        assert np.allclose(got.grid[mask > 0], wave[mask > 0])
+        assert "thresh_op" in options or np.abs(got.grid - wave).mean() < 0.6 * np.abs(wave * (1 - mask)).mean()
+    with pytest.raises(ValueError):
+        pocs.pocs(wave, mask, transform="CURVELET", per_window=True)
