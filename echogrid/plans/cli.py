@@ -91,6 +91,10 @@ def _statics(spark, t, o):
 
 
 def _tides(spark, t, o):
+    if o.model_dir:
+        return steps.compensate_tide(t, src=o.crs_src, model_dir=o.model_dir, names=o.constituents, correct_minor=o.correct_minor)
+    if not o.constituents:
+        raise ValueError("give --model_dir or --constituents name:amplitude:phase")
     return steps.compensate_tide(t, {k: (float(a), float(p)) for k, a, p in (c.split(":") for c in o.constituents)}, o.crs_src)
 
 
@@ -169,7 +173,7 @@ COMMANDS = {
         [DELAY, ("--use_delay", FLAG), ("--mode", {"choices": ["amp", "swdep"], "default": "amp"}), ("--win_samples", {"type": int, "default": 30}), ("--nsta", {"type": int}), ("--nlta", {"type": int}), ("--win_median", {"type": int, "default": 11}), ("--n_amp_samples", {"type": int, "default": 5}), ("--win_mad", {"type": int}), ("--win_sg", {"type": int, "default": 7}), ("--limit_shift", {"type": float, "nargs": "?", "default": 12, "const": 12}), ("--limit_depressions", {"type": float, "nargs": "+", "default": [10, 10, 5]}), ("--write_seafloor2trace", FLAG), ("--write_aux", FLAG)],
         _statics,
     ),
-    "06": ("compensate tide", [("--constituents", {"nargs": "+", "required": True, "help": "name:amplitude:phase"}), ("--crs_src", {"default": "epsg:32760"}), ("--write_aux", FLAG)], _tides),
+    "06": ("compensate tide", [("--model_dir", {"help": "Parquet table of constituent, lat, lon, amplitude, phase"}), ("--correct_minor", FLAG), ("--constituents", {"nargs": "+", "help": "names of the model's, or name:amplitude:phase without a model"}), ("--crs_src", {"default": "epsg:32760"}), ("--write_aux", FLAG)], _tides),
     "07": ("correct misties", [*AUX, ("--cell", {"type": float, "default": 50.0}), ("--win_cc", {"type": float, "nargs": 2, "help": "first and last time that are compared, ms"}), ("--quality_threshold", {"type": float, "default": 0.5}), ("--write_aux", FLAG), ("--write_QC", FLAG)], _misties),
     "08": ("despike", [DELAY, ("--window_time", {"type": float, "required": True}), ("--dt", {"type": float, "required": True}), ("--window_traces", {"type": int, "default": 5}), ("--window_overlap", {"type": float, "default": 10}), ("--mode", {"choices": ["mean", "median", "rms"], "default": "mean"}), ("--threshold_factor", {"type": float, "default": 2.0}), ("--out_amplitude", {"choices": ["scaled", "mode", "threshold", "zeros", "median"], "default": "threshold"}), ("--use_delay", FLAG)], lambda s, t, o: steps.despike(t, o.use_delay, window=o.window_time, dt=o.dt, overlap=o.window_overlap, ntraces=o.window_traces, mode=o.mode, threshold=o.threshold_factor, out=o.out_amplitude)),
     "09": ("convert to a table", [], lambda s, t, o: t),

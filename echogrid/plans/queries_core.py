@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import layouts
 from ..functions import amplitudes, crs, headers, units
-from ..operators import binning, delays, geometry, joins, lines, merging, windows
+from ..operators import binning, delays, geometry, joins, lines, merging, tides, windows
 from . import adapters as a
 from .registry import query, r, rounded
 
@@ -292,6 +292,44 @@ def _(s, d):
     return delays.at_distinct(e, ["lat", "lon"], F.col("ts"), tide).select("event_id", r("tide", 4).alias("tide"))
 
 
+_TIDES = ["k1", "m2"]
+_TIDE_CELLS = "cell AS (SELECT DISTINCT (c_custkey % 11)::INT AS iy, (c_custkey // 11 % 15)::INT AS ix FROM customer WHERE c_custkey % 13 > 0)"
+
+
+def _tide_sql() -> str:
+    """The same sum in SQL, from the tables of arguments and corrections."""
+    out = []
+    for n in _TIDES:
+        t, *rest, pp, more = tides.ARGUMENTS[n]
+        angle = " + ".join([f"{t} * 360.0::DOUBLE * (mjd - floor(mjd))", *[f"{k} * ({a}::DOUBLE + {b}::DOUBLE * (mjd - {tides.EPOCH_MJD}::DOUBLE))" for k, (a, b) in zip(rest, [tides.LONGITUDES[x] for x in "shp"], strict=True)], repr(float(pp * tides.SOLAR_PERIGEE + more))])
+        a, b = tides.LONGITUDES["n"]
+        f0, f1, u = tides.NODAL[n]
+        node = f"radians({a}::DOUBLE + {b}::DOUBLE * (mjd - {tides.EPOCH_MJD}::DOUBLE))"
+        v = f"radians({angle} + {u}::DOUBLE * sin({node}))"
+        out.append(f"({f0}::DOUBLE + {f1}::DOUBLE * cos({node})) * (re_{n} * cos({v}) - im_{n} * sin({v}))")
+    return " + ".join(out)
+
+
+@query(
+    "b25_tide_grid",
+    f"""WITH {_TIDE_CELLS}, hc AS (SELECT iy, ix, {", ".join(f"(0.5::DOUBLE + {k} * 0.3::DOUBLE + (iy + ix) % 5 * 0.1::DOUBLE) * cos(radians(iy * 20 + ix * 7 + {k} * 50)) AS re_{n}, -(0.5::DOUBLE + {k} * 0.3::DOUBLE + (iy + ix) % 5 * 0.1::DOUBLE) * sin(radians(iy * 20 + ix * 7 + {k} * 50)) AS im_{n}" for k, n in enumerate(_TIDES))} FROM cell),
+e AS (SELECT event_id, floor(epoch(ts)) / 86400.0::DOUBLE + 40587.0::DOUBLE AS mjd, user_id % 40 / 8.0::DOUBLE AS y, user_id % 56 / 4.0::DOUBLE AS x FROM events),
+c AS (SELECT *, floor(y)::INT + dy AS iy, floor(x)::INT + dx AS ix, abs(1 - dy - (y - floor(y))) * abs(1 - dx - (x - floor(x))) AS w FROM e, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS k(dy, dx)),
+m AS (SELECT event_id, any_value(mjd) AS mjd, {", ".join(f"sum(w * {p}_{n}) / nullif(sum(w) FILTER ({p}_{n} IS NOT NULL), 0) AS {p}_{n}" for n in _TIDES for p in ("re", "im"))} FROM c LEFT JOIN hc USING (iy, ix) GROUP BY event_id)
+SELECT event_id, round({_tide_sql()}, 4) + 0 AS tide FROM m""",
+)
+def _(s, d):
+    """Places of events on a raster of customers' numbers, some of it land."""
+    key = F.col("c_custkey")
+    cell = a.table(s, d, "customer").where(key % 13 > 0).select((key % 11).alias("iy"), (F.floor(key / 11) % 15).alias("ix")).distinct()
+    raster = tides.Raster(10.0, 20.0, 0.5, 0.25)
+    points = cell.withColumn("c", F.explode(F.array(*[F.struct(F.lit(n).alias("constituent"), F.lit(k).alias("k")) for k, n in enumerate(_TIDES)])))
+    points = points.select("c.constituent", (raster.lat + F.col("iy") * raster.step_lat).alias("lat"), (raster.lon + F.col("ix") * raster.step_lon).alias("lon"), (0.5 + F.col("c.k") * 0.3 + (F.col("iy") + F.col("ix")) % 5 * 0.1).alias("amplitude"), (F.col("iy") * 20 + F.col("ix") * 7 + F.col("c.k") * 50).cast("double").alias("phase"))
+    u = F.col("user_id")
+    places = a.table(s, d, "events").select("event_id", (raster.lat + u % 40 / 8.0 * raster.step_lat).alias("lat"), (raster.lon + u % 56 / 4.0 * raster.step_lon).alias("lon"), F.col("ts").alias("time"))
+    return tides.predict(places, tides.cells(points, raster, _TIDES), raster, _TIDES).select("event_id", r("tide", 4).alias("tide"))
+
+
 # --- C: joins
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import amplitudes, crs, headers, units
 from ..kernels import slices as slice_kernels
 from ..layouts import even, from_slices, to_samples, to_slices, to_traces
-from ..operators import bands, binning, delays, geometry, joins, lines, merging, pocs, spectral, windows
+from ..operators import bands, binning, delays, geometry, joins, lines, merging, pocs, spectral, tides, windows
 from ..sources import segy, tables
 
 
@@ -67,11 +67,24 @@ def correct_statics(traces: DataFrame, limit_samples: float | None = 12, depress
     return d.withColumn("samples", amplitudes.compensate_static(F.col("samples"), F.col("static")))
 
 
-def compensate_tide(traces: DataFrame, constituents: dict[str, tuple[float, float]], src: str = "epsg:32760") -> DataFrame:
-    """06: the tide at each distinct place, at the time of its first trace, taken from all traces there."""
+def compensate_tide(traces: DataFrame, constituents: dict[str, tuple[float, float]] | None = None, src: str = "epsg:32760", model_dir: str | None = None, names: list[str] | None = None, correct_minor: bool = False) -> DataFrame:
+    """06: the tide at each distinct place, at the time of its first trace, taken from all traces there.
+
+    It comes from amplitudes and phases that hold everywhere, or from the
+    gridded model in model_dir (operators.tides.read_model), from its
+    constituents `names` or all; places on the model's land have no tide.
+    """
     lon, lat = crs.transform(F.col("x"), F.col("y"), src, "epsg:4326")
     d = traces.withColumns({"lon": lon, "lat": lat})
-    tide = lambda p: p.withColumn("tide", delays.harmonic_tide(F.col("time"), constituents))
+    if model_dir is not None:
+        model, raster, known = tides.read_model(traces.sparkSession, model_dir)
+        missing = sorted({n.lower() for n in names or []} - set(known))
+        if missing:
+            raise ValueError(f"the model lacks {', '.join(missing)}")
+        chosen = sorted({n.lower() for n in names}) if names else known
+        tide = lambda p: tides.predict(p, model, raster, chosen, correct_minor).withColumn("tide", F.coalesce("tide", F.lit(0.0)))
+    else:
+        tide = lambda p: p.withColumn("tide", delays.harmonic_tide(F.col("time"), constituents or {}))
     d = delays.at_distinct(d, ["lon", "lat"], F.col("time"), tide)
     n = amplitudes.tide_samples(F.col("tide"), F.col("dt"))
     return d.withColumn("tide_samples", n).withColumn("samples", amplitudes.compensate_tide(F.col("samples"), F.col("tide_samples")))
