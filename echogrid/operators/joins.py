@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
 from .geometry import distance
 
 
@@ -69,15 +70,42 @@ def intersections(segs: DataFrame, cell: float) -> DataFrame:
     return out.where((F.col("t") >= 0) & (F.col("t") <= 1) & (F.col("u") >= 0) & (F.col("u") <= 1)).drop("t", "u")
 
 
-def nearest_vertex(points: DataFrame, targets: DataFrame, line: str, order: str = "tracl", point_line: str = "line") -> DataFrame:
-    """Target's columns, then nearest and dist: the vertex of the target's line that is nearest, ties to the smaller number."""
-    v = F.struct(F.col("x").alias("px"), F.col("y").alias("py"), F.col(order).alias("p_order"))
-    # a line's vertices are one value, some thousand points; a target meets them once and no row is made for a pair
-    p = points.groupBy(F.col(point_line).alias("p_line")).agg(F.collect_list(v).alias("vertices"))
-    j = targets.join(p, F.col(line) == F.col("p_line"))
-    far = lambda q: F.struct(distance(F.col("x"), F.col("y"), q["px"], q["py"]).alias("d"), q["p_order"].alias("p_order"))
-    j = j.withColumn("m", F.array_min(F.transform("vertices", far)))
-    return j.select(*targets.columns, F.col("m")["p_order"].alias("nearest"), F.col("m")["d"].alias("dist"))
+def spacing(points: DataFrame, line: str = "line", order: str = "tracl") -> float:
+    """The mean length of the segments between a line's points that differ; 1 without any."""
+    s = segments(points, line, order)
+    d = distance(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    return s.select(d.alias("d")).where("d > 0").agg(F.avg("d")).first()[0] or 1.0
+
+
+def nearest_vertex(points: DataFrame, targets: DataFrame, line: str, order: str = "tracl", point_line: str = "line", cell: float | None = None) -> DataFrame:
+    """Target's columns, then nearest and dist: the vertex of the target's line that is nearest, ties to the smaller number.
+
+    Vertices and targets meet on the line and on cells, by default as large as
+    the mean distance between vertices. A target looks at its own cell and the
+    eight around it, which hold all vertices within a cell's side; if none is
+    that near, it looks again at cells of twice the side. So a vertex meets
+    targets nearby only, whatever the length of its line. Targets of lines
+    without vertices, and targets or vertices without finite coordinates, give
+    no row.
+    """
+    finite = lambda c: F.col(c).isNotNull() & ((F.col(c) - F.col(c)) == 0)
+    v = points.select(F.col(point_line).alias("p_line"), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"), F.col(order).alias("p_order")).where(finite("px") & finite("py"))
+    size = float(cell or spacing(points.where(finite("x") & finite("y")), point_line, order))
+    known = v.select(F.col("p_line").alias(line)).distinct()
+    t = written(targets.where(finite("x") & finite("y")).join(known, line, "left_semi").select(*targets.columns, F.monotonically_increasing_id().alias("__id")))
+    rest, found = t.select("__id", F.col(line).alias("__line"), F.col("x").cast("double").alias("__x"), F.col("y").cast("double").alias("__y")), None
+    while not rest.isEmpty():
+        at = lambda c, size=size: F.floor(F.col(c) / F.lit(size))
+        around = rest.withColumn("cx", F.explode(F.array(*[at("__x") + k for k in (-1, 0, 1)]))).withColumn("cy", F.explode(F.array(*[at("__y") + k for k in (-1, 0, 1)])))
+        j = around.join(v.withColumns({"cx": at("px"), "cy": at("py")}), (F.col("__line") == F.col("p_line")) & (around["cx"] == F.floor(F.col("px") / F.lit(size))) & (around["cy"] == F.floor(F.col("py") / F.lit(size))))
+        best = j.groupBy("__id").agg(F.min(F.struct(distance(F.col("__x"), F.col("__y"), F.col("px"), F.col("py")).alias("d"), "p_order")).alias("m"))
+        best = written(best.where(F.col("m.d") <= size))
+        found = best if found is None else found.unionByName(best)
+        rest = written(rest.join(best.select("__id"), "__id", "left_anti"))
+        size *= 2
+    if found is None:
+        return t.select(*targets.columns, F.lit(None).cast(v.schema["p_order"].dataType).alias("nearest"), F.lit(None).cast("double").alias("dist"))
+    return t.join(found, "__id").select(*targets.columns, F.col("m")["p_order"].alias("nearest"), F.col("m")["d"].alias("dist"))
 
 
 def lines_with_files(nav: DataFrame, files: DataFrame, line: str = "line", file: str = "file", pattern: str = "(.*)_UTM") -> DataFrame:

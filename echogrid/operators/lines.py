@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import written
 from ..kernels import dsp, picking
 
 
@@ -95,26 +96,51 @@ def correlate(pairs: DataFrame, a: str = "samples_a", b: str = "samples_b") -> D
     return pairs.withColumn("cc", run(F.col(a), F.col(b))).select("*", F.col("cc.lag").alias("lag"), F.col("cc.r").alias("r")).drop("cc")
 
 
-def line_shifts(pairs: DataFrame, quality: float = 0.5) -> DataFrame:
-    """line, shift: whole samples for each line that fit the lags of the crossings (line_a, line_b, lag, r) best.
+def solved_shifts(pairs: DataFrame, quality: float = 0.5, tolerance: float = 1e-10, most: int = 1000) -> DataFrame:
+    """line, offset, n, rms: the shift of each line that fits the lags of its crossings best, their number and the root mean square of what is left.
 
-    The least-norm solution of shift_a - shift_b = lag over crossings with |r|
-    of at least the quality. The normal equations are summed in Spark: what the
-    driver solves has a row a line, some hundreds.
+    The least-norm solution of shift_a - shift_b = lag over the crossings
+    (line_a, line_b, lag, r) with |r| of at least the quality, by conjugate
+    gradients on the normal equations. Those are a sparse matrix, a row an edge
+    of the network of lines; a step is a join of edges with lines and a sum a
+    line, and is written. The driver sees two sums a step. Started from zero,
+    the mean of every connected network's shifts stays zero: one gauge each.
+    Crossings of a line with itself, or without lag, say nothing and don't
+    count. At most `most` steps; lines are met in as many at the latest.
     """
-    spark = pairs.sparkSession
-    d = pairs.where(F.abs("r") >= quality)
-    sums = d.groupBy("line_a", "line_b").agg(F.count("*").alias("n"), F.sum("lag").alias("lag")).toPandas()
-    lines = sorted({*sums["line_a"], *sums["line_b"]})
-    at = {x: i for i, x in enumerate(lines)}
-    m, v = np.zeros((len(lines), len(lines))), np.zeros(len(lines))
-    for a, b, n, lag in sums.itertuples(index=False):
-        i, j = at[a], at[b]
-        m[i, i] += n
-        m[j, j] += n
-        m[i, j] -= n
-        m[j, i] -= n
-        v[i] += lag
-        v[j] -= lag
-    x = np.linalg.lstsq(m, v, rcond=None)[0] if len(lines) else v
-    return spark.createDataFrame([(k, int(np.rint(x[i]))) for k, i in at.items()], f"line {_kind(pairs, 'line_a')}, shift int")
+    d = pairs.where((F.abs("r") >= quality) & F.col("lag").isNotNull() & (F.col("line_a") != F.col("line_b")))
+    edges = written(d.groupBy("line_a", "line_b").agg(F.count("*").alias("n"), F.sum("lag").cast("double").alias("lag"), F.sum(F.col("lag") * F.col("lag")).cast("double").alias("lag2")))
+    both = edges.select(F.col("line_a").alias("line"), F.col("line_b").alias("other"), "n", "lag", "lag2").unionByName(edges.select(F.col("line_b").alias("line"), F.col("line_a").alias("other"), "n", (-F.col("lag")).alias("lag"), "lag2"))
+    state = written(both.groupBy("line").agg(F.sum("lag").alias("r"), F.sum("n").alias("degree")).select("line", "degree", F.lit(0.0).alias("x"), "r", F.col("r").alias("p")))
+    energy = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
+    first, k = energy, 0
+    while energy > tolerance**2 * first and k < most:
+        k += 1
+        out = both.join(state.select(F.col("line").alias("other"), F.col("p").alias("q")), "other").groupBy("line").agg(F.sum(F.col("n") * F.col("q")).alias("s"))
+        step = state.join(out, "line").withColumn("ap", F.col("degree") * F.col("p") - F.col("s"))
+        step = written(step)
+        curve = step.agg(F.sum(F.col("p") * F.col("ap"))).first()[0] or 0.0
+        if curve <= 0:
+            break
+        a = energy / curve
+        step = step.withColumns({"x": F.col("x") + a * F.col("p"), "r": F.col("r") - a * F.col("ap")})
+        left = step.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
+        state = written(step.select("line", "degree", "x", "r", (F.col("r") + (left / energy) * F.col("p")).alias("p")))
+        energy = left
+    at = lambda name: state.select(F.col("line").alias(name), F.col("x").alias(f"x_{name}"))
+    j = both.join(at("line"), "line").join(at("other"), "other")
+    gap = F.col("x_line") - F.col("x_other")
+    # over the crossings of an edge: sum (lag - gap)^2
+    rest = j.groupBy("line").agg(F.sum(F.col("lag2") - 2 * gap * F.col("lag") + F.col("n") * gap * gap).alias("s"), F.sum("n").alias("n"))
+    return state.join(rest, "line").select("line", F.col("x").alias("offset"), F.col("n"), F.sqrt(F.greatest(F.col("s"), F.lit(0.0)) / F.col("n")).alias("rms"))
+
+
+def residuals(pairs: DataFrame, shifts: DataFrame, value: str = "offset") -> DataFrame:
+    """The crossings with shift_a, shift_b and residual = lag - (shift_a - shift_b); null where a line has no shift."""
+    a, b = (shifts.select(F.col("line").alias(f"line_{k}"), F.col(value).alias(f"shift_{k}")) for k in "ab")
+    return pairs.join(a, "line_a", "left").join(b, "line_b", "left").withColumn("residual", F.col("lag") - (F.col("shift_a") - F.col("shift_b")))
+
+
+def line_shifts(pairs: DataFrame, quality: float = 0.5) -> DataFrame:
+    """line, shift: solved_shifts() in whole samples."""
+    return solved_shifts(pairs, quality).select("line", F.rint("offset").cast("int").alias("shift"))

@@ -596,11 +596,40 @@ def _(s, d):
     return j.groupBy("line", "tracl").agg(r(F.corr("z.samples", "z.b")).alias("r"))
 
 
-@query("d16_line_shifts")
-def _(s, d):
+def _following(s, d):
     """Two traces that follow each other on different lines stand for a crossing."""
     t = a.traces(s, d)
     p = t.select(F.col("line").alias("line_a"), F.col("samples").alias("samples_a"), F.col("tracl").alias("k"))
     q = t.select(F.col("line").alias("line_b"), F.col("samples").alias("samples_b"), (F.col("tracl") - 1).alias("k"))
-    pairs = lines.correlate(p.join(q, "k").where("line_a <> line_b"))
-    return lines.line_shifts(pairs, 0.0)
+    return lines.correlate(p.join(q, "k").where("line_a <> line_b"))
+
+
+@query("d16_line_shifts")
+def _(s, d):
+    return lines.line_shifts(_following(s, d), 0.0)
+
+
+@query("d16_residuals")
+def _(s, d):
+    """What the shifts leave of every crossing's lag."""
+    pairs = _following(s, d).select("line_a", "line_b", "k", "lag", "r")
+    return rounded(lines.residuals(pairs, lines.solved_shifts(pairs, 0.0)).select("line_a", "line_b", "k", "lag", "residual"), "residual", digits=5)
+
+
+# Crossings between customers who order from the same clerk: a network with SQL for its normal equations.
+_NET = "net AS (SELECT a.c_nationkey AS line_a, b.c_nationkey AS line_b, (a.c_custkey + b.c_custkey) % 9 - 4 AS lag FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1 WHERE a.c_nationkey <> b.c_nationkey)"
+
+
+@query(
+    "d16_normal_equations",
+    f"WITH {_NET}, e AS (SELECT line_a AS line, lag FROM net UNION ALL SELECT line_b, -lag FROM net) SELECT line, 0.0::DOUBLE AS imbalance, count(*) AS n FROM e GROUP BY line",
+)
+def _(s, d):
+    """The solution's check: on every line, what is left of the lags adds up to nothing."""
+    c = a.table(s, d, "customer").select("c_custkey", "c_nationkey")
+    o = c.select((F.col("c_custkey") - 1).alias("c_custkey"), F.col("c_nationkey").alias("line_b"))
+    pairs = c.join(o, "c_custkey").where(F.col("c_nationkey") != F.col("line_b"))
+    pairs = pairs.select(F.col("c_nationkey").alias("line_a"), "line_b", ((2 * F.col("c_custkey") + 1) % 9 - 4).alias("lag"), F.lit(1.0).alias("r"))
+    left = lines.residuals(pairs, lines.solved_shifts(pairs, 0.0))
+    each = left.select(F.col("line_a").alias("line"), "residual").unionByName(left.select(F.col("line_b").alias("line"), (-F.col("residual")).alias("residual")))
+    return each.groupBy("line").agg(r(F.sum("residual"), 5).alias("imbalance"), F.count("*").alias("n"))

@@ -9,6 +9,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_tables: list[str] = []
+
+
+def _clean() -> None:
+    """Delete the tables of this application that are left when it ends, where a file system is at hand."""
+    for path in _tables:
+        shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
+atexit.register(_clean)
+
+
 def folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; a cluster must name one. On a local master, where it is unset, a temporary one is made."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,6 +41,8 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._loop_path = path
+    if path.startswith("file:"):
+        _tables.append(path)
     return out
 
 

@@ -379,3 +379,43 @@ def test_stacking_methods_agree_with_arrays(spark):
             x = np.array([s for _, s in own])
             want = {"average": x.mean(axis=0), "median": np.median(x, axis=0), "nearest": min(own, key=lambda p: p[0])[1], "idw": (w[:, None] * x).sum(axis=0) / w.sum()}[method]
             assert got[key][0] == len(own) and np.allclose(got[key][1], want)
+
+
+def test_shifts_of_a_network(spark):
+    """Conjugate gradients against the least-norm solution: two networks, repeated crossings, poor ones, one of a line with itself."""
+    r = np.random.default_rng(7)
+    rows = [(f"a{i}", f"a{j}", int(r.integers(-9, 9)), float(r.uniform(0.5, 1))) for i in range(12) for j in range(i) if r.random() < 0.4 for _ in range(1 + i % 2)]
+    rows += [("b0", "b1", 5, -0.9), ("b1", "b2", -2, 0.8), ("a0", "b0", 99, 0.1), ("a3", "a3", 7, 1.0), ("b1", "b2", None, 1.0)]
+    pairs = spark.createDataFrame(rows, "line_a string, line_b string, lag int, r double")
+    good = [x for x in rows if abs(x[3]) >= 0.5 and x[2] is not None and x[0] != x[1]]
+    names = sorted({x[0] for x in good} | {x[1] for x in good})
+    m, v = np.zeros((len(good), len(names))), np.array([x[2] for x in good], float)
+    for k, x in enumerate(good):
+        m[k, names.index(x[0])], m[k, names.index(x[1])] = 1, -1
+    want = np.linalg.lstsq(m, v, rcond=None)[0]
+    got = {x.line: x for x in lines.solved_shifts(pairs).collect()}
+    assert sorted(got) == names and np.allclose([got[n].offset for n in names], want, atol=1e-7)
+    left = v - m @ want
+    for k, n in enumerate(names):
+        own = m[:, k] != 0
+        assert got[n].n == own.sum() and got[n].rms == pytest.approx(np.sqrt((left[own] ** 2).mean()), abs=1e-6)
+    res = lines.residuals(pairs.where("abs(r) >= 0.5 AND lag IS NOT NULL AND line_a <> line_b"), lines.solved_shifts(pairs)).collect()
+    assert sorted(round(x.residual, 6) + 0 for x in res) == pytest.approx(sorted(left), abs=1e-5)
+    assert lines.line_shifts(pairs.where("r > 2")).collect() == []
+
+
+def test_nearest_vertices_by_cells(spark):
+    """Dense and sparse lines, targets far away, ties, lines without vertices, odd coordinates."""
+    r = np.random.default_rng(8)
+    points = [("a", i, float(x), float(y)) for i, (x, y) in enumerate(r.uniform(0, 100, (300, 2)))] + [("b", 5, 0.0, 0.0), ("b", 3, 2.0, 0.0), ("b", 9, None, 1.0)]
+    targets = [(k, "a", float(x), float(y)) for k, (x, y) in enumerate(r.uniform(-3000, 3000, (60, 2)))] + [(100 + k, "a", float(x), float(y)) for k, (x, y) in enumerate(r.uniform(0, 100, (60, 2)))]
+    targets += [(200, "b", 1.0, 0.0), (201, "b", 1e6, -1e6), (202, "none", 0.0, 0.0), (203, "b", None, 0.0), (204, "b", float("nan"), 0.0)]
+    p = spark.createDataFrame(points, "line string, tracl int, x double, y double")
+    t = spark.createDataFrame(targets, "id int, own string, x double, y double")
+    got = {x.id: x for x in joins.nearest_vertex(p, t, "own").collect()}
+    assert set(got) == {x[0] for x in targets[:-3]}
+    for k, line, x, y in targets[:-3]:
+        d, n = min((np.hypot(px - x, py - y), i) for q, i, px, py in points if q == line and px is not None)
+        assert got[k].nearest == n and got[k].dist == pytest.approx(d)
+    assert got[200].nearest == 3
+    assert joins.nearest_vertex(p, t.where("own = 'none'"), "own").collect() == []
