@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import projections
+
 A, INV_F, K0, FALSE_E, FALSE_N = 6378137.0, 298.257223563, 0.9996, 500000.0, 10000000.0
 _F = 1 / INV_F
 _N = _F / (2 - _F)
@@ -56,8 +58,11 @@ def from_utm(x: Column, y: Column, zone: int, south: bool) -> tuple[Column, Colu
 
 
 def transform(x: Column, y: Column, src: str, dst: str) -> tuple[Column, Column]:
-    """x, y (longitude, latitude for epsg:4326) from one system to the other."""
-    a, b = zone_of(src), zone_of(dst)
+    """x, y (longitude, latitude for geographic systems) from one system to the other: codes, proj strings or WKT."""
+    try:
+        a, b = zone_of(src), zone_of(dst)
+    except ValueError:
+        return projections.transform(x, y, src, dst)
     if a == b:
         return x, y
     lon, lat = (x, y) if a is None else from_utm(x, y, *a)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import layouts
-from ..functions import amplitudes, crs, headers, units
+from ..functions import amplitudes, crs, headers, projections, units
 from ..operators import binning, delays, geometry, joins, lines, merging, tides, windows
 from . import adapters as a
 from .registry import query, r, rounded
@@ -266,6 +266,39 @@ def _(s, d):
     return n.select("o_orderkey", r(x, 3).alias("easting"), r(y, 3).alias("northing"), r(F.abs(back[0] - lon) + F.abs(back[1] - lat), 7).alias("error"))
 
 
+_LCC = "+proj=lcc +lat_1=-37.5 +lat_2=-44.5 +lat_0=-41 +lon_0=173 +x_0=3000000 +y_0=7000000 +ellps=GRS80"
+_SYSTEMS = ("epsg:3857", "epsg:3395", "epsg:3031", _LCC, "epsg:2193", "+proj=utm +zone=60 +south +ellps=intl +towgs84=59.47,-5.04,187.44,0.47,-0.1,1.024,-4.5993")
+
+
+@query("b22_round_trips", a.with_("nav") + f"SELECT o_orderkey, i::INT AS system, round(171 + x / 1000, 7) + 0 AS lon, round(-44 + y / 1000, 7) + 0 AS lat FROM nav, range({len(_SYSTEMS)}) t(i)")
+def _(s, d):
+    """Longitude and latitude to each system and back: Mercator, polar, conic, transverse, another datum."""
+    n = a.nav(s, d)
+    lon, lat = F.lit(171.0) + F.col("x") / 1000, F.lit(-44.0) + F.col("y") / 1000
+    there = [crs.transform(lon, lat, "epsg:4326", c) for c in _SYSTEMS]
+    back = [crs.transform(F.col("p.x"), F.col("p.y"), c, "epsg:4326") for c in _SYSTEMS]
+    e = n.select("o_orderkey", F.posexplode(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in there])).alias("system", "p"))
+    pick = lambda k: r(F.coalesce(*[F.when(F.col("system") == i, b[k]) for i, b in enumerate(back)]), 7)
+    return e.select("o_orderkey", "system", pick(0).alias("lon"), pick(1).alias("lat"))
+
+
+def _lcc_sql() -> str:
+    p = projections.parse(_LCC)
+    n, scale, origin = projections._conic(p)
+    e = p.e2**0.5
+    phi = "radians(-44 + y / 1000)"
+    t = f"tan(pi() / 4 - {phi} / 2) / pow((1 - {e!r}::DOUBLE * sin({phi})) / (1 + {e!r}::DOUBLE * sin({phi})), {e / 2!r}::DOUBLE)"
+    rho, theta = f"{scale!r}::DOUBLE * pow({t}, {n!r}::DOUBLE)", f"{n!r}::DOUBLE * radians(171 + x / 1000 - 173)"
+    return f"round(3000000 + {rho} * sin({theta}), 3) + 0 AS easting, round(7000000 + {origin!r}::DOUBLE - {rho} * cos({theta}), 3) + 0 AS northing"
+
+
+@query("b22_lambert", a.with_("nav") + f"SELECT o_orderkey, {_lcc_sql()} FROM nav")
+def _(s, d):
+    n = a.nav(s, d)
+    x, y = crs.transform(F.lit(171.0) + F.col("x") / 1000, F.lit(-44.0) + F.col("y") / 1000, "epsg:4326", "epsg:3851")
+    return n.select("o_orderkey", r(x, 3).alias("easting"), r(y, 3).alias("northing"))
+
+
 @query("b23_agc_samples", "SELECT p_partkey, (n + CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END)::INT AS n FROM (SELECT p_partkey, floor(round(p_size * 0.1::DOUBLE / 0.05::DOUBLE, 9))::INT AS n FROM part)")
 def _(s, d):
     return a.table(s, d, "part").select("p_partkey", units.agc_samples(F.col("p_size") * F.lit(0.1), F.lit(0.05)).alias("n"))
