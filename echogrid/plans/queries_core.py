@@ -111,9 +111,9 @@ def _(s, d):
     return j.select("cdp", F.col("il").alias("iline"), F.col("xl").alias("xline"), "fold")
 
 
-@query("a20_batch_names", "SELECT b, printf('cube_%06.3f_%06.3f.nc', min(i) * 0.05, max(i) * 0.05) AS name FROM (SELECT i, i // 10 AS b FROM range(64) t(i)) GROUP BY b")
+@query("a20_batch_names", a.with_("traces", "samples") + "SELECT i // 10 AS b, printf('cube_%06.3f_%06.3f.nc', min(i) * 0.05, max(i) * 0.05) AS name FROM samples GROUP BY i // 10")
 def _(s, d):
-    b = layouts.batches(s.range(64).withColumnRenamed("id", "slice"), 10)
+    b = layouts.batches(layouts.to_samples(a.traces(s, d)).select(F.col("i").alias("slice")), 10)
     return b.groupBy(F.col("batch").cast("long").alias("b")).agg(layouts.batch_name("cube", F.min("slice") * F.lit(0.05), F.max("slice") * F.lit(0.05)).alias("name"))
 
 
@@ -304,9 +304,9 @@ def _(s, d):
     return a.table(s, d, "part").select("p_partkey", units.agc_samples(F.col("p_size") * F.lit(0.1), F.lit(0.05)).alias("n"))
 
 
-@query("b24_resampled_twt", "SELECT i, round(i * 0.05::DOUBLE * 64 / 40 + 3.5::DOUBLE, 6) AS twt FROM range(40) t(i)")
+@query("b24_resampled_twt", "SELECT p_partkey, round(p_size * 0.05::DOUBLE * 64 / 40 + p_partkey % 7, 6) AS twt FROM part")
 def _(s, d):
-    return s.range(40).select(F.col("id").alias("i"), r(units.resampled_twt(F.col("id"), F.lit(3.5), F.lit(0.05), F.lit(64), F.lit(40))).alias("twt"))
+    return a.table(s, d, "part").select("p_partkey", r(units.resampled_twt(F.col("p_size"), (F.col("p_partkey") % 7).cast("double"), F.lit(0.05), F.lit(64), F.lit(40))).alias("twt"))
 
 
 @query("b25_tide_times", "SELECT event_id, (make_date(2020, 1, 1) + (event_id % 366)::INT)::TIMESTAMP + to_seconds(3600 * (event_id % 24) + 60 * (event_id % 60) + event_id % 59) AS time FROM events")

@@ -209,11 +209,10 @@ def _(s, d):
     return a.table(s, d, "events").select("event_id", outliers.missing(v).alias("missing"))
 
 
-@query("f8_programmed_gain", "SELECT i, round(CASE WHEN t <= 0.5 THEN 1 WHEN t <= 2 THEN 1 + (t - 0.5) * 2 / 1.5 WHEN t <= 3 THEN 3 - (t - 2) * 2.5 ELSE 0.5 END, 6) AS gain FROM (SELECT i, i * 0.05::DOUBLE AS t FROM range(80) r(i))".replace("0.5", "0.5::DOUBLE").replace("/ 1.5", "/ 1.5::DOUBLE"))
+@query("f8_programmed_gain", "SELECT p_partkey, round(CASE WHEN t <= 0.5 THEN 1 WHEN t <= 2 THEN 1 + (t - 0.5) * 2 / 1.5 WHEN t <= 3 THEN 3 - (t - 2) * 2.5 ELSE 0.5 END, 6) AS gain FROM (SELECT p_partkey, p_size * 0.08 AS t FROM part)".replace("0.5", "0.5::DOUBLE").replace("/ 1.5", "/ 1.5::DOUBLE").replace("0.08", "0.08::DOUBLE"))
 def _(s, d):
-    t = F.transform(F.sequence(F.lit(0), F.lit(79)), lambda i: i * F.lit(0.05))
-    g = s.range(1).select(F.posexplode(amplitudes.knots(t, [(0.5, 1), (2, 3), (3, 0.5)])).alias("i", "gain"))
-    return g.select(F.col("i").cast("long").alias("i"), r("gain").alias("gain"))
+    g = amplitudes.knots(F.array(F.col("p_size") * F.lit(0.08)), [(0.5, 1), (2, 3), (3, 0.5)])
+    return a.table(s, d, "part").select("p_partkey", r(g[0]).alias("gain"))
 
 
 # --- G: per-trace amplitude and time shift
@@ -434,31 +433,36 @@ def _(s, d):
     return rounded(t, "amp")
 
 
-@query("i6_stopband", "SELECT i, round(0.5 - 0.5 * cos(pi() * (i + 1) / 12), 9) + 0 AS high, round(0.5 - 0.5 * cos(pi() * (13 + i) / 12), 9) + 0 AS low FROM range(12) t(i)")
+@query("i6_stopband", a.with_("traces", "samples") + "SELECT line, tracl, i, round(amp * (0.5 - 0.5 * cos(pi() * (i + 1) / 12)), 9) + 0 AS high, round(amp * (0.5 - 0.5 * cos(pi() * (13 + i) / 12)), 9) + 0 AS low FROM samples WHERE i < 12")
 def _(s, d):
-    t = s.range(1).select(F.posexplode(F.arrays_zip(spectral.stopband(12, "highpass").alias("h"), spectral.stopband(12, "lowpass").alias("l"))).alias("i", "v"))
-    return t.select(F.col("i").cast("long").alias("i"), r("v.h", 9).alias("high"), r("v.l", 9).alias("low"))
+    """The ramps over the first samples of every trace."""
+    z = F.arrays_zip(F.slice("samples", 1, 12).alias("s"), spectral.stopband(12, "highpass").alias("h"), spectral.stopband(12, "lowpass").alias("l"))
+    t = a.traces(s, d).select("line", "tracl", F.posexplode(z).alias("i", "v"))
+    return t.select("line", "tracl", "i", r(F.col("v.s") * F.col("v.h"), 9).alias("high"), r(F.col("v.s") * F.col("v.l"), 9).alias("low"))
 
 
-@query("i7_outside_values", "SELECT * FROM (VALUES ('highpass', 0, 1), ('lowpass', 1, 0), ('bandpass', 0, 0)) t(kind, low, high)")
+@query("i7_outside_values", "SELECT p_partkey, kind, CASE WHEN p_size < 10 THEN low ELSE high END AS value FROM part, (VALUES ('highpass', 0, 1), ('lowpass', 1, 0), ('bandpass', 0, 0)) t(kind, low, high) WHERE p_size < 10 OR p_size > 40")
 def _(s, d):
-    return s.createDataFrame([(k, *v) for k, v in spectral.OUTSIDE.items()], "kind string, low int, high int")
+    """Parts' sizes as frequencies outside of a taper from 10 to 40."""
+    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(lo).alias("low"), F.lit(hi).alias("high")) for k, (lo, hi) in spectral.OUTSIDE.items()])).alias("o")
+    p = a.table(s, d, "part").where("p_size < 10 OR p_size > 40").select("p_partkey", "p_size", sides)
+    return p.select("p_partkey", "o.kind", F.when(F.col("p_size") < 10, F.col("o.low")).otherwise(F.col("o.high")).alias("value"))
 
 
 _UP = "CASE WHEN f <= {0} THEN 0 WHEN f >= {1} THEN 1 ELSE 0.5 - 0.5 * cos(pi() * (f - {0}) / ({1} - {0})) END"
 
 
-@query("i8_taper", f"SELECT i, round(1 - {_UP.format(3, 6)}, 9) + 0 AS lowpass, round({_UP.format(3, 6)}, 9) + 0 AS highpass, round({_UP.format(1, 2)} * (1 - {_UP.format(5, 8)}), 9) + 0 AS bandpass FROM (SELECT i, i * 0.25::DOUBLE AS f FROM range(41) t(i))")
+@query("i8_taper", f"SELECT i, round(1 - {_UP.format(3, 6)}, 9) + 0 AS lowpass, round({_UP.format(3, 6)}, 9) + 0 AS highpass, round({_UP.format(1, 2)} * (1 - {_UP.format(5, 8)}), 9) + 0 AS bandpass FROM (SELECT p_partkey AS i, p_size * 0.25::DOUBLE AS f FROM part)")
 def _(s, d):
-    f = F.col("id") * F.lit(0.25)
+    f = F.col("p_size") * F.lit(0.25)
     t = lambda q, k: r(spectral.taper(f, q, k), 9).alias(k)
-    return s.range(41).select(F.col("id").alias("i"), t((3, 6), "lowpass"), t((3, 6), "highpass"), t((1, 2, 5, 8), "bandpass"))
+    return a.table(s, d, "part").select(F.col("p_partkey").alias("i"), t((3, 6), "lowpass"), t((3, 6), "highpass"), t((1, 2, 5, 8), "bandpass"))
 
 
-@query("i9_frequency_mask", "SELECT i, i * 0.25 <= 6 AS low, i * 0.25 >= 3 AS high, i * 0.25 BETWEEN 1 AND 8 AS band FROM range(41) t(i)")
+@query("i9_frequency_mask", "SELECT p_partkey AS i, p_size * 0.25 <= 6 AS low, p_size * 0.25 >= 3 AS high, p_size * 0.25 BETWEEN 1 AND 8 AS band FROM part")
 def _(s, d):
-    f = F.col("id") * F.lit(0.25)
-    return s.range(41).select(F.col("id").alias("i"), spectral.keeps(f, (3, 6)).alias("low"), spectral.keeps(f, (3, 6), "highpass").alias("high"), spectral.keeps(f, (1, 2, 5, 8), "bandpass").alias("band"))
+    f = F.col("p_size") * F.lit(0.25)
+    return a.table(s, d, "part").select(F.col("p_partkey").alias("i"), spectral.keeps(f, (3, 6)).alias("low"), spectral.keeps(f, (3, 6), "highpass").alias("high"), spectral.keeps(f, (1, 2, 5, 8), "bandpass").alias("band"))
 
 
 @query("i11_rescale_envelope", a.with_("traces", "samples", more="e AS (SELECT line, tracl, i, greatest(0, amp) AS v FROM samples)") + "SELECT line, tracl, i, round((v - lo) / (hi - lo), 6) + 0 AS amp FROM e, (SELECT min(v) AS lo, max(v) AS hi FROM e)")
@@ -467,10 +471,11 @@ def _(s, d):
     return rounded(spectral.rescale_envelope(t), "amp")
 
 
-@query("i12_gaussian_kernel", "SELECT y::INT AS y, x::INT AS x, round(exp(-((y - 8) ** 2) / 8.0::DOUBLE) * exp(-((x - 8) ** 2) / 8.0::DOUBLE) / (2 * pi() * 4), 9) AS k FROM range(17) a(y), range(17) b(x)")
+@query("i12_gaussian_kernel", "SELECT p_partkey, round(exp(-((p_size % 17 - 8) ** 2) / 8.0::DOUBLE) * exp(-((p_partkey % 17 - 8) ** 2) / 8.0::DOUBLE) / (2 * pi() * 4), 9) AS k FROM part")
 def _(s, d):
-    k = slice_kernels.gaussian_kernel(2)
-    return rounded(s.createDataFrame([(y, x, float(k[y, x])) for y in range(k.shape[0]) for x in range(k.shape[1])], "y int, x int, k double"), "k", digits=9)
+    """The kernel's weight at a place that each part has by its size and number."""
+    k = F.array(*[F.lit(float(v)) for v in slice_kernels.gaussian_kernel(2).ravel()])
+    return a.table(s, d, "part").select("p_partkey", r(F.get(k, (F.col("p_size") % 17 * 17 + F.col("p_partkey") % 17).cast("int")), 9).alias("k"))
 
 
 def _cube_slices(s, d):
@@ -572,11 +577,13 @@ def _(s, d):
     return delays.static_header(t, "static", "dt").select("line", "k", "static_header", "static_scalar")
 
 
-@query("y_time_axis", "SELECT i, round(725 + i * 0.05::DOUBLE, 5) AS twt FROM range(100) t(i)")
+@query("y_time_axis", "SELECT p_partkey, unnest(range(p_size + 1))::INT AS i, round(p_partkey % 100 + unnest(range(p_size + 1)) * 0.05::DOUBLE, 5) AS twt FROM part")
 def _(s, d):
+    """An axis for each part, as long as its size."""
     from ..operators.binning import time_axis
 
-    return s.range(1).select(F.posexplode(time_axis(F.lit(725.0), F.lit(730.0), F.lit(0.05))).alias("i", "twt")).select(F.col("i").cast("long").alias("i"), "twt")
+    start = (F.col("p_partkey") % 100).cast("double")
+    return a.table(s, d, "part").select("p_partkey", F.posexplode(time_axis(start, start + (F.col("p_size") + 1) * F.lit(0.05), F.lit(0.05))).alias("i", "twt"))
 
 
 @query("y_mask", a.with_("cube") + "SELECT il, xl, least(fold * 3, 1)::INT AS mask FROM cube")
@@ -633,13 +640,12 @@ def _(s, d):
 
 @query(
     "j2_threshold_decay",
-    "SELECT k, round(0.99 - (0.99 - 0.001) * (k - 1) / 19.0::DOUBLE, 9) AS linear, round(0.99 * exp(ln(0.001 / 0.99) * (k - 1) / 19.0::DOUBLE), 9) AS exponential, round(0.99 * exp(ln(0.001 / 0.99) * pow((k - 1) / 19.0::DOUBLE, 2)), 9) AS exponential_2, round(20 * 0.989 / 19 / k + (0.99 - 20 * 0.989 / 19), 9) + 0 AS inverse FROM range(1, 21) t(k)".replace("0.989", "0.989::DOUBLE").replace("0.99 ", "0.99::DOUBLE "),
+    "SELECT p_partkey, round(0.99 - (0.99 - 0.001) * (k - 1) / 19.0::DOUBLE, 9) AS linear, round(0.99 * exp(ln(0.001 / 0.99) * (k - 1) / 19.0::DOUBLE), 9) AS exponential, round(0.99 * exp(ln(0.001 / 0.99) * pow((k - 1) / 19.0::DOUBLE, 2)), 9) AS exponential_2, round(20 * 0.989 / 19 / k + (0.99 - 20 * 0.989 / 19), 9) + 0 AS inverse FROM (SELECT p_partkey, p_size % 20 + 1 AS k FROM part)".replace("0.989", "0.989::DOUBLE").replace("0.99 ", "0.99::DOUBLE "),
 )
 def _(s, d):
     m = lambda x: thresholds.decay(x, 20, 0.99, 0.001)
-    z = F.arrays_zip(m("linear").alias("a"), m("exponential").alias("b"), m("exponential-2").alias("c"), m("inverse_proportional").alias("e"))
-    t = s.range(1).select(F.posexplode(z).alias("k", "v"))
-    return t.select((F.col("k") + 1).cast("long").alias("k"), r("v.a", 9).alias("linear"), r("v.b", 9).alias("exponential"), r("v.c", 9).alias("exponential_2"), r("v.e", 9).alias("inverse"))
+    at = lambda name, model: r(F.get(m(model), (F.col("p_size") % 20).cast("int")), 9).alias(name)
+    return a.table(s, d, "part").select("p_partkey", at("linear", "linear"), at("exponential", "exponential"), at("exponential_2", "exponential-2"), at("inverse", "inverse_proportional"))
 
 
 @query("j11_number_of_scales", "SELECT p_partkey, greatest(1, floor(0.5 * log2(greatest(p_size * 7, 12))))::INT AS n FROM part")
@@ -751,10 +757,11 @@ def _(s, d):
     return a.table(s, d, "events").where("value > 0").select("event_id", significant(F.col("value")).alias("v"))
 
 
-@query("k19_extent_points", "SELECT i, x, y FROM (VALUES (0, 1.0::DOUBLE, 2.0::DOUBLE), (1, 1, 9), (2, 5, 9), (3, 5, 2)) t(i, x, y)")
+@query("k19_extent_points", a.with_("points", more="e AS (SELECT line, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM points GROUP BY line)") + "SELECT line, i, CASE WHEN i < 2 THEN x0 ELSE x1 END AS x, CASE WHEN i IN (1, 2) THEN y1 ELSE y0 END AS y FROM e, (VALUES (0), (1), (2), (3)) t(i)")
 def _(s, d):
-    p = geometry.points_from_extent(1.0, 5.0, 2.0, 9.0)
-    return s.createDataFrame([(i, *q) for i, q in enumerate(p)], "i int, x double, y double")
+    e = a.points(s, d).groupBy("line").agg(*[f(c).alias(n) for n, f, c in (("x0", F.min, "x"), ("x1", F.max, "x"), ("y0", F.min, "y"), ("y1", F.max, "y"))])
+    p = geometry.points_from_extent(*[F.col(c) for c in ("x0", "x1", "y0", "y1")])
+    return e.select("line", F.posexplode(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in p])).alias("i", "p")).select("line", "i", "p.x", "p.y")
 
 
 @query("k20_extents", a.with_("points") + "SELECT line, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax FROM points GROUP BY line")
@@ -795,9 +802,11 @@ def _(s, d):
     return e.select("line", r(lo).alias("low"), r(hi).alias("high"))
 
 
-@query("k26_bins", "SELECT il::INT AS il, xl::INT AS xl, round((xl - 1) * 5 + 2.5, 6) AS x, round((il - 1) * 1 + 0.5, 6) AS y FROM range(1, 9) a(il), range(1, 11) b(xl)".replace("2.5", "2.5::DOUBLE").replace("0.5", "0.5::DOUBLE"))
+@query("k26_bins", a.with_("cube", "grid") + "SELECT il::INT AS il, xl::INT AS xl, round((xl - 1) * 5 + 2.5, 6) AS x, round((il - 1) * 1 + 0.5, 6) AS y FROM n, range(1, ni + 1) a(il), range(1, nx + 1) b(xl)".replace("2.5", "2.5::DOUBLE").replace("0.5", "0.5::DOUBLE"))
 def _(s, d):
-    return rounded(geometry.bins(s, 8, 10, geometry.coords_to_bins(0, 50, 0, 8, 1, 5)), "x", "y")
+    """Bins for the extent of the cube."""
+    n_il, n_xl = a.extent(a.cube(s, d))
+    return rounded(geometry.bins(s, n_il, n_xl, geometry.coords_to_bins(0, 5 * n_xl, 0, n_il, 1, 5)), "x", "y")
 
 
 @query("k26_trace_bins", a.with_("points") + "SELECT line, tracl, round_even(y - 0.2::DOUBLE + 1, 0)::INT AS il, round_even((x - 2.3::DOUBLE) / 5 + 1, 0)::INT AS xl FROM points")
@@ -894,7 +903,15 @@ def _(s, d):
     return rounded(t.select("line", "tracl", F.posexplode(F.zip_with("samples", "e", lambda x, y: x - y)).alias("i", "amp")), "amp")
 
 
-@query("m16_gain_options", "SELECT * FROM (VALUES ('agc_kind', 'rms'), ('linear', '(1.0, 3.0)'), ('pgc', '[(1.0, 1.0), (2.0, 4.0)]'), ('tpow_value', '2.0')) t(name, value)")
+@query("m16_gain_options", "SELECT p_partkey, o.name AS name, o.value AS value FROM (SELECT p_partkey, unnest([{'name': 'agc_kind', 'value': CASE WHEN p_partkey % 2 = 0 THEN 'rms' ELSE 'mean' END}, {'name': 'linear', 'value': printf('(%d.0, %d.0)', p_size, p_partkey % 9)}, {'name': 'tpow_value', 'value': printf('%d.0', p_partkey % 5)}]) AS o FROM part)")
 def _(s, d):
-    o = amplitudes.parse_gain(["tpow=2", "linear=1,3", "pgc=1:1,2:4", "agc_kind=rms"])
-    return s.createDataFrame([(k, str(v)) for k, v in sorted(o.items())], "name string, value string")
+    """Option texts made of columns, parsed."""
+
+    def run(parts):
+        import pandas as pd
+
+        for p in parts:
+            rows = [(key, k, str(v)) for key, size in zip(p["p_partkey"], p["p_size"], strict=True) for k, v in sorted(amplitudes.parse_gain([f"tpow={key % 5}", f"linear={size},{key % 9}", f"agc_kind={'mean' if key % 2 else 'rms'}"]).items())]
+            yield pd.DataFrame(rows, columns=["p_partkey", "name", "value"])
+
+    return a.table(s, d, "part").select("p_partkey", "p_size").mapInPandas(run, "p_partkey long, name string, value string")
