@@ -57,3 +57,37 @@ def interpolate(slices: DataFrame, mask: np.ndarray | list[int], **options) -> D
             yield pa.RecordBatch.from_arrays([*fixed, *[pa.array(out[k], t) for k, t in kinds.items()]], names=["slice", "n_il", "n_xl", *kinds])
 
     return d.mapInArrow(run, SCHEMA)
+
+
+def resume(slices: DataFrame, mask: np.ndarray | list[int], path: str, size: int = 256, **options) -> DataFrame:
+    """interpolate() in batches of slice numbers, each written to path/batch=N; what earlier attempts have finished is not done again.
+
+    A batch is finished when Spark's commit has left its mark in the folder, so
+    one that was stopped half-way is written anew, and only slices of unfinished
+    batches are read. The result holds all attempts' slices, with their metrics
+    and the number of the attempt. `size` slices are one job: more than there
+    are cores keep all of them busy.
+    """
+    spark = slices.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    of = F.floor(F.col("slice") / size)
+    batches = [r[0] for r in slices.select(of.alias("b")).distinct().orderBy("b").collect()]  # a number a batch
+    folder = lambda b: f"{path.rstrip('/')}/batch={b}"
+    done = {b for b in batches if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder(b)}/_SUCCESS"))}
+    attempt = 1
+    if done:
+        attempt += spark.read.parquet(*map(folder, sorted(done))).agg(F.max("attempt")).first()[0] or 0
+    for b in batches:
+        if b not in done:
+            out = interpolate(slices.where(of == b), mask, **options)
+            out.withColumn("attempt", F.lit(attempt)).write.mode("overwrite").parquet(folder(b))
+    if not batches:
+        return interpolate(slices, mask, **options).withColumn("attempt", F.lit(attempt))
+    return spark.read.option("basePath", path).parquet(*map(folder, batches)).drop("batch")
+
+
+def run_metrics(result: DataFrame) -> DataFrame:
+    """attempt, slices, iterations, seconds, worst_cost of each attempt in the result of resume()."""
+    m = result.groupBy("attempt").agg(F.count("*").alias("slices"), F.sum("niter").alias("iterations"), F.sum("runtime").alias("seconds"), F.max("cost").alias("worst_cost"))
+    return m.orderBy("attempt")

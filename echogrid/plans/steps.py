@@ -168,8 +168,10 @@ def to_frequency(cube: DataFrame, dt: float, upsampling: int = 1, real: bool = T
     return e
 
 
-def interpolate(spectra: DataFrame, n_il: int, n_xl: int, mask, **options) -> DataFrame:
-    """13: frequency slices filled by projection."""
+def interpolate(spectra: DataFrame, n_il: int, n_xl: int, mask, resume_path: str | None = None, **options) -> DataFrame:
+    """13: frequency slices filled by projection; with resume_path, in batches that are kept there, so that a run that was stopped goes on."""
+    if resume_path:
+        return pocs.resume(to_slices(spectra, n_il, n_xl, "re", "im"), mask, resume_path, **options)
     return pocs.interpolate(to_slices(spectra, n_il, n_xl, "re", "im"), mask, **options)
 
 

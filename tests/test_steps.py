@@ -419,3 +419,27 @@ def test_nearest_vertices_by_cells(spark):
         assert got[k].nearest == n and got[k].dist == pytest.approx(d)
     assert got[200].nearest == 3
     assert joins.nearest_vertex(p, t.where("own = 'none'"), "own").collect() == []
+
+
+def test_interpolation_goes_on_where_it_stopped(spark, tmp_path):
+    """Finished batches stay as they are, a half-written one and missing ones are made; the whole equals one run."""
+    import os
+
+    from echogrid.operators import pocs
+
+    r = np.random.default_rng(3)
+    mask = (r.random(48) > 0.4).astype(int).tolist()
+    rows = [(k, 6, 8, (r.normal(size=48) * mask).tolist()) for k in range(7)]
+    slices = spark.createDataFrame(rows, "slice long, n_il int, n_xl int, grid array<double>")
+    path = str(tmp_path / "run")
+    first = pocs.resume(slices.where("slice < 4"), mask, path, size=2, niter=5)
+    assert {x.attempt for x in first.collect()} == {1}
+    kept = {f: os.stat(f"{path}/batch=0/{f}").st_mtime_ns for f in os.listdir(f"{path}/batch=0")}
+    os.remove(f"{path}/batch=1/_SUCCESS")
+    got = {x.slice: x for x in pocs.resume(slices, mask, path, size=2, niter=5).collect()}
+    want = {x.slice: x for x in pocs.interpolate(slices, mask, niter=5).collect()}
+    assert kept == {f: os.stat(f"{path}/batch=0/{f}").st_mtime_ns for f in os.listdir(f"{path}/batch=0")}
+    assert set(got) == set(want) and all(got[k].grid == want[k].grid and got[k].niter == want[k].niter for k in want)
+    assert {k: got[k].attempt for k in got} == {0: 1, 1: 1, 2: 2, 3: 2, 4: 2, 5: 2, 6: 2}
+    m = pocs.run_metrics(pocs.resume(slices, mask, path, size=2, niter=5)).collect()
+    assert [(x.attempt, x.slices) for x in m] == [(1, 2), (2, 5)] and m[0].iterations == got[0].niter + got[1].niter
