@@ -70,7 +70,9 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     # floor() makes finite longs of NaN and infinities, so what takes part is decided before it
     given = topk.valid(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    vectors = given.select("id", F.transform("v", lambda x: F.floor(256 * x).cast("double")).alias("v"))
+    # scores are sums of doubles, exact while 64 products of two components stay below 2^53
+    huge = F.raise_error(F.lit(f"a component is beyond {topk.EXACT} after scaling, so that scores would not be exact")).cast("double")
+    vectors = given.select("id", F.transform("v", lambda x: F.when(F.abs(256 * x) < topk.EXACT, F.floor(256 * x).cast("double")).otherwise(huge)).alias("v"))
     found = topk.search(vectors, F.col("id") % 50 == 0, vec_id="id", vector="v")
     return found.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
 

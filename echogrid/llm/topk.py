@@ -22,6 +22,8 @@ from .common import drop_stage, stage
 K = 5
 #: Vectors a block, queries a broadcast (some 32 MB at 64 dimensions), vectors from which first bounds come.
 BLOCK, QUERIES, SEEDS = 2048, 65_536, 2048
+#: Whole components below this have exact scores up to 128 dimensions.
+EXACT = 2**23
 #: Coordinates of the partial sum, as a share of all.
 HEAD = 0.25
 
@@ -121,7 +123,9 @@ def search(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embed
     is_query is an expression on the column `id`. A query's candidates are all
     rows with another id; ties go to the smaller id. Null vectors, vectors with
     null or non-finite components and rows without id take no part. Vectors of
-    different lengths are compared as if filled with zeros. Repeated rows are
+    different lengths are compared as if filled with zeros. Scores are sums of
+    doubles: whole components below EXACT have exact ones, and the query over
+    whole components refuses others. Repeated rows are
     candidates each; a query that repeats in all is answered once. Fewer than k
     candidates give as many rows. Other columns are ignored.
 

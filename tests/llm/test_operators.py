@@ -429,6 +429,18 @@ def test_top_k_query_leaves_out_what_is_not_finite(spark, tmp_path):
     assert got == want
 
 
+def test_top_k_query_refuses_what_is_not_exact(spark, tmp_path):
+    for size, fine in ((30_000.0, True), (1e30, False)):
+        path = str(tmp_path / f"{size}")
+        spark.createDataFrame([(i, [size if i == 3 else 1.0] * 64) for i in range(60)], "vec_id long, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
+        if fine:
+            got = queries.op7_exact_top_k(spark, path).where("rank = 1").collect()
+            assert {(r.vec_id, r.score) for r in got} == {(3, int(256 * size) * 256 * 64)}
+        else:
+            with pytest.raises(Exception, match="beyond"):
+                queries.op7_exact_top_k(spark, path).collect()
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.1"  # the smaller tables hold six toxic rows out
     labels = dict(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").collect())
