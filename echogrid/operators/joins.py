@@ -77,9 +77,12 @@ def spacing(points: DataFrame, line: str = "line", order: str = "tracl") -> floa
     return s.select(d.alias("d")).where("d > 0").agg(F.avg("d")).first()[0] or 1.0
 
 
-def nearest_vertex(points: DataFrame, targets: DataFrame, line: str, order: str = "tracl", point_line: str = "line", cell: float | None = None) -> DataFrame:
+def nearest_vertex(points: DataFrame, targets: DataFrame, line: str, order: str = "tracl", point_line: str = "line", cell: float | None = None, digits: int | None = None) -> DataFrame:
     """Target's columns, then nearest and dist: the vertex of the target's line that is nearest, ties to the smaller number.
 
+    With `digits`, distances that are equal when rounded to so many decimals
+    are ties; dist is the smallest of them, not rounded.
+
     Vertices and targets meet on the line and on cells, by default as large as
     the mean distance between vertices. A target looks at its own cell and the
     eight around it, which hold all vertices within a cell's side; if none is
@@ -89,6 +92,9 @@ def nearest_vertex(points: DataFrame, targets: DataFrame, line: str, order: str
     no row.
     """
     finite = lambda c: F.col(c).isNotNull() & ((F.col(c) - F.col(c)) == 0)
+    tied = lambda c: c if digits is None else F.round(c * F.lit(10.0**digits))
+    # ties of a vertex are within a cell's side as well
+    slack = 0.0 if digits is None else 10.0**-digits
     v = points.select(F.col(point_line).alias("p_line"), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"), F.col(order).alias("p_order")).where(finite("px") & finite("py"))
     size = float(cell or spacing(points.where(finite("x") & finite("y")), point_line, order))
     known = v.select(F.col("p_line").alias(line)).distinct()
@@ -98,14 +104,15 @@ def nearest_vertex(points: DataFrame, targets: DataFrame, line: str, order: str
         at = lambda c, size=size: F.floor(F.col(c) / F.lit(size))
         around = rest.withColumn("cx", F.explode(F.array(*[at("__x") + k for k in (-1, 0, 1)]))).withColumn("cy", F.explode(F.array(*[at("__y") + k for k in (-1, 0, 1)])))
         j = around.join(v.withColumns({"cx": at("px"), "cy": at("py")}), (F.col("__line") == F.col("p_line")) & (around["cx"] == F.floor(F.col("px") / F.lit(size))) & (around["cy"] == F.floor(F.col("py") / F.lit(size))))
-        best = j.groupBy("__id").agg(F.min(F.struct(distance(F.col("__x"), F.col("__y"), F.col("px"), F.col("py")).alias("d"), "p_order")).alias("m"))
-        best = written(best.where(F.col("m.d") <= size))
+        j = j.withColumn("d", distance(F.col("__x"), F.col("__y"), F.col("px"), F.col("py")))
+        best = j.groupBy("__id").agg(F.min(F.struct(tied(F.col("d")).alias("tied"), "p_order")).alias("m"), F.min("d").alias("d"))
+        best = written(best.where(F.col("d") + F.lit(slack) <= size))
         found = best if found is None else found.unionByName(best)
         rest = written(rest.join(best.select("__id"), "__id", "left_anti"))
         size *= 2
     if found is None:
         return t.select(*targets.columns, F.lit(None).cast(v.schema["p_order"].dataType).alias("nearest"), F.lit(None).cast("double").alias("dist"))
-    return t.join(found, "__id").select(*targets.columns, F.col("m")["p_order"].alias("nearest"), F.col("m")["d"].alias("dist"))
+    return t.join(found, "__id").select(*targets.columns, F.col("m")["p_order"].alias("nearest"), F.col("d").alias("dist"))
 
 
 def lines_with_files(nav: DataFrame, files: DataFrame, line: str = "line", file: str = "file", pattern: str = "(.*)_UTM") -> DataFrame:

@@ -414,7 +414,7 @@ def _(s, d):
 )
 def _(s, d):
     n = a.tracks(s, d)
-    v = joins.nearest_vertex(n, joins.intersections(joins.segments(n), 20.0), "line_a")
+    v = joins.nearest_vertex(n, joins.intersections(joins.segments(n), 20.0), "line_a", digits=6)
     return v.select("line_a", "line_b", "seg_a", "seg_b", "nearest", r("dist", 4).alias("dist"))
 
 

@@ -421,6 +421,16 @@ def test_nearest_vertices_by_cells(spark):
     assert joins.nearest_vertex(p, t.where("own = 'none'"), "own").collect() == []
 
 
+def test_nearest_vertices_with_ties_by_rounded_distance(spark):
+    """Distances equal to six decimals are ties, in other cells and beyond the first cell's side too."""
+    p = spark.createDataFrame([("a", 2, 1.0, 0.0), ("a", 1, -1.0 - 1e-8, 0.0), ("a", 3, 50.0, 0.0)], "line string, tracl int, x double, y double")
+    t = spark.createDataFrame([(0, "a", 0.0, 0.0), (1, "a", 49.0, 0.0)], "id int, own string, x double, y double")
+    for cell in (None, 1.0, 0.3):
+        got = {x.id: (x.nearest, x.dist) for x in joins.nearest_vertex(p, t, "own", cell=cell, digits=6).collect()}
+        assert got == {0: (1, 1.0), 1: (3, 1.0)}
+        assert {x.id: x.nearest for x in joins.nearest_vertex(p, t, "own", cell=cell).collect()} == {0: 2, 1: 3}
+
+
 def test_interpolation_goes_on_where_it_stopped(spark, tmp_path):
     """Finished batches stay as they are, a half-written one and missing ones are made; the whole equals one run."""
     import os
