@@ -41,31 +41,42 @@ def rms(s: Column) -> Column:
     return F.sqrt(total(F.transform(s, lambda x: x * x)) / F.size(s))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once a row, however often, and for however many samples, the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def median_of(a: Column) -> Column:
-    """Median of an array; the mean of the middle two for an even size."""
-    b = F.array_sort(a)
-    n = F.size(b)
-    return (F.get(b, F.floor((n - 1) / 2).cast("int")) + F.get(b, F.floor(n / 2).cast("int"))) / 2
+    """Median of an array; the mean of the middle two for an even size. Nulls don't count."""
+
+    def of(b):
+        n = F.size(b)
+        return (F.get(b, F.floor((n - 1) / 2).cast("int")) + F.get(b, F.floor(n / 2).cast("int"))) / 2
+
+    return once(F.sort_array(F.filter(a, F.isnotnull)), of)
 
 
 def quantile_of(a: Column, q: float) -> Column:
-    """Linear interpolation between order statistics."""
-    b = F.array_sort(a)
-    at = (F.size(b) - 1) * F.lit(float(q))
-    lo = F.floor(at).cast("int")
-    low = F.get(b, lo)
-    return low + (F.coalesce(F.get(b, lo + 1), low) - low) * (at - lo)
+    """Linear interpolation between order statistics. Nulls don't count."""
+
+    def of(b):
+        at = (F.size(b) - 1) * F.lit(float(q))
+        lo = F.floor(at).cast("int")
+        low = F.get(b, lo)
+        return low + (F.coalesce(F.get(b, lo + 1), low) - low) * (at - lo)
+
+    return once(F.sort_array(F.filter(a, F.isnotnull)), of)
 
 
 def reference(s: Column, scale: str = "rms") -> Column:
     """rms, max, mean or median of the absolute amplitudes; 1 instead of 0."""
     a = F.transform(s, F.abs)
     value = {"rms": lambda: rms(s), "max": lambda: F.array_max(a), "peak": lambda: F.array_max(a), "mean": lambda: total(a) / F.size(a), "median": lambda: median_of(a)}[scale]()
-    return F.when(value == 0, 1.0).otherwise(value)
+    return once(value, lambda v: F.when(v == 0, 1.0).otherwise(v))
 
 
 def divided(s: Column, by: Column) -> Column:
-    return F.transform(s, lambda x: x / by)
+    return once(by, lambda v: F.transform(s, lambda x: x / v))
 
 
 def balance(s: Column, scale: str = "rms") -> Column:
@@ -93,19 +104,21 @@ def gpow(s: Column, power: float) -> Column:
 
 def clip(s: Column, low: Column | float | None = None, high: Column | float | None = None) -> Column:
     """Bounds each sample; None leaves a side open."""
-    col = lambda v: v if isinstance(v, Column) else F.lit(float(v))
+    col = lambda v: v if isinstance(v, Column) else F.lit(v if v is None else float(v))
+
+    def all_of(v):
+        def one(x):
+            x = x if high is None else F.least(x, v["high"])
+            return x if low is None else F.greatest(x, v["low"])
 
-    def one(x):
-        x = x if high is None else F.least(x, col(high))
-        return x if low is None else F.greatest(x, col(low))
+        return F.transform(s, one)
 
-    return F.transform(s, one)
+    return once(F.struct(col(low).alias("low"), col(high).alias("high")), all_of)
 
 
 def qclip(s: Column, q: float) -> Column:
     """Symmetric clip at the trace's own quantile of absolute amplitudes."""
-    v = quantile_of(F.transform(s, F.abs), q)
-    return clip(s, -v, v)
+    return once(quantile_of(F.transform(s, F.abs), q), lambda v: clip(s, -v, v))
 
 
 def ramp(s: Column, low: float, high: float) -> Column:
