@@ -3,6 +3,7 @@
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from echogrid.functions import amplitudes
@@ -21,3 +22,11 @@ def test_clip_sorts_a_trace_once(spark):
     assert np.allclose(y, np.clip(x, -q, q)) and seconds < 20
     d = spark.createDataFrame([([1.0, None, -3.0, 2.0],)], "s array<double>")
     assert d.select(amplitudes.quantile_of(F.transform("s", F.abs), 0.5).alias("q")).first().q == 2.0
+
+
+@pytest.mark.parametrize("kind, f", [("median", np.median), ("mean", np.mean), ("max", np.max), ("rms", lambda a: np.sqrt((a * a).mean()))])
+def test_balance_takes_its_reference_once(spark, kind, f):
+    x, y, seconds = timed(spark, amplitudes.balance(F.col("s"), kind), 6000)
+    assert np.allclose(y, x / f(np.abs(x))) and seconds < 20
+    d = spark.createDataFrame([([1.0, None, -3.0, 2.0],)], "s array<double>")
+    assert d.select(amplitudes.reference(F.col("s"), "median").alias("q")).first().q == 2.0
