@@ -10,9 +10,14 @@ import math
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..kernels import arrays
+
 # Semi-major axis and inverse flattening of ellipsoids.
 ELLIPSOIDS = {
     "wgs84": (6378137.0, 298.257223563), "grs80": (6378137.0, 298.257222101), "wgs72": (6378135.0, 298.26), "intl": (6378388.0, 297.0), "bessel": (6377397.155, 299.1528128),
@@ -142,21 +147,29 @@ def _t(phi: float, e2: float) -> float:
     return math.tan(math.pi / 4 - phi / 2) / ((1 - e * math.sin(phi)) / (1 + e * math.sin(phi))) ** (e / 2)
 
 
-def _let(value: Column, body) -> Column:
+# Where a formula takes F, that is Spark's functions on columns or kernels.arrays, the same names on NumPy arrays.
+
+
+def _named(F, **values):
+    """Values by name: a struct of columns, or a dict of arrays."""
+    return values if F is arrays else F.struct(*[v.alias(k) for k, v in values.items()])
+
+
+def _let(value: Column, body, F=F) -> Column:
     """body(value) with the value named once: a formula that uses it five times, in one that does too, would be written out 25 times."""
     return F.transform(F.array(value), body)[0]
 
 
-def _t_of(phi: Column, e2: float) -> Column:
+def _t_of(phi: Column, e2: float, F=F) -> Column:
     e, s = math.sqrt(e2), F.sin(phi)
     return F.tan(F.lit(math.pi / 4) - phi / 2) / F.pow((1 - F.lit(e) * s) / (1 + F.lit(e) * s), F.lit(e / 2))
 
 
-def _latitude(chi: Column, e2: float) -> Column:
+def _latitude(chi: Column, e2: float, F=F) -> Column:
     """From the conformal latitude, by its series."""
     e4, e6, e8 = e2**2, e2**3, e2**4
     terms = (e2 / 2 + 5 * e4 / 24 + e6 / 12 + 13 * e8 / 360, 7 * e4 / 48 + 29 * e6 / 240 + 811 * e8 / 11520, 7 * e6 / 120 + 81 * e8 / 1120, 4279 * e8 / 161280)
-    return _let(chi, lambda c: sum((F.lit(v) * F.sin(2 * k * c) for k, v in enumerate(terms, 1)), c))
+    return _let(chi, lambda c: sum((F.lit(v) * F.sin(2 * k * c) for k, v in enumerate(terms, 1)), c), F)
 
 
 def _krueger(e2: float) -> tuple[float, tuple, tuple]:
@@ -197,16 +210,16 @@ def _origin(s: System) -> float:
     return s.a * radius * (chi + sum(c * math.sin(2 * j * chi) for j, c in enumerate(alpha, 1)))
 
 
-def _around(degrees: Column) -> Column:
+def _around(degrees: Column, F=F) -> Column:
     """Between -180 and 180."""
     return F.pmod(degrees + 180.0, F.lit(360.0)) - 180.0
 
 
-def project(s: System, lon: Column, lat: Column) -> tuple[Column, Column]:
+def project(s: System, lon: Column, lat: Column, F=F) -> tuple[Column, Column]:
     """Degrees on the system's own ellipsoid to its coordinates."""
     if s.kind == "longlat":
         return lon, lat
-    phi, d, e2 = F.radians(lat), F.radians(_around(lon - F.lit(s.value("lon_0")))), _e2(s)
+    phi, d, e2 = F.radians(lat), F.radians(_around(lon - F.lit(s.value("lon_0")), F)), _e2(s)
     k = s.value("k", s.value("k_0", 1.0))
     if s.kind == "tmerc":
         radius, alpha, _ = _krueger(e2)
@@ -216,26 +229,26 @@ def project(s: System, lon: Column, lat: Column) -> tuple[Column, Column]:
             xi, eta = v["xi"], v["eta"]
             x = sum((F.lit(c) * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, c in enumerate(alpha, 1)), eta)
             y = sum((F.lit(c) * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, c in enumerate(alpha, 1)), xi)
-            return F.struct(x.alias("x"), y.alias("y"))
+            return _named(F, x=x, y=y)
 
         t = F.sinh(F.atanh(sn) - F.lit(e) * F.atanh(F.lit(e) * sn))
-        plane = _let(t, lambda t: _let(F.struct(F.atan2(t, F.cos(d)).alias("xi"), F.atanh(F.sin(d) / F.sqrt(1 + t * t)).alias("eta")), summed))
+        plane = _let(t, lambda t: _let(_named(F, xi=F.atan2(t, F.cos(d)), eta=F.atanh(F.sin(d) / F.sqrt(1 + t * t))), summed, F), F)
         x, y = F.lit(k * s.a * radius) * plane["x"], F.lit(k * s.a * radius) * plane["y"] - F.lit(k * _origin(s))
     elif s.kind == "merc":
         k = _m(math.radians(s.value("lat_ts")), e2) if "lat_ts" in s.at else k
-        x, y = F.lit(k * s.a) * d, -F.lit(k * s.a) * F.log(_t_of(phi, e2))
+        x, y = F.lit(k * s.a) * d, -F.lit(k * s.a) * F.log(_t_of(phi, e2, F))
     elif s.kind == "lcc":
         n, scale, origin = _conic(s)
-        rho = F.lit(scale) * F.pow(_t_of(phi, e2), F.lit(n))
+        rho = F.lit(scale) * F.pow(_t_of(phi, e2, F), F.lit(n))
         x, y = rho * F.sin(F.lit(n) * d), F.lit(origin) - rho * F.cos(F.lit(n) * d)
     else:
         north = s.value("lat_0") > 0
-        rho = F.lit(_polar(s)) * _t_of(phi if north else -phi, e2)
+        rho = F.lit(_polar(s)) * _t_of(phi if north else -phi, e2, F)
         x, y = rho * F.sin(d), rho * F.cos(d) * (-1 if north else 1)
     return (x + F.lit(s.value("x_0"))) / F.lit(s.unit), (y + F.lit(s.value("y_0"))) / F.lit(s.unit)
 
 
-def unproject(s: System, x: Column, y: Column) -> tuple[Column, Column]:
+def unproject(s: System, x: Column, y: Column, F=F) -> tuple[Column, Column]:
     """Coordinates to degrees on the system's own ellipsoid."""
     if s.kind == "longlat":
         return x, y
@@ -249,9 +262,9 @@ def unproject(s: System, x: Column, y: Column) -> tuple[Column, Column]:
             xi, eta = v["xi"], v["eta"]
             a = xi - sum((F.lit(c) * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, c in enumerate(beta, 1)), F.lit(0.0))
             b = eta - sum((F.lit(c) * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, c in enumerate(beta, 1)), F.lit(0.0))
-            return _let(F.struct(a.alias("a"), b.alias("b")), lambda w: F.struct(F.atan2(F.sinh(w["b"]), F.cos(w["a"])).alias("d"), F.asin(F.sin(w["a"]) / F.cosh(w["b"])).alias("chi")))
+            return _let(_named(F, a=a, b=b), lambda w: _named(F, d=F.atan2(F.sinh(w["b"]), F.cos(w["a"])), chi=F.asin(F.sin(w["a"]) / F.cosh(w["b"]))), F)
 
-        sphere = _let(F.struct(xi.alias("xi"), eta.alias("eta")), summed)
+        sphere = _let(_named(F, xi=xi, eta=eta), summed, F)
         d, chi = sphere["d"], sphere["chi"]
     elif s.kind == "merc":
         k = _m(math.radians(s.value("lat_ts")), e2) if "lat_ts" in s.at else k
@@ -267,10 +280,10 @@ def unproject(s: System, x: Column, y: Column) -> tuple[Column, Column]:
         t = F.sqrt(x * x + y * y) / F.lit(_polar(s))
         d = F.atan2(x, -y if north else y)
         chi = (F.lit(math.pi / 2) - 2 * F.atan(t)) * (1 if north else -1)
-    return _around(F.degrees(d) + F.lit(s.value("lon_0"))), F.degrees(_latitude(chi, e2))
+    return _around(F.degrees(d) + F.lit(s.value("lon_0")), F), F.degrees(_latitude(chi, e2, F))
 
 
-def _centric(s: System, lon: Column, lat: Column, back: bool) -> tuple[Column, Column]:
+def _centric(s: System, lon: Column, lat: Column, back: bool, F=F) -> tuple[Column, Column]:
     """Degrees of one datum to the other's, through the Earth's centre, at no height; back leads from WGS 84 to the system."""
     wgs = System("longlat", *ELLIPSOIDS["wgs84"])
     given, wanted = (wgs, s) if back else (s, wgs)
@@ -293,17 +306,28 @@ def _centric(s: System, lon: Column, lat: Column, back: bool) -> tuple[Column, C
     def geographic(v: Column) -> Column:
         z, r = v["z"], F.sqrt(v["x"] * v["x"] + v["y"] * v["y"])
         once = lambda beta: F.atan2(z + F.lit(e2 / (1 - e2) * b) * F.pow(F.sin(beta), F.lit(3.0)), r - F.lit(e2 * wanted.a) * F.pow(F.cos(beta), F.lit(3.0)))
-        lat = _let(F.atan2(z * F.lit(wanted.a), r * F.lit(b)), once)
-        lat = _let(_let(lat, lambda p: F.atan2(F.lit(b / wanted.a) * F.sin(p), F.cos(p))), once)
-        return F.struct(F.degrees(F.atan2(v["y"], v["x"])).alias("lon"), F.degrees(lat).alias("lat"))
+        lat = _let(F.atan2(z * F.lit(wanted.a), r * F.lit(b)), once, F)
+        lat = _let(_let(lat, lambda p: F.atan2(F.lit(b / wanted.a) * F.sin(p), F.cos(p)), F), once, F)
+        return _named(F, lon=F.degrees(F.atan2(v["y"], v["x"])), lat=F.degrees(lat))
 
-    out = _let(F.struct(x.alias("x"), y.alias("y"), z.alias("z")), geographic)
+    out = _let(_named(F, x=x, y=y, z=z), geographic, F)
     return out["lon"], out["lat"]
 
 
-def _pair(step):
-    """A step on a struct of x and y that gives one."""
-    return lambda p: F.struct(*[c.alias(n) for c, n in zip(step(p), "xy", strict=True)])
+def _pair(step, F):
+    """A step on x and y by name that gives them so."""
+    return lambda p: _named(F, **dict(zip("xy", step(p), strict=True)))
+
+
+def _steps(a: System, b: System, F=F) -> list:
+    """What leads from the system a to b, each from x and y by name to a pair."""
+    shifted = a.shift != b.shift or (a.shift and (a.a, a.inverse_f) != (b.a, b.inverse_f))
+    steps = [lambda p: unproject(a, p["x"], p["y"], F)]
+    if shifted and any(a.shift):
+        steps.append(lambda p: _centric(a, p["x"], p["y"], False, F))
+    if shifted and any(b.shift):
+        steps.append(lambda p: _centric(b, p["x"], p["y"], True, F))
+    return [*steps, lambda p: project(b, p["x"], p["y"], F)]
 
 
 def transform(x: Column, y: Column, src: str, dst: str) -> tuple[Column, Column]:
@@ -311,14 +335,45 @@ def transform(x: Column, y: Column, src: str, dst: str) -> tuple[Column, Column]
     a, b = parse(src), parse(dst)
     if a == b:
         return x, y
-    shifted = a.shift != b.shift or (a.shift and (a.a, a.inverse_f) != (b.a, b.inverse_f))
-    steps = [lambda p: unproject(a, p["x"], p["y"])]
-    if shifted and any(a.shift):
-        steps.append(lambda p: _centric(a, p["x"], p["y"], back=False))
-    if shifted and any(b.shift):
-        steps.append(lambda p: _centric(b, p["x"], p["y"], back=True))
-    steps.append(lambda p: project(b, p["x"], p["y"]))
     p = F.struct(x.alias("x"), y.alias("y"))
-    for step in steps:
-        p = _let(p, _pair(step))
+    for step in _steps(a, b):
+        p = _let(p, _pair(step, F))
+    return p["x"], p["y"]
+
+
+def transform_arrays(x: np.ndarray, y: np.ndarray, src: str, dst: str) -> tuple[np.ndarray, np.ndarray]:
+    """transform() on NumPy arrays; equal to it but for the last bits of the functions."""
+    a, b = parse(src), parse(dst)
+    if a == b:
+        return x, y
+    p = {"x": x, "y": y}
+    with np.errstate(all="ignore"):
+        for step in _steps(a, b, arrays):
+            p = _pair(step, arrays)(p)
     return p["x"], p["y"]
+
+
+def transformed(x: Column, y: Column, paths: list[tuple[str, ...]]) -> Column:
+    """array<struct<x,y>>: coordinates along each path of systems, (src, ..., dst), in Arrow batches.
+
+    Column formulas are interpreted inside of higher-order functions, each for
+    one row; here a batch goes through each formula at once, which pays where a
+    row has many. A null coordinate gives nulls.
+    """
+
+    @F.arrow_udf("array<struct<x:double,y:double>>")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        given = pa.compute.and_(x.is_valid(), y.is_valid()).to_numpy(zero_copy_only=False)
+        start = [v.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False) for v in (x, y)]
+        out = np.empty((2, len(given), len(paths)))
+        for k, path in enumerate(paths):
+            at = start
+            for src, dst in zip(path, path[1:], strict=False):
+                at = transform_arrays(*at, src, dst)
+            out[0, :, k], out[1, :, k] = at
+        missing = pa.array(np.repeat(~given, len(paths)))
+        pairs = [pa.compute.if_else(missing, None, pa.array(v.ravel())) for v in out]
+        ends = pa.array(np.arange(len(given) + 1, dtype=np.int32) * len(paths))
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(pairs, names=["x", "y"]))
+
+    return run(x, y)

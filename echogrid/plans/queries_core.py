@@ -275,11 +275,9 @@ def _(s, d):
     """Longitude and latitude to each system and back: Mercator, polar, conic, transverse, another datum."""
     n = a.nav(s, d)
     lon, lat = F.lit(171.0) + F.col("x") / 1000, F.lit(-44.0) + F.col("y") / 1000
-    there = [crs.transform(lon, lat, "epsg:4326", c) for c in _SYSTEMS]
-    back = [crs.transform(F.col("p.x"), F.col("p.y"), c, "epsg:4326") for c in _SYSTEMS]
-    e = n.select("o_orderkey", F.posexplode(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in there])).alias("system", "p"))
-    pick = lambda k: r(F.coalesce(*[F.when(F.col("system") == i, b[k]) for i, b in enumerate(back)]), 7)
-    return e.select("o_orderkey", "system", pick(0).alias("lon"), pick(1).alias("lat"))
+    trips = projections.transformed(lon, lat, [("epsg:4326", c, "epsg:4326") for c in _SYSTEMS])
+    e = n.select("o_orderkey", F.posexplode(trips).alias("system", "p"))
+    return e.select("o_orderkey", "system", r("p.x", 7).alias("lon"), r("p.y", 7).alias("lat"))
 
 
 def _lcc_sql() -> str:

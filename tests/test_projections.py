@@ -74,3 +74,24 @@ def test_wkt():
     for bad in ("epsg:1", "+proj=omerc", "+proj=stere +lat_0=50", "+proj=longlat +ellps=unheard", "PROJCS[]", "+proj=lcc", "+proj=longlat +towgs84=1,2"):
         with pytest.raises(ValueError):
             projections.parse(bad)
+
+
+def test_arrow_batches_equal_columns(spark):
+    """Round trips on arrays, as columns give them; a null coordinate gives nulls; formulas are no interpreted lambdas."""
+    systems = ["epsg:3857", "epsg:3395", "epsg:3031", "epsg:3851", "epsg:2193", "+proj=utm +zone=60 +south +ellps=intl +towgs84=59.47,-5.04,187.44,0.47,-0.1,1.024,-4.5993"]
+    d = spark.createDataFrame([(171.5, -44.25), (179.75, -41.0), (None, 3.0)], "lon double, lat double")
+    there = projections.transformed(F.col("lon"), F.col("lat"), [("epsg:4326", s) for s in systems])
+    back = projections.transformed(F.col("lon"), F.col("lat"), [("epsg:4326", s, "epsg:4326") for s in systems])
+    got = d.select("lon", "lat", there.alias("there"), back.alias("back")).collect()
+    for k, s in enumerate(systems):
+        x, y = crs.transform(F.col("lon"), F.col("lat"), "epsg:4326", s)
+        for row, want in zip(got, d.select(x.alias("x"), y.alias("y")).collect(), strict=True):
+            if row.lon is None:
+                assert tuple(row.there[k]) == tuple(row.back[k]) == (None, None)
+            else:
+                assert tuple(row.there[k]) == pytest.approx(tuple(want), abs=1e-6)
+                assert tuple(row.back[k]) == pytest.approx((row.lon, row.lat), abs=1e-8)
+    from echogrid.plans import queries
+
+    plan = queries.QUERIES["b22_round_trips"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "lambda" not in plan
