@@ -11,6 +11,8 @@ for each bin of a slice; its size is the grid's, not the survey's.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,14 +30,15 @@ def to_traces(samples: DataFrame, *keys: str, value: str = "amp", name: str = "s
     return samples.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", value))), lambda s: s[value]).alias(name))
 
 
-def to_slices(cube: DataFrame, n_il: int, n_xl: int, value: str = "amp", imag: str | None = None) -> DataFrame:
-    """Rows (il, xl, i, value[, imag]), il and xl from 1, to L3; bins without a row are zero, of repeated ones the least value counts.
+def per_slice(cube: DataFrame, n_il: int, n_xl: int, made: Callable[[int, list[np.ndarray]], pa.Table], schema: str, value: str = "amp", imag: str | None = None) -> DataFrame:
+    """made(slice, grids) for each slice of the rows (il, xl, i, value[, imag]), il and xl from 1.
 
-    One shuffle; a slice is put together in an array of the grid's size.
+    Grids are row-major; bins without a row are zero, of repeated ones the least
+    value counts. One shuffle; a task holds one slice, where slices as rows
+    would come to it in batches.
     """
     values = [value, *([imag] if imag else [])]
     at = ((F.col("il") - 1).cast("long") * n_xl + F.col("xl") - 1).alias("k")
-    schema = "slice long, n_il int, n_xl int, grid array<double>" + ", imag array<double>" * bool(imag)
 
     def build(t: pa.Table) -> pa.Table:
         k, v = t.column("k").to_numpy(), [t.column(f"v{j}").to_numpy() for j in range(len(values))]
@@ -45,18 +48,37 @@ def to_slices(cube: DataFrame, n_il: int, n_xl: int, value: str = "amp", imag: s
         for x in v:
             grid = np.zeros(n_il * n_xl)
             grid[k[first]] = x[order][first]
-            grids.append(pa.array([grid], pa.list_(pa.float64())))
-        names = ["slice", "n_il", "n_xl", "grid", "imag"][: 3 + len(grids)]
-        return pa.Table.from_arrays([t.column("slice")[:1], pa.array([n_il], pa.int32()), pa.array([n_xl], pa.int32()), *grids], names=names)
+            grids.append(grid)
+        return made(t.column("slice")[0].as_py(), grids)
 
     d = cube.select(F.col("i").cast("long").alias("slice"), at, *[F.col(c).cast("double").alias(f"v{j}") for j, c in enumerate(values)])
     return d.groupBy("slice").applyInArrow(build, schema)
 
 
-def from_slices(slices: DataFrame, grid: str = "grid", value: str = "amp") -> DataFrame:
-    """L3 to rows (slice, il, xl, value)."""
-    e = slices.select("slice", "n_xl", F.posexplode(grid).alias("k", value))
-    return e.select("slice", (F.floor(F.col("k") / F.col("n_xl")) + 1).cast("int").alias("il"), (F.col("k") % F.col("n_xl") + 1).cast("int").alias("xl"), value)
+def lists(grid: np.ndarray) -> pa.Array:
+    """A column of one row, which holds the array; nothing is copied."""
+    flat = np.ascontiguousarray(np.ravel(grid), float)
+    return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))
+
+
+def to_slices(cube: DataFrame, n_il: int, n_xl: int, value: str = "amp", imag: str | None = None) -> DataFrame:
+    """Rows (il, xl, i, value[, imag]), il and xl from 1, to L3; bins without a row are zero, of repeated ones the least value counts.
+
+    One shuffle; a slice is put together in an array of the grid's size.
+    """
+    schema = "slice long, n_il int, n_xl int, grid array<double>" + ", imag array<double>" * bool(imag)
+
+    def row(number: int, grids: list[np.ndarray]) -> pa.Table:
+        names = ["slice", "n_il", "n_xl", "grid", "imag"][: 3 + len(grids)]
+        return pa.Table.from_arrays([pa.array([number], pa.int64()), pa.array([n_il], pa.int32()), pa.array([n_xl], pa.int32()), *map(lists, grids)], names=names)
+
+    return per_slice(cube, n_il, n_xl, row, schema, value, imag)
+
+
+def from_slices(slices: DataFrame, grid: str = "grid", value: str = "amp", more: Sequence[str] = ()) -> DataFrame:
+    """L3 to rows (slice, il, xl, value), and more columns of the slice."""
+    e = slices.select("slice", "n_xl", *more, F.posexplode(grid).alias("k", value))
+    return e.select("slice", (F.floor(F.col("k") / F.col("n_xl")) + 1).cast("int").alias("il"), (F.col("k") % F.col("n_xl") + 1).cast("int").alias("xl"), value, *more)
 
 
 def even(samples: Column | str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels.pocs import pocs
+from ..layouts import lists, per_slice
 
 SCHEMA = "slice long, n_il int, n_xl int, grid array<double>, imag array<double>, niter int, cost double, runtime double"
 
@@ -59,6 +60,18 @@ def interpolate(slices: DataFrame, mask: np.ndarray | list[int], **options) -> D
     return d.mapInArrow(run, SCHEMA)
 
 
+def interpolate_cube(samples: DataFrame, n_il: int, n_xl: int, mask: np.ndarray | list[int], value: str = "amp", **options) -> DataFrame:
+    """interpolate() of the slices of real rows (il, xl, i, value): a slice is put together and filled in one task, which holds no other."""
+    shared = samples.sparkSession.sparkContext.broadcast(np.asarray(mask, np.uint8))
+
+    def fill(number: int, grids: list[np.ndarray]) -> pa.Table:
+        got = pocs(grids.pop().reshape(n_il, n_xl), shared.value.reshape(n_il, n_xl), **options)
+        fixed = {"slice": pa.array([number], pa.int64()), "n_il": pa.array([n_il], pa.int32()), "n_xl": pa.array([n_xl], pa.int32())}
+        return pa.table({**fixed, "grid": lists(got.grid.real), "imag": pa.nulls(1, pa.list_(pa.float64())), "niter": pa.array([got.niter], pa.int32()), "cost": pa.array([got.cost], pa.float64()), "runtime": pa.array([got.runtime], pa.float64())})
+
+    return per_slice(samples, n_il, n_xl, fill, SCHEMA, value)
+
+
 def resume(slices: DataFrame, mask: np.ndarray | list[int], path: str, size: int = 256, **options) -> DataFrame:
     """interpolate() in batches of slice numbers, each written to path/batch=N; what earlier attempts have finished is not done again.
 

@@ -659,9 +659,8 @@ def pocs_slices(s, d, **options):
     n_il, n_xl = a.extent(c)
     mask = pocs.mask_of(c, n_il, n_xl)
     long = layouts.to_samples(c).select("il", "xl", "i", (F.col("amp") * F.col("fold")).alias("amp"))
-    out = pocs.interpolate(layouts.to_slices(long, n_il, n_xl), mask, **options)
-    e = layouts.from_slices(out)
-    return rounded(e.join(out.select("slice", "niter"), "slice"), "amp", digits=4)
+    out = pocs.interpolate_cube(long, n_il, n_xl, mask, **options)
+    return rounded(layouts.from_slices(out, more=["niter"]), "amp", digits=4)
 
 
 @query("j1_pocs_fft")
