@@ -22,9 +22,14 @@ def convolve(x: np.ndarray, k: np.ndarray) -> np.ndarray:
     return full[a : a + x.shape[0], b : b + x.shape[1]]
 
 
+def reach(name: str, sigma: float = 1.0, size: int = 3) -> int:
+    """Bins on each side of one that its smoothed value depends on."""
+    return int(4 * sigma + 0.5) if name == "gaussian" else size // 2
+
+
 def gaussian(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     """Separable, truncated at 4 sigma, reflected at the borders."""
-    r = int(4 * sigma + 0.5)
+    r = reach("gaussian", sigma)
     w = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * sigma**2))
     w /= w.sum()
     for axis in (0, 1):

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,6 +160,57 @@ def smooth_slices(sl: DataFrame, name: str = "gaussian", sigma: float = 1.0, siz
     return sl.withColumn("grid", f(F.col("grid"), F.col("n_xl")))
 
 
+def smooth_cube(cube: DataFrame, n_il: int, n_xl: int, name: str = "gaussian", sigma: float = 1.0, size: int = 3, bins: int = 1 << 14, depth: int = 64, samples: str = "samples") -> DataFrame:
+    """slice, il, xl, amp: all slices of trace rows (il, xl, samples) smoothed, but no task holds a slice.
+
+    The grid is cut into tiles of about so many bins, and samples into blocks of
+    `depth`. A bin goes to its tile and, within the filter's reach of the edge,
+    to the neighbours. As in to_slices(), bins without a row or a sample are
+    zero, of repeated ones the least value counts.
+    """
+    r = slices.reach(name, sigma, size)
+    height = min(n_il, max(int(bins**0.5), 4 * r))
+    width = min(n_xl, max(bins // max(height, 1), 4 * r))
+    n = cube.agg(F.max(F.size(samples))).first()[0] or 0
+    if not n_il or not n_xl or n <= 0:
+        return cube.select(F.lit(0).cast("long").alias("slice"), F.lit(0).alias("il"), F.lit(0).alias("xl"), F.lit(0.0).alias("amp")).limit(0)
+    rows, columns, blocks = -(-n_il // height), -(-n_xl // width), -(-n // depth)
+    tile = lambda c, side, last: F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - 1 - r) / side)).cast("int"), F.least(F.lit(last), F.floor((F.col(c) - 1 + r) / side)).cast("int"))
+    d = cube.select("il", "xl", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.slice(F.col(samples).cast("array<double>"), b * depth + 1, F.lit(depth)))).alias("block", "v"))
+    d = d.select(F.explode(tile("il", height, rows - 1)).alias("row"), "il", "xl", "block", "v").select("row", F.explode(tile("xl", width, columns - 1)).alias("column"), "block", F.col("il").cast("int").alias("il"), F.col("xl").cast("int").alias("xl"), "v")
+    # every tile is there, also one without a bin
+    k, cast = F.col("id"), lambda c, to="int": c.cast(to)
+    every = cube.sparkSession.range(rows * columns * blocks).select(cast(F.floor(k / (columns * blocks))).alias("row"), cast(F.floor(k / blocks) % columns).alias("column"), cast(k % blocks).alias("block"), F.lit(None).cast("int").alias("il"), F.lit(None).cast("int").alias("xl"), F.lit(None).cast("array<double>").alias("v"))
+
+    def smooth(key: tuple, t: pa.Table) -> pa.Table:
+        row, column, block = (c.as_py() for c in key)
+        y0, y1, x0, x1 = row * height, min(n_il, (row + 1) * height), column * width, min(n_xl, (column + 1) * width)
+        top, left = max(0, y0 - r), max(0, x0 - r)
+        shape = (min(n_il, y1 + r) - top, min(n_xl, x1 + r) - left)
+        ns = min(depth, n - block * depth)
+        t = t.filter(pa.compute.is_valid(t.column("v"))).combine_chunks()
+        v = t.column("v").combine_chunks() if t.num_rows else pa.array([], pa.list_(pa.float64()))
+        place = (t.column("il").to_numpy() - 1 - top) * shape[1] + t.column("xl").to_numpy() - 1 - left
+        lengths = v.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.repeat(place.astype(np.int64), lengths)
+        i = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        given = np.full((ns, shape[0] * shape[1]), np.nan)
+        held = np.zeros(given.shape, bool)
+        np.fmin.at(given, (i, at), v.flatten().to_numpy(zero_copy_only=False))
+        held[i, at] = True
+        given[~held] = 0
+        out = np.empty((y1 - y0, x1 - x0, ns))
+        for j in range(ns):
+            out[:, :, j] = slices.smoothing(given[j].reshape(shape), name, sigma, size)[y0 - top : y1 - top, x0 - left : x1 - left]
+        il, xl = np.mgrid[y0 + 1 : y1 + 1, x0 + 1 : x1 + 1].astype(np.int32)
+        ends = pa.array(np.arange(il.size + 1, dtype=np.int32) * ns)
+        return pa.table({"block": pa.array(np.full(il.size, block, np.int32)), "il": il.ravel(), "xl": xl.ravel(), "v": pa.ListArray.from_arrays(ends, pa.array(out.ravel()))})
+
+    done = d.unionByName(every).groupBy("row", "column", "block").applyInArrow(lambda key, t: smooth(key, t), "block int, il int, xl int, v array<double>")
+    e = done.select("block", "il", "xl", F.posexplode("v").alias("i", "amp"))
+    return e.select((F.col("block").cast("long") * depth + F.col("i")).alias("slice"), "il", "xl", "amp")
+
+
 def remove_footprint(sl: DataFrame, n_il: int, n_xl: int, sigma: float = 7, direction: str = "both", buffer_center: float = 0.25, buffer_filter: int = 3) -> DataFrame:
     """The notch in the wavenumber domain; its weights are made once."""
     weights = slices.footprint_filter((n_il, n_xl), sigma, direction, buffer_center, buffer_filter)

@@ -484,6 +484,11 @@ def _cube_slices(s, d):
     return layouts.to_slices(layouts.to_samples(c).select("il", "xl", "i", "amp"), n_il, n_xl), n_il, n_xl
 
 
+def _smoothed(s, d, name):
+    c = a.cube(s, d)
+    return rounded(spectral.smooth_cube(c, *a.extent(c), name), "amp")
+
+
 def _cells(sl):
     return rounded(layouts.from_slices(sl).select(F.col("slice").cast("long").alias("slice"), "il", "xl", "amp"), "amp")
 
@@ -494,7 +499,7 @@ def _cells(sl):
     + "SELECT i::BIGINT AS slice, il, xl, round(median(amp), 6) + 0 AS amp FROM o GROUP BY i, il, xl",
 )
 def _(s, d):
-    return _cells(spectral.smooth_slices(_cube_slices(s, d)[0], "median"))
+    return _smoothed(s, d, "median")
 
 
 def _gauss(axis: str, n: str, of: str, other: str) -> str:
@@ -508,7 +513,7 @@ def _gauss(axis: str, n: str, of: str, other: str) -> str:
     a.with_("cube", "grid", more=f"gw AS (SELECT d, exp(-d * d / 2.0::DOUBLE) / sum(exp(-d * d / 2.0::DOUBLE)) OVER () AS w FROM range(-4, 5) r(d)), p1 AS {_gauss('il', 'ni', 'grid', 'xl')}, p2 AS {_gauss('xl', 'nx', 'p1', 'il')}") + "SELECT i::BIGINT AS slice, il, xl, round(amp, 6) + 0 AS amp FROM p2",
 )
 def _(s, d):
-    return _cells(spectral.smooth_slices(_cube_slices(s, d)[0], "gaussian", 1.0))
+    return _smoothed(s, d, "gaussian")
 
 
 @query("i14_remove_footprint")

@@ -59,3 +59,20 @@ def test_slices_are_filled_one_at_a_time(spark):
         got = {x.slice: x for x in pocs.interpolate_cube(cube, 3, 5, mask, niter=5, **options).collect()}
         want = {x.slice: x for x in pocs.interpolate(layouts.to_slices(cube, 3, 5), mask, niter=5, **options).collect()}
         assert set(got) == set(want) == set(range(6)) and all(got[k].grid == want[k].grid and got[k].niter == want[k].niter for k in want)
+
+
+@pytest.mark.parametrize("n_il, n_xl, bins", [(7, 23, 16), (2, 9, 4), (1, 1, 4), (7, 23, 1 << 14)])
+@pytest.mark.parametrize("name", ["median", "gaussian"])
+def test_tiles_smooth_as_whole_slices(spark, name, n_il, n_xl, bins):
+    """Empty and repeated bins, traces of different lengths, borders nearer than the filter reaches; no tile holds the grid."""
+    from echogrid import layouts
+    from echogrid.operators import spectral
+
+    r = np.random.default_rng(4)
+    rows = [(il, xl, r.normal(size=r.integers(0, 7)).tolist()) for il in range(1, n_il + 1) for xl in range(1, n_xl + 1) if r.random() < 0.7 or il * xl == 1]
+    rows += [(*rows[0][:2], r.normal(size=5).tolist())]
+    cube = spark.createDataFrame(rows, "il int, xl int, samples array<double>")
+    got = {(x.slice, x.il, x.xl): x.amp for x in spectral.smooth_cube(cube, n_il, n_xl, name, bins=bins, depth=2).collect()}
+    whole = layouts.from_slices(spectral.smooth_slices(layouts.to_slices(layouts.to_samples(cube), n_il, n_xl), name))
+    want = {(x.slice, x.il, x.xl): x.amp for x in whole.collect()}
+    assert got == pytest.approx(want, abs=1e-12) and len(got) == n_il * n_xl * max(len(v) for _, _, v in rows)
