@@ -17,7 +17,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @shipped
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that share four fifths of their five-word shingles the one with the smallest id stays."""
+    """Of each group of documents that share four fifths of their five-word shingles the one with the smallest id stays.
+
+    Links come from op5's fingerprints and are verified; pairs beyond their radius come from a prefix join.
+    """
     return jaccard.deduplicated(docs)
 
 

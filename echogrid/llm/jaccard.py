@@ -1,4 +1,6 @@
-"""Near-dedup by the exact Jaccard similarity of word shingles, with a prefix join.
+"""Near-dedup by SimHash, each link verified by the exact Jaccard similarity of word shingles, completed by a prefix join.
+
+Links of fingerprints (see simhash) are candidates like those of the join below.
 
 All shingles have one order. Two sets that share enough of their shingles share
 one among the first of each in that order (a fifth of them and one, for a
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD_RE, drop_stage, drop_stages, n_staged, packed, planes, release, stage, unpacked, unplanes
 from .lm_scoring import _C1, mixed, tokens
-from .simhash import components, kept_rows, named
+from .simhash import components, kept_rows, named, near_keys
 
 #: Similarity from which two texts are near: NUMERATOR / DENOMINATOR.
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
@@ -309,6 +311,9 @@ def _apart(x: DataFrame, major: DataFrame) -> DataFrame:
 def links(rows: DataFrame, words: int = WORDS) -> DataFrame:
     """a, b: links between keys of rows (key, text) that have the same components as all near pairs; each is verified. Written; what led to it is deleted.
 
+    First come the pairs that op5's fingerprints link, over shingles of `words`
+    words, and the texts that share a rare shingle with a head. Most pairs at
+    this similarity are beyond the fingerprints' radius; they are completed.
     While what meets on some shingles is many times as many pairs as entries,
     as in a large group whose members are near by chance, each text is compared
     with a few more: another member of each shingle is its head, and a text takes
@@ -320,7 +325,8 @@ def links(rows: DataFrame, words: int = WORDS) -> DataFrame:
     met = _met(rows, chars, words)
     # hits with the least key only: too few for some pairs, which are left to the later passes
     stars = met.where((F.col("key") != F.col("first_key")) & _possible("size", "first_size"))
-    tried = _candidates(stars.select(F.col("first_key").alias("a"), F.col("key").alias("b"), F.col("first_size").alias("sa"), F.col("size").alias("sb"), F.lit(1).alias("hits")))
+    heads = _candidates(stars.select(F.col("first_key").alias("a"), F.col("key").alias("b"), F.col("first_size").alias("sa"), F.col("size").alias("sb"), F.lit(1).alias("hits")))
+    tried = stage(heads.union(near_keys(rows.select("key", "text"), words)).distinct())
     found, left, k = _verified(tried, rows, words), None, 0
     while True:
         x = _open(met, found)

@@ -150,6 +150,25 @@ def links(nodes: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     return sent.groupBy("shard", "q", "part").applyInArrow(meet, "a long, b long").distinct()
 
 
+def near_keys(rows: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """a, b (a < b): keys of rows (key, text) that connect all texts whose fingerprints are within the radius; written.
+
+    Texts of one fingerprint are linked to the least key among them, and those
+    stand for the fingerprint in its links.
+    """
+    docs = stage(fingerprints(rows, "key", "text", words).distinct())
+    nodes = stage(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    fps = nodes.select("fp").repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    met = stage(links(fps, nodes.count(), radius))
+    x, y = (nodes.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_key")) for c in "ab")
+    across = met.join(x, "a").join(y, "b").select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b"))
+    same = docs.join(nodes, "fp").where(F.col("doc_id") != F.col("first")).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    out = stage(same.union(across).distinct())
+    for used in (met, nodes, docs):
+        drop_stage(used)
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """v, p: each end of an edge with the smallest end that it can reach.
 

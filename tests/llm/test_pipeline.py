@@ -155,6 +155,18 @@ def test_near_dedup_is_exact(spark, monkeypatch, common, shard, big, many):
     assert dict(jaccard.near_duplicates(docs).collect()) == want
 
 
+def test_near_dedup_goes_by_fingerprints(spark, monkeypatch):
+    """Links of fingerprints are found and verified also where the join has no candidates to offer."""
+    from pyspark.sql import functions as F
+
+    texts = {1: "a b c d e f g h", 2: "A B C D E F G H", 3: "a b c d e f g h", 4: "q r s t u v w x y", 5: None, 6: " "}
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in texts.items()], DOCS)
+    monkeypatch.setattr(jaccard, "_candidates", lambda pairs: stage(pairs.select("a", "b").limit(0)))
+    monkeypatch.setattr(jaccard, "_possible", lambda a, b: F.lit(False))
+    assert dict(jaccard.near_duplicates(docs).collect()) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5}
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == {1, 4, 5}
+
+
 def check_packed_copies(rows, copies, texts):
     """Every copy has all its pieces; sequences have no gaps."""
     pieces = Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
