@@ -16,12 +16,14 @@ quantisation takes from a context goes to the back-off; over all w the sum is
 one on average, apart from false positives.
 
 The words' counts and the filter grow with the corpus. Together they are
-broadcast up to MAX_BROADCAST bytes, which is checked. Beyond that they stay in
-the shards in which they were made: each block of text sends its distinct keys
-to their shards, is answered there from the same table and the same piece of
-the filter, and gets equal scores; nothing is larger than a shard or a block.
-This is done for a part of the rows at a time, whose shuffles are let go before
-the next one.
+broadcast up to MAX_BROADCAST bytes, which is checked. Beyond that the filter,
+and the counts too if they alone are larger, stay in the shards in which they
+were made: each block of text sends its distinct keys to their shards, is
+answered there from the same table and the same piece of the filter, and gets
+equal scores; nothing is larger than a shard or a block. A shard looks up what
+all blocks ask in one go, so its work grows with the keys; blocks times shards
+are only messages. This is done for a part of the rows at a time, whose
+shuffles are let go before the next one.
 
 Every count covers all training rows. Each task counts what it has read and
 sends sorted keys, cut by their hash into shards of bounded size; a shard adds
@@ -48,8 +50,8 @@ U = np.uint64
 ADD = 0.1
 #: Base of the logarithmic scale of counts; hash functions and bits of the filter for each event (false positives: 0.9 %).
 LOG_BASE, HASHES, BITS = 1.5, 6, 10
-#: Bytes of text that are hashed at once (some 50 bytes each), and that a block of the sharded route holds.
-CHUNK, BLOCK = 1 << 18, 1 << 20
+#: Bytes of text that are hashed at once (some 50 bytes each), tokens from which a block of the sharded route is full.
+CHUNK, BLOCK = 1 << 18, 600_000
 #: Keys that a task gathers before it sends them, tokens a shard.
 GATHER, SHARD_TOKENS = 1_500_000, 1_500_000
 #: Bytes of word counts and filter that are broadcast at most.
@@ -304,7 +306,7 @@ class Numbers:
 
 @dataclass(frozen=True)
 class Model:
-    """Numbers, and either two broadcasts or the two tables of shards."""
+    """Numbers, the two tables of shards, and a broadcast of the word counts, or of both, as far as they fit."""
 
     numbers: Numbers
     shards: int
@@ -320,27 +322,44 @@ def _slices(staged: DataFrame, shards: int) -> Iterator[pa.Table]:
         yield staged.where((F.col("shard") >= lo) & (F.col("shard") < lo + SLICE)).orderBy("shard").toArrow()
 
 
-def _blocks(d: DataFrame) -> DataFrame:
+def _runs(texts: pa.StringArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """tokens(), gathered to BLOCK tokens."""
+    first, ns, hs = 0, [], []
+    for row, n, h in tokens(texts):
+        ns.append(n)
+        hs.append(h)
+        if sum(map(len, hs)) >= BLOCK:
+            yield first, np.concatenate(ns), np.concatenate(hs)
+            first, ns, hs = row + len(n), [], []
+    if ns:
+        yield first, np.concatenate(ns), np.concatenate(hs)
+
+
+def _blocks(d: DataFrame, table: Broadcast | None = None) -> DataFrame:
     """block, rows, n, u, i: runs of rows of d (text first) with their distinct tokens u, and each token's place i in u.
 
-    rows holds the other columns. Written, so that block numbers hold.
+    rows holds the other columns. With the table of word counts, also c, the
+    counts of u. Written, so that block numbers hold.
     """
+    names = ["block", "rows", "n", "u", "i", *(["c"] if table is not None else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for b in batches:
             rest = b.select(b.schema.names[1:])
-            for row, n, h in tokens(b.column(0), BLOCK):
+            for row, n, h in _runs(b.column(0)):
                 sink = pa.BufferOutputStream()
                 if rest.num_columns:
                     with pa.ipc.new_stream(sink, rest.schema) as w:
                         w.write_batch(rest.slice(row, len(n)))
                 u, i = np.unique(h, return_inverse=True)
                 blobs = [sink.getvalue().to_pybytes(), n.astype(np.int64).tobytes(), u.tobytes(), i.astype(np.uint32).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([block]), *[pa.array([x], pa.binary()) for x in blobs]], names=["block", "rows", "n", "u", "i"])
+                if table is not None:
+                    blobs.append(table.value(u).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([block]), *[pa.array([x], pa.binary()) for x in blobs]], names=names)
                 block += 1
 
-    return stage(d.mapInArrow(run, "block long, rows binary, n binary, u binary, i binary"))
+    return stage(d.mapInArrow(run, "block long, " + ", ".join(f"{c} binary" for c in names[1:])))
 
 
 def _parts(df: DataFrame, text: str) -> list[DataFrame]:
@@ -360,21 +379,26 @@ def _tokens_of(b: pa.RecordBatch | pa.Table, k: int) -> tuple[np.ndarray, np.nda
 def _answers(blocks: DataFrame, held: DataFrame, shards: int, wanted, look, kept=planes) -> DataFrame:
     """block, shard, values: for each block and shard the look(shard's row, keys) of the block's distinct keys there, in order.
 
-    wanted(n, h, c) gives a block's keys from its tokens; without it they are
-    the words themselves. kept writes an answer's numbers.
+    A shard looks up the keys of all blocks at once. wanted(n, h, c) gives a
+    block's keys from its tokens; without it they are the words themselves.
+    kept writes an answer's numbers.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, block in enumerate(b.column("block").to_pylist()):
-                keys = _blob(b, k, "u", U) if wanted is None else np.unique(wanted(*_tokens_of(b, k)))
+                keys = _blob(b, k, "u", U) if wanted is None else _summed(wanted(*_tokens_of(b, k)))[0]
                 cut = np.searchsorted(_shard(keys, shards), np.arange(shards + 1)) if shards < len(keys) else None
                 parts = [(k, keys[i:j]) for k, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i] if cut is not None else [(int(k[0]), v) for k, v in ((_shard(v, shards), v) for v in np.split(keys, np.flatnonzero(np.diff(_shard(keys, shards))) + 1)) if len(v)]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([packed(v) for _, v in parts], pa.binary())], names=["shard", "block", "keys"])
 
     def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
         row = own.slice(0, 1).to_batches()[0] if own.num_rows else None
-        values = [kept(look(row, unpacked(k.as_buffer()))) for k in asked.column("keys")]
+        keys = [unpacked(k.as_buffer()) for k in asked.column("keys")]
+        distinct, at = np.unique(np.concatenate([np.zeros(0, U), *keys]), return_inverse=True)
+        found = look(row, distinct)[at]
+        ends = np.cumsum([len(k) for k in keys], dtype=np.int64)
+        values = [kept(found[e - len(k) : e]) for k, e in zip(keys, ends, strict=True)]
         return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "values": pa.array(values, pa.binary())})
 
     asked = blocks.select("block", *(["u"] if wanted is None else ["n", "u", "i", "c"])).mapInArrow(ask, "shard int, block long, keys binary")
@@ -454,10 +478,16 @@ def fit(train: DataFrame, text: str = "text") -> Model:
         return bigram_keys(_before(h, n), h, _class(_context_counts(shared.value(h), n, begins)))
 
     def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered = []
         for b in batches:
             for k in range(b.num_rows):
                 n, h, c = _tokens_of(b, k)
-                yield _blobs([bigram_keys(_before(h, n), h, _class(_context_counts(c, n, begins)))], shards)
+                gathered.append(bigram_keys(_before(h, n), h, _class(_context_counts(c, n, begins))))
+                if sum(map(len, gathered)) >= GATHER:
+                    yield _blobs(gathered, shards)
+                    gathered = []
+        if gathered:
+            yield _blobs(gathered, shards)
 
     def add_pairs(t: pa.Table) -> pa.Table:
         keys, counts = _unblob(t)
@@ -489,7 +519,7 @@ def fit(train: DataFrame, text: str = "text") -> Model:
     # half a bigram is added, so that no mass is exactly zero
     numbers = replace(numbers, unseen=np.where(every > 0, np.minimum((once + 0.5) / np.maximum(every, 1), 1.0), 1.0), kept=low / np.maximum(every, 1))
     if shared is None or table_bytes + filter_bytes > MAX_BROADCAST:
-        return Model(numbers, shards, words, pieces)
+        return Model(numbers, shards, words, pieces, shared)
     sizes, data, at = np.zeros(shards, np.int64), np.empty(filter_bytes, np.uint8), 0
     for t in _slices(pieces.select("shard", "bits", "data"), shards):
         for s, bits, d in zip(*[t.column(c) for c in ("shard", "bits", "data")], strict=True):
@@ -545,8 +575,10 @@ def score(df: DataFrame, model: Model, text: str = "text", more: dict[str, Colum
 
     scored = []
     for part in _parts(d, "__text"):
-        blocks = _with_counts(_blocks(part), model.words, model.shards)
-        release(df.sparkSession)
+        blocks = _blocks(part, model.shared_table)
+        if model.shared_table is None:
+            blocks = _with_counts(blocks, model.words, model.shards)
+            release(df.sparkSession)
         answers = _answers(blocks, model.pieces, model.shards, lambda n, h, c: numbers.asked(n, h, c)[1], _filter_look, np.ndarray.tobytes)
         scored.append(stage(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)))
         drop_stage(blocks)

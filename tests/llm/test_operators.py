@@ -615,6 +615,25 @@ def test_lm_scoring(spark, monkeypatch):
     assert all(r.score <= 0 and r.n_known == 0 for r in lm_scoring.score(odd, lm_scoring.fit(odd.limit(0))).collect())
 
 
+def test_lm_scoring_shards_answer_all_blocks_at_once(spark, monkeypatch):
+    """A shard looks up the distinct keys of all blocks in one go, and word counts that fit stay broadcast though the filter doesn't."""
+    keys = [np.array(x, np.uint64) for x in ([3, 9], [3, 5, 9], [9], [4])]
+    blocks = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(keys)], "block long, u binary")
+    held = spark.createDataFrame([(0,)], "shard int")
+    look = lambda row, x: x * np.uint64(100) + np.uint64(len(x))
+    got = {r.block: lm_scoring.unplanes(memoryview(r["values"])).tolist() for r in lm_scoring._answers(blocks, held, 1, None, look).collect()}
+    assert got == {k: [100 * int(v) + 4 for v in x] for k, x in enumerate(keys)}
+    docs = spark.createDataFrame([(k, " ".join(f"w{k * j % 97}" for j in range(50))) for k in range(300)], "doc_id long, text string")
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 500)
+    monkeypatch.setattr(lm_scoring, "BLOCK", 1000)
+    want, models = sorted(map(tuple, lm_scoring.score(docs, lm_scoring.fit(docs)).collect())), []
+    for limit in (16 * 98, 0):
+        monkeypatch.setattr(lm_scoring, "MAX_BROADCAST", limit)
+        models.append(lm_scoring.fit(docs))
+        assert sorted(map(tuple, lm_scoring.score(docs, models[-1]).collect())) == want
+    assert [(m.shared_table is not None, m.shared_filter is not None) for m in models] == [(True, False), (False, False)]
+
+
 def test_stages_can_be_dropped(spark):
     df = stage(spark.range(3).toDF("id"))
     path = df.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
