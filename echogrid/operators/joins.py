@@ -9,6 +9,10 @@ from ..shared import written
 from .geometry import distance
 
 
+#: Vertices of a line that nearest_vertex() takes as one array at most.
+SHORT = 64
+
+
 def nearest_regular(x: Column, start: float, step: float, n: int) -> Column:
     """Number, from 0, of the nearest value of start, start + step, ...; halves to even, ends hold."""
     return F.greatest(F.lit(0), F.least(F.lit(n - 1), F.rint((x - start) / F.lit(float(step))).cast("int")))
@@ -52,6 +56,10 @@ def intersections(segs: DataFrame, cell: float) -> DataFrame:
     segments meet on a cell, a pair only in the first cell that both cover, so
     it needs no distinct. Parallel segments, overlapping ones too, give no
     point. A cell should be about as long as a segment.
+
+    What is asked of the points, here and by callers, stays out of the join:
+    Spark would repeat their whole arithmetic there for each use, in a method
+    too long for the JVM to compile.
     """
     c = lambda v: F.floor(v / F.lit(float(cell))).cast("long")
     lo = lambda a, b: F.least(F.col(a), F.col(b))
@@ -64,15 +72,15 @@ def intersections(segs: DataFrame, cell: float) -> DataFrame:
     j = a.join(b, (k("a.cx") == k("b.cx")) & (k("a.cy") == k("b.cy")) & (k("a.line") < k("b.line")) & first)
     dx, dy, ex, ey = k("a.x1") - k("a.x0"), k("a.y1") - k("a.y0"), k("b.x1") - k("b.x0"), k("b.y1") - k("b.y0")
     fx, fy = k("b.x0") - k("a.x0"), k("b.y0") - k("a.y0")
-    den = dx * ey - dy * ex
-    t, u = (fx * ey - fy * ex) / F.nullif(den, F.lit(0.0)), (fx * dy - fy * dx) / F.nullif(den, F.lit(0.0))
-    out = j.select(k("a.line").alias("line_a"), k("b.line").alias("line_b"), k("a.seg").alias("seg_a"), k("b.seg").alias("seg_b"), t.alias("t"), u.alias("u"), (k("a.x0") + t * dx).alias("x"), (k("a.y0") + t * dy).alias("y"))
-    return out.where((F.col("t") >= 0) & (F.col("t") <= 1) & (F.col("u") >= 0) & (F.col("u") <= 1)).drop("t", "u")
+    # a number that isn't deterministic keeps the conditions where they stand
+    d = j.select(k("a.line").alias("line_a"), k("b.line").alias("line_b"), k("a.seg").alias("seg_a"), k("b.seg").alias("seg_b"), k("a.x0"), k("a.y0"), dx.alias("dx"), dy.alias("dy"), (fx * ey - fy * ex).alias("nt"), (fx * dy - fy * dx).alias("nu"), F.nullif(dx * ey - dy * ex, F.lit(0.0)).alias("den"), F.monotonically_increasing_id().alias("here"))
+    d = d.withColumns({"t": k("nt") / k("den"), "u": k("nu") / k("den")}).where("t >= 0 AND t <= 1 AND u >= 0 AND u <= 1 AND here >= 0")
+    return d.select("line_a", "line_b", "seg_a", "seg_b", (k("x0") + k("t") * k("dx")).alias("x"), (k("y0") + k("t") * k("dy")).alias("y"))
 
 
-def spacing(points: DataFrame, line: str = "line", order: str = "tracl") -> float:
+def spacing(points: DataFrame, line: str = "line", order: str = "tracl", x: str = "x", y: str = "y") -> float:
     """The mean length of the segments between a line's points that differ; 1 without any."""
-    s = segments(points, line, order)
+    s = segments(points, line, order, x, y)
     d = distance(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
     return s.select(d.alias("d")).where("d > 0").agg(F.avg("d")).first()[0] or 1.0
 
@@ -83,29 +91,60 @@ def nearest_vertex(points: DataFrame, targets: DataFrame, line: str, order: str
     With `digits`, distances that are equal when rounded to so many decimals
     are ties; dist is the smallest of them, not rounded.
 
-    Vertices and targets meet on the line and on cells, by default as large as
-    the mean distance between vertices. A target looks at its own cell and the
-    eight around it, which hold all vertices within a cell's side; if none is
-    that near, it looks again at cells of twice the side. So a vertex meets
-    targets nearby only, whatever the length of its line. Targets of lines
-    without vertices, and targets or vertices without finite coordinates, give
-    no row.
+    The vertices of a line of up to SHORT of them meet each of its targets, as
+    an array. On longer lines, or all if `cell` is given, vertices and targets
+    meet on the line and on cells, by default as large as the mean distance
+    between these lines' vertices. A target looks at its own cell and the eight
+    around it, which hold all vertices within a cell's side; if none is that
+    near, it looks again at cells of twice the side. So a vertex meets targets
+    nearby only, whatever the length of its line. Targets of lines without
+    vertices, and targets or vertices without finite coordinates, give no row.
     """
     finite = lambda c: F.col(c).isNotNull() & ((F.col(c) - F.col(c)) == 0)
-    tied = lambda c: c if digits is None else F.round(c * F.lit(10.0**digits))
+    v = written(points.select(F.col(point_line).alias("p_line"), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"), F.col(order).alias("p_order")).where(finite("px") & finite("py") & F.col("p_line").isNotNull()))
+    asked = targets.where(finite("x") & finite("y"))
+    if cell:
+        return _nearest_by_cells(v, asked, line, float(cell), digits)
+    long = written(v.groupBy("p_line").agg(F.count("*").alias("n")).where(F.col("n") > SHORT).select("p_line"))
+    if long.isEmpty():
+        return _nearest_of_all(v, asked, line, digits)
+    of_long, asked = v.join(long, "p_line", "left_semi"), written(asked)
+    far = _nearest_by_cells(of_long, asked, line, spacing(of_long, "p_line", "p_order", "px", "py"), digits)
+    return far.unionByName(_nearest_of_all(v.join(long, "p_line", "left_anti"), asked, line, digits))
+
+
+def _tied(d: Column, digits: int | None) -> Column:
+    """Equal for distances that are ties: their multiples of 10^-digits, halves up. As F.round(), which writes every number as text."""
+    if digits is None:
+        return d
+    n = d * F.lit(10.0**digits)
+    return F.when(n < 2.0**52, (F.floor(n) + F.when(n - F.floor(n) >= 0.5, 1).otherwise(0)).cast("double")).otherwise(n)
+
+
+def _nearest_of_all(v: DataFrame, targets: DataFrame, line: str, digits: int | None) -> DataFrame:
+    """nearest_vertex() from arrays of each line's vertices p_line, px, py, p_order."""
+    arrays = v.groupBy(F.col("p_line").alias(line)).agg(F.sort_array(F.collect_list(F.struct("p_order", "px", "py"))).alias("__v"))
+    j = targets.join(arrays, line)
+    j = j.withColumn("__d", F.transform("__v", lambda p: distance(F.col("x").cast("double"), F.col("y").cast("double"), p["px"], p["py"])))
+    j = j.withColumn("__least", F.array_min("__d"))
+    # the first of the ties: vertices stand in the order of their numbers
+    first = F.array_position("__d", F.col("__least")) if digits is None else F.array_position(F.transform("__d", lambda d: _tied(d, digits)), _tied(F.col("__least"), digits))
+    return j.select(*targets.columns, F.get("__v", (first - 1).cast("int"))["p_order"].alias("nearest"), F.col("__least").alias("dist"))
+
+
+def _nearest_by_cells(v: DataFrame, targets: DataFrame, line: str, size: float, digits: int | None) -> DataFrame:
+    """nearest_vertex() on cells whose side is `size` at first."""
     # ties of a vertex are within a cell's side as well
     slack = 0.0 if digits is None else 10.0**-digits
-    v = points.select(F.col(point_line).alias("p_line"), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"), F.col(order).alias("p_order")).where(finite("px") & finite("py"))
-    size = float(cell or spacing(points.where(finite("x") & finite("y")), point_line, order))
     known = v.select(F.col("p_line").alias(line)).distinct()
-    t = written(targets.where(finite("x") & finite("y")).join(known, line, "left_semi").select(*targets.columns, F.monotonically_increasing_id().alias("__id")))
+    t = written(targets.join(known, line, "left_semi").select(*targets.columns, F.monotonically_increasing_id().alias("__id")))
     rest, found = t.select("__id", F.col(line).alias("__line"), F.col("x").cast("double").alias("__x"), F.col("y").cast("double").alias("__y")), None
     while not rest.isEmpty():
         at = lambda c, size=size: F.floor(F.col(c) / F.lit(size))
         around = rest.withColumn("cx", F.explode(F.array(*[at("__x") + k for k in (-1, 0, 1)]))).withColumn("cy", F.explode(F.array(*[at("__y") + k for k in (-1, 0, 1)])))
         j = around.join(v.withColumns({"cx": at("px"), "cy": at("py")}), (F.col("__line") == F.col("p_line")) & (around["cx"] == F.floor(F.col("px") / F.lit(size))) & (around["cy"] == F.floor(F.col("py") / F.lit(size))))
         j = j.withColumn("d", distance(F.col("__x"), F.col("__y"), F.col("px"), F.col("py")))
-        best = j.groupBy("__id").agg(F.min(F.struct(tied(F.col("d")).alias("tied"), "p_order")).alias("m"), F.min("d").alias("d"))
+        best = j.groupBy("__id").agg(F.min(F.struct(_tied(F.col("d"), digits).alias("tied"), "p_order")).alias("m"), F.min("d").alias("d"))
         best = written(best.where(F.col("d") + F.lit(slack) <= size))
         found = best if found is None else found.unionByName(best)
         rest = written(rest.join(best.select("__id"), "__id", "left_anti"))

@@ -431,6 +431,33 @@ def test_nearest_vertices_with_ties_by_rounded_distance(spark):
         assert {x.id: x.nearest for x in joins.nearest_vertex(p, t, "own", cell=cell).collect()} == {0: 2, 1: 3}
 
 
+def test_conditions_on_intersections_stay_out_of_the_join(spark):
+    """Callers ask for finite x and y, t and u for the ends: repeated in the join's condition, the JVM wouldn't compile it."""
+    lines = [(k, i, float(k + 3 * (i % 2)), float(5 * i)) for k in range(6) for i in range(4)]
+    x = joins.intersections(joins.segments(spark.createDataFrame(lines, "line long, tracl int, x double, y double")), 20.0)
+    plan = x.where("x - x = 0 AND y - y = 0")._jdf.queryExecution().optimizedPlan().toString()
+    join = next(row for row in plan.splitlines() if "Join Inner" in row)
+    assert "/" not in join and "*" not in join
+
+
+def test_short_lines_meet_their_targets_whole(spark, monkeypatch):
+    """Lines of few vertices as arrays, and with longer ones in the same call, as by cells alone; ties go to the smaller number."""
+    r = np.random.default_rng(9)
+    points = [(n, i, float(x), float(y)) for n, size in (("a", 40), ("b", 5), ("c", 12)) for i, (x, y) in enumerate(r.integers(0, 9, (size, 2)))]
+    points += [("b", 7, 2.5, None), (None, 1, 0.0, 0.0)]
+    targets = [(k, n, float(x), float(y)) for k, (n, (x, y)) in enumerate(zip("abcd" * 20, r.integers(-3, 12, (80, 2)), strict=True))] + [(99, "b", None, 0.0), (98, None, 0.0, 0.0)]
+    p = spark.createDataFrame(points, "line string, tracl int, x double, y double")
+    t = spark.createDataFrame(targets, "id int, own string, x double, y double")
+    for digits in (None, 6):
+        want = sorted(map(tuple, joins.nearest_vertex(p, t, "own", cell=2.0, digits=digits).collect()))
+        assert len(want) == 60
+        for short in (64, 20, 0):
+            monkeypatch.setattr(joins, "SHORT", short)
+            assert sorted(map(tuple, joins.nearest_vertex(p, t, "own", digits=digits).collect())) == want
+    n = spark.createDataFrame([(x,) for x in (0.0, 0.49999999999999994, 0.5, 1.5, 2.4999999999999996, 1e300)], "d double")
+    assert all(x[0] == x[1] for x in n.select(joins._tied(F.col("d"), 0), F.round("d", 0)).collect())
+
+
 def test_interpolation_goes_on_where_it_stopped(spark, tmp_path):
     """Finished batches stay as they are, a half-written one and missing ones are made; the whole equals one run."""
     import os
