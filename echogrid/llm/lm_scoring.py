@@ -146,12 +146,22 @@ class Table:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         self.keys, self.counts = keys, counts
-        self.bits = max(1, int(len(keys)).bit_length() - 1)
+        self.bits = self.index_bits(len(keys))
         self.starts = np.empty(1 << self.bits, np.uint32 if len(keys) < 1 << 32 else np.int64)
         for a in range(0, 1 << self.bits, 1 << 16):  # in parts: the driver has little memory beside the table
             b = min(a + (1 << 16), 1 << self.bits)
             self.starts[a:b] = np.searchsorted(keys, np.arange(a, b, dtype=U) << U(64 - self.bits))
 
+    @staticmethod
+    def index_bits(n: int) -> int:
+        """Two to four keys share an entry of the index."""
+        return max(1, n.bit_length() - 2)
+
+    @classmethod
+    def size(cls, n: int, most: int) -> int:
+        """Bytes of n keys, their counts up to `most`, and the index."""
+        return n * (12 if most < 1 << 32 else 16) + ((4 if n < 1 << 32 else 8) << cls.index_bits(n))
+
     def __call__(self, h: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.zeros(len(h), np.int64)
@@ -462,8 +472,7 @@ def fit(train: DataFrame, text: str = "text") -> Model:
     begins = int(_word_look(end.to_batches()[0], np.array([END], U))[0]) if end.num_rows else 0
     del end
     numbers = Numbers(n, v, begins)
-    # 8 bytes of hash, 4 or 8 of count, up to 4 of index
-    table_bytes, shared = v * (16 if most < 1 << 32 else 20), None
+    table_bytes, shared = Table.size(v, most), None
     if table_bytes <= MAX_BROADCAST:
         keys, counts, at = np.empty(v, U), np.empty(v, np.uint32 if most < 1 << 32 else np.int64), 0
         for t in _slices(words.select("shard", "keys", "counts"), shards):
